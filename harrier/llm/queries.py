@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from harrier.llm import bpe
+from harrier.llm import bpe, mixing
 from harrier.llm.common import read
 
 QUERIES = {
     "op2_bpe": lambda spark, sf_dir: bpe.op2_bpe(read(spark, sf_dir, "documents")),
+    "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(read(spark, sf_dir, "documents")),
 }
 
 #: DuckDB twins, where SQL can express the operator on whole tables.
