@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from harrier.llm import bpe, langid, mixing
+from harrier.llm import bpe, langid, mixing, toxicity
 from harrier.llm.common import read
 
 QUERIES = {
     "op2_bpe": lambda spark, sf_dir: bpe.op2_bpe(read(spark, sf_dir, "documents")),
     "op3_langid": lambda spark, sf_dir: langid.op3_langid(read(spark, sf_dir, "documents")),
+    "op7_toxicity": lambda spark, sf_dir: toxicity.op7_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(read(spark, sf_dir, "documents")),
 }
 
