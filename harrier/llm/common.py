@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,42 @@ def per_worker(name: str, key, make: Callable):
     if kept is None or kept[0] != key:
         kept = _tables()[name] = (key, make())
     return kept[1]
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all lower-cased texts and each text's bounds among them."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat, bounds = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    empty = np.asarray(pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False), bool)
+    if empty.any():  # at a text's edges
+        before = np.concatenate([[0], np.cumsum(~empty)])
+        flat, bounds = flat.filter(pa.array(~empty)), before[bounds - bounds[0]]
+    return flat, bounds - bounds[0]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process."""
+    import pandas as pd
+
+    coded = words.dictionary_encode()
+    known = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)
+    return known[coded.indices.to_numpy()]
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each run of `size` words; of the whole sequence where it is shorter; none without words."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    size = min(size, n)
+    out = hashes[: n - size + 1].copy()
+    for k in range(1, size):
+        out = mixed_bits(out + np.uint64(k)) + hashes[k : n - size + 1 + k]
+    return mixed_bits(out)
