@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from harrier.llm import bpe, langid, lm, minhash, mixing, toxicity
+from harrier.llm import bpe, langid, lm, minhash, mixing, syncmers, toxicity
 from harrier.llm.common import read
 
 QUERIES = {
     "op1_lm": lambda spark, sf_dir: lm.op1_lm(read(spark, sf_dir, "documents")),
     "op2_bpe": lambda spark, sf_dir: bpe.op2_bpe(read(spark, sf_dir, "documents")),
     "op3_langid": lambda spark, sf_dir: langid.op3_langid(read(spark, sf_dir, "documents")),
+    "op4_syncmers": lambda spark, sf_dir: syncmers.op4_syncmers(read(spark, sf_dir, "documents")),
     "op7_toxicity": lambda spark, sf_dir: toxicity.op7_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op8_minhash": lambda spark, sf_dir: minhash.near_duplicates(read(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(read(spark, sf_dir, "documents")),
