@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harrier.llm import ann, bpe, langid, lm, minhash, mixing, syncmers, toxicity
+from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, syncmers, toxicity
 from harrier.llm.common import read
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_bpe": lambda spark, sf_dir: bpe.op2_bpe(read(spark, sf_dir, "documents")),
     "op3_langid": lambda spark, sf_dir: langid.op3_langid(read(spark, sf_dir, "documents")),
     "op4_syncmers": lambda spark, sf_dir: syncmers.op4_syncmers(read(spark, sf_dir, "documents")),
+    "op5_lines": lambda spark, sf_dir: line_dedup.op5_lines(read(spark, sf_dir, "documents")),
     "op6_ann": lambda spark, sf_dir: ann.op6_ann(read(spark, sf_dir, "embeddings")),
     "op7_toxicity": lambda spark, sf_dir: toxicity.op7_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op8_minhash": lambda spark, sf_dir: minhash.near_duplicates(read(spark, sf_dir, "documents")),
