@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, syncmers, toxicity
+from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, passages, syncmers, toxicity
 from harrier.llm.common import read
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_ann": lambda spark, sf_dir: ann.op6_ann(read(spark, sf_dir, "embeddings")),
     "op7_toxicity": lambda spark, sf_dir: toxicity.op7_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op8_minhash": lambda spark, sf_dir: minhash.near_duplicates(read(spark, sf_dir, "documents")),
+    "op9_passages": lambda spark, sf_dir: passages.op9_passages(read(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(read(spark, sf_dir, "documents")),
 }
 
