@@ -40,11 +40,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 @cache
 def _tables() -> dict:
     return {}
@@ -60,7 +55,7 @@ def per_worker(name: str, key, make: Callable):
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all lower-cased texts and each text's bounds among them."""
-    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, bounds = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
     empty = np.asarray(pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False), bool)
     if empty.any():  # at a text's edges

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.common import ascii_lower, checkpoint, mixed_bits, partitions, split, word_hashes
+from harrier.llm.common import checkpoint, mixed_bits, partitions, split, word_hashes
 from harrier.llm.components import components, reshuffled
 from harrier.llm.minhash import _seeds
 
@@ -136,7 +136,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame) -> DataFrame:
     """Rows (doc, place, items, class, first_doc): the paragraphs whose class is in two documents or more; place and items count shingles."""
     n = partitions(docs.sparkSession)
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), ascii_lower(F.col("text")).alias("text"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
     rows = texts.mapInArrow(_emit, "doc long, node long, one long, two long, place int, items int").repartition(n, "node")
     # the paragraphs lie by node from here on: the counts and the last join read one exchange
     nodes = rows.groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.first("one").alias("one"), F.first("two").alias("two"))
