@@ -19,17 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.common import ascii_lower, checkpoint, mixed_bits, shingles, split, word_hashes
+from harrier.llm.common import checkpoint, mixed_bits, shingles, split, word_hashes
 from harrier.llm.components import components, reshuffled
 
 #: Minima, rows of a band, low bits kept of a minimum, and by how much an estimate may fall short of the threshold.
 MINIMA, ROWS, BITS, SLACK = 100, 5, 4, 0.2
+LONGS = -(-MINIMA // 16)
 #: Rounds in which a crowded band is compared with another of its nodes before the rest of its pairs is taken.
 ROUNDS = 3
-_CHUNK = 20_000
 
 
 def _seeds(n: int, start: int) -> np.ndarray:
@@ -57,21 +57,26 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """Signatures: the low BITS bits of all minima, two minima a byte."""
-    bits = (low & np.uint32((1 << BITS) - 1)).astype(np.uint8)
-    return bits[:, ::2] << BITS | bits[:, 1::2]
-
-
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity of rows of signatures: the share of equal minima, less what collides by chance."""
-    differ = a ^ b
-    same = ((differ >> BITS) == 0).sum(1) + ((differ & ((1 << BITS) - 1)) == 0).sum(1)
+    """Signatures: the low BITS = 4 bits of all minima, sixteen minima to a 64-bit number."""
+    bits = np.zeros((len(low), LONGS * 16), np.uint64)
+    bits[:, :MINIMA] = low & np.uint32(15)
+    return (bits.reshape(len(low), LONGS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def estimate(a: Column, b: Column) -> Column:
+    """Similarity of two signatures by bit counts: the share of equal minima, less what collides by chance."""
+    differ = F.lit(0)
+    for k in range(LONGS):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
     chance = 2.0**-BITS
-    return (same / MINIMA - chance) / (1 - chance)
+    return (1 - differ / MINIMA - chance) / (1 - chance)
 
 
 def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """Each lower-cased text's distinct shingles, sorted."""
+    """Each text's distinct shingles, sorted."""
     flat, bounds = split(texts)
     hashes = word_hashes(flat) if len(flat) else np.empty(0, np.uint64)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -97,7 +102,8 @@ def _signed(size: int):
             keys = bands(low).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
             raw = packed(low)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), lists, pa.array([r.tobytes() for r in raw], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "signature"])
+            signatures = pa.ListArray.from_arrays(np.arange(0, raw.size + 1, LONGS, dtype=np.int32), pa.array(raw.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), lists, signatures], ["doc_id", "n_shingles", "node", "bands", "signature"])
 
     return run
 
@@ -115,16 +121,6 @@ def _whole_sets(size: int):
     return run
 
 
-def _likely(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(estimate(a, b) >= least))
-
-    return run
-
-
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,21 +139,21 @@ def _linked(percent: int):
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, kept: links join documents of which the sets' similarity is `percent` in 100 or more."""
-    lowered = docs.select("doc_id", ascii_lower(F.col("text")).alias("text"))
-    rows = checkpoint(lowered.mapInArrow(_signed(size), "doc_id long, n_shingles long, node long, bands array<long>, signature binary"))
+    plain = docs.select("doc_id", "text")
+    rows = checkpoint(plain.mapInArrow(_signed(size), "doc_id long, n_shingles long, node long, bands array<long>, signature array<long>"))
     nodes = checkpoint(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     spread = nodes.select(F.explode("bands").alias("key"), "node")
     crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = spread.join(crowded.select(reshuffled("key").alias("k"), "n"), F.col("key") == F.col("k")).select("key", "node", "n")
     met = checkpoint(met.join(nodes.select(F.col("node").alias("id"), "signature"), F.col("node") == F.col("id")).select("key", "node", "n", "signature"))
     wanted = nodes.join(met.select(F.col("node").alias("id")).distinct(), F.col("node") == F.col("id"), "left_semi")
-    texts = lowered.join(wanted.select(F.col("first_doc").alias("doc")), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
+    texts = plain.join(wanted.select(F.col("first_doc").alias("doc")), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
     sets = texts.select("text").mapInArrow(_whole_sets(size), "node long, items binary").join(wanted.select(F.col("node").alias("id")), F.col("node") == F.col("id"), "left_semi")
     sets = checkpoint(sets.groupBy("node").agg(F.first("items").alias("items")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of rows (a, b, sa, sb) the pairs that link."""
-        pairs = pairs.mapInArrow(_likely(percent / 100 - SLACK), "a long, b long").distinct()
+        """Of rows (a, b) the pairs that link."""
+        pairs = pairs.distinct()
         pairs = pairs.join(sets.select(F.col("node").alias("kb"), F.col("items").alias("ib")), F.col("b") == F.col("kb")).select("a", "b", "ib")
         pairs = pairs.join(sets.select(reshuffled("node").alias("ka"), F.col("items").alias("ia")), F.col("a") == F.col("ka")).select("a", "b", "ia", "ib")
         return pairs.mapInArrow(_linked(percent), "a long, b long")
@@ -165,8 +161,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     def stars(met: DataFrame, order) -> DataFrame:
         """Each crowded band's nodes beside the one that is least in the given order, if of another component."""
         head = met.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "component", "signature")).alias("h")).select(reshuffled("key").alias("k"), "h")
-        got = met.join(head, F.col("key") == F.col("k")).where(F.col("component") != F.col("h.component"))
-        return got.select(F.col("h.node").alias("a"), F.col("node").alias("b"), F.col("h.signature").alias("sa"), F.col("signature").alias("sb"))
+        likely = estimate(F.col("signature"), F.col("h.signature")) >= percent / 100 - SLACK
+        got = met.join(head, (F.col("key") == F.col("k")) & (F.col("component") != F.col("h.component")) & likely)
+        return got.select(F.col("h.node").alias("a"), F.col("node").alias("b"))
 
     links = checkpoint(confirmed(stars(met.withColumn("component", F.col("node")), F.col("node"))))
     found = checkpoint(components(links))
@@ -183,7 +180,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
             new = stars(named, F.xxhash64(F.lit(turn), "node"))
         else:
             other = named.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("sa"))
-            new = named.join(other, (F.col("key") == F.col("k")) & (F.col("component") > F.col("ca"))).select("a", F.col("node").alias("b"), "sa", F.col("signature").alias("sb"))
+            likely = estimate(F.col("signature"), F.col("sa")) >= percent / 100 - SLACK
+            new = named.join(other, (F.col("key") == F.col("k")) & (F.col("component") > F.col("ca")) & likely).select("a", F.col("node").alias("b"))
         new = checkpoint(confirmed(new))
         if not new.isEmpty():
             links = links.unionByName(new)
