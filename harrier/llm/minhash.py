@@ -29,7 +29,7 @@ from harrier.llm.components import components, reshuffled
 MINIMA, ROWS, BITS, SLACK = 100, 5, 4, 0.2
 LONGS = -(-MINIMA // 16)
 #: Rounds in which a crowded band is compared with another of its nodes before the rest of its pairs is taken.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _seeds(n: int, start: int) -> np.ndarray:
@@ -121,6 +121,15 @@ def _whole_sets(size: int):
     return run
 
 
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        for at in range(0, len(sets), 500):
+            part = sets[at : at + 500]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[at : at + 500], [len(x) for x in part])), pa.array(np.concatenate(part))], ["node", "item"])
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +188,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
         if turn < ROUNDS:
             new = stars(named, F.xxhash64(F.lit(turn), "node"))
         else:
-            other = named.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("sa"))
-            likely = estimate(F.col("signature"), F.col("sa")) >= percent / 100 - SLACK
-            new = named.join(other, (F.col("key") == F.col("k")) & (F.col("component") > F.col("ca")) & likely).select("a", F.col("node").alias("b"))
+            # a shingle that no other node holds is in no intersection, which bounds every pair of its node
+            ids = named.select(F.col("node").alias("id")).distinct()
+            held = sets.join(ids, F.col("node") == F.col("id"), "left_semi")
+            items = held.mapInArrow(_items, "node long, item long").groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+            own = items.where("c = 1").groupBy("node").agg(F.count("*").alias("own")).withColumnRenamed("node", "k")
+            sizes = held.select("node", (F.length("items") / 8).cast("long").alias("size")).join(own, F.col("node") == F.col("k"), "left")
+            sizes = sizes.select(F.col("node").alias("id"), "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common")).where(100 * F.col("common") >= percent * F.col("size"))
+            open_ = checkpoint(named.join(sizes, F.col("node") == F.col("id")).select("key", "node", "signature", "component", "size", "common"))
+            other = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
+            likely = estimate(F.col("signature"), F.col("o_signature")) >= percent / 100 - SLACK
+            most = F.least("common", "o_common")
+            fits = 100 * most >= percent * (F.col("size") + F.col("o_size") - most)
+            new = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("component") > F.col("o_component")) & fits & likely).select(F.col("o_node").alias("a"), F.col("node").alias("b"))
         new = checkpoint(confirmed(new))
         if not new.isEmpty():
             links = links.unionByName(new)
