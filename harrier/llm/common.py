@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -64,6 +64,13 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, bounds - bounds[0]
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what is made from a part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word, the same in every process."""
     import pandas as pd

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.common import checkpoint, mixed_bits, shingles, split, word_hashes
+from harrier.llm.common import checkpoint, mixed_bits, parts, shingles, split, word_hashes
 from harrier.llm.components import components, reshuffled
 
 #: Minima, rows of a band, low bits kept of a minimum, and by how much an estimate may fall short of the threshold.
@@ -92,7 +92,7 @@ def set_hash(own: np.ndarray) -> int:
 
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             n, ids, low = [], [], np.zeros((batch.num_rows, MINIMA), np.uint32)
             for i, own in enumerate(sets_of(batch.column(1), size)):
                 n.append(len(own))
@@ -110,7 +110,7 @@ def _signed(size: int):
 
 def _whole_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, raw = [], []
             for own in sets_of(batch.column(0), size):
                 if len(own):

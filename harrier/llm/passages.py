@@ -19,15 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrier.llm.common import checkpoint, mixed_bits, partitions, split, word_hashes
+from harrier.llm.common import checkpoint, mixed_bits, parts, split, word_hashes
 from harrier.llm.components import components, reshuffled
 from harrier.llm.minhash import _seeds
 
 #: Words of a paragraph and of a shingle, shingles of which one starts a paragraph, likeness that links, and words handled at once.
-PARAGRAPH, SHINGLE, WINDOW, LIKENESS, _SLICE = 32, 5, 16, 0.8, 4_000_000
+PARAGRAPH, SHINGLE, WINDOW, LIKENESS, _SLICE = 25, 5, 26, 0.8, 2_000_000
 _ITEMS = PARAGRAPH - SHINGLE + 1
 _NO_ID = -(2**63)
 _XOR = (_seeds(4, 5001) >> np.uint64(32)).astype(np.uint32)
@@ -81,7 +81,7 @@ def paragraphs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of batches of about _SLICE words, with word hashes and the texts' bounds."""
-    for batch in batches:
+    for batch in parts(batches):
         flat, bounds = split(batch.column(column))
         hashes = word_hashes(flat) if len(flat) else np.empty(0, np.uint64)
         at = 0
@@ -135,14 +135,18 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """Rows (doc, place, items, class, first_doc): the paragraphs whose class is in two documents or more; place and items count shingles."""
-    n = partitions(docs.sparkSession)
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
-    rows = texts.mapInArrow(_emit, "doc long, node long, one long, two long, place int, items int").repartition(n, "node")
-    # the paragraphs lie by node from here on: the counts and the last join read one exchange
-    nodes = rows.groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.first("one").alias("one"), F.first("two").alias("two"))
-    keys = nodes.select("node", "first_doc", "last_doc", F.explode(F.array("one", "two")).alias("key")).repartition(n, "key")
+    rows = texts.mapInArrow(_emit, "doc long, node long, one long, two long, place int, items int")
+    # only paragraphs that share a band with another document go on: one exchange of all paragraphs, by band
+    keyed = rows.select(F.explode(F.array("one", "two")).alias("key"), "node", "doc", "place", "items")
+    band = Window.partitionBy("key")
+    shared = keyed.withColumns({"lo": F.min("doc").over(band), "hi": F.max("doc").over(band)}).where("lo < hi").drop("lo", "hi")
+    shared = checkpoint(shared)
+    rows = shared.groupBy("node", "doc").agg(F.min("place").alias("place"), F.min("items").alias("items"))
+    nodes = rows.groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
+    keys = shared.select("key", "node").distinct()
     many = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
-    met = keys.join(many.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"), "key").distinct()
+    met = keys.join(many.select(reshuffled("key").alias("k"), "head"), F.col("key") == F.col("k")).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"), "key")
     met = checkpoint(met)
     pairs = met.select("a", "b").distinct()
     wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
