@@ -2,5 +2,530 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harrier.functions import fields as fn
+from harrier.operators import analysis, detect, normalize, report
+from harrier.plans import adapter
+from harrier.plans.defaults import default_rules
+from harrier.plans.rules import Rule, RuleSet, compile_filter, java_regex
+from harrier.schema import severity_rank
+from harrier.sources import access, lines, network
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+EV = adapter.EV
+_US = F.unix_micros("timestamp").alias("us")
+_NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under a name, with its twin."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.events(spark, sf_dir)
+
+
+#: The test events lie days apart, so the default rules run with windows in days.
+DAYS = {
+    "PortScan": {"threshold": 8, "window": "7d", "cooldown": "1d"},
+    "NetworkSweep": {"threshold": 3, "window": "7d", "cooldown": "1d"},
+    "DNSTunneling": {"threshold": 2, "window": "7d", "cooldown": "1d"},
+    "BlockedConnectionFlood": {"threshold": 3, "window": "7d", "cooldown": "1d"},
+    "BruteForce": {"threshold": 5, "window": "7d", "cooldown": "1d"},
+    "DirectoryEnumeration": {"threshold": 4, "window": "7d", "cooldown": "1d"},
+    "AccessDeniedFlood": {"threshold": 6, "window": "7d", "cooldown": "1d"},
+    "RapidFire": {"threshold": 8, "window": "7d", "cooldown": "1d"},
+    "NewListeningPort": {},
+    "Beaconing": {"threshold": 3, "window": "25d", "min_interval": "10h", "max_jitter": 0.5, "when": {"event_types": ["network_connection"]}, "cooldown": "1h"},
+    "MultiVector": {"window": "3d", "cooldown": "1d"},
+}
+
+
+def rules() -> RuleSet:
+    return default_rules(**DAYS)
+
+
+def rule(name: str) -> Rule:
+    return next(r for r in rules().rules if r.name == name)
+
+
+# --- thresholds ---------------------------------------------------------------------------------
+
+_WHERE = {
+    "PortScan": "NOT coalesce(event_type = 'network_connection' AND direction = 'outbound', false) AND NOT (event_type = 'port_opened')",
+    "NetworkSweep": "NOT coalesce(event_type = 'network_connection' AND direction = 'outbound', false) AND dst_ip IS NOT NULL",
+    "DNSTunneling": "event_type = 'dns_query'",
+    "BlockedConnectionFlood": "event_type = 'firewall_block'",
+    "BruteForce": "event_type = 'failed_login'",
+    "DirectoryEnumeration": "status_code = 404",
+    "AccessDeniedFlood": "status_code IN (401, 403)",
+    "RapidFire": "event_type = 'http_request'",
+}
+_VALUE = {"PortScan": "port", "NetworkSweep": "dst_ip", "DNSTunneling": "domain"}
+
+
+def _threshold_sql(name: str) -> str:
+    r = rule(name)
+    what = f"count(DISTINCT {_VALUE[name]})" if name in _VALUE else "count(*)"
+    group = ", base_domain" if r.group_by else ""
+    span = f"INTERVAL '{r.window[:-1]} days' - INTERVAL '1 microsecond'"
+    return f"""fired AS (SELECT * FROM (
+      SELECT ip, seq, "timestamp", {what} OVER (PARTITION BY ip{group} ORDER BY "timestamp" RANGE BETWEEN {span} PRECEDING AND CURRENT ROW) AS n
+      FROM ev WHERE {_WHERE[name]}) WHERE n >= {r.threshold})"""
+
+
+def _threshold(name: str):
+    return lambda s, d: detect.threshold(ev(s, d), rule(name)).select("ip", "seq", _US, F.col("count").cast("long").alias("n"))
+
+
+for _name in _WHERE:
+    query(f"threshold_{_name.lower()}", f'WITH {EV}, {_threshold_sql(_name)} SELECT ip, seq, epoch_us("timestamp") AS us, n FROM fired')(_threshold(_name))
+
+
+# --- cooldown -----------------------------------------------------------------------------------
+
+
+def _kept_sql(name: str) -> str:
+    gap = f"INTERVAL '{rule(name).cooldown[:-1]} days'"
+    return f"""kept AS (
+      SELECT ip, min("timestamp") AS t FROM fired GROUP BY ip
+      UNION ALL
+      SELECT k.ip, min(f."timestamp") FROM kept k JOIN fired f ON f.ip = k.ip AND f."timestamp" >= k.t + {gap} GROUP BY k.ip)"""
+
+
+def _cooldown(name: str):
+    def run(s, d):
+        fired = detect.threshold(ev(s, d), rule(name))
+        return detect.spaced(fired.select("ip", "timestamp", "seq"), ["ip"], fn.micros(rule(name).cooldown)).select("ip", _US)
+
+    return run
+
+
+for _name in ("BruteForce", "AccessDeniedFlood", "RapidFire"):
+    query(f"cooldown_{_name.lower()}", f"WITH RECURSIVE {EV}, {_threshold_sql(_name)}, {_kept_sql(_name)} SELECT ip, epoch_us(t) AS us FROM kept")(_cooldown(_name))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses by brute-force alerts that survive the cooldown."""
+    accepted, _ = normalize.normalize(ev(spark, sf_dir), v6=False)
+    fired = detect.threshold(accepted, rule("BruteForce"))
+    kept = detect.spaced(fired.select("ip", "timestamp", "seq"), ["ip"], fn.micros("1d"))
+    return report.top_counts(kept, "ip")
+
+
+query("brute_force_top_ips", f"WITH RECURSIVE {EV}, {_threshold_sql('BruteForce')}, {_kept_sql('BruteForce')} SELECT ip AS key, count(*) AS count FROM kept GROUP BY ip ORDER BY 2 DESC, 1 LIMIT 10")(flagship)
+
+# --- signatures on real text --------------------------------------------------------------------
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    p = s.read.parquet(f"{d}/pages.parquet")
+    none = {c: F.lit(None).cast("string") for c in ("message", "user_agent", "domain", "direction", "dst_ip", "protocol", "id")}
+    return p.select(F.col("page_id").alias("seq"), F.lit("10.0.0.1").alias("ip"), F.lit(None).cast("timestamp").alias("timestamp"), F.lit("http_request").alias("event_type"), F.col("url").alias("path"), F.lit(None).cast("map<string,string>").alias("metadata"), *[v.alias(k) for k, v in none.items() if k != "message"], F.col("html").alias("message"))
+
+
+_XSS = ["<script", "</script", "javascript:", "vbscript:", "document.cookie", "<iframe", "<svg"]
+
+
+@query("signature_xss_pages", "SELECT page_id AS seq, '<script' AS pattern FROM pages WHERE contains(lower(html), '<script')")
+def _(s, d):
+    r = Rule("X", "signature", "low", fields=["message"], contains=_XSS)
+    return detect.signature(_pages(s, d), r).where("pattern = '<script'").select("seq", "pattern")
+
+
+@query("signature_events", f"""WITH {EV}, hit AS (SELECT seq, CASE
+    WHEN path = '/admin/login' THEN '/admin' WHEN path = '/.env' THEN '/.env' END AS pattern FROM ev) SELECT * FROM hit WHERE pattern IS NOT NULL""")
+def _(s, d):
+    return detect.signature(ev(s, d), rule("SensitivePath")).select("seq", "pattern")
+
+
+@query("signature_scanner_agents", f"""WITH {EV} SELECT seq, CASE WHEN contains(lower(user_agent), 'sqlmap') THEN 'sqlmap' ELSE 'nikto' END AS pattern, 'user_agent' AS field
+  FROM ev WHERE contains(lower(user_agent), 'sqlmap') OR contains(lower(user_agent), 'nikto')""")
+def _(s, d):
+    return detect.signature(ev(s, d), rule("ScannerUserAgent")).select("seq", "pattern", "field")
+
+
+@query("signature_sql_injection", f"WITH {EV} SELECT seq, 'path' AS field FROM ev WHERE path = '/search?q=%27%20OR%201%3D1'")
+def _(s, d):
+    return detect.signature(ev(s, d), rule("SQLInjection")).select("seq", "field")
+
+
+@query("signature_decoded", f"""WITH {EV} SELECT seq, rule FROM (SELECT seq, CASE path WHEN '/a/..%2f..%2fetc%2fpasswd' THEN 'PathTraversal' WHEN '/x?u=http://169.254.169.254/' THEN 'SSRF'
+    WHEN '/p?c=%3Cscript%3E' THEN 'XSS' END AS rule FROM ev) WHERE rule IS NOT NULL""")
+def _(s, d):
+    e = ev(s, d)
+    return detect.signature(e, rule("PathTraversal")).unionByName(detect.signature(e, rule("SSRF"))).unionByName(detect.signature(e, rule("XSS"))).select("seq", "rule")
+
+
+@query("signature_command_injection", f"WITH {EV} SELECT seq, CASE WHEN path = '/q?cmd=%7C%7Cwhoami' THEN 'path' ELSE 'user_agent' END AS field FROM ev WHERE path = '/q?cmd=%7C%7Cwhoami' OR user_agent = '${{jndi:ldap://x/a}}'")
+def _(s, d):
+    return detect.signature(ev(s, d), rule("CommandInjection")).select("seq", "field")
+
+
+@query("signature_documents_regex", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|\.)[a-z0-9_-]{12,}\.')")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    return docs.where(F.lower("text").rlike(java_regex(r"(^|\.)[a-z0-9_-]{12,}\."))).select("doc_id")
+
+
+# --- filters and fields -------------------------------------------------------------------------
+
+
+@query("filter_types_codes", f"WITH {EV} SELECT seq FROM ev WHERE event_type IN ('http_request', 'failed_login') AND status_code IN (401, 403)")
+def _(s, d):
+    return ev(s, d).where(compile_filter({"event_types": ["http_request", "failed_login"], "status_codes": [401, 403]})).select("seq")
+
+
+@query("filter_match_except", f"""WITH {EV} SELECT seq FROM ev WHERE lower(coalesce(direction, '')) = 'inbound' AND NOT (event_type = 'firewall_block' AND port BETWEEN 1000 AND 1020)""")
+def _(s, d):
+    when = {"match": {"direction": ["INBOUND"]}, "except": [{"event_type": ["firewall_block"], "port": [str(p) for p in range(1000, 1021)]}]}
+    return ev(s, d).where(compile_filter(when)).select("seq")
+
+
+@query("filter_cidr", f"WITH {EV} SELECT seq FROM ev WHERE dst_ip IS NOT NULL AND CAST(split_part(dst_ip, '.', 4) AS INTEGER) BETWEEN 16 AND 31")
+def _(s, d):
+    return ev(s, d).where(fn.in_cidr(fn.ip_hex(F.col("dst_ip")), "203.0.113.16/28")).select("seq")
+
+
+@query("field_ip_hex", f"WITH {EV} SELECT DISTINCT ip, lower(printf('%02x%02x%02x%02x', CAST(split_part(ip, '.', 1) AS INTEGER), CAST(split_part(ip, '.', 2) AS INTEGER), CAST(split_part(ip, '.', 3) AS INTEGER), CAST(split_part(ip, '.', 4) AS INTEGER))) AS h FROM ev")
+def _(s, d):
+    return ev(s, d).select("ip", fn.ip_hex(F.col("ip")).alias("h")).distinct()
+
+
+@query("field_base_domain", f"WITH {EV} SELECT seq, 'example-' || (CAST(substr(split_part(domain, '.', 1), 2) AS INTEGER) % 5) || '.net' AS base FROM ev WHERE domain IS NOT NULL")
+def _(s, d):
+    return ev(s, d).where("domain IS NOT NULL").select("seq", fn.base_domain(F.col("domain")).alias("base"))
+
+
+@query("field_destination", f"WITH {EV} SELECT seq, coalesce(dst_ip, '') || ':' || port AS destination, coalesce(path, domain) AS detail FROM ev")
+def _(s, d):
+    return ev(s, d).select("seq", fn.destination().alias("destination"), fn.event_detail().alias("detail"))
+
+
+@query("field_metadata_text", f"WITH {EV} SELECT seq, 'base_domain=' || base_domain AS text FROM ev WHERE base_domain IS NOT NULL")
+def _(s, d):
+    return ev(s, d).where("metadata IS NOT NULL").select("seq", fn.metadata_text().alias("text"))
+
+
+@query("field_decoded_variants", f"WITH {EV} SELECT seq, CASE path WHEN '/search?q=%27%20OR%201%3D1' THEN '/search?q='' or 1=1' WHEN '/a/..%2f..%2fetc%2fpasswd' THEN '/a/../../etc/passwd' WHEN '/p?c=%3Cscript%3E' THEN '/p?c=<script>' WHEN '/q?cmd=%7C%7Cwhoami' THEN '/q?cmd=||whoami' ELSE lower(path) END AS decoded FROM ev WHERE path IS NOT NULL")
+def _(s, d):
+    return ev(s, d).where("path IS NOT NULL").select("seq", F.element_at(fn.decoded_variants(F.col("path")), -1).alias("decoded"))
+
+
+@query("field_severity_rank", f"WITH {EV} SELECT k AS severity, CAST(CASE k WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 ELSE 0 END AS BIGINT) AS rank, count(*) AS n FROM (SELECT ['low', 'medium', 'high', 'critical', 'other'][seq % 5 + 1] AS k FROM ev) GROUP BY k")
+def _(s, d):
+    k = F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "critical", "other"])), (F.col("seq") % 5 + 1).cast("int"))
+    return ev(s, d).select(k.alias("severity")).groupBy("severity", severity_rank(F.col("severity")).cast("long").alias("rank")).agg(F.count("*").alias("n"))
+
+
+@query("reason_template", f"WITH {EV} SELECT seq, 'from ' || ip || ' to ' || coalesce(dst_ip, '') || ':' || port || ' {{unknown}}' AS reason FROM ev")
+def _(s, d):
+    return ev(s, d).select("seq", fn.render("from {ip} to {event.dst_ip}:{event.port} {unknown}", {"ip": F.col("ip")}).alias("reason"))
+
+
+# --- normalisation ------------------------------------------------------------------------------
+
+
+def _dirty(e: DataFrame) -> DataFrame:
+    """Every seventh address broken, every fifth port out of range, domains and directions in odd spelling."""
+    return e.withColumns({"ip": F.when(F.col("seq") % 7 == 0, F.concat(F.col("ip"), F.lit(".9"))).otherwise(F.concat(F.lit(" "), F.col("ip"))), "port": F.when(F.col("seq") % 5 == 0, 70_000).otherwise(F.col("port")), "domain": F.concat(F.lit(" "), F.upper("domain"), F.lit(".")), "direction": F.upper("direction"), "metadata": F.lit(None).cast("map<string,string>")})
+
+
+@query("normalize_accepted", f"WITH {EV} SELECT seq, ip, domain, direction, base_domain AS base FROM ev WHERE seq % 7 <> 0 AND seq % 5 <> 0")
+def _(s, d):
+    ok, _bad = normalize.normalize(_dirty(ev(s, d)), v6=False)
+    return ok.select("seq", "ip", "domain", "direction", F.try_element_at("metadata", F.lit("base_domain")).alias("base"))
+
+
+@query("normalize_rejected", f"WITH {EV} SELECT seq, CASE WHEN seq % 7 = 0 AND seq % 5 = 0 THEN 'ip is not a valid address; port is out of range' WHEN seq % 7 = 0 THEN 'ip is not a valid address' ELSE 'port is out of range' END AS errors FROM ev WHERE seq % 7 = 0 OR seq % 5 = 0")
+def _(s, d):
+    _ok, bad = normalize.normalize(_dirty(ev(s, d)), v6=False)
+    return bad.select("seq", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("fix_timestamps", f"""WITH {EV} SELECT seq, epoch_us(CASE WHEN seq % 3 = 0 OR "timestamp" > TIMESTAMP '2024-01-20 00:05:00' THEN TIMESTAMP '2024-01-20 00:00:00' ELSE "timestamp" END) AS us FROM ev""")
+def _(s, d):
+    e = ev(s, d).withColumn("timestamp", F.when(F.col("seq") % 3 != 0, F.col("timestamp")))
+    return normalize.fix_timestamps(e, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("seq", _US)
+
+
+@query("ingest_report", f"WITH {EV} SELECT count(*) AS received, count(*) FILTER (seq % 7 <> 0 AND seq % 5 <> 0) AS accepted, count(*) FILTER (seq % 7 = 0 OR seq % 5 = 0) AS rejected FROM ev")
+def _(s, d):
+    return normalize.ingest_report(_dirty(ev(s, d))).select("received", "accepted", "rejected")
+
+
+@query("assigned_ids", f"WITH {EV} SELECT count(*) AS n, count(DISTINCT id) AS ids FROM ev")
+def _(s, d):
+    return normalize.assign_ids(ev(s, d).withColumn("id", F.lit(None).cast("string"))).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+# --- alerts and reports -------------------------------------------------------------------------
+
+#: Plain alerts, one for each kept login firing or blocked connection, as rows both engines can make.
+_AL = """al AS (SELECT id, seq, "timestamp", ip, ['low', 'medium', 'high', 'critical'][seq % 4 + 1] AS severity, 'R' || (seq % 6) AS trigger_rule FROM ev WHERE event_type IN ('failed_login', 'firewall_block'))"""
+
+
+def al(s: SparkSession, d: str) -> DataFrame:
+    sev = F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "critical"])), (F.col("seq") % 4 + 1).cast("int"))
+    return ev(s, d).where(F.col("event_type").isin("failed_login", "firewall_block")).select("id", "seq", "timestamp", "ip", "event_type", sev.alias("severity"), F.concat(F.lit("R"), (F.col("seq") % 6).cast("string")).alias("trigger_rule"), F.array().cast("array<string>").alias("related_rules"))
+
+
+_SINCE = "TIMESTAMP '2024-01-10 00:00:00'"
+_since = F.lit("2024-01-10 00:00:00").cast("timestamp")
+
+
+@query("alert_summary", f"""WITH {EV}, {_AL} SELECT count(*) AS total, count(DISTINCT ip) AS ips, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical FROM al WHERE "timestamp" > {_SINCE}""")
+def _(s, d):
+    return report.summarize_alerts(al(s, d), _since)
+
+
+for _key in ("ip", "trigger_rule"):
+    query(f"top_{_key}", f"WITH {EV}, {_AL} SELECT {_key} AS key, count(*) AS count FROM al GROUP BY {_key} ORDER BY 2 DESC, 1 LIMIT 10")(lambda s, d, k=_key: report.top_counts(al(s, d), k))
+
+
+@query("store_stats", f"WITH {EV}, {_AL} SELECT (SELECT count(*) FROM ev) AS events, (SELECT count(DISTINCT ip) FROM ev) AS ips, (SELECT count(*) FROM al) AS alerts")
+def _(s, d):
+    return report.stats(ev(s, d), al(s, d))
+
+
+@query("newest_events", f"WITH {EV} SELECT seq FROM ev ORDER BY seq DESC LIMIT 100")
+def _(s, d):
+    return report.newest(ev(s, d)).select("seq")
+
+
+@query("newest_alerts_of_ip", f"""WITH {EV}, {_AL} SELECT seq FROM al WHERE ip = '10.0.0.7' AND severity IN ('high', 'critical') ORDER BY "timestamp" DESC, seq DESC LIMIT 50""")
+def _(s, d):
+    return report.newest(al(s, d), 50, ip="10.0.0.7", min_severity="high").select("seq")
+
+
+@query("alert_total_of_rule", f"WITH {EV}, {_AL} SELECT count(*) AS total FROM al WHERE trigger_rule = 'R3'")
+def _(s, d):
+    return report.total(al(s, d), rule="R3")
+
+
+@query("events_since", f"""WITH {EV} SELECT seq FROM ev WHERE ip = '10.0.0.7' AND "timestamp" > {_SINCE}""")
+def _(s, d):
+    return report.find_since(ev(s, d), "10.0.0.7", _since).select("seq")
+
+
+@query("newest_per_ip", f"""WITH {EV} SELECT ip, seq, rank FROM (SELECT ip, seq, row_number() OVER (PARTITION BY ip ORDER BY "timestamp" DESC, seq DESC) AS rank FROM ev) WHERE rank <= 5""")
+def _(s, d):
+    return report.newest_per_ip(ev(s, d), 5).select("ip", "seq", F.col("rank").cast("long").alias("rank"))
+
+
+@query("new_alerts", f"WITH {EV}, {_AL} SELECT (SELECT id FROM al ORDER BY seq DESC LIMIT 1) <> '1' AS new")
+def _(s, d):
+    return report.has_new_alerts(al(s, d), "1")
+
+
+@query("event_counts", f"WITH {EV} SELECT event_type, count(*) AS count FROM ev GROUP BY event_type")
+def _(s, d):
+    return report.counts(ev(s, d), "event_type")
+
+
+@query("alert_rate", f"""WITH {EV}, {_AL} SELECT epoch_us(time_bucket(INTERVAL '5 minutes', "timestamp")) AS us, severity, count(*) AS count FROM al WHERE severity IN ('high', 'critical') GROUP BY 1, 2""")
+def _(s, d):
+    return report.rate(report.matching(al(s, d), min_severity="high"), "5 minutes", "severity").select(F.unix_micros("start").alias("us"), "severity", "count")
+
+
+@query("ingest_gaps", f"""WITH {EV} SELECT epoch_us("timestamp") AS us, epoch_us(until) AS until FROM (SELECT "timestamp", lead("timestamp") OVER (ORDER BY "timestamp") AS until FROM ev) WHERE until >= "timestamp" + INTERVAL '15 minutes'""")
+def _(s, d):
+    return report.gaps(ev(s, d), "15 minutes").select(_US, F.unix_micros("until").alias("until"))
+
+
+@query("retention_age", f"""WITH {EV} SELECT seq FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '168 hours'""")
+def _(s, d):
+    return report.by_age(ev(s, d), _NOW, "168 hours").select("seq")
+
+
+@query("retention_capacity", f"WITH {EV} SELECT seq FROM ev ORDER BY seq DESC LIMIT 5000")
+def _(s, d):
+    return report.by_capacity(ev(s, d), 5000).select("seq")
+
+
+@query("retention_evictions", f"""WITH {EV}, young AS (SELECT * FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '168 hours')
+  SELECT 'events' AS kind, 'age' AS reason, (SELECT count(*) FROM ev) - (SELECT count(*) FROM young) AS count UNION ALL SELECT 'events', 'capacity', greatest((SELECT count(*) FROM young) - 1000, 0)""")
+def _(s, d):
+    return report.evictions(ev(s, d), _NOW, "168 hours", 1000, "events")
+
+
+@query("alerts_with_events", f"WITH {EV}, {_AL} SELECT al.seq, ev.event_type AS cause FROM al JOIN ev ON al.ip = ev.ip AND al.seq = ev.seq")
+def _(s, d):
+    return report.alerts_with_events(al(s, d), ev(s, d)).select("seq", "cause")
+
+
+@query("alert_evidence", f"""WITH {EV}, {_AL} SELECT al.seq, count(*) AS n FROM al JOIN ev ON al.ip = ev.ip AND ev."timestamp" > al."timestamp" - INTERVAL '1 day' AND ev."timestamp" <= al."timestamp" GROUP BY al.seq""")
+def _(s, d):
+    return report.alerts_with_events(al(s, d), ev(s, d), "1 day").groupBy("seq").agg(F.count("*").alias("n"))
+
+
+@query("union_sources", f"WITH {EV} SELECT event_type, count(*) AS count FROM ev WHERE event_type <> 'dns_query' GROUP BY 1")
+def _(s, d):
+    from harrier.schema import union_sources
+
+    e = ev(s, d)
+    return report.counts(union_sources(e.where("event_type IN ('http_request', 'failed_login')"), e.where("event_type IN ('network_connection', 'firewall_block')")), "event_type")
+
+
+# --- full detection -----------------------------------------------------------------------------
+
+
+@query("beacon_firings", f"""WITH RECURSIVE {EV}, c AS (SELECT ip, dst_ip, seq, "timestamp" AS t FROM ev WHERE event_type = 'network_connection'),
+  kept AS (SELECT ip, dst_ip, min(t) AS t FROM c GROUP BY 1, 2 UNION ALL SELECT k.ip, k.dst_ip, min(c.t) FROM kept k JOIN c ON c.ip = k.ip AND c.dst_ip = k.dst_ip AND c.t >= k.t + INTERVAL '5 hours' GROUP BY k.ip, k.dst_ip),
+  g AS (SELECT *, epoch_us(t) - epoch_us(lag(t) OVER o) AS gap, lag(t, 2) OVER o AS first FROM kept WINDOW o AS (PARTITION BY ip, dst_ip ORDER BY t)),
+  m AS (SELECT *, avg(gap) OVER w AS mean, stddev_pop(gap) OVER w AS dev FROM g WINDOW w AS (PARTITION BY ip, dst_ip ORDER BY t ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))
+  SELECT ip, dst_ip AS target, epoch_us(t) AS us FROM m WHERE first IS NOT NULL AND first + INTERVAL '25 days' > t AND mean >= 36000000000 AND dev / mean <= 0.5""")
+def _(s, d):
+    return detect.beacon(ev(s, d), rule("Beaconing")).select("ip", F.col("group").alias("target"), _US)
+
+
+@query("detect_firing_counts")
+def _(s, d):
+    return report.counts(detect.firings(ev(s, d), rules()), "rule")
+
+
+@query("detect_alerts")
+def _(s, d):
+    return detect.detect(ev(s, d), rules()).select("seq", "ip", "event_type", "severity", "reason", F.col("event_count").cast("long").alias("event_count"), "trigger_rule", F.array_join("related_rules", ", ").alias("related"))
+
+
+@query("detect_incremental")
+def _(s, d):
+    """The second half of January with the first half's alerts as history."""
+    e, half = ev(s, d), F.lit("2024-01-16 00:00:00").cast("timestamp")
+    old = detect.alert_history(detect.detect(e.where(F.col("timestamp") < half), rules()))
+    return detect.detect(e.where(F.col("timestamp") >= half), rules(), old).select("seq", "ip", "severity", "trigger_rule")
+
+
+@query("rule_catalog")
+def _(s, d):
+    """How many events meet each rule's conditions."""
+    from functools import reduce
+
+    e = ev(s, d)
+    return reduce(DataFrame.unionByName, [e.agg(F.lit(r.name).alias("rule"), F.count_if(compile_filter(r.when)).alias("events")) for r in rules().active])
+
+
+# --- log lines rendered from events and parsed back ---------------------------------------------
+
+_T = F.col("timestamp")
+
+
+@query("parse_combined", f"""WITH {EV} SELECT seq, ip, path, CAST(status_code AS BIGINT) AS status, user_agent, epoch_us(date_trunc('second', "timestamp")) AS us FROM ev WHERE path IS NOT NULL""")
+def _(s, d):
+    text = F.concat("ip", F.lit(" - - ["), F.date_format(_T, "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "GET '), "path", F.lit(' HTTP/1.1" '), F.col("status_code").cast("string"), F.lit(' 12 "-" "'), "user_agent", F.lit('"'))
+    return access.parse_access_log(ev(s, d).where("path IS NOT NULL").select("seq", text.alias("value"))).select("seq", "ip", "path", F.col("status_code").cast("long").alias("status"), "user_agent", _US)
+
+
+@query("parse_json_access", f"""WITH {EV} SELECT seq, ip, path, CAST(status_code AS BIGINT) AS status, user_agent FROM ev WHERE path IS NOT NULL""")
+def _(s, d):
+    line = F.to_json(F.struct(F.date_format(_T, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("time_iso8601"), F.col("ip").alias("remote_addr"), F.lit("GET").alias("request_method"), F.col("path").alias("request_uri"), F.col("status_code").cast("string").alias("status"), F.col("user_agent").alias("http_user_agent")))
+    return access.parse_access_log(ev(s, d).where("path IS NOT NULL").select("seq", line.alias("value")), "json").select("seq", "ip", "path", F.col("status_code").cast("long").alias("status"), "user_agent")
+
+
+@query("parse_caddy_failed_login", f"""WITH {EV} SELECT seq, ip, CASE WHEN path = '/admin/login' AND status_code = 403 THEN 'failed_login' ELSE 'http_request' END AS event_type FROM ev WHERE path IS NOT NULL""")
+def _(s, d):
+    line = F.to_json(F.struct((F.unix_micros("timestamp") / 1e6).alias("ts"), F.struct(F.concat("ip", F.lit(":55")).alias("client_ip"), F.lit("POST").alias("method"), F.col("path").alias("uri"), F.struct(F.array("user_agent").alias("User-Agent")).alias("headers")).alias("request"), F.col("status_code").alias("status")))
+    rows = access.parse_access_log(ev(s, d).where("path IS NOT NULL").select("seq", line.alias("value")), "caddy")
+    return access.reclassify_failed_login(rows, ["/admin/login/"], (403,)).select("seq", "ip", "event_type")
+
+
+@query("parse_netfilter", f"""WITH {EV} SELECT seq, ip, dst_ip, CAST(port AS BIGINT) AS port, event_type, direction, epoch_us(date_trunc('second', "timestamp")) AS us FROM ev WHERE dst_ip IS NOT NULL""")
+def _(s, d):
+    block, inward = F.col("event_type") == "firewall_block", F.col("direction") == "inbound"
+    text = F.concat(F.date_format(_T, "MMM d HH:mm:ss"), F.when(block, " gw kernel: [UFW BLOCK] ").otherwise(" gw kernel: nft-accept: "), F.when(inward, "IN=eth0 OUT=").otherwise("IN= OUT=eth0"), F.lit(" SRC="), "ip", F.lit(" DST="), "dst_ip", F.lit(" LEN=60 PROTO=TCP SPT=40000 DPT="), F.col("port").cast("string"))
+    rows = network.parse_netfilter(ev(s, d).where("dst_ip IS NOT NULL").select("seq", text.alias("value")), F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return rows.select("seq", "ip", "dst_ip", F.col("port").cast("long").alias("port"), "event_type", "direction", _US)
+
+
+@query("parse_windows_firewall", f"""WITH {EV} SELECT seq, ip, dst_ip, CAST(port AS BIGINT) AS port, event_type, direction FROM ev WHERE dst_ip IS NOT NULL""")
+def _(s, d):
+    text = F.concat(F.date_format(_T, "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_type") == "firewall_block", " DROP TCP ").otherwise(" ALLOW TCP "), "ip", F.lit(" "), "dst_ip", F.lit(" 40000 "), F.col("port").cast("string"), F.lit(" 52 S 1 0 64240 - - - "), F.when(F.col("direction") == "inbound", "RECEIVE 4").otherwise("SEND 4"))
+    rows = ev(s, d).where("dst_ip IS NOT NULL").select("seq", "ip", F.concat(F.lit("f"), "ip").alias("file"), F.col("seq").alias("line_no"), text.alias("value")).drop("ip")
+    return network.parse_windows_firewall(rows).select("seq", "ip", "dst_ip", F.col("port").cast("long").alias("port"), "event_type", "direction")
+
+
+_DNS_LINES = {
+    "dnsmasq": lambda: F.concat(F.date_format(_T, "MMM d HH:mm:ss"), F.lit(" dnsmasq[12]: query[A] "), F.upper("domain"), F.lit(" from "), "ip"),
+    "bind": lambda: F.concat(F.date_format(_T, "dd-MMM-yyyy HH:mm:ss.SSS"), F.lit(" client "), "ip", F.lit("#1053 ("), "domain", F.lit("): view internal: query: "), "domain", F.lit(" IN A + (10.0.0.1)")),
+    "unbound": lambda: F.concat(F.lit("["), F.unix_seconds(_T).cast("string"), F.lit("] unbound[1234:0] info: "), "ip", F.lit(" "), "domain", F.lit(". A IN")),
+    "coredns": lambda: F.concat(F.lit("[INFO] "), "ip", F.lit(':41237 - 36502 "A IN '), "domain", F.lit('. udp 40 false 1232" NOERROR')),
+}
+for _name in _DNS_LINES:
+    _time = {"bind": "date_trunc('millisecond', \"timestamp\")", "coredns": "NULL::TIMESTAMP"}.get(_name, "date_trunc('second', \"timestamp\")")
+
+    def _dns(s, d, name=_name):
+        rows = ev(s, d).where("domain IS NOT NULL").select("seq", _DNS_LINES[name]().alias("value"))
+        return network.parse_dns(rows, name, F.lit("2024-02-01 00:00:00").cast("timestamp")).select("seq", "ip", "domain", F.try_element_at("metadata", F.lit("query_type")).alias("kind"), _US)
+
+    query(f"parse_{_name}", f"WITH {EV} SELECT seq, ip, domain, 'A' AS kind, epoch_us({_time}) AS us FROM ev WHERE domain IS NOT NULL")(_dns)
+
+
+@query("parse_events_json", f"WITH {EV} SELECT seq, ip, event_type, CAST(port AS BIGINT) AS port FROM ev")
+def _(s, d):
+    rows = ev(s, d).select(F.to_json(F.struct("id", "seq", "ip", "event_type", "port")).alias("value"))
+    return network.parse_events_json(rows).select("seq", "ip", "event_type", F.col("port").cast("long").alias("port"))
+
+
+@query("line_outcomes", f"WITH {EV} SELECT 'dns' AS source, CASE WHEN domain IS NULL THEN 'skipped' ELSE 'parsed' END AS outcome, count(*) AS count FROM ev GROUP BY 2")
+def _(s, d):
+    text = F.coalesce(_DNS_LINES["dnsmasq"](), F.lit("Jan 1 00:00:00 dnsmasq[12]: forwarded x to 9.9.9.9"))
+    return lines.outcomes(network.parse_dns(ev(s, d).select(text.alias("value")), "dnsmasq", _NOW), "dns")
+
+
+@query("connection_diff", f"""WITH {EV}, s AS (SELECT DISTINCT ip AS host, date_trunc('day', "timestamp") AS day, port FROM ev), n AS (SELECT *, dense_rank() OVER (PARTITION BY host ORDER BY day) AS n FROM s)
+  SELECT a.host, epoch_us(a.day) AS us, CAST(a.port AS BIGINT) AS port FROM n a ANTI JOIN n b ON a.host = b.host AND a.port = b.port AND a.n = b.n + 1""")
+def _(s, d):
+    rows = ev(s, d).select(F.col("ip").alias("host"), F.date_trunc("day", "timestamp").alias("snapshot_ts"), F.lit("tcp").alias("proto"), F.lit("10.9.9.9").alias("local_ip"), F.lit(50000).alias("local_port"), F.lit("203.0.113.1").alias("remote_ip"), F.col("port").alias("remote_port"), F.lit("ESTABLISHED").alias("state"), F.lit(1).alias("pid"), F.lit("p").alias("process"), F.lit("0").alias("uid"))
+    return network.connection_events(rows).select("host", _US, F.col("port").cast("long").alias("port"))
+
+
+# --- analysis -----------------------------------------------------------------------------------
+
+
+@query("analysis_pending", f"WITH {EV}, {_AL} SELECT coalesce(CASE WHEN severity IN ('high', 'critical') THEN 'pending' END, 'none') AS status, count(*) AS n FROM al GROUP BY 1")
+def _(s, d):
+    return analysis.mark_pending(al(s, d), "high").groupBy(F.coalesce("analysis_status", F.lit("none")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("analysis_skipped", f"""WITH {EV}, {_AL}, p AS (SELECT seq, row_number() OVER (PARTITION BY date_trunc('day', "timestamp") ORDER BY "timestamp", seq) AS r FROM al WHERE severity IN ('high', 'critical')) SELECT seq, CASE WHEN r > 20 THEN 'skipped' ELSE 'pending' END AS status FROM p""")
+def _(s, d):
+    rows = analysis.mark_pending(al(s, d), "high").withColumn("event_date", F.to_date("timestamp"))
+    return analysis.mark_skipped(rows, 20).where("analysis_status IS NOT NULL").select("seq", F.col("analysis_status").alias("status"))
+
+
+@query("analysis_payload", f"WITH {EV}, {_AL} SELECT count(*) AS n, 0::BIGINT AS tags FROM al")
+def _(s, d):
+    rows = analysis.analysis_payload(al(s, d).withColumns({"reason": F.lit("<b>"), "event_count": F.lit(1)}), ev(s, d))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("request").contains("<")).alias("tags"))
+
+
+@query("analysis_parsed", f"WITH {EV} SELECT seq, CASE seq % 4 WHEN 0 THEN 'completed' ELSE 'failed' END AS status, CASE seq % 4 WHEN 0 THEN NULL WHEN 1 THEN 'answer is not JSON' WHEN 2 THEN 'invalid verdict' ELSE 'summary is empty' END AS error FROM ev")
+def _(s, d):
+    answers = ['{"verdict": " Benign ", "confidence": "high", "summary": "fine"}', "not JSON", '{"verdict": "x", "confidence": "high", "summary": "s"}', '{"verdict": "benign", "confidence": "low", "summary": "  "}']
+    rows = ev(s, d).select(F.col("seq").cast("string").alias("id"), F.element_at(F.array(*map(F.lit, answers)), (F.col("seq") % 4 + 1).cast("int")).alias("answer"))
+    return analysis.parse_analysis(rows).select(F.col("id").cast("long").alias("seq"), "status", "error")
+
+
+@query("analysis_attached", f"WITH {EV}, {_AL} SELECT count(*) AS alerts, count(*) FILTER (seq % 2 = 0) AS analysed FROM al")
+def _(s, d):
+    a = al(s, d)
+    got, _lost = analysis.attach_analysis(a, a.where("seq % 2 = 0").select("ip", "id", F.lit("completed").alias("status")))
+    return got.agg(F.count("*").alias("alerts"), F.count("analysis").alias("analysed"))
+
+
+@query("analysis_counts", f"WITH {EV}, {_AL} SELECT 'p' || (seq % 2) AS provider, severity AS status, count(*) AS count FROM al GROUP BY 1, 2")
+def _(s, d):
+    return analysis.analysis_counts(al(s, d).select(F.concat(F.lit("p"), (F.col("seq") % 2).cast("string")).alias("provider"), F.col("severity").alias("status")))
