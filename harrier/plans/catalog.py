@@ -17,8 +17,14 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 EV = adapter.EV
-_US = F.unix_micros("timestamp").alias("us")
-_NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
+def _us():
+    return F.unix_micros("timestamp").alias("us")
+
+
+def _now():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
 def query(name: str, sql: str | None = None):
@@ -87,7 +93,7 @@ def _threshold_sql(name: str) -> str:
 
 
 def _threshold(name: str):
-    return lambda s, d: detect.threshold(ev(s, d), rule(name)).select("ip", "seq", _US, F.col("count").cast("long").alias("n"))
+    return lambda s, d: detect.threshold(ev(s, d), rule(name)).select("ip", "seq", _us(), F.col("count").cast("long").alias("n"))
 
 
 for _name in _WHERE:
@@ -108,7 +114,7 @@ def _kept_sql(name: str) -> str:
 def _cooldown(name: str):
     def run(s, d):
         fired = detect.threshold(ev(s, d), rule(name))
-        return detect.spaced(fired.select("ip", "timestamp", "seq"), ["ip"], fn.micros(rule(name).cooldown)).select("ip", _US)
+        return detect.spaced(fired.select("ip", "timestamp", "seq"), ["ip"], fn.micros(rule(name).cooldown)).select("ip", _us())
 
     return run
 
@@ -258,7 +264,7 @@ def _(s, d):
 @query("fix_timestamps", f"""WITH {EV} SELECT seq, epoch_us(CASE WHEN seq % 3 = 0 OR "timestamp" > TIMESTAMP '2024-01-20 00:05:00' THEN TIMESTAMP '2024-01-20 00:00:00' ELSE "timestamp" END) AS us FROM ev""")
 def _(s, d):
     e = ev(s, d).withColumn("timestamp", F.when(F.col("seq") % 3 != 0, F.col("timestamp")))
-    return normalize.fix_timestamps(e, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("seq", _US)
+    return normalize.fix_timestamps(e, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("seq", _us())
 
 
 @query("ingest_report", f"WITH {EV} SELECT count(*) AS received, count(*) FILTER (seq % 7 <> 0 AND seq % 5 <> 0) AS accepted, count(*) FILTER (seq % 7 = 0 OR seq % 5 = 0) AS rejected FROM ev")
@@ -283,12 +289,15 @@ def al(s: SparkSession, d: str) -> DataFrame:
 
 
 _SINCE = "TIMESTAMP '2024-01-10 00:00:00'"
-_since = F.lit("2024-01-10 00:00:00").cast("timestamp")
+
+
+def _since():
+    return F.lit("2024-01-10 00:00:00").cast("timestamp")
 
 
 @query("alert_summary", f"""WITH {EV}, {_AL} SELECT count(*) AS total, count(DISTINCT ip) AS ips, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical FROM al WHERE "timestamp" > {_SINCE}""")
 def _(s, d):
-    return report.summarize_alerts(al(s, d), _since)
+    return report.summarize_alerts(al(s, d), _since())
 
 
 for _key in ("ip", "trigger_rule"):
@@ -317,7 +326,7 @@ def _(s, d):
 
 @query("events_since", f"""WITH {EV} SELECT seq FROM ev WHERE ip = '10.0.0.7' AND "timestamp" > {_SINCE}""")
 def _(s, d):
-    return report.find_since(ev(s, d), "10.0.0.7", _since).select("seq")
+    return report.find_since(ev(s, d), "10.0.0.7", _since()).select("seq")
 
 
 @query("newest_per_ip", f"""WITH {EV} SELECT ip, seq, rank FROM (SELECT ip, seq, row_number() OVER (PARTITION BY ip ORDER BY "timestamp" DESC, seq DESC) AS rank FROM ev) WHERE rank <= 5""")
@@ -342,12 +351,12 @@ def _(s, d):
 
 @query("ingest_gaps", f"""WITH {EV} SELECT epoch_us("timestamp") AS us, epoch_us(until) AS until FROM (SELECT "timestamp", lead("timestamp") OVER (ORDER BY "timestamp") AS until FROM ev) WHERE until >= "timestamp" + INTERVAL '15 minutes'""")
 def _(s, d):
-    return report.gaps(ev(s, d), "15 minutes").select(_US, F.unix_micros("until").alias("until"))
+    return report.gaps(ev(s, d), "15 minutes").select(_us(), F.unix_micros("until").alias("until"))
 
 
 @query("retention_age", f"""WITH {EV} SELECT seq FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '168 hours'""")
 def _(s, d):
-    return report.by_age(ev(s, d), _NOW, "168 hours").select("seq")
+    return report.by_age(ev(s, d), _now(), "168 hours").select("seq")
 
 
 @query("retention_capacity", f"WITH {EV} SELECT seq FROM ev ORDER BY seq DESC LIMIT 5000")
@@ -358,7 +367,7 @@ def _(s, d):
 @query("retention_evictions", f"""WITH {EV}, young AS (SELECT * FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '168 hours')
   SELECT 'events' AS kind, 'age' AS reason, (SELECT count(*) FROM ev) - (SELECT count(*) FROM young) AS count UNION ALL SELECT 'events', 'capacity', greatest((SELECT count(*) FROM young) - 1000, 0)""")
 def _(s, d):
-    return report.evictions(ev(s, d), _NOW, "168 hours", 1000, "events")
+    return report.evictions(ev(s, d), _now(), "168 hours", 1000, "events")
 
 
 @query("alerts_with_events", f"WITH {EV}, {_AL} SELECT al.seq, ev.event_type AS cause FROM al JOIN ev ON al.ip = ev.ip AND al.seq = ev.seq")
@@ -388,7 +397,7 @@ def _(s, d):
   m AS (SELECT *, avg(gap) OVER w AS mean, stddev_pop(gap) OVER w AS dev FROM g WINDOW w AS (PARTITION BY ip, protocol ORDER BY t ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))
   SELECT ip, protocol AS target, epoch_us(t) AS us FROM m WHERE first IS NOT NULL AND first + INTERVAL '25 days' > t AND mean >= 36000000000 AND dev / mean <= 0.5""")
 def _(s, d):
-    return detect.beacon(ev(s, d), rule("Beaconing")).select("ip", F.col("group").alias("target"), _US)
+    return detect.beacon(ev(s, d), rule("Beaconing")).select("ip", F.col("group").alias("target"), _us())
 
 
 @query("detect_firing_counts")
@@ -421,18 +430,16 @@ def _(s, d):
 
 # --- log lines rendered from events and parsed back ---------------------------------------------
 
-_T = F.col("timestamp")
-
 
 @query("parse_combined", f"""WITH {EV} SELECT seq, ip, path, CAST(status_code AS BIGINT) AS status, user_agent, epoch_us(date_trunc('second', "timestamp")) AS us FROM ev WHERE path IS NOT NULL""")
 def _(s, d):
-    text = F.concat("ip", F.lit(" - - ["), F.date_format(_T, "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "GET '), "path", F.lit(' HTTP/1.1" '), F.col("status_code").cast("string"), F.lit(' 12 "-" "'), "user_agent", F.lit('"'))
-    return access.parse_access_log(ev(s, d).where("path IS NOT NULL").select("seq", text.alias("value"))).select("seq", "ip", "path", F.col("status_code").cast("long").alias("status"), "user_agent", _US)
+    text = F.concat("ip", F.lit(" - - ["), F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "GET '), "path", F.lit(' HTTP/1.1" '), F.col("status_code").cast("string"), F.lit(' 12 "-" "'), "user_agent", F.lit('"'))
+    return access.parse_access_log(ev(s, d).where("path IS NOT NULL").select("seq", text.alias("value"))).select("seq", "ip", "path", F.col("status_code").cast("long").alias("status"), "user_agent", _us())
 
 
 @query("parse_json_access", f"""WITH {EV} SELECT seq, ip, path, CAST(status_code AS BIGINT) AS status, user_agent FROM ev WHERE path IS NOT NULL""")
 def _(s, d):
-    line = F.to_json(F.struct(F.date_format(_T, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("time_iso8601"), F.col("ip").alias("remote_addr"), F.lit("GET").alias("request_method"), F.col("path").alias("request_uri"), F.col("status_code").cast("string").alias("status"), F.col("user_agent").alias("http_user_agent")))
+    line = F.to_json(F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("time_iso8601"), F.col("ip").alias("remote_addr"), F.lit("GET").alias("request_method"), F.col("path").alias("request_uri"), F.col("status_code").cast("string").alias("status"), F.col("user_agent").alias("http_user_agent")))
     return access.parse_access_log(ev(s, d).where("path IS NOT NULL").select("seq", line.alias("value")), "json").select("seq", "ip", "path", F.col("status_code").cast("long").alias("status"), "user_agent")
 
 
@@ -446,22 +453,22 @@ def _(s, d):
 @query("parse_netfilter", f"""WITH {EV} SELECT seq, ip, dst_ip, CAST(port AS BIGINT) AS port, event_type, direction, epoch_us(date_trunc('second', "timestamp")) AS us FROM ev WHERE dst_ip IS NOT NULL""")
 def _(s, d):
     block, inward = F.col("event_type") == "firewall_block", F.col("direction") == "inbound"
-    text = F.concat(F.date_format(_T, "MMM d HH:mm:ss"), F.when(block, " gw kernel: [UFW BLOCK] ").otherwise(" gw kernel: nft-accept: "), F.when(inward, "IN=eth0 OUT=").otherwise("IN= OUT=eth0"), F.lit(" SRC="), "ip", F.lit(" DST="), "dst_ip", F.lit(" LEN=60 PROTO=TCP SPT=40000 DPT="), F.col("port").cast("string"))
+    text = F.concat(F.date_format("timestamp", "MMM d HH:mm:ss"), F.when(block, " gw kernel: [UFW BLOCK] ").otherwise(" gw kernel: nft-accept: "), F.when(inward, "IN=eth0 OUT=").otherwise("IN= OUT=eth0"), F.lit(" SRC="), "ip", F.lit(" DST="), "dst_ip", F.lit(" LEN=60 PROTO=TCP SPT=40000 DPT="), F.col("port").cast("string"))
     rows = network.parse_netfilter(ev(s, d).where("dst_ip IS NOT NULL").select("seq", text.alias("value")), F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    return rows.select("seq", "ip", "dst_ip", F.col("port").cast("long").alias("port"), "event_type", "direction", _US)
+    return rows.select("seq", "ip", "dst_ip", F.col("port").cast("long").alias("port"), "event_type", "direction", _us())
 
 
 @query("parse_windows_firewall", f"""WITH {EV} SELECT seq, ip, dst_ip, CAST(port AS BIGINT) AS port, event_type, direction FROM ev WHERE dst_ip IS NOT NULL""")
 def _(s, d):
-    text = F.concat(F.date_format(_T, "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_type") == "firewall_block", " DROP TCP ").otherwise(" ALLOW TCP "), "ip", F.lit(" "), "dst_ip", F.lit(" 40000 "), F.col("port").cast("string"), F.lit(" 52 S 1 0 64240 - - - "), F.when(F.col("direction") == "inbound", "RECEIVE 4").otherwise("SEND 4"))
+    text = F.concat(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_type") == "firewall_block", " DROP TCP ").otherwise(" ALLOW TCP "), "ip", F.lit(" "), "dst_ip", F.lit(" 40000 "), F.col("port").cast("string"), F.lit(" 52 S 1 0 64240 - - - "), F.when(F.col("direction") == "inbound", "RECEIVE 4").otherwise("SEND 4"))
     rows = ev(s, d).where("dst_ip IS NOT NULL").select("seq", "ip", F.concat(F.lit("f"), "ip").alias("file"), F.col("seq").alias("line_no"), text.alias("value")).drop("ip")
     return network.parse_windows_firewall(rows).select("seq", "ip", "dst_ip", F.col("port").cast("long").alias("port"), "event_type", "direction")
 
 
 _DNS_LINES = {
-    "dnsmasq": lambda: F.concat(F.date_format(_T, "MMM d HH:mm:ss"), F.lit(" dnsmasq[12]: query[A] "), F.upper("domain"), F.lit(" from "), "ip"),
-    "bind": lambda: F.concat(F.date_format(_T, "dd-MMM-yyyy HH:mm:ss.SSS"), F.lit(" client "), "ip", F.lit("#1053 ("), "domain", F.lit("): view internal: query: "), "domain", F.lit(" IN A + (10.0.0.1)")),
-    "unbound": lambda: F.concat(F.lit("["), F.unix_seconds(_T).cast("string"), F.lit("] unbound[1234:0] info: "), "ip", F.lit(" "), "domain", F.lit(". A IN")),
+    "dnsmasq": lambda: F.concat(F.date_format("timestamp", "MMM d HH:mm:ss"), F.lit(" dnsmasq[12]: query[A] "), F.upper("domain"), F.lit(" from "), "ip"),
+    "bind": lambda: F.concat(F.date_format("timestamp", "dd-MMM-yyyy HH:mm:ss.SSS"), F.lit(" client "), "ip", F.lit("#1053 ("), "domain", F.lit("): view internal: query: "), "domain", F.lit(" IN A + (10.0.0.1)")),
+    "unbound": lambda: F.concat(F.lit("["), F.unix_seconds("timestamp").cast("string"), F.lit("] unbound[1234:0] info: "), "ip", F.lit(" "), "domain", F.lit(". A IN")),
     "coredns": lambda: F.concat(F.lit("[INFO] "), "ip", F.lit(':41237 - 36502 "A IN '), "domain", F.lit('. udp 40 false 1232" NOERROR')),
 }
 for _name in _DNS_LINES:
@@ -469,7 +476,7 @@ for _name in _DNS_LINES:
 
     def _dns(s, d, name=_name):
         rows = ev(s, d).where("domain IS NOT NULL").select("seq", _DNS_LINES[name]().alias("value"))
-        return network.parse_dns(rows, name, F.lit("2024-02-01 00:00:00").cast("timestamp")).select("seq", "ip", "domain", F.try_element_at("metadata", F.lit("query_type")).alias("kind"), _US)
+        return network.parse_dns(rows, name, F.lit("2024-02-01 00:00:00").cast("timestamp")).select("seq", "ip", "domain", F.try_element_at("metadata", F.lit("query_type")).alias("kind"), _us())
 
     query(f"parse_{_name}", f"WITH {EV} SELECT seq, ip, domain, 'A' AS kind, epoch_us({_time}) AS us FROM ev WHERE domain IS NOT NULL")(_dns)
 
@@ -483,14 +490,14 @@ def _(s, d):
 @query("line_outcomes", f"WITH {EV} SELECT 'dns' AS source, CASE WHEN domain IS NULL THEN 'skipped' ELSE 'parsed' END AS outcome, count(*) AS count FROM ev GROUP BY 2")
 def _(s, d):
     text = F.coalesce(_DNS_LINES["dnsmasq"](), F.lit("Jan 1 00:00:00 dnsmasq[12]: forwarded x to 9.9.9.9"))
-    return lines.outcomes(network.parse_dns(ev(s, d).select(text.alias("value")), "dnsmasq", _NOW), "dns")
+    return lines.outcomes(network.parse_dns(ev(s, d).select(text.alias("value")), "dnsmasq", _now()), "dns")
 
 
 @query("connection_diff", f"""WITH {EV}, s AS (SELECT DISTINCT ip AS host, date_trunc('day', "timestamp") AS day, port FROM ev), n AS (SELECT *, dense_rank() OVER (PARTITION BY host ORDER BY day) AS n FROM s)
   SELECT a.host, epoch_us(a.day) AS us, CAST(a.port AS BIGINT) AS port FROM n a ANTI JOIN n b ON a.host = b.host AND a.port = b.port AND a.n = b.n + 1""")
 def _(s, d):
     rows = ev(s, d).select(F.col("ip").alias("host"), F.date_trunc("day", "timestamp").alias("snapshot_ts"), F.lit("tcp").alias("proto"), F.lit("10.9.9.9").alias("local_ip"), F.lit(50000).alias("local_port"), F.lit("203.0.113.1").alias("remote_ip"), F.col("port").alias("remote_port"), F.lit("ESTABLISHED").alias("state"), F.lit(1).alias("pid"), F.lit("p").alias("process"), F.lit("0").alias("uid"))
-    return network.connection_events(rows).select("host", _US, F.col("port").cast("long").alias("port"))
+    return network.connection_events(rows).select("host", _us(), F.col("port").cast("long").alias("port"))
 
 
 # --- analysis -----------------------------------------------------------------------------------
