@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrier.llm.common import checkpoint, mixed_bits, parts, split, word_hashes
@@ -29,6 +29,8 @@ from harrier.llm.minhash import _seeds
 #: Words of a paragraph and of a shingle, shingles of which one starts a paragraph, likeness that links, and words handled at once.
 PARAGRAPH, SHINGLE, WINDOW, LIKENESS, _SLICE = 25, 5, 26, 0.8, 2_000_000
 _ITEMS = PARAGRAPH - SHINGLE + 1
+#: Parts of their marks in which alike paragraphs may differ (two more than four shingles can touch, for shingles that repeat).
+MARKS = 6
 _NO_ID = -(2**63)
 _XOR = (_seeds(4, 5001) >> np.uint64(32)).astype(np.uint32)
 _TIMES = (_seeds(4, 6001) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -45,7 +47,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def paragraphs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all texts: each paragraph's text, place (shingle), shingle count, node and band keys; and all shingles."""
+    """Of all texts: each paragraph's text, place (shingle), shingle count, node, band keys and mark; and all shingles."""
     n = np.diff(bounds)
     s = hashes.copy()
     for k in range(1, SHINGLE):
@@ -76,7 +78,10 @@ def paragraphs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]
         lows.append(got.astype(np.uint64))
     one = mixed_bits(lows[0] << np.uint64(32) | lows[1])
     two = mixed_bits((lows[2] << np.uint64(32) | lows[3]) + np.uint64(0x9E3779B97F4A7C15))
-    return text, at, items, node, one, two, s
+    # sixteen four-bit sums of the shingles by their hash: a pair that links differs in few of them
+    part = (s & np.uint64(15)) * np.uint64(4)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(((s >> np.uint64(8)) & np.uint64(15)) << part)])
+    return text, at, items, node, one, two, prefix[at + items] ^ prefix[at], s
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -95,11 +100,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, hashes, bounds in _slices(batches, 1):
         if not len(hashes):
             continue
-        text, at, items, node, one, two, _ = paragraphs(hashes, bounds)
+        text, at, items, node, one, two, mark, _ = paragraphs(hashes, bounds)
         first = _first_of(text, node)
         doc = part.column(0).to_numpy()[text[first]]
         place = (at - bounds[text])[first]
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(node[first].view(np.int64)), pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(items[first].astype(np.int32))], ["doc", "node", "one", "two", "place", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(node[first].view(np.int64)), pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(mark[first].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(items[first].astype(np.int32))], ["doc", "node", "one", "two", "mark", "place", "items"])
 
 
 def _first_of(text: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -115,7 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, hashes, bounds in _slices(batches, 0):
         if not len(hashes):
             continue
-        text, at, items, node, _, _, s = paragraphs(hashes, bounds)
+        _, at, items, node, _, _, _, s = paragraphs(hashes, bounds)
         asked = np.unique(np.array([x for own in part.column(1).to_pylist() for x in own], np.int64))
         first = np.flatnonzero(np.isin(node.view(np.int64), asked))
         ids, place = np.unique(node[first].view(np.int64), return_index=True)
@@ -133,23 +138,31 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def _close(a: Column, b: Column) -> Column:
+    """Whether two marks differ in MARKS parts at most: alike paragraphs differ in four shingles at most."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))) <= MARKS
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """Rows (doc, place, items, class, first_doc): the paragraphs whose class is in two documents or more; place and items count shingles."""
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
-    rows = texts.mapInArrow(_emit, "doc long, node long, one long, two long, place int, items int")
+    rows = texts.mapInArrow(_emit, "doc long, node long, one long, two long, mark long, place int, items int")
     # only paragraphs that share a band with another document go on: one exchange of all paragraphs, by band
-    keyed = rows.select(F.explode(F.array("one", "two")).alias("key"), "node", "doc", "place", "items")
+    keyed = rows.select(F.explode(F.array("one", "two")).alias("key"), "node", "doc", "mark", "place", "items")
     band = Window.partitionBy("key")
     shared = keyed.withColumns({"lo": F.min("doc").over(band), "hi": F.max("doc").over(band)}).where("lo < hi").drop("lo", "hi")
     shared = checkpoint(shared)
     rows = shared.groupBy("node", "doc").agg(F.min("place").alias("place"), F.min("items").alias("items"))
     nodes = rows.groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-    keys = shared.select("key", "node").distinct()
-    many = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
-    met = keys.join(many.select(reshuffled("key").alias("k"), "head"), F.col("key") == F.col("k")).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"), "key")
+    keys = shared.select("key", "node", "mark").distinct()
+    many = keys.groupBy("key").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("node").alias("last")).where("h.node < last").select(reshuffled("key").alias("k"), F.col("h.node").alias("head"), F.col("h.mark").alias("head_mark"))
+    met = keys.join(many, F.col("key") == F.col("k")).select(F.col("head").alias("a"), F.col("node").alias("b"), "key", "mark", "head_mark")
     met = checkpoint(met)
-    pairs = met.select("a", "b").distinct()
-    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+    pairs = met.where((F.col("a") != F.col("b")) & _close(F.col("mark"), F.col("head_mark"))).select("a", "b").distinct()
+    wanted = met.select(F.col("b").alias("w")).distinct()
     where = nodes.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("first_doc").agg(F.collect_set("node").alias("nodes"))
     sets = texts.join(where, F.col("doc") == F.col("first_doc")).select("text", "nodes").mapInArrow(_sets, "node long, items binary")
     sets = checkpoint(sets.groupBy("node").agg(F.first("items").alias("items")))
@@ -162,13 +175,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     links = checkpoint(linked(pairs))
     found = checkpoint(components(links))
     # bands whose nodes did not all link to their head: the rest is compared across the components that remain
-    spread = met.select("key", F.col("b").alias("node")).unionByName(met.select("key", F.col("a").alias("node"))).distinct()
-    named = spread.join(found.withColumnRenamed("node", "id"), F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    left = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    named = named.join(left, F.col("key") == F.col("k"), "left_semi")
-    heads = met.select("a", "b")
-    other = named.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("component").alias("ca"))
-    rest = named.join(other, (F.col("key") == F.col("k")) & (F.col("component") > F.col("ca"))).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(heads, ["a", "b"], "left_anti")
+    named = met.join(found.withColumnRenamed("node", "id"), F.col("b") == F.col("id"), "left").select("key", F.col("b").alias("node"), "mark", F.coalesce("component", "b").alias("component"))
+    many = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo < hi").select(reshuffled("key").alias("k"))
+    named = checkpoint(named.join(many, F.col("key") == F.col("k"), "left_semi"))
+    other = named.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("mark").alias("other_mark"))
+    rest = named.join(other, (F.col("key") == F.col("k")) & (F.col("component") > F.col("ca")) & _close(F.col("mark"), F.col("other_mark"))).select("a", F.col("node").alias("b")).distinct()
     more = checkpoint(linked(rest))
     if not more.isEmpty():
         found = checkpoint(components(links.unionByName(more)))
