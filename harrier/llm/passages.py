@@ -57,7 +57,12 @@ def paragraphs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]
     low = np.uint64((1 << 24) - 1)
     packed = _least((s & ~low) | np.arange(len(s), dtype=np.uint64), WINDOW)
     long_ = np.flatnonzero(count >= _ITEMS)
-    starts, ends = bounds[:-1][long_], bounds[:-1][long_] + count[long_] - WINDOW + 1
+    # a text with fewer shingles than a window is one window, which ends with it
+    brief = long_[count[long_] < WINDOW]
+    if len(brief):
+        own = np.stack([bounds[:-1][brief], bounds[:-1][brief] + count[brief]], 1)
+        packed[own[:, 0]] = np.minimum.reduceat((s & ~low) | np.arange(len(s), dtype=np.uint64), own.ravel())[::2]
+    starts, ends = bounds[:-1][long_], bounds[:-1][long_] + np.maximum(1, count[long_] - WINDOW + 1)
     mark = np.zeros(len(s) + 1, np.int32)
     np.add.at(mark, starts, 1)
     np.add.at(mark, ends, -1)

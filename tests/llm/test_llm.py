@@ -203,6 +203,33 @@ def test_passages(spark):
     assert {got[i]["component_id"] for i in (30, 31, 32)} == {30} and got[5]["component_id"] == 5
 
 
+def test_passages_of_short_texts(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    short = {n: text(n) for n in range(20, 36)}
+    # a copy of each length first in its batch (a partition of its own) and at a later place
+    own = [docs(spark, [(100 + n, t, None, None), (500 + n, text(80), None, None)]).coalesce(1) for n, t in short.items()]
+    rest = [(300 + i, text(60), None, None) for i in range(5)] + [(1000 + n, t, None, None) for n, t in short.items()]
+    both = own[0]
+    for df in [*own[1:], docs(spark, rest).coalesce(1)]:
+        both = both.unionByName(df)
+    got = {r["doc_id"]: r for r in passages.op9_passages(both).collect()}
+    assert {i for i, r in got.items() if r["duplicate"]} == {1000 + n for n in short}
+    assert all(got[1000 + n]["component_id"] == 100 + n and got[1000 + n]["removed_words"] >= min(n, 25) for n in short)
+
+
+def test_paragraphs_stay_in_their_text():
+    rng = np.random.default_rng(1)
+    sizes = [27, 25, 300, 29, 4, 28, 60, 26]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    hashes = rng.integers(0, 2**63, bounds[-1]).astype(np.uint64)
+    text, at, items, node = passages.paragraphs(hashes, bounds)[:4]
+    assert all(bounds[t] <= a and a + n + passages.SHINGLE - 1 <= bounds[t + 1] for t, a, n in zip(text, at, items, strict=True))
+    for k, n in enumerate(sizes):
+        alone = passages.paragraphs(hashes[bounds[k] : bounds[k + 1]], np.array([0, n]))[3] if n >= passages.SHINGLE else []
+        assert {*node[text == k].tolist()} == {*np.array(alone, np.uint64).tolist()} and len(alone) == (n >= 5) * max(1, len(alone))
+
+
 def test_mixing(spark, corpus):
     rows = mixing.op10_mixing(corpus[0]).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
