@@ -1,15 +1,19 @@
 """Substring deduplication: paragraph MinHash with bands, exact Jaccard verification, removal by components.
 
-A paragraph is a run of PARAGRAPH words that starts where the text itself says so: among any WINDOW
-neighbouring five-word shingles the one of the least hash starts a paragraph. Two texts that share
-PARAGRAPH + WINDOW words in a row therefore share a paragraph, wherever the passage lies in lines
-or texts. Equal paragraphs are one node. Two bands of two minima propose near ones; a pair
-counts where the Jaccard likeness of the shingle sets is LIKENESS or more. Linked nodes are a class;
+Paragraphs are of two kinds. One is a line of five words or more, of any length. The other is a run
+of PARAGRAPH words that starts where the text itself says so: among any WINDOW neighbouring five-word
+shingles the one of the least hash starts a run. Two texts that share PARAGRAPH + WINDOW words in a
+row therefore share a run, wherever the passage lies in lines or texts. Equal paragraphs of a kind
+are one node. A pair of a kind counts where the Jaccard likeness of the shingle sets is LIKENESS or
+more. For lines, BANDS bands of two minima propose it and miss one pair in 28,000 at 0.8. Runs that
+alike differ in two shingles each at most, at their ends: they share CORE shingles in a row of
+which one of three keys is made. A run that repeats three words in a row has the bands besides.
+Linked nodes are a class;
 a class found in two documents or more is repeated, its paragraphs are removed from all but the
 document of the smallest id, and documents that share a class are one component.
 
-Words are runs of non-blank characters, A-Z lower-cased. A text with fewer words than a paragraph is
-one paragraph, from five words on; shorter, empty and null texts have none. A document is its doc_id:
+Words are runs of non-blank characters, A-Z lower-cased. A text with fewer words than a run is
+one paragraph of the first kind, from five words on; shorter, empty and null texts have none. A document is its doc_id:
 rows that repeat an id are parts of one document, rows of a null id are one document that comes first.
 """
 
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +34,15 @@ from harrier.llm.minhash import _seeds
 #: Words of a paragraph and of a shingle, shingles of which one starts a paragraph, likeness that links, and words handled at once.
 PARAGRAPH, SHINGLE, WINDOW, LIKENESS, _SLICE = 25, 5, 26, 0.8, 2_000_000
 _ITEMS = PARAGRAPH - SHINGLE + 1
-#: Parts of their marks in which alike paragraphs may differ (two more than four shingles can touch, for shingles that repeat).
-MARKS = 6
+#: Bands of two minima, and shingles in a row that alike runs share (from their second, third or fourth one).
+BANDS, CORE = 10, _ITEMS - 4
+#: Parts of their marks in which alike runs may differ (two more than four shingles can touch, for shingles that repeat), and
+#: alike lines (of 16 minima 13 are equal on average at 0.8, one among unlike lines).
+MARKS, LINE_MARKS = 6, 11
 _NO_ID = -(2**63)
-_XOR = (_seeds(4, 5001) >> np.uint64(32)).astype(np.uint32)
-_TIMES = (_seeds(4, 6001) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_XOR = (_seeds(2 * BANDS, 5001) >> np.uint64(32)).astype(np.uint32)
+_TIMES = (_seeds(2 * BANDS, 6001) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_BAND = _seeds(BANDS + 2, 7001)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -46,8 +55,22 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def paragraphs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all texts: each paragraph's text, place (shingle), shingle count, node, band keys and mark; and all shingles."""
+def _repeating(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which runs of PARAGRAPH words hold three words in a row twice."""
+    three = mixed_bits(mixed_bits(hashes[:-2] + np.uint64(1)) + hashes[1:-1])
+    three = mixed_bits(three + np.uint64(2)) + hashes[2:]
+    order = np.argsort(three, kind="stable")
+    same = three[order][1:] == three[order][:-1]
+    before = np.full(len(three), -1)
+    before[order[1:][same]] = order[:-1][same]
+    return -_least(-before, PARAGRAPH - 2)[at] >= at
+
+
+def paragraphs(hashes: np.ndarray, bounds: np.ndarray, lines: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of all texts: each paragraph's text, place (shingle), shingle count and node (odd for a line); all shingles; and how many are runs, which come first.
+
+    bounds and lines are the bounds of the texts and of their lines among the words.
+    """
     n = np.diff(bounds)
     s = hashes.copy()
     for k in range(1, SHINGLE):
@@ -68,48 +91,90 @@ def paragraphs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]
     np.add.at(mark, ends, -1)
     at = np.unique((packed[np.cumsum(mark[:-1]) > 0] & low).astype(np.int64))
     text = np.searchsorted(bounds, at, "right") - 1
-    at = np.minimum(at, bounds[text] + count[text] - _ITEMS)  # the last paragraph of a text ends with it
+    # the last run of a text ends with it
+    at, place = np.unique(np.minimum(at, bounds[text] + count[text] - _ITEMS), return_index=True)
+    text, runs = text[place], len(at)
+    # lines, and texts that are shorter than a run
     short = np.flatnonzero((count >= 1) & (count < _ITEMS))
-    items = np.concatenate([np.full(len(at), _ITEMS), count[short]])
-    at, text = np.concatenate([at, bounds[short]]), np.concatenate([text, short])
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed_bits(s + np.uint64(7)), dtype=np.uint64)])
+    from_, to = (bounds[:-1][short], bounds[1:][short])
+    if lines is not None:
+        from_, to = np.concatenate([from_, lines[:-1]]), np.concatenate([to, lines[1:]])
+    fits = to - from_ >= SHINGLE
+    from_, to = np.unique(np.stack([from_[fits], to[fits]], 1), axis=0).T if fits.any() else (from_[fits], to[fits])
+    at, items = np.concatenate([at, from_]), np.concatenate([np.full(runs, _ITEMS), to - from_ - SHINGLE + 1])
+    text = np.concatenate([text, np.searchsorted(bounds, from_, "right") - 1])
+    total = _sums(s)
     node = mixed_bits(total[at + items] - total[at] + items.astype(np.uint64))
-    x, lows = (s >> np.uint64(32)).astype(np.uint32), []
-    for f in range(4):
+    kind = (np.arange(len(at)) >= runs).astype(np.uint64)
+    return text, at, items, (node & ~np.uint64(1)) | kind, s, runs
+
+
+def _sums(s: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed_bits(s + np.uint64(7)), dtype=np.uint64)])
+
+
+def keyed(hashes: np.ndarray, at: np.ndarray, items: np.ndarray, node: np.ndarray, s: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each paragraph's mark; and keys, with the paragraph of each."""
+    x, total = (s >> np.uint64(32)).astype(np.uint32), _sums(s)
+    own, line = np.arange(runs), np.arange(runs, len(at))
+    cores = [mixed_bits((total[at[:runs] + k + CORE] - total[at[:runs] + k]) ^ _BAND[BANDS]) for k in (1, 2, 3)]
+    keys, of = [*cores], [own] * 3
+    again = own[_repeating(hashes, at[:runs])] if runs else own
+    # lines of four shingles or less are alike only if equal
+    few, many = line[items[line] < SHINGLE], line[items[line] >= SHINGLE]
+    keys.append(mixed_bits(node[few] ^ _BAND[BANDS + 1])), of.append(few)
+    spans = np.stack([at[many], at[many] + items[many]], 1).ravel()
+    inner = at[again][:, None] + np.arange(_ITEMS)
+    signs = np.zeros(len(many), np.uint64)
+    pair: list = []
+    for f in range(2 * BANDS):
         v = (x ^ _XOR[f]) * _TIMES[f]
-        got = _least(v, _ITEMS)[at]
-        for i in range(len(at) - len(short), len(at)):
-            got[i] = v[at[i] : at[i] + items[i]].min()
-        lows.append(got.astype(np.uint64))
-    one = mixed_bits(lows[0] << np.uint64(32) | lows[1])
-    two = mixed_bits((lows[2] << np.uint64(32) | lows[3]) + np.uint64(0x9E3779B97F4A7C15))
-    # sixteen four-bit sums of the shingles by their hash: a pair that links differs in few of them
+        got = np.concatenate([np.minimum.reduceat(v, spans)[::2] if len(many) else v[:0], v[inner].min(1) if len(again) else v[:0]]).astype(np.uint64)
+        if f < 16:
+            signs |= (mixed_bits(got[: len(many)]) & np.uint64(15)) << np.uint64(4 * f)
+        pair.append(got)
+        if f % 2:
+            both = mixed_bits((pair[0] << np.uint64(32) | pair[1]) + _BAND[f // 2])
+            keys += [mixed_bits(both[: len(many)] + np.uint64(1)), both[len(many) :]]
+            of += [many, again]
+            pair = []
+    # sixteen four-bit sums of a run's shingles by their hash: a pair that links differs in few of them
     part = (s & np.uint64(15)) * np.uint64(4)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(((s >> np.uint64(8)) & np.uint64(15)) << part)])
-    return text, at, items, node, one, two, prefix[at + items] ^ prefix[at], s
+    mark = prefix[at + items] ^ prefix[at]
+    mark[many] = signs
+    return mark, np.concatenate(keys), np.concatenate(of)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of batches of about _SLICE words, with word hashes and the texts' bounds."""
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of batches of about _SLICE words, with word hashes and the bounds of texts and of lines."""
     for batch in parts(batches):
-        flat, bounds = split(batch.column(column))
+        cut = pc.split_pattern(pc.fill_null(batch.column(column), ""), "\n")
+        flat, lines = split(cut.flatten())
+        rows = cut.offsets.to_numpy().astype(np.int64)
+        rows = rows - rows[0]
+        bounds = lines[rows]
         hashes = word_hashes(flat) if len(flat) else np.empty(0, np.uint64)
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _SLICE, "right")) - 1)
-            yield batch.slice(at, to - at), hashes[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
+            yield batch.slice(at, to - at), hashes[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], lines[rows[at] : rows[to] + 1] - bounds[at]
             at = to
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, hashes, bounds in _slices(batches, 1):
-        if not len(hashes):
+    for part, hashes, bounds, lines in _slices(batches, 1):
+        if len(hashes) < SHINGLE:
             continue
-        text, at, items, node, one, two, mark, _ = paragraphs(hashes, bounds)
+        text, at, items, node, s, runs = paragraphs(hashes, bounds, lines)
         first = _first_of(text, node)
-        doc = part.column(0).to_numpy()[text[first]]
-        place = (at - bounds[text])[first]
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(node[first].view(np.int64)), pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(mark[first].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(items[first].astype(np.int32))], ["doc", "node", "one", "two", "mark", "place", "items"])
+        first.sort()
+        text, at, items, node, runs = text[first], at[first], items[first], node[first], int((first < runs).sum())
+        mark, keys, of = keyed(hashes, at, items, node, s, runs)
+        doc, place = part.column(0).to_numpy()[text], at - bounds[text]
+        for k in range(0, len(keys), 100_000):
+            i = of[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), pa.array(node[i].view(np.int64)), pa.array(doc[i]), pa.array(mark[i].view(np.int64)), pa.array(place[i].astype(np.int32)), pa.array(items[i].astype(np.int32))], ["key", "node", "doc", "mark", "place", "items"])
 
 
 def _first_of(text: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -122,10 +187,10 @@ def _first_of(text: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of the wanted nodes of each document."""
-    for part, hashes, bounds in _slices(batches, 0):
-        if not len(hashes):
+    for part, hashes, bounds, lines in _slices(batches, 0):
+        if len(hashes) < SHINGLE:
             continue
-        _, at, items, node, _, _, _, s = paragraphs(hashes, bounds)
+        _, at, items, node, s, _ = paragraphs(hashes, bounds, lines)
         asked = np.unique(np.array([x for own in part.column(1).to_pylist() for x in own], np.int64))
         first = np.flatnonzero(np.isin(node.view(np.int64), asked))
         ids, place = np.unique(node[first].view(np.int64), return_index=True)
@@ -143,20 +208,19 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _close(a: Column, b: Column) -> Column:
-    """Whether two marks differ in MARKS parts at most: alike paragraphs differ in four shingles at most."""
+def _close(a: Column, b: Column, node: Column) -> Column:
+    """Whether two marks of the node's kind differ in few parts: alike runs differ in four shingles at most, alike lines share most minima."""
     x = a.bitwiseXOR(b)
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))) <= MARKS
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))) <= F.when(node.bitwiseAND(F.lit(1).cast("long")) == 1, LINE_MARKS).otherwise(MARKS)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """Rows (doc, place, items, class, first_doc): the paragraphs whose class is in two documents or more; place and items count shingles."""
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
-    rows = texts.mapInArrow(_emit, "doc long, node long, one long, two long, mark long, place int, items int")
-    # only paragraphs that share a band with another document go on: one exchange of all paragraphs, by band
-    keyed = rows.select(F.explode(F.array("one", "two")).alias("key"), "node", "doc", "mark", "place", "items")
+    keyed = texts.mapInArrow(_emit, "key long, node long, doc long, mark long, place int, items int")
+    # only paragraphs that share a key with another document go on: one exchange of all keys
     band = Window.partitionBy("key")
     shared = keyed.withColumns({"lo": F.min("doc").over(band), "hi": F.max("doc").over(band)}).where("lo < hi").drop("lo", "hi")
     shared = checkpoint(shared)
@@ -166,7 +230,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     many = keys.groupBy("key").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("node").alias("last")).where("h.node < last").select(reshuffled("key").alias("k"), F.col("h.node").alias("head"), F.col("h.mark").alias("head_mark"))
     met = keys.join(many, F.col("key") == F.col("k")).select(F.col("head").alias("a"), F.col("node").alias("b"), "key", "mark", "head_mark")
     met = checkpoint(met)
-    pairs = met.where((F.col("a") != F.col("b")) & _close(F.col("mark"), F.col("head_mark"))).select("a", "b").distinct()
+    pairs = met.where((F.col("a") != F.col("b")) & _close(F.col("mark"), F.col("head_mark"), F.col("a"))).select("a", "b").distinct()
     wanted = met.select(F.col("b").alias("w")).distinct()
     where = nodes.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("first_doc").agg(F.collect_set("node").alias("nodes"))
     sets = texts.join(where, F.col("doc") == F.col("first_doc")).select("text", "nodes").mapInArrow(_sets, "node long, items binary")
@@ -184,7 +248,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     many = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo < hi").select(reshuffled("key").alias("k"))
     named = checkpoint(named.join(many, F.col("key") == F.col("k"), "left_semi"))
     other = named.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("mark").alias("other_mark"))
-    rest = named.join(other, (F.col("key") == F.col("k")) & (F.col("component") > F.col("ca")) & _close(F.col("mark"), F.col("other_mark"))).select("a", F.col("node").alias("b")).distinct()
+    rest = named.join(other, (F.col("key") == F.col("k")) & (F.col("component") > F.col("ca")) & _close(F.col("mark"), F.col("other_mark"), F.col("a"))).select("a", F.col("node").alias("b")).distinct()
     more = checkpoint(linked(rest))
     if not more.isEmpty():
         found = checkpoint(components(links.unionByName(more)))

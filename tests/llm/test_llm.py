@@ -230,6 +230,51 @@ def test_paragraphs_stay_in_their_text():
         assert {*node[text == k].tolist()} == {*np.array(alone, np.uint64).tolist()} and len(alone) == (n >= 5) * max(1, len(alone))
 
 
+def test_passages_near_copies(spark):
+    """Lines with words changed inside, as brute-force likeness links them; the rest of each document differs."""
+    rng = random.Random(10)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    rows, expect = [], set()
+    for i in range(150):
+        line = text(rng.randint(50, 110))
+        w = line.split()
+        for place in rng.sample(range(5, len(w) - 5), rng.choice([1, 1, 2, 3])):
+            w[place] = text(1)
+        rows += [(i, f"{text(30)}\n{line}\n{text(9)}", None, None), (1000 + i, f"{text(12)}\n{' '.join(w)}\n{text(40)}", None, None)]
+        if likeness(sets(line), sets(" ".join(w))) >= 0.8:
+            expect.add(1000 + i)
+    got = {r["doc_id"]: r for r in passages.op9_passages(docs(spark, rows)).collect()}
+    found = {i for i, r in got.items() if r["duplicate"]}
+    assert 50 < len(expect) < 150 and expect <= found
+    # beside them only those that share a run
+    words_of = {i: t.split() for i, t, _, _ in rows}
+    for i in found - expect:
+        a, b = words_of[i - 1000], words_of[i]
+        runs = {tuple(a[k : k + 20]) for k in range(len(a) - 19)}
+        assert any(tuple(b[k : k + 20]) in runs for k in range(len(b) - 19))
+
+
+def test_alike_runs_share_a_key():
+    """Runs of 25 words, shifted or changed at the ends, that are alike."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = rng.integers(0, 2**63, 27).astype(np.uint64)
+        shift = int(rng.integers(0, 3))
+        x, y = a[:25].copy(), a[shift : shift + 25].copy()
+        for end in rng.choice([0, 1], 2 - shift):
+            y[-1 if end else 0] = rng.integers(0, 2**63)
+        keys, sets = [], []
+        for one in (x, y):
+            text, at, items, node, s, runs = passages.paragraphs(one, np.array([0, 25]))
+            assert at.tolist() == [0] and runs == 1
+            keys.append({*passages.keyed(one, at, items, node, s, runs)[1].tolist()})
+            sets.append({*s[:21].tolist()})
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            assert keys[0] & keys[1]
+
+
 def test_mixing(spark, corpus):
     rows = mixing.op10_mixing(corpus[0]).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
