@@ -26,8 +26,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component; of rows equal in id and text, one. Rows without an id stay."""
-    found = minhash.near_duplicates(docs)
+    """The document of the smallest id of each component of texts alike to 0.8 on runs of five words; of rows equal in id and text, one. Rows without an id stay."""
+    found = minhash.near_duplicates(docs, size=5, percent=80)
     ids = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))

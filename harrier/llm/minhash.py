@@ -1,14 +1,15 @@
 """Near-duplicate documents by b-bit MinHash with bands, confirmed on full shingle sets.
 
 Documents of one shingle set are one node. Of each node's 100 minima the low 4 bits are packed into
-a signature; 20 bands of 5 full minima propose candidates. A crowded band never yields all its pairs:
+a signature; 20 bands of 5 full minima propose candidates, 25 of 4 where the threshold is below 0.85. A crowded band never yields all its pairs:
 its nodes are compared with one of them, and later, where the links found leave it in several
 components, with others of them, and at last across the components that remain. A pair whose
 collision-corrected bit count lies far below the threshold is dropped; the others are decided by
-their whole sets. At similarity 0.85 a link misses all bands once in 100,000 times.
+their whole sets. At similarity 0.85 a link misses all bands once in 100,000 times,
+at 0.8 once in 500,000.
 
-Words are runs of non-blank characters, A-Z lower-cased; a set has the distinct runs of three
-words, or the whole sequence where it is shorter. Documents without a word have an empty set, link
+Words are runs of non-blank characters, A-Z lower-cased; a set has the distinct runs of
+`size` words (three for op8), or the whole sequence where it is shorter. Documents without a word have an empty set, link
 with nothing and are kept. Repeated rows share a set; ties fall to the smallest doc_id. Rows with a
 null doc_id take part, and a component of only such rows has a null id.
 """
@@ -50,10 +51,10 @@ def minima(items: np.ndarray) -> np.ndarray:
     return low
 
 
-def bands(low: np.ndarray) -> np.ndarray:
+def bands(low: np.ndarray, width: int = ROWS) -> np.ndarray:
     """A 64-bit key for each band of each row of minima."""
-    parts = low.reshape(len(low), -1, ROWS).astype(np.uint64)
-    return mixed_bits((parts * _BAND).sum(2, dtype=np.uint64) + np.arange(parts.shape[1], dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    parts = low.reshape(len(low), -1, width).astype(np.uint64)
+    return mixed_bits((parts * _BAND[:width]).sum(2, dtype=np.uint64) + np.arange(parts.shape[1], dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 def packed(low: np.ndarray) -> np.ndarray:
@@ -90,7 +91,7 @@ def set_hash(own: np.ndarray) -> int:
     return int(mixed_bits((parts * _BAND[:3]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
-def _signed(size: int):
+def _signed(size: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             n, ids, low = [], [], np.zeros((batch.num_rows, MINIMA), np.uint32)
@@ -99,7 +100,7 @@ def _signed(size: int):
                 ids.append(set_hash(own) if len(own) else None)
                 if len(own):
                     low[i] = minima(own)
-            keys = bands(low).view(np.int64)
+            keys = bands(low, width).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
             raw = packed(low)
             signatures = pa.ListArray.from_arrays(np.arange(0, raw.size + 1, LONGS, dtype=np.int32), pa.array(raw.ravel()))
@@ -149,7 +150,7 @@ def _linked(percent: int):
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, kept: links join documents of which the sets' similarity is `percent` in 100 or more."""
     plain = docs.select("doc_id", "text")
-    rows = checkpoint(plain.mapInArrow(_signed(size), "doc_id long, n_shingles long, node long, bands array<long>, signature array<long>"))
+    rows = checkpoint(plain.mapInArrow(_signed(size, ROWS if percent >= 85 else ROWS - 1), "doc_id long, n_shingles long, node long, bands array<long>, signature array<long>"))
     nodes = checkpoint(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     spread = nodes.select(F.explode("bands").alias("key"), "node")
     crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

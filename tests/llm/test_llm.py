@@ -182,6 +182,24 @@ def test_near_duplicates(corpus):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == expect
 
 
+def test_near_dedup_stage(spark):
+    """The stage links by five words and 0.8: a copy with 20 % appended goes, one with scattered edits below 0.8 stays."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    rows, left = [], set()
+    for i in range(40):
+        w = text(100)
+        edited = [*w]
+        for place in (20, 45, 70)[: 3 if i % 2 else 0]:
+            edited[place] = text(1)[0]
+        rows += [(i, " ".join(w), "en", "s"), (100 + i, " ".join(edited if i % 2 else w + text(20)), "en", "s")]
+        left |= {i, 100 + i} if i % 2 else {i}
+    got = corpus_pipeline.one_of_each_group(spark, docs(spark, rows), "")
+    assert {r["doc_id"] for r in got.collect()} == left
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
