@@ -4,7 +4,9 @@ The kernel of two words sums over their common subsequences of three characters,
 weighed by DECAY to the power of the span in both words, and is normalised to 1 for equal words: an
 insult with inserted or gapped characters stays close to the plain one. A word's features are its
 kernels with the landmark words, whitened by the landmarks' own kernel matrix; a linear support
-vector machine on them is the kernel machine of that subspace. A text is as toxic as its most toxic
+vector machine on them is the kernel machine of that subspace. A word of over LONGEST characters is read by
+its parts between punctuation and by overlapping pieces; words of one or two characters in a row are
+read as one word too. A text is as toxic as its most toxic
 word; a logistic curve over that margin gives the score.
 
 Labels mark texts, not words: training starts from words that stand out in toxic texts and moves to
@@ -20,6 +22,7 @@ count as toxic where one is. Rows are scored one by one, so ties need no rule.
 from __future__ import annotations
 
 import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +40,8 @@ MOST_TEXTS, WITNESSES, TOXIC_LANDMARKS, OTHER_LANDMARKS = 6_000, 2, 40, 8
 DECAY, LONGEST, LANDMARK_LONGEST, BLOCK, REMEMBERED = 0.5, 24, 12, 256, 1_000_000
 #: Evidence (a likelihood ratio's chi-square) from which a word counts as marked at the start.
 SURE = 16
+#: Lengths and strides of the pieces of a long run.
+PIECES = ((24, 12), (12, 4), (8, 2), (6, 2))
 _ALPHABET = 512
 
 
@@ -55,6 +60,48 @@ def _codes(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def pieces(run: str) -> set[str]:
+    """What a run of over LONGEST characters is read by: its parts between punctuation, and pieces that overlap."""
+    out = {x for x in re.split(r"[\W_]+", run) if 3 <= len(x) <= LONGEST}
+    for size, stride in PIECES:
+        if len(run) > size:
+            out.update(run[at : at + size] for at in range(0, len(run) - size, stride))
+            out.add(run[-size:])
+    return out
+
+
+def read_units(flat: pa.Array, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words that texts are read by, and the text of each."""
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    sizes = pc.utf8_length(flat).to_numpy()
+    more: list[str] = []
+    of: list[int] = []
+    far = np.flatnonzero(sizes > LONGEST)
+    for i, word in zip(far.tolist(), flat.take(pa.array(far)).to_pylist(), strict=True):
+        new = pieces(word)
+        more += new
+        of += [int(rows[i])] * len(new)
+    # runs of two or more words of one or two characters
+    small = np.concatenate([[False], sizes <= 2, [False]])
+    tiny = np.flatnonzero(small[1:-1])
+    if len(tiny):
+        new = (~small[tiny]) | np.concatenate([[True], rows[tiny[1:]] != rows[tiny[:-1]]])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(tiny)))
+        words = flat.take(pa.array(tiny)).to_pylist()
+        for at, n in zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True):
+            run = "".join(words[at : at + n])
+            if len(run) >= 3:
+                found = pieces(run) if len(run) > PIECES[-1][0] else set()
+                if len(run) <= LONGEST:
+                    found.add(run)
+                more += found
+                of += [int(rows[tiny[at]])] * len(found)
+    near = sizes <= LONGEST
+    units = pa.concat_arrays([flat.filter(pa.array(near)), pa.array(more, flat.type)])
+    return units, np.concatenate([rows[near], np.array(of, rows.dtype)])
+
+
 class Landmarks:
     """Kernels of words with a fixed list of words."""
 
@@ -168,10 +215,9 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 4) -> Model:
     toxic = labels == 1
     if not toxic.any() or toxic.all():
         return Model(None, None, 0.0, constant=float(toxic.mean()) if len(labels) else 0.0)
-    flat, bounds = split(pa.array(texts, pa.string()))
+    flat, rows = read_units(*split(pa.array(texts, pa.string())))
     coded = flat.dictionary_encode()
     words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
     pairs = np.unique(rows * len(words) + codes)
     rows, codes = pairs // len(words), pairs % len(words)
     bad = np.bincount(codes[toxic[rows]], minlength=len(words))
@@ -265,10 +311,9 @@ def _score(model: Model, key: str):
             flat, bounds = split(batch.column(batch.num_columns - 1))
             top = np.full(batch.num_rows, -1.5, np.float32)
             if model.constant is None and len(flat):
-                coded = flat.dictionary_encode()
-                margin = _margins_of(model, coded.dictionary, kept)[coded.indices.to_numpy()]
-                some = np.flatnonzero(np.diff(bounds))
-                top[some] = np.maximum.reduceat(margin, bounds[some])
+                units, rows = read_units(flat, bounds)
+                coded = units.dictionary_encode()
+                np.maximum.at(top, rows, _margins_of(model, coded.dictionary, kept)[coded.indices.to_numpy()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(top), pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return run

@@ -151,6 +151,30 @@ def test_toxicity(spark):
     assert got[1001]["predicted"] == got[1002]["predicted"] == 0 and got[1000]["score"] > got[1001]["score"]
 
 
+def test_toxicity_hidden_in_runs():
+    """An insult in the middle of a long run, joined by punctuation or spaced out."""
+    rng = random.Random(5)
+    usual = ["".join(rng.choice(["ta", "ri", "on", "er", "the", "an"]) for _ in range(rng.randint(1, 3))) for _ in range(200)]
+    texts = [" ".join(rng.choice(usual) for _ in range(20)) for _ in range(600)]
+    bad = ["zwikkum", "grobnak", "vuxpoj"]
+    labels = np.array([int(i % 5 == 1) for i in range(600)])
+    texts = [f"{t} {bad[i % 3]}" if labels[i] else t for i, t in enumerate(texts)]
+    model = toxicity.fit(texts, labels)
+
+    def score(text):
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array([text, "the"])], ["text"])
+        return next(toxicity._score(model, "test hidden")(iter([batch]))).column("score").to_pylist()[0]
+
+    for word in bad:
+        assert score(f"theritaon http://tarion.er/therian/{word}/antaritherontaon/erthe er") >= 0.5
+        assert score(f"theritaon taritheronan{word}theronantaritheri er") >= 0.5
+        assert score(f"theritaon taritheron-an_{word}-theronanta-ritheri er") >= 0.5
+        assert score(f"theritaon {' '.join(word)} erthe") >= 0.5
+    assert score("theritaon taritheronantaritheronantaritheri er on an er") < 0.5
+
+
 def _brute_components(sets, link):
     parent = list(range(len(sets)))
 
