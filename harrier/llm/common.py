@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
@@ -24,18 +25,54 @@ def fold(modulus: int, key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder that the session names.
+def _shared(spark: SparkSession) -> str:
+    """The shared folder that the session names; only a session without one (tests, a laptop) gets one below its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
 
-    Only a session without such a folder (tests, a laptop) gets one below its warehouse.
-    """
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder; Spark deletes the files when nothing refers to them any more."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        sc.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written to the shared folder while an operator runs. A table that has been replaced is deleted at once.
+
+    What the operator's own result still reads must be given to `checkpoint` instead.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{_shared(spark)}/{uuid.uuid4().hex}"
+        self.at: dict[str, str] = {}
+        self.made = 0
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table and read it again; an older one of that name goes."""
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.at[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.at.pop(name, None):
+                self._delete(path)
+
+    def close(self) -> None:
+        self.at.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -46,9 +83,10 @@ def _tables() -> dict:
 
 
 def per_worker(name: str, key, make: Callable):
-    """What `make` gives, kept in this Python worker for as long as `key` stays the same."""
+    """What `make` gives, kept in this Python worker until something else is asked for: one model at a time."""
     kept = _tables().get(name)
     if kept is None or kept[0] != key:
+        _tables().clear()
         kept = _tables()[name] = (key, make())
     return kept[1]
 
@@ -64,11 +102,20 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, bounds - bounds[0]
 
 
-def parts(batches: Iterable[pa.RecordBatch], rows: int = 2500) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of a few rows, so that what is made from a part stays small."""
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 2500, column: int | None = None, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what is made from a part stays small.
+
+    With `column`, the texts of a part have `most` bytes at most, or it is a single row.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)) if column is not None and batch.num_rows else None
+        while at < batch.num_rows:
+            to = min(batch.num_rows, at + rows)
+            if ends is not None:
+                to = min(to, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.common import checkpoint
+from harrier.llm.common import Scratch, checkpoint
 
 
 def reshuffled(key: str) -> Column:
@@ -21,20 +21,23 @@ def components(links: DataFrame) -> DataFrame:
     a number of rounds that grows with the logarithm of the nodes. No node's neighbours meet in one
     task but for their minimum. Links of a node with itself are allowed; nodes without a link have no row.
     """
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    alone = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.keep("edges", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    alone = scratch.keep("alone", edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component")))
     edges = edges.where("u > v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(reshuffled("u").alias("k"), "m")
         large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpoint(large.distinct())
+        large = scratch.keep("large", large.distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least.select(reshuffled("u").alias("k"), "m"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = scratch.keep("edges", moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         roots = edges.select(F.col("v").alias("u")).distinct()
         if roots.join(edges.select("u").distinct(), "u").isEmpty():
             break
     tree = edges.groupBy("u").agg(F.min("v").alias("component"))
     found = tree.select(F.col("u").alias("node"), "component").unionByName(tree.select(F.col("component").alias("node"), "component").distinct())
-    return found.unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
+    out = checkpoint(found.unionByName(alone).groupBy("node").agg(F.min("component").alias("component")))
+    scratch.close()
+    return out

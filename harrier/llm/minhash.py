@@ -2,8 +2,8 @@
 
 Documents of one shingle set are one node. Of each node's 100 minima the low 4 bits are packed into
 a signature; 20 bands of 5 full minima propose candidates, 25 of 4 where the threshold is below 0.85. A crowded band never yields all its pairs:
-its nodes are compared with one of them, and later, where the links found leave it in several
-components, with others of them, and at last across the components that remain. A pair whose
+each of its nodes is compared with the likeliest of its bands' heads, later, where the links found leave a
+band in several components, with all heads, and at last across the components that remain. A pair whose
 collision-corrected bit count lies far below the threshold is dropped; the others are decided by
 their whole sets. At similarity 0.85 a link misses all bands once in 100,000 times,
 at 0.8 once in 500,000.
@@ -11,7 +11,7 @@ at 0.8 once in 500,000.
 Words are runs of non-blank characters, A-Z lower-cased; a set has the distinct runs of
 `size` words (three for op8), or the whole sequence where it is shorter. Documents without a word have an empty set, link
 with nothing and are kept. Repeated rows share a set; ties fall to the smallest doc_id. Rows with a
-null doc_id take part, and a component of only such rows has a null id.
+null doc_id take part; a component of only such rows has a null id, and its rows are kept.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.common import checkpoint, mixed_bits, parts, shingles, split, word_hashes
+from harrier.llm.common import Scratch, checkpoint, mixed_bits, parts, shingles, split, word_hashes
 from harrier.llm.components import components, reshuffled
 
 #: Minima, rows of a band, low bits kept of a minimum, and by how much an estimate may fall short of the threshold.
-MINIMA, ROWS, BITS, SLACK = 100, 5, 4, 0.2
+MINIMA, ROWS, BITS, SLACK = 100, 5, 4, 0.18
 LONGS = -(-MINIMA // 16)
-#: Rounds in which a crowded band is compared with another of its nodes before the rest of its pairs is taken.
-ROUNDS = 2
+#: Rounds in which a node is compared with the likeliest head of its bands, and rounds with all their heads, before the rest of the pairs is taken.
+NEAREST, ROUNDS = 2, 2
 
 
 def _seeds(n: int, start: int) -> np.ndarray:
@@ -93,7 +93,7 @@ def set_hash(own: np.ndarray) -> int:
 
 def _signed(size: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, 1500, 1):
             n, ids, low = [], [], np.zeros((batch.num_rows, MINIMA), np.uint32)
             for i, own in enumerate(sets_of(batch.column(1), size)):
                 n.append(len(own))
@@ -111,7 +111,7 @@ def _signed(size: int, width: int):
 
 def _whole_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, 1500, 0):
             ids, raw = [], []
             for own in sets_of(batch.column(0), size):
                 if len(own):
@@ -149,68 +149,85 @@ def _linked(percent: int):
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, kept: links join documents of which the sets' similarity is `percent` in 100 or more."""
+    scratch = Scratch(docs.sparkSession)
     plain = docs.select("doc_id", "text")
-    rows = checkpoint(plain.mapInArrow(_signed(size, ROWS if percent >= 85 else ROWS - 1), "doc_id long, n_shingles long, node long, bands array<long>, signature array<long>"))
-    nodes = checkpoint(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+    signed = scratch.keep("signed", plain.mapInArrow(_signed(size, ROWS if percent >= 85 else ROWS - 1), "doc_id long, n_shingles long, node long, bands array<long>, signature array<long>"))
+    rows = checkpoint(signed.select("doc_id", "n_shingles", "node"))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = scratch.keep("nodes", nodes)
+    scratch.drop("signed")
     spread = nodes.select(F.explode("bands").alias("key"), "node")
     crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = spread.join(crowded.select(reshuffled("key").alias("k"), "n"), F.col("key") == F.col("k")).select("key", "node", "n")
-    met = checkpoint(met.join(nodes.select(F.col("node").alias("id"), "signature"), F.col("node") == F.col("id")).select("key", "node", "n", "signature"))
-    wanted = nodes.join(met.select(F.col("node").alias("id")).distinct(), F.col("node") == F.col("id"), "left_semi")
+    met = scratch.keep("met", spread.join(crowded.select(reshuffled("key").alias("k"), "n"), F.col("key") == F.col("k")).select("key", "node", "n"))
+    wanted = nodes.join(met.select(F.col("node").alias("id")).distinct(), F.col("node") == F.col("id"), "left_semi").select("node", "first_doc", "signature")
+    wanted = scratch.keep("wanted", wanted)
+    firsts = checkpoint(nodes.select("node", "first_doc"))
+    scratch.drop("nodes")
     texts = plain.join(wanted.select(F.col("first_doc").alias("doc")), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
     sets = texts.select("text").mapInArrow(_whole_sets(size), "node long, items binary").join(wanted.select(F.col("node").alias("id")), F.col("node") == F.col("id"), "left_semi")
-    sets = checkpoint(sets.groupBy("node").agg(F.first("items").alias("items")))
+    sets = scratch.keep("sets", sets.groupBy("node").agg(F.first("items").alias("items")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of rows (a, b) the pairs that link."""
-        pairs = pairs.distinct()
+        """Of rows (a, b) the pairs that link; a's set, which many pairs may name, is sent once for all of them."""
         pairs = pairs.join(sets.select(F.col("node").alias("kb"), F.col("items").alias("ib")), F.col("b") == F.col("kb")).select("a", "b", "ib")
         pairs = pairs.join(sets.select(reshuffled("node").alias("ka"), F.col("items").alias("ia")), F.col("a") == F.col("ka")).select("a", "b", "ia", "ib")
         return pairs.mapInArrow(_linked(percent), "a long, b long")
 
-    def stars(met: DataFrame, order) -> DataFrame:
-        """Each crowded band's nodes beside the one that is least in the given order, if of another component."""
-        head = met.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "component", "signature")).alias("h")).select(reshuffled("key").alias("k"), "h")
-        likely = estimate(F.col("signature"), F.col("h.signature")) >= percent / 100 - SLACK
-        got = met.join(head, (F.col("key") == F.col("k")) & (F.col("component") != F.col("h.component")) & likely)
-        return got.select(F.col("h.node").alias("a"), F.col("node").alias("b"))
-
-    links = checkpoint(confirmed(stars(met.withColumn("component", F.col("node")), F.col("node"))))
-    found = checkpoint(components(links))
-    # a band of two nodes is settled by its one pair
-    left = met.where("n > 2")
-    for turn in range(ROUNDS + 1):
+    def heads(named: DataFrame, order) -> DataFrame:
+        """Rows (a, b, like): each crowded band's nodes beside the one that is least in the given order, if of another component and likely alike."""
+        head = named.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "component", "signature")).alias("h")).select(reshuffled("key").alias("k"), "h")
+        like = estimate(F.col("signature"), F.col("h.signature"))
+        got = named.join(head, (F.col("key") == F.col("k")) & (F.col("component") != F.col("h.component")) & (like >= percent / 100 - SLACK))
+        return got.select(F.col("h.node").alias("a"), F.col("node").alias("b"), like.alias("like"))
+
+    def still_open(left: DataFrame, found: DataFrame | None) -> DataFrame:
+        """The rows of bands whose nodes lie in several components."""
+        if found is None:
+            return left.withColumn("component", F.col("node"))
         named = left.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), F.col("node") == F.col("id"), "left")
-        named = named.select("key", "node", "n", "signature", F.coalesce("c", "node").alias("component"))
+        named = named.select("key", "node", "n", F.coalesce("c", "node").alias("component"))
         open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        named = checkpoint(named.join(open_.select(reshuffled("key").alias("k")), F.col("key") == F.col("k"), "left_semi"))
-        if named.isEmpty():
+        return named.join(open_.select(reshuffled("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
+
+    def signed_(named: DataFrame) -> DataFrame:
+        return named.join(wanted.select(F.col("node").alias("id"), "signature"), F.col("node") == F.col("id")).select("key", "node", "n", "component", "signature")
+
+    links, found, left = None, None, met
+    for turn in range(NEAREST + ROUNDS + 1):
+        left = scratch.keep("left", still_open(left, found))
+        # a band of two nodes is settled once all heads have been compared
+        if turn > NEAREST:
+            left = left.where("n > 2")
+        if left.isEmpty():
             break
-        if turn < ROUNDS:
-            new = stars(named, F.xxhash64(F.lit(turn), "node"))
+        named = signed_(left)
+        if turn < NEAREST:
+            # each node beside the likeliest of its bands' heads only, which settles nearly all bands
+            new = heads(named, F.xxhash64(F.lit(turn), "node")).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b")
+        elif turn < NEAREST + ROUNDS:
+            new = heads(named, F.xxhash64(F.lit(turn), "node") if turn > NEAREST else F.col("node")).select("a", "b").distinct()
         else:
             # a shingle that no other node holds is in no intersection, which bounds every pair of its node
-            ids = named.select(F.col("node").alias("id")).distinct()
+            ids = left.select(F.col("node").alias("id")).distinct()
             held = sets.join(ids, F.col("node") == F.col("id"), "left_semi")
             items = held.mapInArrow(_items, "node long, item long").groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node"))
             own = items.where("c = 1").groupBy("node").agg(F.count("*").alias("own")).withColumnRenamed("node", "k")
             sizes = held.select("node", (F.length("items") / 8).cast("long").alias("size")).join(own, F.col("node") == F.col("k"), "left")
             sizes = sizes.select(F.col("node").alias("id"), "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common")).where(100 * F.col("common") >= percent * F.col("size"))
-            open_ = checkpoint(named.join(sizes, F.col("node") == F.col("id")).select("key", "node", "signature", "component", "size", "common"))
+            open_ = scratch.keep("open", named.join(sizes, F.col("node") == F.col("id")).select("key", "node", "signature", "component", "size", "common"))
             other = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
             likely = estimate(F.col("signature"), F.col("o_signature")) >= percent / 100 - SLACK
             most = F.least("common", "o_common")
             fits = 100 * most >= percent * (F.col("size") + F.col("o_size") - most)
-            new = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("component") > F.col("o_component")) & fits & likely).select(F.col("o_node").alias("a"), F.col("node").alias("b"))
-        new = checkpoint(confirmed(new))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = checkpoint(components(links))
-        left = named.select("key", "node", "n", "signature")
-    named = nodes.select("node", "first_doc").join(found.select(F.col("node").alias("id"), "component"), F.col("node") == F.col("id"), "left")
+            new = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("component") > F.col("o_component")) & fits & likely).select(F.col("o_node").alias("a"), F.col("node").alias("b")).distinct()
+        new = confirmed(new)
+        links = scratch.keep("links", new if links is None else links.unionByName(new))
+        found = components(links)
+    named = firsts.join(found.select(F.col("node").alias("id"), "component"), F.col("node") == F.col("id"), "left") if found is not None else firsts.withColumn("component", F.col("node"))
     named = checkpoint(named.select("node", "first_doc", F.coalesce("component", "node").alias("component")))
+    scratch.close()
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id")).select(reshuffled("component").alias("c"), "component_id")
     named = named.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("id"), "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("id"), "left")
+    out = rows.join(named, F.col("node") == F.col("id"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
