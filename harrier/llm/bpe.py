@@ -3,7 +3,10 @@
 A text is cut into the matches of the tokenizer's pattern. The distinct matches of a batch that
 are no token themselves become token-position rows; a recursive query joins neighbouring rows
 with the merge table and contracts the leftmost pair of the lowest rank in each match, until no
-pair is left. An ordered aggregate over the token table turns ids back into bytes.
+pair is left. A match of over SHORT bytes goes through a second query that keeps the last state only and
+contracts in one step all places of that pair, up to the first that makes a pair of lower rank, which is
+what one at a time, leftmost first, comes to. An ordered aggregate over the token table turns the ids of
+all distinct matches back into bytes.
 
 Nulls count as empty texts, which have no tokens. Rows never meet, so repeated rows and ties need
 no rule; an empty table gives an empty result. Columns other than the key and the text are only
@@ -22,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.common import per_worker
+from harrier.llm.common import parts, per_worker
 
-#: Matches sent through one recursive query, and matches remembered by a Python worker.
-QUERY_PIECES, CACHED_PIECES = 40_000, 600_000
+#: Matches sent through one recursive query and the squares of their sizes (which bound its state), matches remembered by a Python worker, and bytes of a short match.
+QUERY_PIECES, QUERY_SQUARES, CACHED_PIECES, SHORT = 40_000, 6_000_000, 200_000, 64
 
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
-#: Position and next position share a number with the rank: 2**22 bytes for the longest match.
+#: Position and next position share a number with the rank, 22 bits each: far more than SHORT.
 _MERGE = """
 WITH RECURSIVE t(step, w, p, id) AS (
   SELECT 0, w, p, id FROM base
@@ -47,6 +50,36 @@ WITH RECURSIVE t(step, w, p, id) AS (
 SELECT w, id FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, p
 """
 
+#: t has the rows that the last step changed, recurring.t the last state of all; -1 marks a place that has gone.
+#: run: neighbouring places of one pair overlap, and every second one is taken. lower: merges of lower rank than a part of theirs.
+_MERGE_LONG = """
+WITH RECURSIVE t(w, p, id) USING KEY (w, p) AS (
+  SELECT w, p, id FROM base
+  UNION ALL
+  (WITH live AS (
+     SELECT w, p, id, lag(id) OVER f AS before, lead(id) OVER f AS next_id, lead(p) OVER f AS next_p, lead(id, 2) OVER f AS after, row_number() OVER f AS k
+     FROM recurring.t WHERE id >= 0 AND w IN (SELECT w FROM t) WINDOW f AS (PARTITION BY w ORDER BY p)
+   ), pairs AS (
+     SELECT w, p, next_p, before, after, k, m.id AS made FROM live JOIN merges m ON m.l = live.id AND m.r = live.next_id
+   ), hits AS (
+     SELECT *, k - row_number() OVER (PARTITION BY w ORDER BY k) AS run FROM pairs JOIN (SELECT w, min(made) AS made FROM pairs GROUP BY w) USING (w, made)
+   ), apart AS (
+     SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY w, run ORDER BY k) % 2 = 1
+   ), placed AS (
+     SELECT w, k, p, next_p, made, after, CASE WHEN lag(k) OVER (PARTITION BY w ORDER BY k) = k - 2 THEN made ELSE before END AS before FROM apart
+   ), cut AS (
+     SELECT w, min(k) AS k FROM (
+       SELECT w, k FROM placed JOIN lower x ON x.l = made AND x.r = after WHERE x.id < made
+       UNION ALL
+       SELECT w, k FROM placed JOIN lower x ON x.l = before AND x.r = made WHERE x.id < made) GROUP BY w
+   ), chosen AS (
+     SELECT placed.w, p, next_p, made FROM placed LEFT JOIN cut ON placed.w = cut.w WHERE placed.k <= coalesce(cut.k, placed.k)
+   )
+   SELECT w, p, made FROM chosen UNION ALL SELECT w, next_p, -1 FROM chosen)
+)
+SELECT w, id FROM t WHERE id >= 0 ORDER BY w, p
+"""
+
 _DECODE = """
 SELECT w, unhex(string_agg(h, '' ORDER BY p)) AS b
 FROM ids JOIN tokens USING (id) GROUP BY w ORDER BY w
@@ -77,9 +110,11 @@ class Codec:
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), out.append(rank)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # executors share no folder: what a query holds is bounded, and nothing is spilled
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         as_int = lambda x: pa.array(x, pa.int32())
         self._table("merges", pa.table({"l": as_int(left), "r": as_int(right), "id": as_int(out)}))
+        self.con.execute("CREATE TABLE lower AS SELECT * FROM merges WHERE id < greatest(l, r)")
         self._table("tokens", pa.table({"id": as_int(list(self.ranks.values())), "h": [k.hex() for k in self.ranks]}))
         self.known: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
@@ -90,13 +125,13 @@ class Codec:
         self.con.unregister("given")
 
     def merge(self, pieces: Sequence[bytes]) -> list[np.ndarray]:
-        """Each piece's ids by the recursive query."""
+        """Each piece's ids by the recursive queries, which one the longest piece decides."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         first = np.cumsum(sizes) - sizes
         base = pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes), "p": (np.arange(len(flat)) - np.repeat(first, sizes)).astype(np.int32), "id": self.byte_ids[flat]})
         self.con.register("base", base)
-        out = self.con.execute(_MERGE).fetchnumpy()
+        out = self.con.execute(_MERGE if sizes.max(initial=0) <= SHORT else _MERGE_LONG).fetchnumpy()
         self.con.unregister("base")
         ids, ends = np.asarray(out["id"], "<u4"), np.cumsum(np.bincount(out["w"], minlength=len(pieces)))
         return [ids[a:b] for a, b in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), strict=True)]
@@ -104,20 +139,25 @@ class Codec:
     def learn(self, chunks: list[str]) -> None:
         """Remember the ids of all these chunks of text."""
         cut = [self.find(x) for x in chunks]
-        ask = []
+        ask, whole = [], []
         for x in {x for own in cut for x in own}:
             if x not in self.known:
                 raw = x.encode()
-                if (rank := self.ranks.get(raw)) is not None:
-                    self._keep([x], [raw], [np.array([rank], "<u4")])
+                if raw in self.ranks:
+                    whole.append((x, np.array([self.ranks[raw]], "<u4")))
                 else:
                     ask.append((len(raw), x, raw))
+        for i in range(0, len(whole), QUERY_PIECES):
+            self._keep([x for x, _ in whole[i : i + QUERY_PIECES]], [own for _, own in whole[i : i + QUERY_PIECES]])
         ask.sort()  # matches of like length end after about as many steps
-        for i in range(0, len(ask), QUERY_PIECES):
-            part = ask[i : i + QUERY_PIECES]
-            raws = [x[2] for x in part]
-            ids = self.merge(raws)
-            self._keep([x[1] for x in part], self.decode_all(ids), ids)
+        i = 0
+        while i < len(ask):
+            to = i + 1
+            squares = ask[i][0] ** 2
+            while to < len(ask) and to - i < QUERY_PIECES and (squares := squares + ask[to][0] ** 2) <= QUERY_SQUARES and (ask[to][0] > SHORT) == (ask[i][0] > SHORT):
+                to += 1
+            self._keep([x for _, x, _ in ask[i:to]], self.merge([raw for _, _, raw in ask[i:to]]))
+            i = to
         known = self.known
         for x, own in zip(chunks, cut, strict=True):
             if len(own) != 1:
@@ -125,8 +165,8 @@ class Codec:
                 if self.odd and any(y in self.odd for y in own):
                     self.odd[x] = b"".join([self.odd.get(y, y.encode()) for y in own])
 
-    def _keep(self, pieces: list[str], back: list[bytes], ids: list[np.ndarray]) -> None:
-        for x, b, own in zip(pieces, back, ids, strict=True):
+    def _keep(self, pieces: list[str], ids: list[np.ndarray]) -> None:
+        for x, b, own in zip(pieces, self.decode_all(ids), ids, strict=True):
             self.known[x] = own.tobytes()
             if b != x.encode():
                 self.odd[x] = b  # decoded bytes are stored where they aren't the match itself
@@ -198,8 +238,7 @@ def _round_trip(content: bytes, pattern: str, texts_of: int, digests: bool):
         codec = None
         for batch in batches:
             codec = codec or per_worker("bpe", key, lambda: Codec(content, pattern))
-            for at in range(0, batch.num_rows, texts_of):
-                part = batch.slice(at, texts_of)
+            for part in parts([batch], texts_of, batch.num_columns - 1):
                 texts = pc.fill_null(part.column(part.num_columns - 1), "")
                 chunks, codes, bounds = _chunked(texts)
                 ids, back = (_joined(x, codes, bounds) for x in codec.encode_all(chunks))
@@ -212,7 +251,7 @@ def _round_trip(content: bytes, pattern: str, texts_of: int, digests: bool):
     return run
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc_id",), digests: bool = False, texts_of: int = 4000) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc_id",), digests: bool = False, texts_of: int = 1500) -> DataFrame:
     """Encode each text by the rank file at `path`, then decode the ids.
 
     Gives the `keep` columns, n_tokens, and either `ids` (binary, little-endian unsigned 32-bit)
