@@ -6,7 +6,8 @@ trigrams are likeliest. The languages in the mixture are chosen by penalised lik
 candidates enter in order of their share in the mixture of all languages, and the set with the best
 log-likelihood less a charge for each language wins. The largest share names the document.
 
-Texts are scored whole. Texts that are null or have no letter are `und` with score 0; so is every
+A lone letter is a trigram too, between blanks. The score is the winner's share, or a single language's probability among all, so a text that any language
+may have written scores low. Texts are scored whole. Texts that are null or have no letter are `und` with score 0; so is every
 text where no language could be learned. Rows with a null language teach nothing. Each row is
 scored by itself, so repeated rows and ties need no rule (equal shares: the smaller language code).
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from harrier.llm.common import fold
 
 #: Buckets of trigrams, steps of the mixture's inference, prior count of a bucket, texts inferred together.
-BUCKETS, STEPS, PRIOR, BLOCK = 4096, 12, 0.5, 256
+BUCKETS, STEPS, PRIOR, BLOCK = 8192, 12, 0.5, 256
 #: Characters hashed at once.
 _SPAN = 1_000_000
 
@@ -36,19 +37,19 @@ def _letters() -> np.ndarray:
 
 
 def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts, a blank after each, with 0 for what is no letter; and the texts' bounds."""
+    """Code points of the lower-cased texts, each with a blank before and after it, and 0 for what is no letter; and where each begins."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
-    points = np.frombuffer(" ".join([*low.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum(pc.utf8_length(low).to_numpy().astype(np.int64) + 1)
+    points = np.frombuffer((" " + "  ".join(low.to_pylist()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(pc.utf8_length(low).to_numpy().astype(np.int64) + 2)
     return np.where(_letters()[points], points, 0).astype(np.uint32), np.concatenate([[0], ends])
 
 
 def _buckets(points: np.ndarray) -> np.ndarray:
-    """The bucket of the trigram that begins at each position, -1 where no letter is in its middle."""
+    """The bucket of the trigram that begins at each position, -1 where no letter is in its middle: so none lies in two texts."""
     h = points * np.uint32(0x9E3779B1)
     h[:-1] = (h[:-1] ^ (points[1:] * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
     h[:-2] = (h[:-2] ^ (points[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
-    out = (h >> np.uint32(20)).astype(np.int32) % BUCKETS
+    out = (h >> np.uint32(8)).astype(np.int32) % BUCKETS
     middle = np.concatenate([points[1:], np.zeros(1, np.uint32)])
     out[middle == 0] = -1
     return out
@@ -66,7 +67,9 @@ def _spans(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def _counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (text, bucket), and whether a text has a letter."""
+    """Counts (text, bucket), and whether a text has a letter; of a text alone, whatever its neighbours."""
+    if not len(texts):
+        return np.zeros((0, BUCKETS), np.float32), np.zeros(0, bool)
     points, bounds = _lowered(texts)
     bucket = _buckets(points)
     rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -113,8 +116,8 @@ def infer(counts: np.ndarray, model: np.ndarray, allowed: np.ndarray) -> tuple[n
     return shares, (counts * np.log(np.maximum(shares @ model, 1e-30))).sum(1)
 
 
-def choose(counts: np.ndarray, model: np.ndarray, charge: float) -> np.ndarray:
-    """Shares of the languages in each text's best set; 0 outside it."""
+def choose(counts: np.ndarray, model: np.ndarray, charge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the languages in each text's best set, 0 outside it; and how sure the set is: of a single language, its probability among all."""
     n, k = len(counts), len(model)
     full, best_full = infer(counts, model, np.ones((n, k), np.float32))
     order = np.argsort(-full, 1, kind="stable")
@@ -124,6 +127,7 @@ def choose(counts: np.ndarray, model: np.ndarray, charge: float) -> np.ndarray:
     shares = np.zeros((n, k), np.float32)
     shares[np.arange(n), first] = 1
     best = single[np.arange(n), first]
+    sure = 1 / np.exp(single - best[:, None]).sum(1, dtype=np.float64)
     # No set is likelier than that of all languages, which bounds what more languages can win.
     for m in range(2, k + 1):
         open_ = np.flatnonzero(best_full - (m - 1) * fee > best)
@@ -134,8 +138,8 @@ def choose(counts: np.ndarray, model: np.ndarray, charge: float) -> np.ndarray:
         got, value = infer(counts[open_], model, allowed)
         value = value - (m - 1) * fee[open_]
         won = value > best[open_]
-        shares[open_[won]], best[open_[won]] = got[won], value[won]
-    return shares
+        shares[open_[won]], best[open_[won]], sure[open_[won]] = got[won], value[won], 1.0
+    return shares, sure
 
 
 def _predict(langs: list[str], model: np.ndarray, charge: float):
@@ -146,10 +150,10 @@ def _predict(langs: list[str], model: np.ndarray, charge: float):
                 counts, has = _counts(texts.slice(at, to - at))
                 if not langs:
                     has[:] = False
-                shares = choose(counts, model, charge) if langs else np.zeros((len(has), 1))
+                shares, sure = choose(counts, model, charge) if langs else (np.zeros((len(has), 1)), np.zeros(len(has)))
                 top = shares.argmax(1)
                 names += [langs[t] if h else "und" for t, h in zip(top, has, strict=True)]
-                scores.append(np.where(has, np.clip(shares.max(1), 0, 1), 0.0).astype(np.float64))
+                scores.append(np.where(has, np.round(np.clip(shares.max(1) * sure, 0, 1), 6), 0.0).astype(np.float64))
             scores = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names[:-1], "lang_pred", "score"])
 

@@ -60,10 +60,11 @@ def test_bpe_as_the_library(spark, corpus):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    odd = [(400 + k, t) for k, t in enumerate(["a   b", "\n  x", "a\n  b  ", "   ", "don't  we'll   x", "　 　 y 12 ³½_!? \r\n\t z"])]
-    df = corpus[0].where("doc_id <> 304 OR doc_id IS NULL").unionByName(docs(spark, [(i, t, None, None) for i, t in odd]))
-    texts = [t or "" for i, t in corpus[1] + odd if i != 304]
-    expect = Counter((len(ids := enc.encode_ordinary(t)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for t in texts)
+    odd = [(400 + k, t) for k, t in enumerate(["a   b", "\n  x", "a\n  b  ", "   ", "don't  we'll   x", "　 　 y 12 ³½_!? \r\n\t z", "q" * 200_000, "".join(random.Random(1).choice("ACGT") for _ in range(20_000)), "".join(random.Random(2).choice("abcxyzé") for _ in range(3000))])]
+    df = corpus[0].unionByName(docs(spark, [(i, t, None, None) for i, t in odd]))
+    texts = [t or "" for i, t in corpus[1] + odd]
+    encode = lambda t: enc.encode_ordinary(t) if len(t) < 50_000 else enc._core_bpe.encode_single_piece(t.encode())
+    expect = Counter((len(ids := encode(t)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for t in texts)
     assert Counter((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op2_bpe(df).collect()) == expect
 
 
@@ -74,6 +75,42 @@ def test_language(corpus):
     assert {r["lang_pred"] for r in rest.values()} == {"und"}
 
 
+def test_language_of_a_text_alone(spark, corpus):
+    """Counts against a plain count of trigrams, and the same results in any order and in batches of any size."""
+    import pyarrow as pa
+
+    texts = ["der Hund", "a", "", "Ünd x9y", None, "b", "ab\ncd"]
+    every, has = langid._counts(pa.array(texts))
+    for i, t in enumerate(texts):
+        own, letter = langid._counts(pa.array([t], pa.string()))
+        padded = [" ", *["".join(c if c.isalpha() else " ") for c in (t or "").lower()], " "]
+        assert (own[0] == every[i]).all() and letter[0] == has[i] == any(c.isalpha() for c in t or "")
+        assert own.sum() == sum(padded[k].isalpha() for k in range(1, len(padded) - 1))
+    key = lambda df: Counter((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.op3_langid(df).collect())
+    lone = docs(spark, [(900, "x", None, None), (901, "ж", None, None)])
+    df = corpus[0].unionByName(lone)
+    assert key(df) == key(df.orderBy(F.desc("doc_id")).repartition(7))
+    assert all(r["score"] < 0.9 for r in langid.op3_langid(df).where("doc_id = 901").collect())
+
+
+def test_mixture_inference_as_a_plain_loop():
+    rng = np.random.default_rng(3)
+    model = rng.dirichlet(np.ones(40), 3).astype(np.float32)
+    counts = np.stack([rng.multinomial(60, model[0]), rng.multinomial(60, 0.5 * model[1] + 0.5 * model[2])]).astype(np.float32)
+    got, value = langid.infer(counts, model, np.ones((2, 3), np.float32))
+    for c, g, v in zip(counts, got, value, strict=True):
+        share = [1 / 3] * 3
+        for _ in range(langid.STEPS):
+            new = [0.0] * 3
+            for b, n in enumerate(c):
+                p = [share[k] * float(model[k][b]) for k in range(3)]
+                for k in range(3):
+                    new[k] += n * p[k] / sum(p) / c.sum()
+            share = new
+        assert np.allclose(share, g, atol=1e-4)
+        assert abs(v - sum(n * math.log(sum(share[k] * float(model[k][b]) for k in range(3))) for b, n in enumerate(c))) < 1e-2
+
+
 def test_fingerprints(spark, corpus):
     rows = [(i, t or "") for i, t in corpus[1] if i is not None and i != 7]
     got = {r["doc_id"]: r for r in syncmers.op4_syncmers(corpus[0].where("doc_id IS NOT NULL AND doc_id <> 7")).collect()}
