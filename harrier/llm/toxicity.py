@@ -10,8 +10,10 @@ read as one word too. A text is as toxic as its most toxic
 word; a logistic curve over that margin gives the score.
 
 Labels mark texts, not words: training starts from words that stand out in toxic texts and moves to
-each toxic text's own worst words for some rounds. It is fitted in one task from MOST_TEXTS
-labelled texts at most, the first in the order of a hash of their content; scoring covers all texts.
+each toxic text's own worst words for some rounds. It is fitted in one task from a bounded sample:
+MOST_TEXTS labelled texts at most, the first in the order of a hash, of MOST_OF_ONE characters at most each and
+MOST_CHARACTERS in all. Scoring covers all texts. There the machine is read in its primal form: a word's margin is a
+sum over its triples of characters of the landmarks' weighted sum, which is the same number.
 
 Texts that are null, empty or of white space only have no word and get the score of the weakest
 margin. Without toxic or without clean learning rows there is nothing to separate: the score is the
@@ -32,12 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.common import fold, parts, per_worker, split
+from harrier.llm.common import fold, parts, split
 
-#: Labelled texts to fit on, at most; the words of a text that may be its worst; landmarks of toxic and of other words.
-MOST_TEXTS, WITNESSES, TOXIC_LANDMARKS, OTHER_LANDMARKS = 6_000, 2, 40, 8
-#: Weight of a character of span, characters of a word that are compared and of a landmark, words in a block, words a worker remembers.
-DECAY, LONGEST, LANDMARK_LONGEST, BLOCK, REMEMBERED = 0.5, 24, 12, 256, 1_000_000
+#: Labelled texts to fit on, at most, the characters of one that may be drawn and of all that are used; the words of a text that may be its worst; landmarks of toxic and of other words.
+MOST_TEXTS, MOST_OF_ONE, MOST_CHARACTERS, WITNESSES, TOXIC_LANDMARKS, OTHER_LANDMARKS = 10_000, 200_000, 60_000_000, 2, 40, 8
+#: Weight of a character of span, characters of a word that is compared whole and of a landmark, words in a block.
+DECAY, LONGEST, LANDMARK_LONGEST, BLOCK = 0.5, 24, 12, 4096
 #: Evidence (a likelihood ratio's chi-square) from which a word counts as marked at the start.
 SURE = 16
 #: Lengths and strides of the pieces of a long run.
@@ -45,19 +47,16 @@ PIECES = ((24, 12), (12, 4), (8, 2), (6, 2))
 _ALPHABET = 512
 
 
-def _codes(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of each word as small numbers, 0 after its end, and the lengths.
-
-    A word beyond `longest` characters is compared by its first and last halves of that length.
-    """
-    half = longest // 2
-    cut = [w if len(w) <= longest else w[:half] + w[-half:] for w in words]
-    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-    out = np.zeros((len(cut), max(1, int(sizes.max(initial=0)))), np.int32)
-    points = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32)
-    mask = np.arange(out.shape[1]) < sizes[:, None]
-    out[mask] = points % (_ALPHABET - 1) + 1
-    return out, sizes
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the words of each length, and their characters as small numbers (word, place); BLOCK words at most."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    ends = np.cumsum(np.bincount(sizes, minlength=1))
+    for n in np.unique(sizes).tolist():
+        for at in range(int(ends[n - 1]) if n else 0, int(ends[n]), BLOCK):
+            rows = order[at : min(at + BLOCK, int(ends[n]))]
+            points = np.frombuffer("".join([words[i] for i in rows.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            yield rows, (points % (_ALPHABET - 1) + 1).astype(np.int32).reshape(len(rows), n)
 
 
 def pieces(run: str) -> set[str]:
@@ -103,48 +102,64 @@ def read_units(flat: pa.Array, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray
 
 
 class Landmarks:
-    """Kernels of words with a fixed list of words."""
+    """Kernels of words with a fixed list of words.
+
+    The subsequences that the landmarks hold are numbered; a word's kernels are sums over its own triples of
+    places. A weighted sum of the kernels needs one number for each subsequence (see `weighted`).
+    """
 
     def __init__(self, words: list[str]):
-        codes, _ = _codes(words, LONGEST)
-        m, size = codes.shape
-        self.shape = (m, size)
-        hit = np.zeros((_ALPHABET, m, size), np.float32)  # by a word's character: where it matches, times DECAY squared
-        at = np.nonzero(codes)
-        hit[codes[at], at[0], at[1]] = DECAY**2
-        self.span = np.where(np.arange(size)[:, None] <= np.arange(size), DECAY ** np.abs(np.arange(size)[:, None] - np.arange(size)), 0).astype(np.float32)
-        self.hit, self.first = hit, (hit.reshape(-1, size) @ self.span).reshape(hit.shape)
-        self.own = np.sqrt(np.maximum(_self_kernel(codes), 1e-12))
+        codes = [c[0] for w in words for _, c in _by_length([w])]
+        used = np.unique(np.concatenate([*codes, np.zeros(1, np.int32)]))
+        self.letter = np.zeros(_ALPHABET, np.int64)  # 0: no landmark holds it
+        self.letter[used[used > 0]] = np.arange(1, (used > 0).sum() + 1)
+        self.size = int((used > 0).sum()) + 1
+        keys, weights, of = [], [], []
+        for k, c in enumerate(codes):
+            c = self.letter[c]
+            for i, j, m in _triples(len(c)):
+                keys.append((c[i] * self.size + c[j]) * self.size + c[m]), weights.append(DECAY ** (m - i + 1)), of.append(k)
+        known, slot = np.unique(np.array(keys, np.int64), return_inverse=True)
+        self.slot = np.zeros(self.size**3, np.int32)  # 0: no landmark holds it
+        self.slot[known] = np.arange(1, len(known) + 1)
+        self.features = np.zeros((len(known) + 1, len(words)), np.float32)
+        np.add.at(self.features, (slot + 1, np.array(of, np.int64)), np.array(weights, np.float32))
+        self.features /= np.sqrt(np.maximum(np.einsum("ij,ij->j", self.features, self.features), 1e-12))
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Normalised kernels (word, landmark); 0 where a word has no subsequence of three characters."""
-        out = np.zeros((len(words), self.shape[0]), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), BLOCK):
-            rows = order[at : at + BLOCK]
-            codes, _ = _codes([words[i] for i in rows], LONGEST)
+        return np.minimum(self._sums(words, self.slot, self.features), 1)
+
+    def weighted(self, weights: np.ndarray) -> np.ndarray:
+        """A number for each subsequence, of which `total` makes the weighted sums of kernels."""
+        return (self.features @ weights).astype(np.float32)[self.slot]
+
+    def total(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        return self._sums(words, None, table)
+
+    def _sums(self, words: list[str], slot: np.ndarray | None, table: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), *table.shape[1:]), np.float32)
+        for rows, codes in _by_length(words):
+            n = codes.shape[1]
+            if n < 3:
+                continue
+            c = np.ascontiguousarray(self.letter[codes].T)
+            for first in range(n - 2):
+                for second in range(first + 1, n - 1):
+                    pair = (c[first] * self.size + c[second]) * self.size
+                    live = np.flatnonzero((c[first] > 0) & (c[second] > 0))
+                    if not len(live):
+                        continue
+                    for third in range(second + 1, n):
+                        key = pair[live] + c[third][live]
+                        out[rows[live]] += table[key if slot is None else slot[key]] * np.float32(DECAY ** (third - first + 1))
             own = np.sqrt(np.maximum(_self_kernel(codes), 1e-12))
-            out[rows] = self._raw(codes) / own[:, None] / self.own
-        return np.minimum(out, 1)
-
-    def _raw(self, codes: np.ndarray) -> np.ndarray:
-        n, (m, size) = len(codes), self.shape
-        one, two = np.zeros((n, m, size), np.float32), np.zeros((n, m, size), np.float32)
-        total = np.zeros((n, m), np.float32)
-        for i in range(codes.shape[1]):
-            c = codes[:, i]
-            hit = self.hit[c]
-            if i >= 2:
-                total += (hit[:, :, 1:] * two[:, :, :-1]).sum(2)
-            if i >= 1:
-                step = hit.copy()
-                step[:, :, 1:] *= one[:, :, :-1]
-                step[:, :, 0] = 0
-                two *= DECAY
-                two += step @ self.span
-            one *= DECAY
-            one += self.first[c]
-        return total
+            out[rows] /= own.reshape(-1, *[1] * (table.ndim - 1))
+        return out
+
+
+def _triples(n: int) -> list[tuple[int, int, int]]:
+    return [(i, j, k) for i in range(n - 2) for j in range(i + 1, n - 1) for k in range(j + 1, n)]
 
 
 def _self_kernel(codes: np.ndarray) -> np.ndarray:
@@ -153,13 +168,17 @@ def _self_kernel(codes: np.ndarray) -> np.ndarray:
     span = np.where(np.arange(size)[:, None] <= np.arange(size), DECAY ** np.abs(np.arange(size)[:, None] - np.arange(size)), 0).astype(np.float32)
     one, two, total = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32), np.zeros(n, np.float32)
     for i in range(size):
-        hit = ((codes == codes[:, i : i + 1]) & (codes > 0)) * np.float32(DECAY**2)
-        total += (hit[:, 1:] * two[:, :-1]).sum(1)
-        step = hit.copy()
-        step[:, 1:] *= one[:, :-1]
-        step[:, 0] = 0
-        two = two * DECAY + step @ span
-        one = one * DECAY + hit @ span
+        hit = (codes == codes[:, i : i + 1]) * np.float32(DECAY**2)
+        if i >= 2:
+            total += (hit[:, 1:] * two[:, :-1]).sum(1)
+        if i >= 1:
+            step = hit.copy()
+            step[:, 1:] *= one[:, :-1]
+            step[:, 0] = 0
+            two *= np.float32(DECAY)
+            two += step @ span
+        one *= np.float32(DECAY)
+        one += hit @ span
     return total
 
 
@@ -198,11 +217,12 @@ class Model:
 
     def __init__(self, landmarks: Landmarks, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0, constant: float | None = None):
         self.landmarks, self.weights, self.bias, self.slope, self.shift, self.constant = landmarks, weights, bias, slope, shift, constant
+        self.table = landmarks.weighted(weights) if landmarks else None
 
     def margins(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.empty(0, np.float32)
-        return np.clip(self.landmarks.kernel(words) @ self.weights + self.bias, -1.5, 1.5)
+        return np.clip(self.landmarks.total(words, self.table) + np.float32(self.bias), -1.5, 1.5)
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -219,7 +239,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 4) -> Model:
     coded = flat.dictionary_encode()
     words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     pairs = np.unique(rows * len(words) + codes)
-    rows, codes = pairs // len(words), pairs % len(words)
+    rows, codes = (pairs // len(words)).astype(np.int32), (pairs % len(words)).astype(np.int32)
+    del pairs
     bad = np.bincount(codes[toxic[rows]], minlength=len(words))
     good = np.bincount(codes[~toxic[rows]], minlength=len(words))
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
@@ -242,15 +263,15 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 4) -> Model:
     usual = [i for i in np.argsort(-good, kind="stable")[:4000] if good[i] and odds[i] < 0.5]
     negative = sorted({*usual, *(i for i in np.flatnonzero((good > 0) & (odds < 1)) if hash_of(words[i]) % 16 == 0)})
     positive = list(sure)
-    kernels = landmarks.kernel(words)
+    del coded, flat
     model = None
     for _ in range(rounds):
         ids = np.array([*positive, *negative])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         weight = np.concatenate([np.sqrt(bad[positive] + 1.0) / np.sqrt(bad[positive] + 1.0).sum(), 8 * np.sqrt(good[negative] + 1.0) / np.sqrt(good[negative] + 1.0).sum()])
-        w, b = _svm(kernels[ids] @ whiten, y, weight)
+        w, b = _svm(landmarks.kernel([words[i] for i in ids]) @ whiten, y, weight)
         model = Model(landmarks, (whiten @ w).astype(np.float32), b)
-        margin = np.clip(kernels @ model.weights + b, -1.5, 1.5)
+        margin = model.margins(words)
         worst: Counter = Counter()
         order = np.lexsort((-margin[codes], rows))
         place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
@@ -288,32 +309,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _margins_of(model: Model, words: pa.Array, kept: dict) -> np.ndarray:
-    out = np.empty(len(words), np.float32)
-    new, at = [], []
-    for i, w in enumerate(words.to_pylist()):
-        if (got := kept.get(w)) is None:
-            new.append(w), at.append(i)
-        else:
-            out[i] = got
-    made = model.margins(new)
-    out[at] = made
-    if len(kept) + len(new) > REMEMBERED:
-        kept.clear()
-    kept.update(zip(new[:REMEMBERED], made.tolist(), strict=False))
-    return out
-
-
-def _score(model: Model, key: str):
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = per_worker("toxicity", key, dict)
-        for batch in parts(batches):
+        for batch in parts(batches, 2500, -1):
             flat, bounds = split(batch.column(batch.num_columns - 1))
             top = np.full(batch.num_rows, -1.5, np.float32)
             if model.constant is None and len(flat):
                 units, rows = read_units(flat, bounds)
                 coded = units.dictionary_encode()
-                np.maximum.at(top, rows, _margins_of(model, coded.dictionary, kept)[coded.indices.to_numpy()])
+                np.maximum.at(top, rows, model.margins(coded.dictionary.to_pylist())[coded.indices.to_numpy()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(top), pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return run
@@ -321,9 +325,12 @@ def _score(model: Model, key: str):
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts, labels = [], []
+    size = 0
     for batch in batches:
-        texts += batch.column(0).to_pylist()
-        labels += batch.column(1).to_pylist()
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            size += len(text)
+            if size <= MOST_CHARACTERS or not texts:
+                texts.append(text), labels.append(label)
     if texts:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(labels, int)))], pa.binary())], ["model"])
 
@@ -333,18 +340,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> Model:
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # the keys are drawn before the texts are read
     drawn = marks.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= MOST_OF_ONE).join(drawn, "doc_id").select("text", "toxic")
     # the sample is fitted in one task; the driver gets the model alone
     got = rows.orderBy(F.xxhash64("text"), "text").limit(most).mapInArrow(_fitted, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else fit([], np.empty(0, int))
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column | str]) -> DataFrame:
-    import zlib
-
     rows = docs.select(*keep, F.col("text").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(model, f"{zlib.crc32(pickle.dumps(model))}"), f"{kinds}, score double")
+    return rows.mapInArrow(_score(model), f"{kinds}, score double")
 
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -188,6 +188,40 @@ def test_toxicity(spark):
     assert got[1001]["predicted"] == got[1002]["predicted"] == 0 and got[1000]["score"] > got[1001]["score"]
 
 
+def test_string_kernel_as_a_plain_sum():
+    """Kernels against sums over all common subsequences of three characters; and their weighted sums."""
+    from itertools import combinations
+
+    def features(word):
+        out = Counter()
+        for i, j, k in combinations(range(len(word)), 3):
+            out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    rng = random.Random(8)
+    words_ = ["".join(rng.choice("abcé") for _ in range(rng.randint(0, 9))) for _ in range(80)] + ["abababababab", "aaaaaaaa", "xyz" * 8]
+    marks = ["abc", "aéab", "bbbb", "cab"]
+    got = toxicity.Landmarks(marks).kernel(words_)
+    norm = lambda f: math.sqrt(sum(v * v for v in f.values()))
+    for w, row in zip(words_, got, strict=True):
+        for m, value in zip(marks, row, strict=True):
+            a, b = features(w), features(m)
+            assert abs(value - (sum(v * b[t] for t, v in a.items()) / (norm(a) * norm(b)) if a else 0)) < 1e-4
+    model = toxicity.Model(toxicity.Landmarks(marks), np.array([0.5, -1, 0.25, 0.1], np.float32), 0.05)
+    assert np.allclose(model.margins(words_), got @ model.weights + 0.05, atol=1e-4)
+
+
+def test_toxicity_of_a_row_alone(spark):
+    """Repeated rows score alike, and neither order nor neighbours change a score; a very long text is read to its end."""
+    texts = [f"on er the an {k % 7}" + (" grobnak" if k % 3 == 0 else "") for k in range(60)]
+    model = toxicity.fit(texts, np.array([int(k % 3 == 0) for k in range(60)]))
+    rows = docs(spark, [(k, t, None, None) for k, t in enumerate([*texts, texts[0], None, "", "the an " * 150_000 + "grobnak", "the an " * 150_000])])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(rows.withColumnRenamed("score", "s"), model, ["doc_id"]).collect()}
+    again = {r["doc_id"]: r["score"] for r in toxicity.score(rows.withColumnRenamed("score", "s").orderBy(F.desc("doc_id")).repartition(5), model, ["doc_id"]).collect()}
+    assert got == again and got[60] == got[0] and got[61] == got[62]
+    assert got[63] >= 0.5 > got[64]
+
+
 def test_toxicity_hidden_in_runs():
     """An insult in the middle of a long run, joined by punctuation or spaced out."""
     rng = random.Random(5)
@@ -202,7 +236,7 @@ def test_toxicity_hidden_in_runs():
         import pyarrow as pa
 
         batch = pa.RecordBatch.from_arrays([pa.array([text, "the"])], ["text"])
-        return next(toxicity._score(model, "test hidden")(iter([batch]))).column("score").to_pylist()[0]
+        return next(toxicity._score(model)(iter([batch]))).column("score").to_pylist()[0]
 
     for word in bad:
         assert score(f"theritaon http://tarion.er/therian/{word}/antaritherontaon/erthe er") >= 0.5
