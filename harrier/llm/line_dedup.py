@@ -10,8 +10,8 @@ end, are verified by a banded bit-parallel edit distance. Linked lines form clas
 A line is kept where its class first occurs, in order of (doc_id, hash of the text, place); all later
 lines of the class are removed, within a document too. Lines of white space only are never
 duplicates; shorter lines than MIN_LINE match only equal ones. A null text has no line and stays
-null; an empty text has one empty line. Rows equal in doc_id and text are copies: only one keeps its
-lines. Null doc_ids come last. Class ids are hashes of a class's least line.
+null; an empty text has one empty line. Rows equal in doc_id and text are copies: only the first in
+order of their other columns keeps its lines. Null doc_ids come last. Class ids are hashes of a class's least line.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrier.llm.common import checkpoint
+from harrier.llm.common import checkpoint, content_order
 from harrier.llm.components import components, reshuffled
 
 #: Edits that lines of one class may be apart, link by link, and characters a line needs to be compared by edits.
@@ -187,7 +187,7 @@ def marked(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     spots = spots.groupBy("dk", "at").agg(F.first("class").alias("class"), F.max(first).alias("first"))
     per = spots.groupBy("dk").agg(F.sort_array(F.collect_list(F.struct("at", "class", "first"))).alias("spots")).withColumnRenamed("dk", "k")
     rows = docs.withColumn("__dk", F.xxhash64("doc_id", "text"))
-    rows = rows.join(per, F.col("__dk") == F.col("k"), "left").withColumn("__copy", F.row_number().over(Window.partitionBy("__dk").orderBy(F.lit(0))))
+    rows = rows.join(per, F.col("__dk") == F.col("k"), "left").withColumn("__copy", F.row_number().over(Window.partitionBy("__dk").orderBy(content_order(docs, "doc_id", "text"))))
     gone = F.filter("spots", lambda s: ~s["first"] | (F.col("__copy") > 1))
     return rows.withColumn("__dropped", F.transform(gone, lambda s: s["at"])).withColumn("__classes", F.transform("spots", lambda s: s["class"])).drop("__dk", "__copy", "k", "spots")
 

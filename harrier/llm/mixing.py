@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrier.llm.common import WORD, checkpoint
+from harrier.llm.common import WORD, checkpoint, content_order
 
 #: Words in a block, chunks in which a source's stream is put in order, slots in a chunk of the schedule, cells of [0, 1).
 BLOCK, CHUNKS, SLOT_CHUNK, CELLS = 256, 1024, 4096, 4096
@@ -131,18 +131,20 @@ def mixed(docs: DataFrame, seed: int = 10) -> DataFrame:
     """The documents as the mix holds them: a row for each reading, its text cut to the words taken.
 
     Columns are those of `docs`; where there is n_chars, it follows the text. Documents without
-    words and those that their source's target leaves out have no row.
+    words and those that their source's target leaves out have no row. Of copies the first in order of
+    their other columns takes what the schedule gives most.
     """
     names = docs.columns
     took = mix(docs, keep=(), seed=seed)
-    same = Window.partitionBy("__h").orderBy(F.lit(0))  # rows of one hash are the same document
-    took = took.select(F.col("h").alias("__h"), "size", "pass_words").withColumn("__n", F.row_number().over(same)).withColumnRenamed("__h", "__th").withColumnRenamed("__n", "__tn")
+    # rows of one hash are the same document
+    took = took.select(F.col("h").alias("__h"), "size", "pass_words").withColumn("__n", F.row_number().over(Window.partitionBy("__h").orderBy(F.desc("pass_words")))).withColumnRenamed("__h", "__th").withColumnRenamed("__n", "__tn")
     took = took.withColumn("__take", F.explode("pass_words")).where("__take > 0").select("__th", "__tn", F.col("size").alias("__size"), "__take")
-    rows = docs.withColumn("__h", content_hash(seed)).withColumn("__n", F.row_number().over(same))
+    rows = docs.withColumn("__h", content_hash(seed)).withColumn("__n", F.row_number().over(Window.partitionBy("__h").orderBy(content_order(docs, "doc_id", "text", "source"))))
     # two comparisons in place of an equality leave the hash as the only key, by which the rows already lie
     got = rows.join(took, (F.col("__h") == F.col("__th")) & (F.col("__n") <= F.col("__tn")) & (F.col("__n") >= F.col("__tn")))
     text = F.col("text")
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), 1, F.greatest(F.col("__take"), F.lit(1)).cast("int")), " ")
+    # words with the white space before them, so that lines stay
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), 1), 1, F.greatest(F.col("__take"), F.lit(1)).cast("int")), "")
     got = got.withColumn("__text", F.when(F.col("__take") >= F.col("__size"), text).otherwise(cut))
     made = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return got.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in names])
