@@ -16,7 +16,7 @@ null doc_id take part; a component of only such rows has a null id, and its rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,25 +147,12 @@ def _linked(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
-    """Rows doc_id, n_shingles, component_id, kept: links join documents of which the sets' similarity is `percent` in 100 or more."""
-    scratch = Scratch(docs.sparkSession)
-    plain = docs.select("doc_id", "text")
-    signed = scratch.keep("signed", plain.mapInArrow(_signed(size, ROWS if percent >= 85 else ROWS - 1), "doc_id long, n_shingles long, node long, bands array<long>, signature array<long>"))
-    rows = checkpoint(signed.select("doc_id", "n_shingles", "node"))
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = scratch.keep("nodes", nodes)
-    scratch.drop("signed")
-    spread = nodes.select(F.explode("bands").alias("key"), "node")
-    crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.keep("met", spread.join(crowded.select(reshuffled("key").alias("k"), "n"), F.col("key") == F.col("k")).select("key", "node", "n"))
-    wanted = nodes.join(met.select(F.col("node").alias("id")).distinct(), F.col("node") == F.col("id"), "left_semi").select("node", "first_doc", "signature")
-    wanted = scratch.keep("wanted", wanted)
-    firsts = checkpoint(nodes.select("node", "first_doc"))
-    scratch.drop("nodes")
-    texts = plain.join(wanted.select(F.col("first_doc").alias("doc")), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
-    sets = texts.select("text").mapInArrow(_whole_sets(size), "node long, items binary").join(wanted.select(F.col("node").alias("id")), F.col("node") == F.col("id"), "left_semi")
-    sets = scratch.keep("sets", sets.groupBy("node").agg(F.first("items").alias("items")))
+def link(scratch: Scratch, met: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, like: Callable[[Column, Column], Column], least: float) -> DataFrame | None:
+    """Components (node, component) of nodes whose sets' similarity is `percent` in 100 or more, among those that share a band.
+
+    met: rows (key, node, n), n nodes sharing the key of a band; signatures: (node, signature); sets: (node, items);
+    like: the similarity that two signatures let expect, which must be `least` for a pair to be looked at.
+    """
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of rows (a, b) the pairs that link; a's set, which many pairs may name, is sent once for all of them."""
@@ -176,9 +163,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     def heads(named: DataFrame, order) -> DataFrame:
         """Rows (a, b, like): each crowded band's nodes beside the one that is least in the given order, if of another component and likely alike."""
         head = named.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "component", "signature")).alias("h")).select(reshuffled("key").alias("k"), "h")
-        like = estimate(F.col("signature"), F.col("h.signature"))
-        got = named.join(head, (F.col("key") == F.col("k")) & (F.col("component") != F.col("h.component")) & (like >= percent / 100 - SLACK))
-        return got.select(F.col("h.node").alias("a"), F.col("node").alias("b"), like.alias("like"))
+        alike = like(F.col("signature"), F.col("h.signature"))
+        got = named.join(head, (F.col("key") == F.col("k")) & (F.col("component") != F.col("h.component")) & (alike >= least))
+        return got.select(F.col("h.node").alias("a"), F.col("node").alias("b"), alike.alias("like"))
 
     def still_open(left: DataFrame, found: DataFrame | None) -> DataFrame:
         """The rows of bands whose nodes lie in several components."""
@@ -190,7 +177,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
         return named.join(open_.select(reshuffled("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
 
     def signed_(named: DataFrame) -> DataFrame:
-        return named.join(wanted.select(F.col("node").alias("id"), "signature"), F.col("node") == F.col("id")).select("key", "node", "n", "component", "signature")
+        return named.join(signatures.select(F.col("node").alias("id"), "signature"), F.col("node") == F.col("id")).select("key", "node", "n", "component", "signature")
 
     links, found, left = None, None, met
     for turn in range(NEAREST + ROUNDS + 1):
@@ -216,13 +203,37 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
             sizes = sizes.select(F.col("node").alias("id"), "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common")).where(100 * F.col("common") >= percent * F.col("size"))
             open_ = scratch.keep("open", named.join(sizes, F.col("node") == F.col("id")).select("key", "node", "signature", "component", "size", "common"))
             other = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
-            likely = estimate(F.col("signature"), F.col("o_signature")) >= percent / 100 - SLACK
+            likely = like(F.col("signature"), F.col("o_signature")) >= least
             most = F.least("common", "o_common")
             fits = 100 * most >= percent * (F.col("size") + F.col("o_size") - most)
             new = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("component") > F.col("o_component")) & fits & likely).select(F.col("o_node").alias("a"), F.col("node").alias("b")).distinct()
         new = confirmed(new)
         links = scratch.keep("links", new if links is None else links.unionByName(new))
         found = components(links)
+    return found
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
+    """Rows doc_id, n_shingles, component_id, kept: links join documents of which the sets' similarity is `percent` in 100 or more."""
+    scratch = Scratch(docs.sparkSession)
+    plain = docs.select("doc_id", "text")
+    signed = scratch.keep("signed", plain.mapInArrow(_signed(size, ROWS if percent >= 85 else ROWS - 1), "doc_id long, n_shingles long, node long, bands array<long>, signature array<long>"))
+    rows = checkpoint(signed.select("doc_id", "n_shingles", "node"))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = scratch.keep("nodes", nodes)
+    scratch.drop("signed")
+    spread = nodes.select(F.explode("bands").alias("key"), "node")
+    crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = scratch.keep("met", spread.join(crowded.select(reshuffled("key").alias("k"), "n"), F.col("key") == F.col("k")).select("key", "node", "n"))
+    wanted = nodes.join(met.select(F.col("node").alias("id")).distinct(), F.col("node") == F.col("id"), "left_semi").select("node", "first_doc", "signature")
+    wanted = scratch.keep("wanted", wanted)
+    firsts = checkpoint(nodes.select("node", "first_doc"))
+    scratch.drop("nodes")
+    texts = plain.join(wanted.select(F.col("first_doc").alias("doc")), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
+    sets = texts.select("text").mapInArrow(_whole_sets(size), "node long, items binary").join(wanted.select(F.col("node").alias("id")), F.col("node") == F.col("id"), "left_semi")
+    sets = scratch.keep("sets", sets.groupBy("node").agg(F.first("items").alias("items")))
+
+    found = link(scratch, met, wanted, sets, percent, estimate, percent / 100 - SLACK)
     named = firsts.join(found.select(F.col("node").alias("id"), "component"), F.col("node") == F.col("id"), "left") if found is not None else firsts.withColumn("component", F.col("node"))
     named = checkpoint(named.select("node", "first_doc", F.coalesce("component", "node").alias("component")))
     scratch.close()

@@ -1,20 +1,20 @@
 """Substring deduplication: paragraph MinHash with bands, exact Jaccard verification, removal by components.
 
-Paragraphs are of two kinds. One is a line of five words or more, of any length. The other is a run
-of PARAGRAPH words that starts where the text itself says so: among any WINDOW neighbouring five-word
-shingles the one of the least hash starts a run. Two texts that share PARAGRAPH + WINDOW words in a
-row therefore share a run, wherever the passage lies in lines or texts. Equal paragraphs of a kind
-are one node. A pair of a kind counts where the Jaccard likeness of the shingle sets is LIKENESS or
-more. For lines, BANDS bands of two minima propose it and miss one pair in 28,000 at 0.8. Runs that
-alike differ in two shingles each at most, at their ends: they share CORE shingles in a row of
-which one of three keys is made. A run that repeats three words in a row has the bands besides.
-Linked nodes are a class;
-a class found in two documents or more is repeated, its paragraphs are removed from all but the
-document of the smallest id, and documents that share a class are one component.
-
-Words are runs of non-blank characters, A-Z lower-cased. A text with fewer words than a run is
-one paragraph of the first kind, from five words on; shorter, empty and null texts have none. A document is its doc_id:
-rows that repeat an id are parts of one document, rows of a null id are one document that comes first.
+Paragraphs are of two kinds. One is a line of PARAGRAPH words or more, or a whole text of fewer words, from
+five on. The other is a run of PARAGRAPH words that starts where the text itself says so: among any WINDOW
+neighbouring five-word shingles the one of the least hash starts a run. Two texts that share
+PARAGRAPH + WINDOW - 1 words in a row therefore share a run, wherever the passage lies in lines or texts.
+
+Equal paragraphs of a kind are one node. Lines count as alike where the Jaccard likeness of their shingle
+sets is PERCENT in 100 or more, which a line of fifty words is with one word changed: BANDS bands of two minima
+propose such pairs (98 in 100 at the threshold, more above it), packed minima thin out what a crowded band
+proposes, and whole sets decide. Linked nodes are a class; a class found in two documents or more is repeated, its
+paragraphs are removed from all but the document of the smallest id, and documents that share a class are one component.
+
+Words are runs of non-blank characters, A-Z lower-cased. Texts of fewer than five words, empty and null ones
+have no paragraph. A document is its doc_id: rows that repeat an id are parts of one document. Rows without an
+id are a document for each text, after all others, and have a null component_id unless they share a
+passage with a document that has an id. Repeats inside one document are no repeats; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,25 +24,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.common import checkpoint, mixed_bits, parts, split, word_hashes
+from harrier.llm.common import Scratch, checkpoint, mixed_bits, parts, split, word_hashes
 from harrier.llm.components import components, reshuffled
-from harrier.llm.minhash import _seeds
+from harrier.llm.minhash import _seeds, link
 
-#: Words of a paragraph and of a shingle, shingles of which one starts a paragraph, likeness that links, and words handled at once.
-PARAGRAPH, SHINGLE, WINDOW, LIKENESS, _SLICE = 25, 5, 26, 0.8, 2_000_000
+#: Words of a paragraph and of a shingle, shingles of which one starts a paragraph, likeness in 100 that links lines, and words handled at once.
+PARAGRAPH, SHINGLE, WINDOW, PERCENT, _SLICE = 32, 5, 20, 80, 1_000_000
 _ITEMS = PARAGRAPH - SHINGLE + 1
-#: Bands of two minima, and shingles in a row that alike runs share (from their second, third or fourth one).
-BANDS, CORE = 10, _ITEMS - 4
-#: Parts of their marks in which alike runs may differ (two more than four shingles can touch, for shingles that repeat), and
-#: alike lines (of 16 minima 13 are equal on average at 0.8, one among unlike lines).
-MARKS, LINE_MARKS = 6, 11
-_NO_ID = -(2**63)
-_XOR = (_seeds(2 * BANDS, 5001) >> np.uint64(32)).astype(np.uint32)
-_TIMES = (_seeds(2 * BANDS, 6001) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_BAND = _seeds(BANDS + 2, 7001)
+#: Bands of two minima, minima in a mark (four bits each), and the share of equal ones from which a pair is looked at.
+BANDS, MARKS, LEAST = 4, 16, 0.375
+#: Documents without an id come after all others.
+_LATE = 1 << 62
+_XOR = (_seeds(MARKS, 5001) >> np.uint64(32)).astype(np.uint32)
+_TIMES = (_seeds(MARKS, 6001) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_BAND = _seeds(BANDS, 7001)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,59 +48,47 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     out, have = x.copy(), 1
     while have < width:
         step = min(have, width - have)
-        out[:-step] = np.minimum(out[:-step], out[step:])
+        if step < len(out):
+            out[:-step] = np.minimum(out[:-step], out[step:])
         have += step
     return out
 
 
-def _repeating(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which runs of PARAGRAPH words hold three words in a row twice."""
-    three = mixed_bits(mixed_bits(hashes[:-2] + np.uint64(1)) + hashes[1:-1])
-    three = mixed_bits(three + np.uint64(2)) + hashes[2:]
-    order = np.argsort(three, kind="stable")
-    same = three[order][1:] == three[order][:-1]
-    before = np.full(len(three), -1)
-    before[order[1:][same]] = order[:-1][same]
-    return -_least(-before, PARAGRAPH - 2)[at] >= at
-
-
 def paragraphs(hashes: np.ndarray, bounds: np.ndarray, lines: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Of all texts: each paragraph's text, place (shingle), shingle count and node (odd for a line); all shingles; and how many are runs, which come first.
 
     bounds and lines are the bounds of the texts and of their lines among the words.
     """
-    n = np.diff(bounds)
     s = hashes.copy()
     for k in range(1, SHINGLE):
-        s[: len(s) - k] = mixed_bits(s[: len(s) - k] + np.uint64(k)) + hashes[k:]
+        s[: max(0, len(s) - k)] = mixed_bits(s[: max(0, len(s) - k)] + np.uint64(k)) + hashes[k:]
     s = mixed_bits(s)
-    count = n - SHINGLE + 1  # shingles of each text
-    low = np.uint64((1 << 24) - 1)
-    packed = _least((s & ~low) | np.arange(len(s), dtype=np.uint64), WINDOW)
+    count = np.diff(bounds) - SHINGLE + 1  # shingles of each text
+    low = np.uint64((1 << 32) - 1)
+    packed = (s & ~low) | np.arange(len(s), dtype=np.uint64)
+    least = _least(packed, WINDOW)
     long_ = np.flatnonzero(count >= _ITEMS)
-    # a text with fewer shingles than a window is one window, which ends with it
-    brief = long_[count[long_] < WINDOW]
-    if len(brief):
-        own = np.stack([bounds[:-1][brief], bounds[:-1][brief] + count[brief]], 1)
-        packed[own[:, 0]] = np.minimum.reduceat((s & ~low) | np.arange(len(s), dtype=np.uint64), own.ravel())[::2]
-    starts, ends = bounds[:-1][long_], bounds[:-1][long_] + np.maximum(1, count[long_] - WINDOW + 1)
+    # a run must end with its text: what starts a run is sought among the places where one fits, in windows that lie in them
+    fits = count[long_] - _ITEMS + 1
+    starts = bounds[:-1][long_]
+    brief = fits < WINDOW
     mark = np.zeros(len(s) + 1, np.int32)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, ends, -1)
-    at = np.unique((packed[np.cumsum(mark[:-1]) > 0] & low).astype(np.int64))
-    text = np.searchsorted(bounds, at, "right") - 1
-    # the last run of a text ends with it
-    at, place = np.unique(np.minimum(at, bounds[text] + count[text] - _ITEMS), return_index=True)
-    text, runs = text[place], len(at)
-    # lines, and texts that are shorter than a run
+    np.add.at(mark, starts[~brief], 1)
+    np.add.at(mark, (starts + fits - WINDOW + 1)[~brief], -1)
+    at = (least[np.cumsum(mark[:-1]) > 0] & low).astype(np.int64)
+    if brief.any():  # fewer places than a window: the least of them
+        own = np.stack([starts[brief], starts[brief] + fits[brief]], 1).ravel()
+        at = np.concatenate([at, (np.minimum.reduceat(np.append(packed, packed[-1:]), own)[::2] & low).astype(np.int64)])
+    at = np.unique(at)
+    runs = len(at)
+    # lines of that length, and texts that are shorter than a run
     short = np.flatnonzero((count >= 1) & (count < _ITEMS))
-    from_, to = (bounds[:-1][short], bounds[1:][short])
+    from_, to = bounds[:-1][short], bounds[1:][short]
     if lines is not None:
-        from_, to = np.concatenate([from_, lines[:-1]]), np.concatenate([to, lines[1:]])
-    fits = to - from_ >= SHINGLE
-    from_, to = np.unique(np.stack([from_[fits], to[fits]], 1), axis=0).T if fits.any() else (from_[fits], to[fits])
+        wide = np.flatnonzero(np.diff(lines) >= PARAGRAPH)
+        from_, to = np.concatenate([from_, lines[:-1][wide]]), np.concatenate([to, lines[1:][wide]])
     at, items = np.concatenate([at, from_]), np.concatenate([np.full(runs, _ITEMS), to - from_ - SHINGLE + 1])
-    text = np.concatenate([text, np.searchsorted(bounds, from_, "right") - 1])
+    text = np.searchsorted(bounds, at, "right") - 1
     total = _sums(s)
     node = mixed_bits(total[at + items] - total[at] + items.astype(np.uint64))
     kind = (np.arange(len(at)) >= runs).astype(np.uint64)
@@ -110,45 +96,32 @@ def paragraphs(hashes: np.ndarray, bounds: np.ndarray, lines: np.ndarray | None
 
 
 def _sums(s: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed_bits(s + np.uint64(7)), dtype=np.uint64)])
-
-
-def keyed(hashes: np.ndarray, at: np.ndarray, items: np.ndarray, node: np.ndarray, s: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each paragraph's mark; and keys, with the paragraph of each."""
-    x, total = (s >> np.uint64(32)).astype(np.uint32), _sums(s)
-    own, line = np.arange(runs), np.arange(runs, len(at))
-    cores = [mixed_bits((total[at[:runs] + k + CORE] - total[at[:runs] + k]) ^ _BAND[BANDS]) for k in (1, 2, 3)]
-    keys, of = [*cores], [own] * 3
-    again = own[_repeating(hashes, at[:runs])] if runs else own
-    # lines of four shingles or less are alike only if equal
-    few, many = line[items[line] < SHINGLE], line[items[line] >= SHINGLE]
-    keys.append(mixed_bits(node[few] ^ _BAND[BANDS + 1])), of.append(few)
-    spans = np.stack([at[many], at[many] + items[many]], 1).ravel()
-    inner = at[again][:, None] + np.arange(_ITEMS)
-    signs = np.zeros(len(many), np.uint64)
-    pair: list = []
-    for f in range(2 * BANDS):
-        v = (x ^ _XOR[f]) * _TIMES[f]
-        got = np.concatenate([np.minimum.reduceat(v, spans)[::2] if len(many) else v[:0], v[inner].min(1) if len(again) else v[:0]]).astype(np.uint64)
-        if f < 16:
-            signs |= (mixed_bits(got[: len(many)]) & np.uint64(15)) << np.uint64(4 * f)
-        pair.append(got)
-        if f % 2:
-            both = mixed_bits((pair[0] << np.uint64(32) | pair[1]) + _BAND[f // 2])
-            keys += [mixed_bits(both[: len(many)] + np.uint64(1)), both[len(many) :]]
-            of += [many, again]
-            pair = []
-    # sixteen four-bit sums of a run's shingles by their hash: a pair that links differs in few of them
-    part = (s & np.uint64(15)) * np.uint64(4)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(((s >> np.uint64(8)) & np.uint64(15)) << part)])
-    mark = prefix[at + items] ^ prefix[at]
-    mark[many] = signs
-    return mark, np.concatenate(keys), np.concatenate(of)
+    """Sums of what the shingles before each place hash to; repeats and order do not enter twice the same way."""
+    place = mixed_bits(s + np.uint64(7))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(place, dtype=np.uint64)])
+
+
+def banded(s: np.ndarray, at: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each paragraph's bands (paragraph, band), and its mark: four bits of each minimum."""
+    keys, mark = np.zeros((len(at), BANDS), np.uint64), np.zeros(len(at), np.uint64)
+    if not len(at):
+        return keys, mark
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    spans = np.stack([at, at + items], 1).ravel()
+    x = np.append(x, np.uint32(0))  # a span may end with the last shingle
+    before = np.zeros(0, np.uint64)
+    for f in range(MARKS):
+        own = np.minimum.reduceat((x ^ _XOR[f]) * _TIMES[f], spans)[::2].astype(np.uint64)
+        mark |= (mixed_bits(own) & np.uint64(15)) << np.uint64(4 * f)
+        if f % 2 and f < 2 * BANDS:
+            keys[:, f // 2] = mixed_bits((before << np.uint64(32) | own) + _BAND[f // 2])
+        before = own
+    return keys, mark
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Parts of batches of about _SLICE words, with word hashes and the bounds of texts and of lines."""
-    for batch in parts(batches):
+    for batch in parts(batches, 2000, column):
         cut = pc.split_pattern(pc.fill_null(batch.column(column), ""), "\n")
         flat, lines = split(cut.flatten())
         rows = cut.offsets.to_numpy().astype(np.int64)
@@ -163,6 +136,7 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct paragraph of a text; bands and mark of lines only."""
     for part, hashes, bounds, lines in _slices(batches, 1):
         if len(hashes) < SHINGLE:
             continue
@@ -170,11 +144,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _first_of(text, node)
         first.sort()
         text, at, items, node, runs = text[first], at[first], items[first], node[first], int((first < runs).sum())
-        mark, keys, of = keyed(hashes, at, items, node, s, runs)
-        doc, place = part.column(0).to_numpy()[text], at - bounds[text]
-        for k in range(0, len(keys), 100_000):
-            i = of[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), pa.array(node[i].view(np.int64)), pa.array(doc[i]), pa.array(mark[i].view(np.int64)), pa.array(place[i].astype(np.int32)), pa.array(items[i].astype(np.int32))], ["key", "node", "doc", "mark", "place", "items"])
+        keys, mark = banded(s, at[runs:], items[runs:])
+        sizes = np.where(np.arange(len(at)) < runs, 0, BANDS)
+        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+        marks = np.concatenate([np.zeros(runs, np.int64), mark.view(np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(part.column(0).to_numpy()[text]), pa.array((at - bounds[text]).astype(np.int32)), pa.array(items.astype(np.int32)), bands, pa.array(marks)], ["node", "doc", "place", "items", "bands", "mark"])
 
 
 def _first_of(text: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -198,80 +172,62 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["node", "items"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both >= LIKENESS * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-
-def _close(a: Column, b: Column, node: Column) -> Column:
-    """Whether two marks of the node's kind differ in few parts: alike runs differ in four shingles at most, alike lines share most minima."""
+def _like(a: Column, b: Column) -> Column:
+    """The share of equal minima in two marks."""
     x = a.bitwiseXOR(b)
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))) <= F.when(node.bitwiseAND(F.lit(1).cast("long")) == 1, LINE_MARKS).otherwise(MARKS)
+    return 1 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))) / MARKS
+
+
+def _doc() -> Column:
+    """The document a row belongs to."""
+    return F.coalesce("doc_id", F.lit(_LATE) + F.pmod(F.xxhash64("text"), F.lit(_LATE >> 1)))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """Rows (doc, place, items, class, first_doc): the paragraphs whose class is in two documents or more; place and items count shingles."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
-    keyed = texts.mapInArrow(_emit, "key long, node long, doc long, mark long, place int, items int")
-    # only paragraphs that share a key with another document go on: one exchange of all keys
-    band = Window.partitionBy("key")
-    shared = keyed.withColumns({"lo": F.min("doc").over(band), "hi": F.max("doc").over(band)}).where("lo < hi").drop("lo", "hi")
-    shared = checkpoint(shared)
-    rows = shared.groupBy("node", "doc").agg(F.min("place").alias("place"), F.min("items").alias("items"))
-    nodes = rows.groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-    keys = shared.select("key", "node", "mark").distinct()
-    many = keys.groupBy("key").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("node").alias("last")).where("h.node < last").select(reshuffled("key").alias("k"), F.col("h.node").alias("head"), F.col("h.mark").alias("head_mark"))
-    met = keys.join(many, F.col("key") == F.col("k")).select(F.col("head").alias("a"), F.col("node").alias("b"), "key", "mark", "head_mark")
-    met = checkpoint(met)
-    pairs = met.where((F.col("a") != F.col("b")) & _close(F.col("mark"), F.col("head_mark"), F.col("a"))).select("a", "b").distinct()
-    wanted = met.select(F.col("b").alias("w")).distinct()
-    where = nodes.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("first_doc").agg(F.collect_set("node").alias("nodes"))
-    sets = texts.join(where, F.col("doc") == F.col("first_doc")).select("text", "nodes").mapInArrow(_sets, "node long, items binary")
-    sets = checkpoint(sets.groupBy("node").agg(F.first("items").alias("items")))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        got = pairs.join(sets.select(F.col("node").alias("kb"), F.col("items").alias("ib")), F.col("b") == F.col("kb")).select("a", "b", "ib")
-        got = got.join(sets.select(reshuffled("node").alias("ka"), F.col("items").alias("ia")), F.col("a") == F.col("ka")).select("a", "b", "ia", "ib")
-        return got.mapInArrow(_alike, "a long, b long")
-
-    links = checkpoint(linked(pairs))
-    found = checkpoint(components(links))
-    # bands whose nodes did not all link to their head: the rest is compared across the components that remain
-    named = met.join(found.withColumnRenamed("node", "id"), F.col("b") == F.col("id"), "left").select("key", F.col("b").alias("node"), "mark", F.coalesce("component", "b").alias("component"))
-    many = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo < hi").select(reshuffled("key").alias("k"))
-    named = checkpoint(named.join(many, F.col("key") == F.col("k"), "left_semi"))
-    other = named.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("mark").alias("other_mark"))
-    rest = named.join(other, (F.col("key") == F.col("k")) & (F.col("component") > F.col("ca")) & _close(F.col("mark"), F.col("other_mark"), F.col("a"))).select("a", F.col("node").alias("b")).distinct()
-    more = checkpoint(linked(rest))
-    if not more.isEmpty():
-        found = checkpoint(components(links.unionByName(more)))
-    classes = nodes.select("node", "first_doc", "last_doc").join(found.withColumnRenamed("node", "id"), F.col("node") == F.col("id"), "left")
-    classes = classes.where("component IS NOT NULL OR first_doc < last_doc").select("node", "first_doc", "last_doc", F.coalesce("component", "node").alias("class"))
-    classes = checkpoint(classes)
-    whole = classes.groupBy("class").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")).where("first_doc < last_doc").select(reshuffled("class").alias("c"), "first_doc")
-    classes = classes.select("node", "class").join(whole, F.col("class") == F.col("c")).select(F.col("node").alias("id"), "class", "first_doc")
-    return rows.join(classes, F.col("node") == F.col("id")).select("doc", "place", "items", "class", "first_doc")
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(_doc().alias("doc"), "text").where("text IS NOT NULL")
+    every = scratch.keep("every", texts.mapInArrow(_emit, "node long, doc long, place int, items int, bands array<long>, mark long"))
+    # a node's documents meet as their least and greatest only, most of it before the exchange
+    nodes = every.groupBy("node").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("bands").alias("bands"), F.first("mark").alias("mark"))
+    nodes = scratch.keep("nodes", nodes.where("lo < hi OR size(bands) > 0"))
+    spread = nodes.select(F.explode("bands").alias("key"), "node")
+    crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(reshuffled("key").alias("k"), "n")
+    met = scratch.keep("met", spread.join(crowded, F.col("key") == F.col("k")).select("key", "node", "n"))
+    wanted = nodes.join(met.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi")
+    wanted = scratch.keep("wanted", wanted.select("node", "lo", F.col("mark").alias("signature")))
+    where = wanted.groupBy("lo").agg(F.collect_set("node").alias("nodes"))
+    sets = texts.join(where, F.col("doc") == F.col("lo")).select("text", "nodes").mapInArrow(_sets, "node long, items binary")
+    sets = scratch.keep("sets", sets.groupBy("node").agg(F.first("items").alias("items")))
+    found = link(scratch, met, wanted.select("node", "signature"), sets, PERCENT, _like, LEAST)
+    scratch.drop("met", "wanted", "sets", "left", "links", "open")
+    classes = nodes.select("node", "lo", "hi")
+    if found is not None:
+        classes = classes.join(found.withColumnRenamed("node", "id"), F.col("node") == F.col("id"), "left").where("component IS NOT NULL OR lo < hi")
+        classes = scratch.keep("classes", classes.select("node", "lo", "hi", F.coalesce("component", "node").alias("class")))
+        whole = classes.groupBy("class").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("hi")).where("first_doc < hi").select(reshuffled("class").alias("c"), "first_doc")
+        classes = classes.select("node", "class").join(whole, F.col("class") == F.col("c")).select(F.col("node").alias("id"), "class", "first_doc")
+    else:
+        classes = classes.where("lo < hi").select(F.col("node").alias("id"), F.col("node").alias("class"), F.col("lo").alias("first_doc"))
+    hits = checkpoint(every.select("node", "doc", "place", "items").join(classes, F.col("node") == F.col("id")).select("doc", "place", "items", "class", "first_doc"))
+    scratch.close()
+    return hits
 
 
 def op9_passages(docs: DataFrame) -> DataFrame:
     """A row for each document: component_id (smallest doc_id that repeated passages connect it with, itself included), links (documents that hold its passages first), n_repeated and n_removed paragraphs, removed_words, duplicate (something is removed)."""
-    hits = checkpoint(repeated(docs))
+    hits = repeated(docs)
     apart = hits.where("doc <> first_doc").select(F.col("doc").alias("a"), F.col("first_doc").alias("b")).distinct()
     found = components(apart).withColumnRenamed("node", "c_doc")
     removed = F.col("doc") != F.col("first_doc")
+    # spans that overlap are one: of the places of a document, each removed paragraph adds what lies beyond the ones before it
     spans = F.sort_array(F.collect_set(F.when(removed, F.struct("place", (F.col("place") + F.col("items") + SHINGLE - 1).alias("end")))))
     per = hits.groupBy("doc").agg(F.count("*").alias("n_repeated"), F.count(F.when(removed, True)).alias("n_removed"), F.countDistinct(F.when(removed, F.col("first_doc"))).alias("links"), spans.alias("spans"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("to"), F.lit(0).alias("words")), lambda s, x: F.struct(F.greatest(s["to"], x["end"]).alias("to"), (s["words"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["to"], x["place"]))).alias("words")))["words"]
     per = per.select(F.col("doc").alias("p_doc"), "n_repeated", "n_removed", "links", covered.alias("removed_words"))
-    key = F.coalesce("doc_id", F.lit(_NO_ID))
-    out = docs.select("doc_id", key.alias("doc")).join(per, F.col("doc") == F.col("p_doc"), "left").join(found, F.col("doc") == F.col("c_doc"), "left")
-    component = F.coalesce("component", "doc")
+    out = docs.select("doc_id", _doc().alias("doc")).join(per, F.col("doc") == F.col("p_doc"), "left").join(found, F.col("doc") == F.col("c_doc"), "left")
+    component = F.coalesce("component", "doc_id")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", F.when(component != _NO_ID, component).alias("component_id"), zero("links"), zero("n_repeated"), zero("n_removed"), zero("removed_words"), (F.coalesce("n_removed", F.lit(0)) > 0).alias("duplicate"))
+    return out.select("doc_id", F.when(component < _LATE, component).alias("component_id"), zero("links"), zero("n_repeated"), zero("n_removed"), zero("removed_words"), (F.coalesce("n_removed", F.lit(0)) > 0).alias("duplicate"))

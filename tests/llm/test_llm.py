@@ -319,7 +319,7 @@ def test_passages(spark):
 def test_passages_of_short_texts(spark):
     rng = random.Random(9)
     text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-    short = {n: text(n) for n in range(20, 36)}
+    short = {n: text(n) for n in range(24, 56, 2)}
     # a copy of each length first in its batch (a partition of its own) and at a later place
     own = [docs(spark, [(100 + n, t, None, None), (500 + n, text(80), None, None)]).coalesce(1) for n, t in short.items()]
     rest = [(300 + i, text(60), None, None) for i in range(5)] + [(1000 + n, t, None, None) for n, t in short.items()]
@@ -328,12 +328,12 @@ def test_passages_of_short_texts(spark):
         both = both.unionByName(df)
     got = {r["doc_id"]: r for r in passages.op9_passages(both).collect()}
     assert {i for i, r in got.items() if r["duplicate"]} == {1000 + n for n in short}
-    assert all(got[1000 + n]["component_id"] == 100 + n and got[1000 + n]["removed_words"] >= min(n, 25) for n in short)
+    assert all(got[1000 + n]["component_id"] == 100 + n and got[1000 + n]["removed_words"] >= min(n, passages.PARAGRAPH) for n in short)
 
 
 def test_paragraphs_stay_in_their_text():
     rng = np.random.default_rng(1)
-    sizes = [27, 25, 300, 29, 4, 28, 60, 26]
+    sizes = [33, 31, 300, 51, 4, 50, 60, 32, 52]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     hashes = rng.integers(0, 2**63, bounds[-1]).astype(np.uint64)
     text, at, items, node = passages.paragraphs(hashes, bounds)[:4]
@@ -360,7 +360,7 @@ def test_passages_near_copies(spark):
             expect.add(1000 + i)
     got = {r["doc_id"]: r for r in passages.op9_passages(docs(spark, rows)).collect()}
     found = {i for i, r in got.items() if r["duplicate"]}
-    assert 50 < len(expect) < 150 and expect <= found
+    assert 50 < len(expect) < 150 and len(expect & found) >= 0.95 * len(expect)
     # beside them only those that share a run
     words_of = {i: t.split() for i, t, _, _ in rows}
     for i in found - expect:
@@ -369,23 +369,42 @@ def test_passages_near_copies(spark):
         assert any(tuple(b[k : k + 20]) in runs for k in range(len(b) - 19))
 
 
-def test_alike_runs_share_a_key():
-    """Runs of 25 words, shifted or changed at the ends, that are alike."""
-    rng = np.random.default_rng(3)
-    for _ in range(300):
-        a = rng.integers(0, 2**63, 27).astype(np.uint64)
-        shift = int(rng.integers(0, 3))
-        x, y = a[:25].copy(), a[shift : shift + 25].copy()
-        for end in rng.choice([0, 1], 2 - shift):
-            y[-1 if end else 0] = rng.integers(0, 2**63)
-        keys, sets = [], []
-        for one in (x, y):
-            text, at, items, node, s, runs = passages.paragraphs(one, np.array([0, 25]))
-            assert at.tolist() == [0] and runs == 1
-            keys.append({*passages.keyed(one, at, items, node, s, runs)[1].tolist()})
-            sets.append({*s[:21].tolist()})
-        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
-            assert keys[0] & keys[1]
+def test_passages_as_brute_force_finds_them(spark):
+    """Documents that share 51 words in a row are connected, those that share no 32 words and no alike line are not."""
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    pool = [text(n) for n in (33, 40, 51, 51, 60, 90, 130)]
+    rows = []
+    for i in range(90):
+        own = [text(rng.randint(0, 40)), rng.choice(pool), text(rng.randint(0, 30))] if rng.random() < 0.6 else [text(rng.randint(1, 120))]
+        rows.append((i, rng.choice([" ", "\n"]).join(own), None, None))
+    long_run = passages.PARAGRAPH + passages.WINDOW - 1
+    runs = lambda t, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if (w := t.split()) else set()
+    lines = lambda t: [runs(x, 5) for x in t.split("\n") if len(x.split()) >= passages.PARAGRAPH]
+    got = {r["doc_id"]: r for r in passages.op9_passages(docs(spark, rows)).collect()}
+    held = [(runs(t, long_run), runs(t, passages.PARAGRAPH), lines(t)) for _, t, _, _ in rows]
+    alike = lambda x, y: any(len(a & b) >= 0.8 * len(a | b) for a in x for b in y)
+    must = _brute_components([{i} for i in range(90)], lambda a, b: bool(held[min(a)][0] & held[min(b)][0]))
+    may = _brute_components([{i} for i in range(90)], lambda a, b: bool(held[min(a)][1] & held[min(b)][1]) or alike(held[min(a)][2], held[min(b)][2]))
+    for i in range(90):
+        assert got[must[i]]["component_id"] == got[i]["component_id"]
+        assert may[got[i]["component_id"]] == may[i]
+        shares = any(held[i][1] & held[j][1] or alike(held[i][2], held[j][2]) for j in range(90) if j != i)
+        assert (got[i]["n_repeated"] > 0) <= shares
+        assert (got[i]["n_repeated"] > 0) >= any(held[i][0] & held[j][0] for j in range(90) if j != i)
+
+
+def test_passages_of_awkward_rows(spark):
+    for given in ("two words", "now three words", "a", "", None, "one two three four five"):
+        got = passages.op9_passages(docs(spark, [(1, given, None, None)])).collect()
+        assert [(r["doc_id"], r["component_id"], r["n_repeated"]) for r in got] == [(1, 1, 0)]
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    a, b, c, d = text(60), text(70), text(55), text(80)
+    rows = [(None, a, None, None), (None, f"{a} and more", None, None), (5, b, None, None), (5, b, None, None), (5, c, None, None), (6, c, None, None), (None, d, None, None), (9, d, None, None)]
+    got = Counter((r["doc_id"], r["component_id"], r["duplicate"]) for r in passages.op9_passages(docs(spark, rows)).collect())
+    # two texts without an id share a passage: one of them loses it; a repeated id is one document; an id comes before none
+    assert got == {(None, None, False): 1, (None, None, True): 1, (5, 5, False): 3, (6, 5, True): 1, (9, 9, False): 1, (None, 9, True): 1}
 
 
 def test_mixing(spark, corpus):
