@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     scratch = Scratch(links.sparkSession)
     edges = scratch.keep("edges", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    alone = scratch.keep("alone", edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component")))
+    alone = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     edges = edges.where("u > v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

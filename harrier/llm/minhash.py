@@ -3,7 +3,8 @@
 Documents of one shingle set are one node. Of each node's 100 minima the low 4 bits are packed into
 a signature; 20 bands of 5 full minima propose candidates, 25 of 4 where the threshold is below 0.85. A crowded band never yields all its pairs:
 each of its nodes is compared with the likeliest of its bands' heads, later, where the links found leave a
-band in several components, with all heads, and at last across the components that remain. A pair whose
+band in several components, with all heads. What then remains in several components meets at its rarest shingles,
+of which sets that are alike share one, which finds all links among them. A pair whose
 collision-corrected bit count lies far below the threshold is dropped; the others are decided by
 their whole sets. At similarity 0.85 a link misses all bands once in 100,000 times,
 at 0.8 once in 500,000.
@@ -30,7 +31,7 @@ from harrier.llm.components import components, reshuffled
 MINIMA, ROWS, BITS, SLACK = 100, 5, 4, 0.18
 LONGS = -(-MINIMA // 16)
 #: Rounds in which a node is compared with the likeliest head of its bands, and rounds with all their heads, before the rest of the pairs is taken.
-NEAREST, ROUNDS = 2, 2
+NEAREST, ROUNDS = 2, 1
 
 
 def _seeds(n: int, start: int) -> np.ndarray:
@@ -179,6 +180,32 @@ def link(scratch: Scratch, met: DataFrame, signatures: DataFrame, sets: DataFram
     def signed_(named: DataFrame) -> DataFrame:
         return named.join(signatures.select(F.col("node").alias("id"), "signature"), F.col("node") == F.col("id")).select("key", "node", "n", "component", "signature")
 
+    def sharing_rare(named: DataFrame) -> DataFrame:
+        """All pairs (a, b) of nodes of several components that may link: with a node's shingles ordered from the rarest on,
+        two sets that are alike share one of the first ones, and after it there must be enough left.
+
+        Shingles that many nodes hold come late, so a crowded group meets at its rare ones only.
+        """
+        info = scratch.keep("info", named.select("node", "component", "signature").distinct())
+        held = sets.join(info.select(F.col("node").alias("id")), F.col("node") == F.col("id"), "left_semi")
+        items = scratch.keep("rare", held.mapInArrow(_items, "node long, item long"))
+        often = items.groupBy("item").agg(F.count("*").alias("c")).select(reshuffled("item").alias("k"), "c")
+        ranked = items.join(often, F.col("item") == F.col("k")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("own"))
+        size = F.size("own")
+        prefix = F.slice("own", 1, size - F.ceil(size * percent / 100).cast("int") + 1)
+        first = ranked.select("node", size.alias("size"), F.posexplode(prefix).alias("at", "x")).where("x.c > 1").select(F.col("node").alias("id"), "size", "at", F.col("x.item").alias("item"))
+        first = scratch.keep("first", info.join(first, F.col("node") == F.col("id")).drop("id"))
+        kinds = first.groupBy("item", "component").agg(F.count("*").alias("c")).groupBy("item").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("kinds"))
+        kinds = kinds.where("kinds > 1").select(reshuffled("item").alias("k"), "major")
+        open_ = first.join(kinds, F.col("item") == F.col("k")).drop("k")
+        other = open_.select(*[F.col(c).alias(f"o_{c}") for c in ("item", "node", "component", "signature", "size", "at")])
+        # the largest component of a shingle stands on one side only: its nodes don't meet each other
+        apart = (F.col("component") != F.col("major")) & (F.col("component") != F.col("o_component")) & ((F.col("o_component") == F.col("major")) | (F.col("component") > F.col("o_component")))
+        most = F.least("at", "o_at") + 1 + F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at")) - 1
+        fits = 100 * most >= percent * (F.col("size") + F.col("o_size") - most)
+        pairs = open_.join(other, (F.col("item") == F.col("o_item")) & apart & fits & (like(F.col("signature"), F.col("o_signature")) >= least))
+        return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
     links, found, left = None, None, met
     for turn in range(NEAREST + ROUNDS + 1):
         left = scratch.keep("left", still_open(left, found))
@@ -194,19 +221,7 @@ def link(scratch: Scratch, met: DataFrame, signatures: DataFrame, sets: DataFram
         elif turn < NEAREST + ROUNDS:
             new = heads(named, F.xxhash64(F.lit(turn), "node") if turn > NEAREST else F.col("node")).select("a", "b").distinct()
         else:
-            # a shingle that no other node holds is in no intersection, which bounds every pair of its node
-            ids = left.select(F.col("node").alias("id")).distinct()
-            held = sets.join(ids, F.col("node") == F.col("id"), "left_semi")
-            items = held.mapInArrow(_items, "node long, item long").groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node"))
-            own = items.where("c = 1").groupBy("node").agg(F.count("*").alias("own")).withColumnRenamed("node", "k")
-            sizes = held.select("node", (F.length("items") / 8).cast("long").alias("size")).join(own, F.col("node") == F.col("k"), "left")
-            sizes = sizes.select(F.col("node").alias("id"), "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common")).where(100 * F.col("common") >= percent * F.col("size"))
-            open_ = scratch.keep("open", named.join(sizes, F.col("node") == F.col("id")).select("key", "node", "signature", "component", "size", "common"))
-            other = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
-            likely = like(F.col("signature"), F.col("o_signature")) >= least
-            most = F.least("common", "o_common")
-            fits = 100 * most >= percent * (F.col("size") + F.col("o_size") - most)
-            new = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("component") > F.col("o_component")) & fits & likely).select(F.col("o_node").alias("a"), F.col("node").alias("b")).distinct()
+            new = sharing_rare(named)
         new = confirmed(new)
         links = scratch.keep("links", new if links is None else links.unionByName(new))
         found = components(links)
@@ -229,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     wanted = scratch.keep("wanted", wanted)
     firsts = checkpoint(nodes.select("node", "first_doc"))
     scratch.drop("nodes")
-    texts = plain.join(wanted.select(F.col("first_doc").alias("doc")), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
+    texts = plain.join(wanted.select(F.col("first_doc").alias("doc")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
     sets = texts.select("text").mapInArrow(_whole_sets(size), "node long, items binary").join(wanted.select(F.col("node").alias("id")), F.col("node") == F.col("id"), "left_semi")
     sets = scratch.keep("sets", sets.groupBy("node").agg(F.first("items").alias("items")))
 
