@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by a navigable small-world graph per shard.
 
 Distinct vectors are dealt to shards by a hash. Each shard's graph is built in one task and kept as
-flat arrays: the vectors and, for each level, a fixed number of neighbours per node. Insertion goes in
-batches, upper levels first; every batch walks the graph in lockstep. Blocks of queries meet every
-shard's arrays, and each query's shard results are merged by a ranking. Only shard and block sizes
-bound a task's memory. All rows are indexed; recall is measured in the tests.
-
-Equal vectors are one node that carries its MOST_COPIES smallest ids, more than a query can return,
-so copies cost nothing and ties fall to the smaller id. Vectors that are null, empty, zero or hold a
-null or non-finite component take no part; vectors are compared with those of their own length only.
-Repeated ids stay candidates of each other's rows only where their vectors differ.
+flat arrays: the vectors and, for each level, a fixed number of neighbours per node. Nodes are inserted in the
+order of another hash, whatever their ids, so that the upper levels, a share of the first ones each, are drawn at
+random. Insertion goes in batches, upper levels first; every batch walks the graph in lockstep. Blocks of queries
+meet every shard's arrays, so the search costs queries times shards; a shard gives its k best of a query, and a
+task's results are cut to k a query before they are exchanged. Only shard and block sizes bound a task's memory.
+All rows are indexed; recall is measured in the tests.
+
+Equal vectors are one node that carries the k + 1 smallest ids of its rows, as many as a query can return and
+its own, so copies cost nothing and ties fall to the smaller id. A query's candidates are all rows but
+its own: a row that repeats its id, or id and vector, is one of them. Rows equal in id and vector are asked once, rows
+of one id with several vectors one by one; `query_row` numbers them in the order of the vectors' hashes.
+Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows without an id;
+vectors are compared with those of their own length only.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from harrier.llm.common import checkpoint
 
-#: Distinct vectors in a shard, queries in a block, neighbours on the ground and above, beam widths, ids kept of equal vectors.
-SHARD, QUERIES, GROUND, ABOVE, BUILD_BEAM, BEAM, MOST_COPIES = 8192, 2048, 32, 12, 64, 128, 6
+#: Distinct vectors in a shard, queries in a block, neighbours on the ground and above, beam widths.
+SHARD, QUERIES, GROUND, ABOVE, BUILD_BEAM, BEAM = 8192, 2048, 32, 12, 64, 128
 #: Share of a level's nodes on the next, nodes walked together, nodes expanded in one step.
 _STEP, _BATCH, _EXPAND = 16, 256, 4
 
@@ -161,27 +165,21 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct vectors of a partition with their smallest ids."""
-    for batch in batches:
-        kept: dict[bytes, list[int]] = {}
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            kept.setdefault(np.asarray(v.values.to_numpy(), np.float64).tobytes(), []).append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array([sorted(x)[:MOST_COPIES] for x in kept.values()], pa.list_(pa.int64()))], ["vector", "ids"])
-
+def _build(k: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "vector"])
+        vectors = np.stack([np.frombuffer(v, np.float64) for v in rows["vector"]])
+        graph = Graph(_unit(vectors))
+        ids, some = np.zeros((len(rows), k + 1), np.int64), np.zeros(len(rows), np.int64)
+        for i, own in enumerate(rows["ids"]):
+            ids[i, : len(own)], some[i] = own, len(own)
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "dim": [vectors.shape[1]], "n": [len(rows)], "ids": [ids.tobytes()], "some": [some.tobytes()], "vectors": [vectors.tobytes()], "links": [[x.tobytes() for x in graph.links]]})
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("ids", key=lambda c: c.str[0])
-    vectors = np.stack([np.frombuffer(v, np.float64) for v in rows["vector"]])
-    graph = Graph(_unit(vectors))
-    ids = np.full((len(rows), MOST_COPIES), -1, np.int64)
-    for i, own in enumerate(rows["ids"]):
-        ids[i, : len(own)] = own
-    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "dim": [vectors.shape[1]], "n": [len(rows)], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "links": [[x.tobytes() for x in graph.links]]})
+    return run
 
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "q_n": [len(rows)], "q_ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "q_vectors": [b"".join(rows["vector"])]})
+    return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "q_n": [len(rows)], "q_ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "q_rows": [rows["query_row"].to_numpy(np.int64).tobytes()], "q_vectors": [b"".join(rows["vector"])]})
 
 
 def _search(k: int, beam: int):
@@ -191,47 +189,57 @@ def _search(k: int, beam: int):
                 vectors = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
                 links = [np.frombuffer(x, np.int32).reshape(-1, GROUND if i == 0 else ABOVE) for i, x in enumerate(row["links"])]
                 graph = Graph(_unit(vectors), links)
-                ids = np.frombuffer(row["ids"], np.int64).reshape(row["n"], MOST_COPIES)
-                q_ids, queries = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(row["q_n"], row["dim"])
+                ids, some = np.frombuffer(row["ids"], np.int64).reshape(row["n"], k + 1), np.frombuffer(row["some"], np.int64)
+                q_ids, q_rows = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "q_rows"))
+                queries = np.frombuffer(row["q_vectors"], np.float64).reshape(row["q_n"], row["dim"])
                 norms = np.linalg.norm(vectors, axis=1)
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 for at in range(0, len(queries), _BATCH):
-                    own = queries[at : at + _BATCH]
+                    own, own_ids = queries[at : at + _BATCH], q_ids[at : at + _BATCH]
                     found = graph.search(_unit(own).astype(np.float32), beam)[:, : 4 * k]
                     score = np.einsum("qd,qkd->qk", own, vectors[found]) / (np.linalg.norm(own, axis=1)[:, None] * norms[found])
-                    wide = ids[found].reshape(len(own), -1)
-                    score = np.repeat(score, MOST_COPIES, 1)
-                    score[(wide < 0) | np.repeat(found < 0, MOST_COPIES, 1) | (wide == q_ids[at : at + _BATCH, None])] = -np.inf
+                    wide = ids[found]
+                    live = (found >= 0)[:, :, None] & (np.arange(k + 1) < some[found][:, :, None])
+                    # the query's own row: the first of its id among those of its vector
+                    same = live & (wide == own_ids[:, None, None]) & (vectors[found] == own[:, None, :]).all(2)[:, :, None]
+                    live &= ~(same & (np.cumsum(same, 2) == 1))
+                    wide, live = wide.reshape(len(own), -1), live.reshape(len(own), -1)
+                    score = np.where(live, np.repeat(score, k + 1, 1), -np.inf)
                     by = np.lexsort((wide, -score), axis=1)[:, :k]
                     wide, score = np.take_along_axis(wide, by, 1), np.take_along_axis(score, by, 1)
                     live = score > -np.inf
-                    out[0].append(np.repeat(q_ids[at : at + _BATCH], live.sum(1))), out[1].append(wide[live]), out[2].append(score[live])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
+                    out[0].append(np.repeat(own_ids, live.sum(1))), out[1].append(np.repeat(q_rows[at : at + _BATCH], live.sum(1)))
+                    out[2].append(wide[live]), out[3].append(score[live])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "query_row", "vec_id", "score"])
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: str, k: int = 5, beam: int = BEAM) -> DataFrame:
-    """Rows query_id, rank, vec_id, score: the k nearest found by cosine of each row of vectors (vec_id, embedding) that the condition `queries` picks."""
+    """Rows query_id, rank, vec_id, score, query_row: the k nearest found by cosine of each row of vectors (vec_id, embedding) that the condition `queries` picks."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select("vec_id", x.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine)
-    once = rows.mapInArrow(_copies, "vector binary, ids array<long>").groupBy("vector").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, MOST_COPIES).alias("ids"))
+    flat = rows.mapInArrow(_flat, "vec_id long, vector binary")
+    # the limit holds within tasks before the exchange, so a very common vector sends few rows
+    least = flat.withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    once = least.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     once = checkpoint(once.withColumn("dim", (F.length("vector") / 8).cast("int")))
     sizes = {r["dim"]: max(1, math.ceil(r["n"] / SHARD)) for r in once.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row int")
     shards = F.create_map(*[F.lit(y) for d in sizes.items() for y in d])
-    named = once.withColumn("shard", F.concat_ws("/", "dim", F.pmod(F.xxhash64("vector"), shards[F.col("dim")])))
-    index = checkpoint(named.groupBy("shard").applyInPandas(_build, "shard string, dim int, n int, ids binary, vectors binary, links array<binary>"))
-    asked = rows.where(queries).select("vec_id", "embedding").mapInArrow(_flat, "vec_id long, vector binary").withColumn("dim", (F.length("vector") / 8).cast("int"))
-    blocks = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(asked.count() / QUERIES))))
-    asked = asked.groupBy("dim", blocks.alias("block")).applyInPandas(_pack, "dim int, q_n int, q_ids binary, q_vectors binary")
+    named = once.select("vector", "ids", F.xxhash64(F.lit(1), "vector").alias("place"), F.concat_ws("/", "dim", F.pmod(F.xxhash64("vector"), shards[F.col("dim")])).alias("shard"))
+    index = checkpoint(named.groupBy("shard").applyInPandas(_build(k), "shard string, dim int, n int, ids binary, some binary, vectors binary, links array<binary>"))
+    asked = rows.where(queries).select("vec_id", "embedding").mapInArrow(_flat, "vec_id long, vector binary").distinct()
+    asked = asked.withColumn("query_row", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.xxhash64("vector"), "vector")) - 1).withColumn("dim", (F.length("vector") / 8).cast("int"))
+    blocks = F.pmod(F.xxhash64("vec_id", "query_row"), F.lit(max(1, math.ceil(asked.count() / QUERIES))))
+    asked = asked.groupBy("dim", blocks.alias("block")).applyInPandas(_pack, "dim int, q_n int, q_ids binary, q_rows binary, q_vectors binary")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), shards[F.col("dim")] - 1))).withColumn("to", F.concat_ws("/", "dim", "part"))
-    met = index.join(asked.drop("dim", "part"), F.col("shard") == F.col("to")).select("dim", "n", "ids", "vectors", "links", "q_n", "q_ids", "q_vectors")
-    found = met.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = index.join(asked.drop("dim", "part"), F.col("shard") == F.col("to")).select("dim", "n", "ids", "some", "vectors", "links", "q_n", "q_ids", "q_rows", "q_vectors")
+    found = met.mapInArrow(_search(k, beam), "query_id long, query_row long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.col("query_row").cast("int").alias("query_row"))
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,6 +169,41 @@ def test_neighbours(spark):
     assert [v for v, _ in got[500]] == [3, 501, 502, 503, 504]
 
 
+def test_neighbours_of_clusters_in_id_order(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(64, 24))
+    x = (np.repeat(centers, 64, 0) + 0.15 * rng.normal(size=(4096, 24))).astype(np.float32)
+    got = defaultdict(set)
+    for r in ann.op6_ann(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4096, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len({*np.argsort(-s)[:5].tolist()} & got[q])
+    assert hits >= 0.95 * 5 * len(range(0, 4096, 50))
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """A row that repeats an id, or id and vector, is a candidate of its twin; only the query's own row isn't."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(50, x[0].tolist()), (50, x[0].tolist()), (100, x[1].tolist()), (100, x[2].tolist()), (150, x[3].tolist()), *[(7, x[3].tolist())] * 8]
+    expect = defaultdict(list)
+    wide = [(i, np.array(v, np.float64)) for i, v in rows]
+    for at, (i, v) in enumerate(wide):
+        if i % 50 == 0:
+            others = [(-float(w @ v / (np.linalg.norm(w) * np.linalg.norm(v))), j) for k, (j, w) in enumerate(wide) if k != at]
+            expect[i].append([j for _, j in sorted((round(s, 12), j) for s, j in others)[:5]])
+    got = defaultdict(lambda: defaultdict(list))
+    for r in ann.op6_ann(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "query_row", "rank").collect():
+        got[r["query_id"]][r["query_row"]].append(r["vec_id"])
+    assert {q: sorted(map(tuple, v.values())) for q, v in got.items()} == {q: sorted({tuple(x) for x in v}) for q, v in expect.items()}
+    assert len(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id = 150", k=9).collect()) == 9
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     usual = ["".join(rng.choice(["ta", "ri", "on", "er", "the", "an"]) for _ in range(rng.randint(1, 3))) for _ in range(200)]
