@@ -467,13 +467,56 @@ def test_language_model(corpus):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+def test_model_score_as_a_plain_loop():
+    """Each id once, attending to what its window shows before it, against loops over places."""
+    rng = np.random.default_rng(6)
+    m = 30
+    bounds = np.array([0, 3, 130, 131, 260])
+    ids = rng.integers(0, m - 1, 260).astype(np.int32)
+    ids[bounds[1:] - 1] = m - 1
+    model, p, _, _ = lm.train(ids, bounds, m, steps=5)
+    got = model.score(ids, bounds)
+    query, key = p["e"] @ p["q"], p["e"] @ p["k"]
+    for t in range(len(bounds) - 1):
+        own, total = ids[bounds[t] : bounds[t + 1]].tolist(), 0.0
+        for at in range(len(own)):
+            first = at // lm.STRIDE * lm.STRIDE - lm.CONTEXT
+            shown = [(own[j - 1] if j else m - 1, own[j]) for j in range(max(0, first), at + 1)]
+            last = shown[-1][0]
+            weights = [math.exp(min(20, float(query[last] @ key[b]))) for b, _ in shown]
+            mean = sum(w * p["v"][b] for w, (b, _) in zip(weights, shown, strict=True)) / sum(weights)
+            gate = np.exp(mean + p["b"] - (mean + p["b"]).max())
+            mix = float((gate / gate.sum()) @ model.table[last, own[at]])
+            same = [x for b, x in shown[:-1] if b == last]
+            share = float(model.copy[min(len(same), len(model.copy) - 1)])
+            total += math.log10((1 - share) * mix + share * (sum(x == own[at] for x in same) / len(same) if same else 0))
+        assert abs(total - got[t]) < 1e-3 * len(own)
+
+
+def test_attention_helps(corpus):
+    """Trained attention against gates that are the same everywhere, on texts of two languages that it has not seen."""
+    texts = [" ".join(words(t)) for i, t in corpus[1] if i is not None and i < 120]
+    spell = lambda some: [np.array([ord(c) % 60 for c in t] + [60], np.int32) for t in some]
+    seen, new = spell(texts[:80]), spell(texts[80:])
+    joined = lambda x: (np.concatenate(x), np.concatenate([[0], np.cumsum([len(a) for a in x])]))
+    model, p, _, _ = lm.train(*joined(seen), 61)
+    flat = lm.built({**p, "v": np.zeros_like(p["v"])}, model.copy)
+    flat.table = model.table
+    assert model.score(*joined(new)).sum() > flat.score(*joined(new)).sum()
+
+
+def test_language_model_in_any_order(spark, corpus):
+    key = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in lm.op1_lm(df).collect())
+    assert key(corpus[0]) == key(corpus[0].orderBy(F.desc("doc_id")).repartition(3))
+
+
 def test_model_sums_to_one():
     rng = np.random.default_rng(0)
     m = 40
     ids = rng.integers(0, m - 1, 600).astype(np.int32)
     bounds = np.array([0, 200, 600])
     ids[bounds[1:] - 1] = m - 1
-    model, _, _ = lm.train(ids, bounds, m, steps=3)
+    model, _, _, _ = lm.train(ids, bounds, m, steps=3)
     first, text = lm.windows(bounds)
     before, target, inside = lm._cut(ids, bounds, first, text, m - 1)
     total = 0
