@@ -5,15 +5,13 @@ from __future__ import annotations
 import ipaddress
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FIELDS = ["id", "ip", "event_type", "user_agent", "path", "port", "status_code", "message", "dst_ip", "src_port", "protocol", "direction", "domain"]
 _NUMBERS = {"port", "status_code", "src_port"}
 #: Second levels under which a two-letter country domain registers names.
-SECOND_LEVELS = ["co", "com", "net", "org", "gov", "edu", "ac", "gob", "or", "ne"]
+SECOND_LEVELS = ["co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go"]
 _UNITS = {"h": 3_600_000_000, "m": 60_000_000, "s": 1_000_000, "ms": 1000, "us": 1, "d": 86_400_000_000}
 _V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 
@@ -53,22 +51,64 @@ def field(name: str) -> Column:
     return F.when(value != "", value)
 
 
-@F.pandas_udf(T.StringType())
-def _canonical_v6(ips: pd.Series) -> pd.Series:
-    def one(text):
-        try:
-            ip = ipaddress.ip_address(text.split("%")[0])
-        except (ValueError, AttributeError):
-            return None
-        return str(getattr(ip, "ipv4_mapped", None) or ip)
+_V6 = r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$"
 
-    return ips.map(one)
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
-def normalize_ip(text: Column, v6: bool = True) -> Column:
-    """The canonical address, null if there is none. Only texts with a colon go to the one Python function; v6=False leaves it out."""
+
+def _groups(text: Column) -> Column:
+    return F.filter(F.split(text, ":"), lambda g: g != "")
+
+
+def _canonical_v6(text: Column) -> Column:
+    """Lower case, no zone, groups without leading zeros, the longest run of two or more zero groups (the first of such) as ::, a mapped IPv4 address as such; null if it is none."""
+    plain = F.lower(F.substring_index(text, "%", 1))
+    # dotted digits at the end stand for two groups
+    octet = lambda i: F.regexp_extract(plain, r"^.*:(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int")
+    dotted = plain.rlike(r":" + _V4.removeprefix("^"))
+    two = lambda i: F.lower(F.hex(octet(i) * 256 + octet(i + 1)))
+    plain = F.when(dotted, F.concat(F.regexp_extract(plain, r"^(.*:)[\d.]+$", 1), two(1), F.lit(":"), two(3))).otherwise(plain)
+
+    def expanded(t: Column) -> Column:
+        halves = F.split(t, "::")
+        left, right = _groups(halves[0]), F.coalesce(_groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+        n = F.size(left) + F.size(right)
+        whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
+        fine = t.rlike(_V6) & F.when(t.contains("::"), n <= 7).otherwise(n == 8)
+        return F.when(fine, F.array_join(F.transform(whole, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"))
+
+    def shortened(t: Column) -> Column:
+        edged = F.concat(F.lit(":"), t, F.lit(":"))
+        out = edged
+        for n in range(2, 9):
+            run = ":0" * n + ":"
+            out = F.when(edged.contains(run), F.regexp_replace(edged, f"^(.*?){run}(.*)$", "$1::$2")).otherwise(out)
+        return F.regexp_replace(F.regexp_replace(out, "^:(?!:)", ""), "(?<!:):$", "")
+
+    def named(t: Column) -> Column:
+        parts = F.split(t, ":")
+        number = lambda i: F.conv(F.get(parts, F.lit(i)), 16, 10).cast("int")
+        byte = lambda i, high: (F.shiftright(number(i), 8) if high else F.pmod(number(i), F.lit(256))).cast("string")
+        v4 = F.concat_ws(".", byte(6, True), byte(6, False), byte(7, True), byte(7, False))
+        return F.when(t.startswith("0:0:0:0:0:ffff:"), v4).when(t.isNotNull(), shortened(t))
+
+    return _let(expanded(plain), named)
+
+
+def normalize_ip(text: Column) -> Column:
+    """The canonical address, null if there is none."""
+    text = F.trim(text)
+    return F.when(text.rlike(_V4), text).when(text.contains(":"), _canonical_v6(text))
+
+
+def client_ip(text: Column) -> Column:
+    """The canonical address of address, address:port or [address]:port; null if there is none."""
     text = F.trim(text)
-    return F.when(text.rlike(_V4), text).when(text.contains(":"), _canonical_v6(F.when(text.contains(":"), text)) if v6 else F.lit(None))
+    bare = F.when(text.rlike(r"^\[.*\](:\d+)?$"), F.regexp_extract(text, r"^\[(.*)\]", 1)).when(text.rlike(r"^[^:]+:\d+$"), F.substring_index(text, ":", 1)).otherwise(text)
+    return normalize_ip(bare)
 
 
 def ip_hex(ip: Column) -> Column:
@@ -76,9 +116,8 @@ def ip_hex(ip: Column) -> Column:
     parts = F.split(ip, r"\.")
     v4 = F.array_join(F.transform(parts, lambda p: F.lpad(F.lower(F.hex(p.cast("int"))), 2, "0")), "")
     halves = F.split(ip, "::")
-    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
     wide = lambda g: F.lpad(g, 4, "0")
-    left, right = groups(halves[0]), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+    left, right = _groups(halves[0]), F.coalesce(_groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
     gap = F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))
     v6 = F.array_join(F.transform(F.concat(left, gap, right), wide), "")
     return F.when(ip.contains(":"), v6).when(ip.rlike(_V4), v4)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harrier.schema import severity_rank
 
 #: What an answer may say, and how long its texts may be.
-VERDICTS = ["malicious", "suspicious", "benign", "inconclusive"]
+VERDICTS = ["malicious", "suspicious", "benign", "unknown"]
 CONFIDENCES = ["low", "medium", "high"]
 SHORT, LONG = 100, 1000
 _ANSWER = "verdict string, confidence string, category string, summary string, recommended_action string"

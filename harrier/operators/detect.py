@@ -7,13 +7,16 @@ time count in the order of seq. The batch form replays events in order of (times
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrier.functions.fields import duration_column, duration_text, field, micros, render
-from harrier.plans.rules import KINDS, Rule, RuleSet, compile_filter, matches_signature
+from harrier.plans.rules import KINDS, Rule, RuleSet, compile_filter, with_signatures
 from harrier.schema import SEVERITIES
 
 _VARS = ["pattern", "field", "group", "interval_us", "jitter"]
@@ -28,63 +31,103 @@ def _firing(rule: Rule, count: Column, **values: Column) -> list[Column]:
     return ["seq", "ip", "timestamp", F.lit(rule.name).alias("rule"), count.cast("int").alias("count"), *[values.get(v, F.lit(None)).cast(kinds.get(v, "string")).alias(v) for v in _VARS]]
 
 
+def signatures(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A firing for each event and signature whose conditions it meets and of which a pattern matches. No shuffle, one pass."""
+    null = lambda kind: F.lit(None).cast(kind)
+    return with_signatures(events, rules).select("seq", "ip", "timestamp", "sig.rule", F.lit(1).alias("count"), "sig.pattern", "sig.field", null("string").alias("group"), null("double").alias("interval_us"), null("double").alias("jitter"))
+
+
 def signature(events: DataFrame, rule: Rule) -> DataFrame:
-    """A firing for each event that meets the conditions and matches a pattern. No shuffle."""
-    hit = events.where(compile_filter(rule.when)).withColumn("__hit", matches_signature(rule)).where("__hit IS NOT NULL")
-    return hit.select(*_firing(rule, F.lit(1), pattern=F.col("__hit.pattern"), field=F.col("__hit.field")))
+    return signatures(events, [rule])
 
 
-def threshold(events: DataFrame, rule: Rule) -> DataFrame:
-    """A firing at each matching event by which an address has `threshold` events, or distinct values, in the window.
+#: An address's time is cut into chunks of so many windows.
+CHUNK = 4
+
+
+def thresholds(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A firing at each matching event by which an address has `threshold` events, or distinct values, in a rule's window.
 
     Every event enters as +1 at its time and leaves as -1 a window later, expiries first; a running sum
     over both is the window's count, in linear time. For distinct values the pair stands for a run of
-    equal values that are less than a window apart.
+    equal values that are less than a window apart. All rules are counted in one pass. An address's time is cut into
+    chunks that are counted apart, each with the events of the window before it, so that a busy address is no
+    single task: only what it sends within CHUNK windows meets.
     """
-    w = micros(rule.window)
-    rows = events.where(compile_filter(rule.when))
-    value = field(rule.distinct) if rule.distinct else None
-    group = field(rule.group_by) if rule.group_by else F.lit("")
-    rows = rows.select("seq", "ip", "timestamp", group.alias("group"), (value if value is not None else F.lit("")).alias("value"))
-    rows = rows.where("`group` IS NOT NULL AND value IS NOT NULL")
-    ts, end = F.col("timestamp"), _after(F.col("timestamp"), w)
-    enters, leaves = F.lit(1), F.lit(-1)
-    if rule.distinct:
-        same = Window.partitionBy("ip", "group", "value").orderBy("timestamp", "seq")
-        rows = rows.withColumns({"__before": F.lag("timestamp").over(same), "__next": F.lead("timestamp").over(same)})
-        enters = F.when(F.col("__before").isNull() | (_after(F.col("__before"), w) <= ts), 1).otherwise(0)
-        leaves = F.when(F.col("__next").isNull() | (F.col("__next") >= end), -1).otherwise(0)
+    ts = F.unix_micros("timestamp")
+
+    def hit(r: Rule) -> Column:
+        value = field(r.distinct) if r.distinct else F.lit("")
+        group = field(r.group_by) if r.group_by else F.lit("")
+        w = micros(r.window)
+        made = F.struct(F.lit(r.name).alias("rule"), F.lit(w).cast("long").alias("w"), F.lit(r.threshold).alias("least"), F.lit(bool(r.distinct)).alias("distinct"), group.alias("group"), value.alias("value"))
+        return F.when(compile_filter(r.when) & group.isNotNull() & value.isNotNull(), made)
+
+    rows = events.where("timestamp IS NOT NULL").select("seq", "ip", ts.alias("us"), F.explode(F.array_compact(F.array(*map(hit, rules)))).alias("h")).select("seq", "ip", "us", "h.*")
+    rows = rows.withColumn("chunk", F.floor(F.col("us") / (F.col("w") * CHUNK)))
+    late = F.col("us") + F.col("w") > (F.col("chunk") + 1) * F.col("w") * CHUNK
+    rows = rows.withColumn("chunk", F.explode(F.when(late, F.array("chunk", F.col("chunk") + 1)).otherwise(F.array("chunk"))))
+    rows = rows.withColumn("own", F.floor(F.col("us") / (F.col("w") * CHUNK)) == F.col("chunk"))
+    keys = ["ip", "rule", "group", "chunk"]
+    end = F.col("us") + F.col("w")
     step = lambda at, kind, delta: F.struct(at.alias("at"), F.lit(kind).alias("kind"), delta.alias("delta"))
-    both = rows.select("seq", "ip", "timestamp", "group", F.explode(F.array(step(ts, 1, enters), step(end, 0, leaves))).alias("s"))
-    both = both.where("s.kind = 1 OR s.delta <> 0")
-    order = Window.partitionBy("ip", "group").orderBy("s.at", "s.kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("count", F.sum("s.delta").over(order))
-    fired = both.where((F.col("s.kind") == 1) & (F.col("count") >= rule.threshold))
-    return fired.select(*_firing(rule, F.col("count"), group=F.when(F.col("group") != "", F.col("group"))))
 
+    def counted(part: DataFrame, enters: Column, leaves: Column) -> DataFrame:
+        both = part.select("seq", "us", "own", "least", *keys, F.explode(F.array(step(F.col("us"), 1, enters), step(end, 0, leaves))).alias("s"))
+        both = both.where("s.kind = 1 OR s.delta <> 0")
+        order = Window.partitionBy(*keys).orderBy("s.at", "s.kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("count", F.sum("s.delta").over(order))
+        return both.where((F.col("s.kind") == 1) & F.col("own") & (F.col("count") >= F.col("least")))
+
+    found = []
+    if any(not r.distinct for r in rules):
+        found.append(counted(rows.where("NOT distinct"), F.lit(1), F.lit(-1)))
+    if any(r.distinct for r in rules):
+        part = rows.where("distinct").repartition(*keys)  # which serves both windows
+        same = Window.partitionBy(*keys, "value").orderBy("us", "seq")
+        part = part.withColumns({"__before": F.lag("us").over(same), "__next": F.lead("us").over(same)})
+        enters = F.when(F.col("__before").isNull() | (F.col("__before") + F.col("w") <= F.col("us")), 1).otherwise(0)
+        leaves = F.when(F.col("__next").isNull() | (F.col("__next") >= end), -1).otherwise(0)
+        found.append(counted(part, enters, leaves))
+    fired = reduce(DataFrame.unionByName, found)
+    null = lambda kind: F.lit(None).cast(kind)
+    return fired.select("seq", "ip", F.timestamp_micros("us").alias("timestamp"), "rule", F.col("count").cast("int").alias("count"), null("string").alias("pattern"), null("string").alias("field"), F.when(F.col("group") != "", F.col("group")).alias("group"), null("double").alias("interval_us"), null("double").alias("jitter"))
 
-def _sessions(rows: DataFrame, keys: list[str], gap: int | Column) -> DataFrame:
-    """Rows with `__session`: a new one begins where the row before is `gap` or more away."""
-    order = Window.partitionBy(*keys).orderBy("timestamp", "seq")
-    start = F.coalesce((_after(F.lag("timestamp").over(order), gap) <= F.col("timestamp")).cast("int"), F.lit(0))
-    return rows.withColumn("__start", start).withColumn("__session", F.sum("__start").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
+
+def threshold(events: DataFrame, rule: Rule) -> DataFrame:
+    return thresholds(events, [rule])
+
+
+def _keep_spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (two hashes of the key, time) those a gap after the last kept one of their key; only that one is remembered."""
+    key, last = None, 0
+    for batch in batches:
+        one, two, us, gap = (batch.column(batch.num_columns - i).to_numpy() for i in (4, 3, 2, 1))
+        new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(us) else np.empty(0, int)
+        keep = np.zeros(len(us), bool)
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(us)], strict=True):
+            if not gap[a]:
+                keep[a:b] = True
+                continue
+            at = a
+            if key == (one[a], two[a]):
+                at = a + int(np.searchsorted(us[a:b], last + gap[a]))
+            while at < b:
+                keep[at], last = True, us[at]
+                at += int(np.searchsorted(us[at:b], last + gap[a]))
+            key = (one[a], two[a])
+        yield batch.filter(pa.array(keep)).select(batch.schema.names[:-4])
 
 
 def spaced(rows: DataFrame, keys: list[str], gap: int | Column) -> DataFrame:
     """The rows kept when each must be `gap` or more after the last kept one of its keys.
 
-    The first row of a session is always kept, so sessions are folded by themselves and stay short.
-    A gap of 0 keeps all rows. A gap that is a column must be one of `keys`.
+    A gap of 0 keeps all rows; a gap that is a column must be one of `keys`. The rows of a key pass through one
+    task in order of time, which remembers the last kept one only and jumps from it to the next.
     """
-    carried = [c for c in rows.columns if c not in keys]
-    parts = _sessions(rows, keys, gap).groupBy(*keys, "__session").agg(F.array_sort(F.collect_list(F.struct("timestamp", "seq", *[c for c in carried if c not in ("timestamp", "seq")]))).alias("all"))
-    first = F.slice("all", 1, 1)
-
-    def keep(done: Column, x: Column) -> Column:
-        return F.when(_after(F.element_at(done, -1)["timestamp"], gap) <= x["timestamp"], F.concat(done, F.array(x))).otherwise(done)
-
-    kept = parts.withColumn("kept", F.aggregate(F.slice("all", 2, F.size("all")), first, keep))
-    return kept.select(*keys, F.explode("kept").alias("k")).select(*[F.col(c) if c in keys else F.col(f"k.{c}").alias(c) for c in rows.columns])
+    sorted_ = rows.where("timestamp IS NOT NULL").select("*", F.xxhash64(*keys).alias("__k1"), F.xxhash64(F.lit(1), *keys).alias("__k2"), F.unix_micros("timestamp").alias("__us"), (F.lit(gap) if isinstance(gap, int) else gap).cast("long").alias("__gap"))
+    sorted_ = sorted_.repartition("__k1", "__k2").sortWithinPartitions("__k1", "__k2", "__us", "seq")
+    return sorted_.mapInArrow(_keep_spaced, rows.schema)
 
 
 def beacon(events: DataFrame, rule: Rule) -> DataFrame:
@@ -105,14 +148,18 @@ def beacon(events: DataFrame, rule: Rule) -> DataFrame:
     return fired.select(*_firing(rule, F.lit(n), group=F.col("group"), interval_us=F.col("mean"), jitter=jitter))
 
 
-def fire(events: DataFrame, rule: Rule) -> DataFrame:
-    made = {"signature": signature, "threshold": threshold, "beacon": beacon}.get(rule.kind)
-    return made(events, rule) if made else KINDS[rule.kind](rule)(events)
-
-
 def firings(events: DataFrame, rules: RuleSet) -> DataFrame:
-    """Firings of all rules but the correlations."""
-    return reduce(DataFrame.unionByName, [fire(events, r) for r in rules.active if r.kind != "correlation"])
+    """Firings of all rules but the correlations: a pass for all signatures, one for all thresholds, one for each other rule."""
+    found = []
+    for kind, made in (("signature", signatures), ("threshold", thresholds)):
+        if some := [r for r in rules.active if r.kind == kind]:
+            found.append(made(events, some))
+    for r in rules.active:
+        if r.kind == "beacon":
+            found.append(beacon(events, r))
+        elif r.kind not in ("signature", "threshold", "correlation"):
+            found.append(KINDS[r.kind](r)(events))
+    return reduce(DataFrame.unionByName, found)
 
 
 def cooldown(fired: DataFrame, rules: RuleSet, history: DataFrame | None = None) -> DataFrame:

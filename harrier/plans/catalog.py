@@ -125,7 +125,7 @@ for _name in ("BruteForce", "AccessDeniedFlood", "RapidFire"):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses by brute-force alerts that survive the cooldown."""
-    accepted, _ = normalize.normalize(ev(spark, sf_dir), v6=False)
+    accepted, _ = normalize.normalize(ev(spark, sf_dir))
     fired = detect.threshold(accepted, rule("BruteForce"))
     kept = detect.spaced(fired.select("ip", "timestamp", "seq"), ["ip"], fn.micros("1d"))
     return report.top_counts(kept, "ip")
@@ -251,13 +251,13 @@ def _dirty(e: DataFrame) -> DataFrame:
 
 @query("normalize_accepted", f"WITH {EV} SELECT seq, ip, domain, direction, base_domain AS base FROM ev WHERE seq % 7 <> 0 AND seq % 5 <> 0")
 def _(s, d):
-    ok, _bad = normalize.normalize(_dirty(ev(s, d)), v6=False)
+    ok, _bad = normalize.normalize(_dirty(ev(s, d)))
     return ok.select("seq", "ip", "domain", "direction", F.try_element_at("metadata", F.lit("base_domain")).alias("base"))
 
 
 @query("normalize_rejected", f"WITH {EV} SELECT seq, CASE WHEN seq % 7 = 0 AND seq % 5 = 0 THEN 'ip is not a valid address; port is out of range' WHEN seq % 7 = 0 THEN 'ip is not a valid address' ELSE 'port is out of range' END AS errors FROM ev WHERE seq % 7 = 0 OR seq % 5 = 0")
 def _(s, d):
-    _ok, bad = normalize.normalize(_dirty(ev(s, d)), v6=False)
+    _ok, bad = normalize.normalize(_dirty(ev(s, d)))
     return bad.select("seq", F.array_join("errors", "; ").alias("errors"))
 
 

@@ -170,10 +170,14 @@ def java_regex(pattern: str) -> str:
     return f"(?diu){out}"
 
 
-def matches_signature(rule: Rule) -> Column:
-    """struct(pattern, field) of the first match, null without one: fields in order, variants in order, then contains, paths, regex."""
+def matches_signature(rule: Rule, variants: Callable[[str], Column] | None = None) -> Column:
+    """struct(pattern, field) of the first match, null without one: fields in order, variants in order, then contains, paths, regex.
+
+    variants: the decoded variants of a field, where they have been computed before for several rules.
+    """
     # the patterns are tried inside a function over the variants, which are computed once and keep the generated code small
     literal = F.array(*[F.lit(p) for p in rule.contains]) if rule.contains else None
+    variants = variants or (lambda name: decoded_variants(field(name)))
 
     def first(v: Column) -> Column:
         tests = [] if literal is None else [F.get(F.filter(literal, lambda p: v.contains(F.lower(p))), F.lit(0))]
@@ -182,7 +186,20 @@ def matches_signature(rule: Rule) -> Column:
         return F.coalesce(*tests)
 
     def of(name: str) -> Column:
-        hit = F.get(F.array_compact(F.transform(decoded_variants(field(name)), first)), F.lit(0))
+        hit = F.get(F.array_compact(F.transform(variants(name), first)), F.lit(0))
         return F.transform(F.array(hit), lambda p: F.when(p.isNotNull(), F.struct(p.alias("pattern"), F.lit(name).alias("field"))))[0]
 
     return F.coalesce(*map(of, rule.fields))
+
+
+def with_signatures(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A row for each event and signature it meets, with `sig` (rule, pattern, field): one pass, each field decoded once."""
+    names = sorted({f for r in rules for f in r.fields})
+    rows = events.withColumns({f"__v{i}": decoded_variants(field(n)) for i, n in enumerate(names)})
+    variants = lambda n: F.col(f"__v{names.index(n)}")
+
+    def named(rule: Rule) -> Column:
+        hit = F.when(compile_filter(rule.when), matches_signature(rule, variants))
+        return F.transform(F.array(hit), lambda h: F.when(h.isNotNull(), F.struct(F.lit(rule.name).alias("rule"), h["pattern"].alias("pattern"), h["field"].alias("field"))))[0]
+
+    return rows.withColumn("sig", F.explode(F.array_compact(F.array(*map(named, rules))))).drop(*[f"__v{i}" for i in range(len(names))])

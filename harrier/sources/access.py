@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.sources.lines import log_time, metadata, part, usable
+from harrier.functions.fields import client_ip
+from harrier.sources.lines import log_time, metadata, usable
 
 #: Fixed value: address, user, time, request, status, size, and optionally referer and agent.
 COMBINED = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "((?:[^"\\]|\\.)*)" (\d{3}) (\S+)(?: "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)")?'
-#: Where each preset finds a field; | separates alternatives, dots lead into objects.
+#: Where each preset finds a field; | separates alternatives, dots lead into objects. The places of `user`,
+#: and `time` as a further name of the time, are additions of this library.
 PRESETS = {
     "json": {"time": "time_iso8601|time_local|msec|time", "ip": "remote_addr", "method": "request_method", "path": "request_uri", "status": "status", "user_agent": "http_user_agent", "host": "host", "user": "remote_user", "referer": "http_referer"},
     "caddy": {"time": "ts", "ip": "request.client_ip|request.remote_ip", "method": "request.method", "path": "request.uri", "status": "status", "user_agent": "request.headers.User-Agent", "host": "request.host", "user": "user_id", "referer": "request.headers.Referer"},
@@ -38,14 +40,13 @@ def _json(path: str) -> Column:
 
 def _to_event(rows: DataFrame, r: dict[str, Column], source: str, bad: Column) -> DataFrame:
     dash = lambda c: F.when(~c.isin("-", ""), c)
-    ip = r["ip"]
-    bare = F.when(ip.rlike(r"^\[.*\](:\d+)?$"), F.regexp_extract(ip, r"^\[(.*)\]", 1)).when(ip.rlike(r"^[^:]+:\d+$"), F.substring_index(ip, ":", 1)).otherwise(ip)
+    ip = client_ip(r["ip"])
     path, method = dash(r["path"]), dash(r["method"])
     return rows.withColumns(
         {
-            "outcome": F.when(bad, "parse_error").otherwise("parsed"),
+            "outcome": F.when(bad | ip.isNull(), "parse_error").otherwise("parsed"),
             "timestamp": log_time(r["time"]),
-            "ip": bare,
+            "ip": ip,
             "event_type": F.lit("http_request"),
             "path": path,
             "status_code": r["status"].try_cast("int"),
@@ -57,14 +58,16 @@ def _to_event(rows: DataFrame, r: dict[str, Column], source: str, bad: Column) -
 
 
 def parse_access_log(lines: DataFrame, preset: str = "combined", fields: dict[str, str] | None = None, source: str = "access") -> DataFrame:
-    """Lines to events; `fields` replaces single places of a JSON preset."""
+    """Lines to events; `fields` replaces single places of a JSON preset. Lines without a client address are parse errors."""
     rows = usable(lines)
     if preset in ("combined", "common"):
-        request = unescape(part(COMBINED, 4))
-        words = F.split(request, " ", 3)
-        whole = F.size(words) == 3
-        r = {"ip": part(COMBINED, 1), "user": part(COMBINED, 2), "time": part(COMBINED, 3), "method": F.when(whole, words[0]), "path": F.when(whole, words[1]), "status": part(COMBINED, 5), "referer": unescape(part(COMBINED, 7)), "user_agent": unescape(part(COMBINED, 8)), "host": F.lit(None).cast("string")}
-        return _to_event(rows, r, source, ~F.col("value").rlike(COMBINED))
+        # one match a line: its groups, with the one character between them that no line of text holds
+        rows = rows.withColumn("__p", F.when(F.col("value").rlike(COMBINED), F.split(F.regexp_replace("value", COMBINED + "(?s:.*)$", "\0".join(f"${i}" for i in (1, 2, 3, 4, 5, 7, 8))), "\0")))
+        got = lambda i: F.nullif(F.get("__p", F.lit(i)), F.lit(""))
+        rows = rows.withColumn("__words", F.split(unescape(got(3)), " ", 3))
+        words, whole = F.col("__words"), F.size("__words") == 3
+        r = {"ip": got(0), "user": got(1), "time": got(2), "method": F.when(whole, words[0]), "path": F.when(whole, words[1]), "status": got(4), "referer": unescape(got(5)), "user_agent": unescape(got(6)), "host": F.lit(None).cast("string")}
+        return _to_event(rows, r, source, F.col("__p").isNull()).drop("__p", "__words")
     places = PRESETS[preset] | (fields or {})
     r = {k: _json(v) for k, v in places.items()}
     bad = F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{") | r["ip"].isNull()

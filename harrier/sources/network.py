@@ -31,20 +31,27 @@ def _firewall_event(rows: DataFrame, r: dict[str, Column], outcome: Column, sour
 
 
 def parse_netfilter(lines: DataFrame, now: Column, default_action: str = "block", zone: str = "UTC", source: str = "firewall") -> DataFrame:
-    """Kernel lines with IN=...: key=value pairs, the last of a repeated key counts; other lines are skipped."""
+    """Kernel lines with IN=... and a SRC= after it: key=value pairs, the last of a repeated key counts; other lines are skipped, an empty SRC is a parse error.
+
+    The action comes from the rule's own prefix, which stands between "kernel:" with its uptime and IN=.
+    """
     rows = usable(lines)
-    tail = F.regexp_extract("value", r"(\bIN=.*)$", 1)
-    prefix = F.upper(F.regexp_extract("value", r"^(.*?)\bIN=", 1))
+    tail = F.regexp_extract("value", r"(IN=.*)$", 1)
+    head = F.regexp_extract("value", r"^(.*?)IN=", 1)
+    prefix = F.trim(F.regexp_replace(F.trim(F.regexp_replace(head, r"^.*?kernel:", "")), r"^\[\s*\d+\.\d+\]\s*", ""))
     pairs = F.transform(F.filter(F.split(tail, r"\s+"), lambda t: t.contains("=")), lambda t: F.struct(F.substring_index(t, "=", 1).alias("k"), F.regexp_extract(t, "=(.*)$", 1).alias("v")))
+    rows = rows.withColumns({"__pairs": pairs, "__prefix": prefix})
     # the last of a key: a fold into a map would fail on repeats
-    key = lambda k: F.nullif(F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])), -1), F.lit(""))
+    key = lambda k: F.nullif(F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter("__pairs", lambda p: p["k"] == k), lambda p: p["v"])), -1), F.lit(""))
     inside, outside = key("IN"), key("OUT")
     direction = F.when(inside.isNotNull() & outside.isNotNull(), "forward").when(inside.isNotNull(), "inbound").when(outside.isNotNull(), "outbound")
-    action = F.when(prefix.rlike("BLOCK|DROP|REJECT|DENY"), "block").when(prefix.rlike("ALLOW|ACCEPT|AUDIT"), "allow").otherwise(default_action)
+    upper = F.upper("__prefix")
+    action = F.when(upper.rlike("BLOCK|DROP|REJECT|DENY"), "block").when(upper.rlike("ALLOW|ACCEPT|AUDIT"), "allow").otherwise(default_action)
     stamp = F.coalesce(part(r"^(\d{4}-\d\d-\d\dT\S+)", 1), part(r"^([A-Z][a-z]{2}\s+\d{1,2} \d\d:\d\d:\d\d)", 1))
-    r = {"time": syslog_time(stamp, now, zone), "src": key("SRC"), "dst": key("DST"), "sport": key("SPT"), "dport": key("DPT"), "proto": key("PROTO"), "direction": direction, "action": action}
-    outcome = F.when(~F.col("value").rlike(r"\bIN=.*\bOUT="), "skipped").when(key("SRC").isNull(), "parse_error").otherwise("parsed")
-    return _firewall_event(rows, r, outcome, source)
+    more = {"log_prefix": F.col("__prefix"), "in_interface": inside, "out_interface": outside}
+    r = {"time": syslog_time(stamp, now, zone), "src": key("SRC"), "dst": key("DST"), "sport": key("SPT"), "dport": key("DPT"), "proto": key("PROTO"), "direction": direction, "action": action, "more": more}
+    outcome = F.when(~tail.contains(" SRC="), "skipped").when(key("SRC").isNull(), "parse_error").otherwise("parsed")
+    return _firewall_event(rows, r, outcome, source).drop("__pairs", "__prefix")
 
 
 #: Fixed value: the columns before a header names others.
@@ -73,24 +80,25 @@ def parse_windows_firewall(lines: DataFrame, zone: str = "UTC", source: str = "f
     return _firewall_event(rows, r, outcome, source).drop("__names")
 
 
-#: A pattern for each server's query lines, with the places of time, client, name and type.
+_STAMP = r"^(\d{4}-\d\d-\d\dT\S+|[A-Z][a-z]{2}\s+\d{1,2} \d\d:\d\d:\d\d)"
+#: A pattern for each server's query lines, with the places of client, name and type. The last is an addition of this library.
 DNS = {
-    "dnsmasq": (r"^([A-Z][a-z]{2}\s+\d{1,2} \d\d:\d\d:\d\d|\d{4}-\d\d-\d\dT\S+)\s+(?:\S+ )?dnsmasq\[\d+\]: (?:\d+ \S+ )?query\[([A-Za-z0-9=]+)\] (\S+) from (\S+)", (1, 4, 3, 2)),
-    "bind": (r"^(\d\d-[A-Z][a-z]{2}-\d{4} \d\d:\d\d:\d\d\.\d{3}) .*?client (?:@0x[0-9a-f]+ )?([0-9a-fA-F.:]+)#\d+ \([^)]*\): (?:view \S+: )?query: (\S+) IN (\S+)", (1, 2, 3, 4)),
-    "unbound": (r"^(?:\[(\d+)\]|\S.*?) unbound\[\d+:\d+\] info: (\S+) (\S+)\. ([A-Z0-9]+) IN$", (1, 2, 3, 4)),
-    "coredns": (r"^(?:(\S+) )?\[INFO\] \[?([0-9a-fA-F.:]+?)\]?:\d+ - \d+ \"([A-Z0-9]+) IN (\S+) ", (1, 2, 4, 3)),
+    "dnsmasq": (r"(?:dnsmasq|pihole-FTL)\[\d+\]: query\[(\w+)\] (\S+) from (\S+)", (3, 2, 1)),
+    "bind": (r"client (?:@\S+ )?(\S+)#\d+ \([^)]*\): (?:view \S+: )?query: (\S+) IN (\S+)", (1, 2, 3)),
+    "unbound": (r"unbound\[[\d:]+\] info: (\S+) (\S+) (\S+) IN\s*$", (1, 2, 3)),
+    "coredns": (r"\[INFO\] \[?([0-9a-fA-F.:]+?)\]?:\d+ - \d+ \"([A-Z0-9]+) IN (\S+) ", (1, 3, 2)),
 }
 
 
 def parse_dns(lines: DataFrame, server: str, now: Column, zone: str = "UTC", source: str = "dns") -> DataFrame:
-    """Query lines to events; other lines are skipped."""
-    pattern, (t, client, name, kind) = DNS[server]
+    """Query lines to events; other lines are skipped. A line whose time is not known has none."""
+    pattern, (client, name, kind) = DNS[server]
     rows = usable(lines)
-    stamp = part(pattern, t)
+    syslog = syslog_time(part(_STAMP, 1), now, zone)
     time = {
-        "bind": F.to_utc_timestamp(F.try_to_timestamp(stamp, F.lit("dd-MMM-yyyy HH:mm:ss.SSS")), zone),
-        "unbound": F.timestamp_seconds(stamp.try_cast("long")),
-    }.get(server, syslog_time(stamp, now, zone))
+        "bind": F.to_utc_timestamp(F.try_to_timestamp(part(r"^(\d\d-[A-Z][a-z]{2}-\d{4} \d\d:\d\d:\d\d\.\d{3})\s", 1), F.lit("dd-MMM-yyyy HH:mm:ss.SSS")), zone),
+        "unbound": F.coalesce(F.timestamp_seconds(part(r"^\[(\d+)\]", 1).try_cast("long")), syslog),
+    }.get(server, syslog)
     return rows.withColumns(
         {
             "outcome": F.when(F.col("value").rlike(pattern), "parsed").otherwise("skipped"),
@@ -123,7 +131,9 @@ def parse_events_json(lines: DataFrame, nest_prefix: str | None = None) -> DataF
 def connection_events(snapshots: DataFrame, include_loopback: bool = False) -> DataFrame:
     """What each host's snapshot holds that the one before does not: new connections, and new listeners from the second snapshot on."""
     s = snapshots.withColumn("n", F.dense_rank().over(Window.partitionBy("host").orderBy("snapshot_ts")))
-    s = s.dropDuplicates(["host", "n", "proto", "local_ip", "local_port", "remote_ip", "remote_port", "pid"])
+    # of a socket's repeats in a snapshot the first by owner and state counts
+    same = Window.partitionBy("host", "n", "proto", "local_ip", "local_port", "remote_ip", "remote_port").orderBy("pid", "process", "uid", "state")
+    s = s.withColumn("__r", F.row_number().over(same)).where("__r = 1").drop("__r")
     listening = F.col("state") == "LISTEN"
     none = F.col("remote_ip").isin("0.0.0.0", "::") | F.col("remote_ip").isNull()
     loop = lambda c: in_cidr(ip_hex(F.col(c)), "127.0.0.0/8") | in_cidr(ip_hex(F.col(c)), "::1/128")
@@ -141,6 +151,7 @@ def connection_events(snapshots: DataFrame, include_loopback: bool = False) -> D
     made = new.select("host", F.col("snapshot_ts").alias("timestamp"), F.lit("network_connection").alias("event_type"), pick("remote_ip", "local_ip").alias("ip"), pick("local_ip", "remote_ip").alias("dst_ip"), pick("remote_port", "local_port").alias("src_port"), pick("local_port", "remote_port").alias("port"), F.col("proto").alias("protocol"), F.when(inbound, "inbound").otherwise("outbound").alias("direction"), F.lit(None).cast("string").alias("message"), more.alias("metadata"))
     lk = ["host", "proto", "local_ip", "local_port"]
     opened = s.where(listening).join(before(s.where(listening), lk), [*lk, "n"], "left_anti").where("n > 1").dropDuplicates([*lk, "n"])
-    text = F.concat(F.lit("New listening port: "), F.col("proto"), F.lit(" port "), F.col("local_port").cast("string"), F.lit(" on "), F.col("local_ip"))
+    at = F.when(F.col("local_ip").contains(":"), F.concat(F.lit("["), F.col("local_ip"), F.lit("]"))).otherwise(F.col("local_ip"))
+    text = F.concat(F.lit("listening on "), F.col("proto"), F.lit(" "), at, F.lit(":"), F.col("local_port").cast("string"))
     opened = opened.select("host", F.col("snapshot_ts").alias("timestamp"), F.lit("port_opened").alias("event_type"), F.col("local_ip").alias("ip"), F.lit(None).cast("string").alias("dst_ip"), F.lit(None).cast("int").alias("src_port"), F.col("local_port").alias("port"), F.col("proto").alias("protocol"), F.lit(None).cast("string").alias("direction"), text.alias("message"), more.alias("metadata"))
     return made.unionByName(opened)

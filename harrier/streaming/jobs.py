@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from harrier.functions.fields import field, micros
 from harrier.operators.normalize import assign_ids, fix_timestamps, normalize
-from harrier.plans.rules import RuleSet, compile_filter, matches_signature
+from harrier.plans.rules import RuleSet, compile_filter, matches_signature, with_signatures
 from harrier.schema import SEVERITIES
 
 
@@ -30,13 +30,8 @@ def stream_ingest(events: DataFrame, path: str, checkpoint: str):
 
 def stream_signatures(events: DataFrame, rules: RuleSet) -> DataFrame:
     """Firings of the signature rules; no state."""
-    found = F.array_compact(F.array(*[_named(r) for r in rules.active if r.kind == "signature"]))
-    return events.select("seq", "ip", "timestamp", F.explode(found).alias("f")).select("seq", "ip", "timestamp", "f.rule", "f.pattern", "f.field")
-
-
-def _named(rule):
-    hit = matches_signature(rule)
-    return F.when(compile_filter(rule.when) & hit.isNotNull(), F.struct(F.lit(rule.name).alias("rule"), hit["pattern"].alias("pattern"), hit["field"].alias("field")))
+    found = with_signatures(events, [r for r in rules.active if r.kind == "signature"])
+    return found.select("seq", "ip", "timestamp", "sig.rule", "sig.pattern", "sig.field")
 
 
 def stream_counts(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
