@@ -2,9 +2,8 @@
 
 Documents of one shingle set are one node. Of each node's 100 minima the low 4 bits are packed into
 a signature; 20 bands of 5 full minima propose candidates, 25 of 4 where the threshold is below 0.85. A crowded band never yields all its pairs:
-each of its nodes is compared with the likeliest of its bands' heads, later, where the links found leave a
-band in several components, with all heads. What then remains in several components meets at its rarest shingles,
-of which sets that are alike share one, which finds all links among them. A pair whose
+each of its nodes is compared with the likeliest of its bands' heads. Bands that the links found leave in several
+components are compared as a whole, the large ones block by block, where only links are sent on. A pair whose
 collision-corrected bit count lies far below the threshold is dropped; the others are decided by
 their whole sets. At similarity 0.85 a link misses all bands once in 100,000 times,
 at 0.8 once in 500,000.
@@ -30,8 +29,9 @@ from harrier.llm.components import components, reshuffled
 #: Minima, rows of a band, low bits kept of a minimum, and by how much an estimate may fall short of the threshold.
 MINIMA, ROWS, BITS, SLACK = 100, 5, 4, 0.18
 LONGS = -(-MINIMA // 16)
-#: Rounds in which a node is compared with the likeliest head of its bands, and rounds with all their heads, before the rest of the pairs is taken.
-NEAREST, ROUNDS = 2, 1
+#: Rounds in which a node is compared with the likeliest head of its bands before what is left in several components is
+#: compared as a whole, nodes of a band whose pairs are taken one by one, and of a block else.
+NEAREST, SMALL, BLOCK = 1, 16, 256
 
 
 def _seeds(n: int, start: int) -> np.ndarray:
@@ -123,15 +123,6 @@ def _whole_sets(size: int):
     return run
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each set."""
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-        for at in range(0, len(sets), 500):
-            part = sets[at : at + 500]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[at : at + 500], [len(x) for x in part])), pa.array(np.concatenate(part))], ["node", "item"])
-
-
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +139,38 @@ def _linked(percent: int):
     return run
 
 
+def _across(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Links between the sets of two blocks, one for two components."""
+        nodes, component, own = (rows.column(c).to_numpy() for c in ("node", "component", "own"))
+        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("items").combine_chunks()]
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        flat = lambda side: (np.concatenate([sets[i] for i in side] or [np.empty(0, np.uint64)]), np.repeat(np.arange(len(side)), [len(sets[i]) for i in side]))
+        (x, of_x), (y, of_y) = flat(left), flat(right)
+        known = np.intersect1d(np.unique(x), np.unique(y), assume_unique=True)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(known), 4096):
+            part = known[at : at + 4096]
+            sides = []
+            for items, of, n in ((x, of_x, len(left)), (y, of_y, len(right))):
+                place = np.minimum(np.searchsorted(part, items), len(part) - 1)
+                hit = part[place] == items
+                dense = np.zeros((n, len(part)), np.float32)
+                dense[of[hit], place[hit]] = 1
+                sides.append(dense)
+            both += sides[0] @ sides[1].T
+        size = np.array([len(s) for s in sets], np.float64)
+        ok = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (component[left][:, None] != component[right])
+        i, j = np.nonzero(ok)
+        a, b = left[i], right[j]
+        pairs = np.sort(np.stack([component[a], component[b]], 1), 1)
+        _, first = np.unique(pairs, axis=0, return_index=True)
+        return pa.table({"a": pa.array(nodes[a][first], pa.int64()), "b": pa.array(nodes[b][first], pa.int64())})
+
+    return run
+
+
 def link(scratch: Scratch, met: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, like: Callable[[Column, Column], Column], least: float) -> DataFrame | None:
     """Components (node, component) of nodes whose sets' similarity is `percent` in 100 or more, among those that share a band.
 
@@ -180,49 +203,33 @@ def link(scratch: Scratch, met: DataFrame, signatures: DataFrame, sets: DataFram
     def signed_(named: DataFrame) -> DataFrame:
         return named.join(signatures.select(F.col("node").alias("id"), "signature"), F.col("node") == F.col("id")).select("key", "node", "n", "component", "signature")
 
-    def sharing_rare(named: DataFrame) -> DataFrame:
-        """All pairs (a, b) of nodes of several components that may link: with a node's shingles ordered from the rarest on,
-        two sets that are alike share one of the first ones, and after it there must be enough left.
+    def across(named: DataFrame) -> DataFrame:
+        """Links (a, b) among all nodes of a band that lie in several components.
 
-        Shingles that many nodes hold come late, so a crowded group meets at its rare ones only.
+        Small bands give their pairs, which are decided like the others. The nodes of a larger one are dealt to blocks,
+        and blocks meet in pairs: a task counts what all sets of two blocks share and sends a link for two components.
         """
-        info = scratch.keep("info", named.select("node", "component", "signature").distinct())
-        held = sets.join(info.select(F.col("node").alias("id")), F.col("node") == F.col("id"), "left_semi")
-        items = scratch.keep("rare", held.mapInArrow(_items, "node long, item long"))
-        often = items.groupBy("item").agg(F.count("*").alias("c")).select(reshuffled("item").alias("k"), "c")
-        ranked = items.join(often, F.col("item") == F.col("k")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("own"))
-        size = F.size("own")
-        prefix = F.slice("own", 1, size - F.ceil(size * percent / 100).cast("int") + 1)
-        first = ranked.select("node", size.alias("size"), F.posexplode(prefix).alias("at", "x")).where("x.c > 1").select(F.col("node").alias("id"), "size", "at", F.col("x.item").alias("item"))
-        first = scratch.keep("first", info.join(first, F.col("node") == F.col("id")).drop("id"))
-        kinds = first.groupBy("item", "component").agg(F.count("*").alias("c")).groupBy("item").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("kinds"))
-        kinds = kinds.where("kinds > 1").select(reshuffled("item").alias("k"), "major")
-        open_ = first.join(kinds, F.col("item") == F.col("k")).drop("k")
-        other = open_.select(*[F.col(c).alias(f"o_{c}") for c in ("item", "node", "component", "signature", "size", "at")])
-        # the largest component of a shingle stands on one side only: its nodes don't meet each other
-        apart = (F.col("component") != F.col("major")) & (F.col("component") != F.col("o_component")) & ((F.col("o_component") == F.col("major")) | (F.col("component") > F.col("o_component")))
-        most = F.least("at", "o_at") + 1 + F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at")) - 1
-        fits = 100 * most >= percent * (F.col("size") + F.col("o_size") - most)
-        pairs = open_.join(other, (F.col("item") == F.col("o_item")) & apart & fits & (like(F.col("signature"), F.col("o_signature")) >= least))
-        return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+        small = named.where(F.col("n") <= SMALL)
+        other = small.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "node", "component", "signature")])
+        near = (F.col("component") > F.col("o_component")) & (like(F.col("signature"), F.col("o_signature")) >= least)
+        few = small.join(other, (F.col("key") == F.col("o_key")) & near).select(F.col("o_node").alias("a"), F.col("node").alias("b")).distinct()
+        large = named.where(F.col("n") > SMALL).select("key", "node", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        large = large.join(sets.select(F.col("node").alias("id"), "items"), F.col("node") == F.col("id")).drop("id")
+        large = large.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        large = large.select("key", F.least("own", "to").alias("low"), F.greatest("own", "to").alias("high"), "own", "node", "component", "items")
+        return confirmed(few).unionByName(large.groupBy("key", "low", "high").applyInArrow(_across(percent), "a long, b long"))
 
     links, found, left = None, None, met
-    for turn in range(NEAREST + ROUNDS + 1):
+    for turn in range(NEAREST + 1):
         left = scratch.keep("left", still_open(left, found))
-        # a band of two nodes is settled once all heads have been compared
-        if turn > NEAREST:
-            left = left.where("n > 2")
         if left.isEmpty():
             break
         named = signed_(left)
         if turn < NEAREST:
             # each node beside the likeliest of its bands' heads only, which settles nearly all bands
-            new = heads(named, F.xxhash64(F.lit(turn), "node")).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b")
-        elif turn < NEAREST + ROUNDS:
-            new = heads(named, F.xxhash64(F.lit(turn), "node") if turn > NEAREST else F.col("node")).select("a", "b").distinct()
+            new = confirmed(heads(named, F.xxhash64(F.lit(turn), "node")).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b"))
         else:
-            new = sharing_rare(named)
-        new = confirmed(new)
+            new = across(named)
         links = scratch.keep("links", new if links is None else links.unionByName(new))
         found = components(links)
     return found
