@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrier.functions.fields import duration_column, duration_text, field, micros, render
 from harrier.plans.rules import KINDS, Rule, RuleSet, compile_filter, with_signatures
@@ -98,8 +99,8 @@ def threshold(events: DataFrame, rule: Rule) -> DataFrame:
     return thresholds(events, [rule])
 
 
-def _keep_spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (two hashes of the key, time) those a gap after the last kept one of their key; only that one is remembered."""
+def _mark_spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (two hashes of the key, time), with whether each is a gap after the last kept one of its key; only that one is remembered."""
     key, last = None, 0
     for batch in batches:
         one, two, us, gap = (batch.column(batch.num_columns - i).to_numpy() for i in (4, 3, 2, 1))
@@ -116,18 +117,23 @@ def _keep_spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep[at], last = True, us[at]
                 at += int(np.searchsorted(us[at:b], last + gap[a]))
             key = (one[a], two[a])
-        yield batch.filter(pa.array(keep)).select(batch.schema.names[:-4])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(keep)], [*batch.schema.names[:-4], "kept"])
 
 
-def spaced(rows: DataFrame, keys: list[str], gap: int | Column) -> DataFrame:
-    """The rows kept when each must be `gap` or more after the last kept one of its keys.
+def marked_spaced(rows: DataFrame, keys: list[str], gap: int | Column) -> DataFrame:
+    """The rows with `kept`: whether each stays when it must be `gap` or more after the last kept one of its keys.
 
     A gap of 0 keeps all rows; a gap that is a column must be one of `keys`. The rows of a key pass through one
     task in order of time, which remembers the last kept one only and jumps from it to the next.
     """
     sorted_ = rows.where("timestamp IS NOT NULL").select("*", F.xxhash64(*keys).alias("__k1"), F.xxhash64(F.lit(1), *keys).alias("__k2"), F.unix_micros("timestamp").alias("__us"), (F.lit(gap) if isinstance(gap, int) else gap).cast("long").alias("__gap"))
     sorted_ = sorted_.repartition("__k1", "__k2").sortWithinPartitions("__k1", "__k2", "__us", "seq")
-    return sorted_.mapInArrow(_keep_spaced, rows.schema)
+    return sorted_.mapInArrow(_mark_spaced, T.StructType([*rows.schema.fields, T.StructField("kept", T.BooleanType())]))
+
+
+def spaced(rows: DataFrame, keys: list[str], gap: int | Column) -> DataFrame:
+    """The rows kept when each must be `gap` or more after the last kept one of its keys (see marked_spaced)."""
+    return marked_spaced(rows, keys, gap).where("kept").drop("kept")
 
 
 def beacon(events: DataFrame, rule: Rule) -> DataFrame:
@@ -168,14 +174,12 @@ def cooldown(fired: DataFrame, rules: RuleSet, history: DataFrame | None = None)
     history: rows (ip, timestamp, rule) of stored alerts, which count as kept.
     """
     gaps = F.create_map(*[x for r in rules.active for x in (F.lit(r.name), F.lit(rules.cooldown(r)))])
-    rows = fired.select("seq", "ip", "timestamp", "rule")
+    rows = fired
     if history is not None:
         recent = history.where(F.col("rule").isin([r.name for r in rules.active])).groupBy("ip", "rule").agg(F.max("timestamp").alias("timestamp"))
-        rows = rows.unionByName(recent.select(F.lit(-1).cast("long").alias("seq"), "ip", "timestamp", "rule"))
-    kept = spaced(rows.withColumn("gap", gaps[F.col("rule")]), ["ip", "rule", "gap"], F.col("gap"))
-    kept = kept.select(F.col("seq").alias("k_seq"), F.col("ip").alias("k_ip"), F.col("rule").alias("k_rule"), F.lit(True).alias("kept"))
-    got = fired.join(kept, (F.col("ip") == F.col("k_ip")) & (F.col("seq") == F.col("k_seq")) & (F.col("rule") == F.col("k_rule")), "left")
-    return got.select(*fired.columns, F.coalesce("kept", F.lit(False)).alias("kept"))
+        rows = rows.unionByName(recent.select(F.lit(-1).cast("long").alias("seq"), "ip", "timestamp", "rule"), allowMissingColumns=True)
+    kept = marked_spaced(rows.withColumn("gap", gaps[F.col("rule")]), ["ip", "rule", "gap"], F.col("gap")).drop("gap")
+    return kept if history is None else kept.where("seq >= 0")
 
 
 def correlate(judged: DataFrame, rule: Rule, names: list[str], history: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harrier.schema import severity_rank
 
-DEFAULT_LIMIT, MOST = 100, 1000
+DEFAULT_LIMIT, MOST, BLOCKS = 100, 1000, 4096
 
 
 def check_limit(limit: int) -> int:
@@ -82,6 +82,22 @@ def rate(rows: DataFrame, window: str, *keys: str) -> DataFrame:
     return got.select(F.col("w.start").alias("start"), *keys, "count")
 
 
+def rate_alarm(alerts: DataFrame, least: int = 1, window: str = "5 minutes", min_severity: str = "high") -> DataFrame:
+    """The windows in which `least` alerts of that severity or more were raised, by severity."""
+    return rate(matching(alerts, min_severity=min_severity), window, "severity").where(F.col("count") >= least)
+
+
+def eviction_alarm(evicted: DataFrame, window: str = "1 hour") -> DataFrame:
+    """The windows in which rows had to go for want of room; evicted: rows (timestamp, kind, reason, count)."""
+    rows = evicted.where((F.col("reason") == "capacity") & (F.col("count") > 0))
+    return rows.groupBy(F.window("timestamp", window)["start"].alias("start"), "kind").agg(F.sum("count").alias("count"))
+
+
+def ip_report(events: DataFrame, alerts: DataFrame, ip: str, n_alerts: int = 100, n_events: int = 200) -> dict[str, DataFrame]:
+    """An address's newest alerts and events."""
+    return {"alerts": newest(alerts, n_alerts, ip=ip), "events": newest(events, n_events, ip=ip)}
+
+
 def gaps(events: DataFrame, longest: str, bucket: str = "1 day") -> DataFrame:
     """Silences: from one event to the next one `longest` or more later.
 
@@ -108,7 +124,14 @@ def alerts_with_events(alerts: DataFrame, events: DataFrame, window: str | None
     same = alerts["ip"] == F.col("e_ip")
     if window is None:
         return alerts.join(e, same & (alerts["seq"] == F.col("event_seq"))).drop("e_ip")
-    return alerts.join(e, same & (F.col("event_time") > alerts["timestamp"] - F.expr(f"INTERVAL {window}")) & (F.col("event_time") <= alerts["timestamp"])).drop("e_ip")
+    # time is cut into cells of the window's length: an alert meets the events of its own cell and of the one before
+    span = F.expr(f"INTERVAL {window}")
+    us = F.unix_micros(F.timestamp_micros(F.lit(0)) + span)
+    cell = lambda c: F.floor(F.unix_micros(c) / us)
+    e = e.withColumn("e_cell", cell(F.col("event_time")))
+    a = alerts.withColumn("__cell", F.explode(F.array(cell(F.col("timestamp")), cell(F.col("timestamp")) - 1)))
+    met = (a["ip"] == F.col("e_ip")) & (F.col("__cell") == F.col("e_cell"))
+    return a.join(e, met & (F.col("event_time") > a["timestamp"] - span) & (F.col("event_time") <= a["timestamp"])).drop("e_ip", "e_cell", "__cell")
 
 
 def by_age(rows: DataFrame, now: Column, age: str | None) -> DataFrame:
@@ -119,17 +142,24 @@ def by_age(rows: DataFrame, now: Column, age: str | None) -> DataFrame:
 def by_capacity(rows: DataFrame, n: int) -> DataFrame:
     """The newest n rows by arrival; 0 keeps all.
 
-    The least number kept is found from counts by ranges of seq, so that no task sorts the whole table.
+    Counts by ranges of seq, BLOCKS of them whatever the rows, tell which range the limit falls into; only its rows are put in order.
     """
     if n <= 0:
         return rows
-    width = 4096
-    blocks = rows.groupBy(F.floor(F.col("seq") / width).alias("b")).agg(F.count("*").alias("c"))
-    after = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("newer", F.coalesce(F.sum("c").over(after), F.lit(0))).where(F.col("newer") < n).select("b", "newer")
-    inside = Window.partitionBy("b").orderBy(F.desc("seq"))
-    placed = rows.withColumn("b", F.floor(F.col("seq") / width)).join(blocks, "b")
-    return placed.withColumn("__r", F.row_number().over(inside)).where(F.col("newer") + F.col("__r") <= n).select(*rows.columns)
+    ends = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    if ends["lo"] is None:
+        return rows
+    width = (ends["hi"] - ends["lo"]) // BLOCKS + 1
+    block = F.floor((F.col("seq") - ends["lo"]) / width)
+    counts_ = {r["b"]: r["c"] for r in rows.groupBy(block.alias("b")).agg(F.count("*").alias("c")).collect()}  # BLOCKS rows at most
+    room, edge = n, -1
+    for b in sorted(counts_, reverse=True):
+        if counts_[b] > room:
+            edge = b
+            break
+        room -= counts_[b]
+    last = rows.where(block == edge).orderBy(F.desc("seq")).limit(room)
+    return rows.where(block > edge).unionByName(last)
 
 
 def evictions(rows: DataFrame, now: Column, age: str | None, capacity: int, kind: str) -> DataFrame:
@@ -140,10 +170,11 @@ def evictions(rows: DataFrame, now: Column, age: str | None, capacity: int, kind
     return one(rows, kept, "age").unionByName(one(kept, full, "capacity"))
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Events by day, in order of address and time within files, so that both prune."""
+def write_events(events: DataFrame, path: str, parts_of_day: int = 8) -> None:
+    """Events by day, each in `parts_of_day` ranges of address hashes and in order of address and time within files, so that both prune and no day is one task."""
     day = events.withColumn("event_date", F.to_date("timestamp"))
-    day.repartition("event_date").sortWithinPartitions("event_date", "ip", "timestamp").write.mode("append").partitionBy("event_date").parquet(path)
+    salt = F.pmod(F.xxhash64("ip", "seq"), F.lit(parts_of_day))
+    day.repartition("event_date", salt).sortWithinPartitions("event_date", "ip", "timestamp").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 write_alerts = write_events

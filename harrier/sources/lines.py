@@ -6,9 +6,13 @@ parse_error) and the event columns. Blank lines and lines over MAX_BYTES are dro
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrier.functions.fields import field
+
 MAX_BYTES = 65_536
 
 
@@ -20,9 +24,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return usable(spark.read.text(path).withColumn("file", F.input_file_name()))
 
 
-def stream_lines(spark: SparkSession, path: str) -> DataFrame:
-    """New files of a folder as they come; a checkpoint remembers those read."""
-    return usable(spark.readStream.text(path))
+def stream_lines(spark: SparkSession, path: str, from_start: bool = True) -> DataFrame:
+    """New files of a folder as they come; a checkpoint remembers those read. Without from_start, files from before the call are passed over."""
+    rows = spark.readStream.text(path)
+    if not from_start:
+        rows = rows.where(F.col("_metadata.file_modification_time") >= F.lit(datetime.now(timezone.utc)))
+    return usable(rows)
+
+
+def keep_only(events: DataFrame, event_types: list[str] | None = None, present: tuple[str, ...] = ()) -> DataFrame:
+    """Events of these types that have these fields; all others are left out before they are shipped."""
+    rows = events if event_types is None else events.where(F.col("event_type").isin(event_types))
+    for name in present:
+        rows = rows.where(field(name).isNotNull())
+    return rows
 
 
 def outcomes(parsed: DataFrame, source: str) -> DataFrame:

@@ -113,6 +113,8 @@ def _judge(plan: list[dict], horizon: int):
 def stream_detect(events: DataFrame, rules: RuleSet, late: str = "10 minutes") -> DataFrame:
     """Alerts of a stream: conditions, groups and values are columns; windows and cooldowns are state of each address."""
     order = rules.order()
+    if other := [r.name for r in order if r.kind not in ("signature", "threshold", "beacon", "correlation")]:
+        raise ValueError(f"rules of registered kinds have no streaming form: {other}")
     span = lambda text: micros(text) if text else 0
     plan = [{"name": r.name, "kind": r.kind, "severity": r.severity, "rank": SEVERITIES.index(r.severity), "threshold": r.threshold, "window": span(r.window), "distinct": r.distinct, "min_interval": span(r.min_interval), "max_jitter": r.max_jitter, "cooldown": rules.cooldown(r)} for r in order]
     met = F.array(*[F.coalesce(compile_filter(r.when) & (matches_signature(r).isNotNull() if r.kind == "signature" else F.lit(True)), F.lit(False)) for r in order])
