@@ -28,13 +28,15 @@ def unescape(text: Column) -> Column:
 
 
 def _json(path: str) -> Column:
-    """The first alternative that is set; a key with dots in it comes before a path, an array gives its first element."""
+    """The first alternative that is set in `__j`, the line's top level; a key with dots in it comes before a path, an array gives its first element."""
+    plain = lambda v: F.when(v.startswith("["), F.get_json_object(v, "$[0]")).otherwise(v)
     found = []
     for alternative in path.split("|"):
-        quoted = "".join(f"['{p}']" for p in alternative.split("."))
-        for way in (f"$['{alternative}'][0]", f"$['{alternative}']", f"${quoted}[0]", f"${quoted}"):
-            got = F.get_json_object("value", way)
-            found.append(F.when((got != "") & ~got.startswith("{") & ~got.startswith("["), got))
+        first, *rest = alternative.split(".")
+        values = [F.try_element_at("__j", F.lit(alternative))]
+        if rest:
+            values.append(F.get_json_object(F.try_element_at("__j", F.lit(first)), "$" + "".join(f"['{p}']" for p in rest)))
+        found += [F.transform(F.array(plain(v)), lambda x: F.when((x != "") & ~x.startswith("{") & ~x.startswith("["), x))[0] for v in values]
     return F.coalesce(*found)
 
 
@@ -69,9 +71,11 @@ def parse_access_log(lines: DataFrame, preset: str = "combined", fields: dict[st
         r = {"ip": got(0), "user": got(1), "time": got(2), "method": F.when(whole, words[0]), "path": F.when(whole, words[1]), "status": got(4), "referer": unescape(got(5)), "user_agent": unescape(got(6)), "host": F.lit(None).cast("string")}
         return _to_event(rows, r, source, F.col("__p").isNull()).drop("__p", "__words")
     places = PRESETS[preset] | (fields or {})
-    r = {k: _json(v) for k, v in places.items()}
-    bad = F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{") | r["ip"].isNull()
-    return _to_event(rows, r, source, bad)
+    # a line is parsed once; its fields are then read from what that gave
+    rows = rows.withColumn("__j", F.from_json("value", "map<string,string>")).withColumn("__f", F.struct(*[_json(v).alias(k) for k, v in places.items()]))
+    r = {k: F.col("__f")[k] for k in places}
+    bad = F.col("__j").isNull() | (F.size("__j") == 0) | ~F.trim("value").startswith("{") | r["ip"].isNull()
+    return _to_event(rows, r, source, bad).drop("__j", "__f")
 
 
 def reclassify_failed_login(events: DataFrame, paths: list[str], status_codes: tuple[int, ...] = (401,)) -> DataFrame:

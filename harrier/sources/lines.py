@@ -53,7 +53,7 @@ def part(pattern: str, group: int, text: Column | None = None) -> Column:
 
 def log_time(text: Column) -> Column:
     """RFC 3339, day/month/year:time zone, or Unix seconds with a fraction; null otherwise."""
-    seconds = F.when(text.rlike(r"^\d+(\.\d+)?$"), F.timestamp_micros((text.try_cast("decimal(20,6)") * 1_000_000).cast("long")))
+    seconds = F.when(text.rlike(r"^\d+(\.\d+)?([eE]\+?\d+)?$"), F.timestamp_micros((text.try_cast("decimal(20,6)") * 1_000_000).cast("long")))
     iso = F.when(text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d"), text.try_cast("timestamp"))
     return F.coalesce(seconds, iso, F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
 

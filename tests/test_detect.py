@@ -63,7 +63,12 @@ def test_cooldown_of_a_signature(spark):
     assert [a[0] for a in alerts(spark, [(0, env), (30, env), (90, env)], "SensitivePath")] == [0, 2]
 
 
-@pytest.mark.parametrize("path,rule,hit", [("/q?a=%27%20OR%201%3D1", "SQLInjection", 1), ("/q?a='+or+'a'='a", "SQLInjection", 1), ("/blog/2026--recap", "SQLInjection", 0), ("/..%2f..%2fetc%2fpasswd", "PathTraversal", 1), ("/%252e%252e%252fsecret", "PathTraversal", 1), ("/a;id", "CommandInjection", 1), ("/orders?page=2&id=5", "CommandInjection", 0), ("/api/.env", "SensitivePath", 1), ("/configuration-guide", "SensitivePath", 0), ("/blog/admin-tips", "SensitivePath", 0), ("/%zz100%", "XSS", 0)])
+@pytest.mark.parametrize("path,rule,hit", [
+    ("/list?sort=%27%20AND%207%3D7", "SQLInjection", 1), ("/list?n=x'+OR+(select+9)", "SQLInjection", 1), ("/news/summer--sale", "SQLInjection", 0), ("/band/and-12-more", "SQLInjection", 0),
+    ("/img/..%2F..%2Fhome", "PathTraversal", 1), ("/img/%252e%252e%252fhome", "PathTraversal", 1), ("/img/a..b", "PathTraversal", 0),
+    ("/run?x=1%26%26whoami", "CommandInjection", 1), ("/run?x=1&ls=2", "CommandInjection", 0),
+    ("/v2/.git/HEAD", "SensitivePath", 1), ("/debugger", "SensitivePath", 0), ("/my/console-games", "SensitivePath", 0), ("/%qq50%", "XSS", 0),
+])
 def test_signatures(spark, path, rule, hit):
     assert len(alerts(spark, [(0, {"path": path})], rule)) == hit
 
@@ -98,18 +103,43 @@ def test_history_keeps_cooldown(spark):
 
 
 def test_normalisation(spark):
-    rows = events(spark, [(0, {"ip": "2001:0DB8:0:0::1"}), (0, {"ip": "::ffff:10.2.0.2"}), (0, {"ip": "localhost", "port": 70000}), (0, {"event_type": "dns_query", "domain": "C01.Data.Example.COM."})])
+    rows = events(spark, [(0, {"ip": "2001:0DB8:00:0::00C4"}), (0, {"ip": "::FFFF:10.77.3.4"}), (0, {"ip": "gateway", "port": 70000}), (0, {"event_type": "dns_query", "domain": "Cam7.Yard.Harbour.EXAMPLE."})])
     ok, bad = normalize.normalize(rows)
     got = {r["seq"]: r for r in ok.collect()}
-    assert got[0]["ip"] == "2001:db8::1" and got[1]["ip"] == "10.2.0.2"
-    assert got[3]["domain"] == "c01.data.example.com" and got[3]["metadata"] == {"base_domain": "example.com"}
+    assert got[0]["ip"] == "2001:db8::c4" and got[1]["ip"] == "10.77.3.4"
+    assert got[3]["domain"] == "cam7.yard.harbour.example" and got[3]["metadata"] == {"base_domain": "harbour.example"}
     assert [r["errors"] for r in bad.collect()] == [["ip is not a valid address", "port is out of range"]]
 
 
 def test_base_domain(spark):
-    given = ["a.b.example.com", "localhost", "x.y.example.co.uk", "shop.example.com.au", "5.1.168.192.in-addr.arpa"]
+    given = ["cdn.eu.harbour.example", "printer", "www.harbour.go.jp", "mail.harbour.net.nz", "9.8.7.ip6.arpa", "harbour.ac.uk", "go.jp", "a.gob.mx"]
     rows = spark.createDataFrame([(g,) for g in given], "d string").select(fn.base_domain(F.col("d"))).collect()
-    assert [r[0] for r in rows] == ["example.com", "localhost", "example.co.uk", "example.com.au", "in-addr.arpa"]
+    assert [r[0] for r in rows] == ["harbour.example", "printer", "harbour.go.jp", "harbour.net.nz", "ip6.arpa", "harbour.ac.uk", "go.jp", "gob.mx"]
+
+
+def test_addresses_as_the_standard_library_writes_them(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(7)
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", ":1", "1:", "12345::", "g::", "::1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.256", "fe80::a%en1", "1.2.3", "01.2.3.4", "", "a b"]
+    for _ in range(300):
+        groups = [rng.choice(["0", "0", "0000", f"{rng.randrange(65536):x}", f"{rng.randrange(256):04X}"]) for _ in range(8)]
+        text = ":".join(groups)
+        if rng.random() < 0.5:
+            i, j = sorted(rng.sample(range(9), 2))
+            text = ":".join(groups[:i]) + "::" + ":".join(groups[j:])
+        texts.append(text)
+
+    def expect(text):
+        try:
+            ip = ipaddress.ip_address(text.split("%")[0])
+        except ValueError:
+            return None
+        return str(getattr(ip, "ipv4_mapped", None) or ip)
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fn.normalize_ip(F.col("t")).alias("ip")).collect()
+    assert [(r["t"], r["ip"]) for r in got] == [(t, expect(t)) for t in texts]
 
 
 def test_networks(spark):
