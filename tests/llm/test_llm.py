@@ -124,6 +124,57 @@ def test_fingerprints(spark, corpus):
     assert len({got[200 + k]["fingerprint"] for k in range(6)}) == 1 and got[202]["near_next"] == 1
 
 
+def test_syncmers_as_plain_loops(spark):
+    """Anchor sets by a loop over units, with Spark's own hash for each piece; likeness from whole sets; null keys in a row."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(0, 40))) for _ in range(25)] + ["", "  ", "a", "永" * 40, None]
+    rows = [(i if i % 6 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def units(t):
+        out = []
+        for run in re.findall(r"[^\x20\x09-\x0D]+", t):
+            out += [*run[: -syncmers.WHOLE], run[-syncmers.WHOLE :]] if len(run) > syncmers.WHOLE else [run]
+        return out
+
+    pieces = sorted({u for t in texts for u in units(t or "")})
+    coded = {r["u"]: r["h"] for r in spark.createDataFrame([(u,) for u in pieces], "u string").select("u", F.xxhash64("u").alias("h")).collect()}
+    two = sorted({(coded[a], coded[b]) for t in texts for a, b in zip(units(t or ""), units(t or "")[1:])})  # noqa: B905
+    pair = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(two, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    chosen = {}
+    for t in texts:
+        h = [coded[u] for u in units(t or "")]
+        m = [pair[a, b] for a, b in zip(h, h[1:])]  # noqa: B905
+        k = syncmers.K
+        chosen[t] = [(m[i], m[i + 2], h[i + k - 1]) for i in range(len(h) - k + 1) if min(m[i], m[i + k - 2]) <= min(m[i + 1 : i + k - 2])]
+    three = sorted({x for v in chosen.values() for x in v})
+    triple = {(r["a"], r["b"], r["c"]): r["h"] for r in spark.createDataFrame(three, "a long, b long, c long").select("a", "b", "c", F.xxhash64("a", "b", "c").alias("h")).collect()}
+    got = {r["text"]: {*r["s"]} for r in df.select("text", syncmers.anchor_set(F.coalesce("text", F.lit(""))).alias("s")).collect()}
+    for t in texts:
+        if len(units(t or "")) >= syncmers.K:
+            assert got[t] == {triple[x] for x in chosen[t]}
+        else:
+            assert len(got[t]) == (0 if not t else 1)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    expect = Counter((i, len(t or ""), round(like(got[t], got[order[(k + 1) % len(order)][1]]), 9)) for k, (i, t) in enumerate(order))
+    assert Counter((r["doc_id"], r["n_chars"], round(r["near_next"], 9)) for r in syncmers.op4_syncmers(df).collect()) == expect
+
+
+def test_syncmers_by_place(spark):
+    """An insertion in unbroken text leaves the anchors before and after it, these with a shift; swapped halves show as two stretches."""
+    rng = random.Random(4)
+    a = "".join(rng.choice("永東国三日月火水木金土山川田人口") for _ in range(300))
+    words_ = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    rows = [(1, a), (2, a[:150] + "龍" + a[150:]), (3, " ".join(words_)), (4, " ".join(words_[100:] + words_[:100]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = syncmers.positional_matches(spark.createDataFrame([(1, 2), (3, 4)], "a long, b long"), df).orderBy("a", F.desc("anchors")).collect()
+    one = [r for r in got if r["a"] == 1 and r["anchors"] > 10]
+    assert sorted(r["shift"] for r in one) == [0, 1] and all(r["last"] <= 150 or r["first"] >= 140 for r in one)
+    assert sorted(r["shift"] for r in got if r["a"] == 3 and r["anchors"] > 10) == [-100, 100]
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_banded_distance(spark, edits):
     rng = random.Random(edits)
