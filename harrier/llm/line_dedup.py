@@ -4,7 +4,8 @@ Equal lines are one node. A line of MIN_LINE characters or more is cut into edit
 two lines within that many edits share a segment, at places that the lengths and the segment's number
 narrow to a few. Every line is indexed by its segments and probes with those of its substrings that
 could be a segment of a line as long or up to `edits` shorter; a comparison of letter counts, which
-no edit changes by more than two, goes with the join. Candidates, trimmed of what they share at either
+no edit changes by more than two, goes with the join. At one edit, the lines of a segment that more than CROWD lines
+have (as around a counter) don't meet pairwise, but under what lies beside it less one character. Candidates, trimmed of what they share at either
 end, are verified by a banded bit-parallel edit distance. Linked lines form classes (components).
 
 A line is kept where its class first occurs, in order of (doc_id, hash of the text, place); all later
@@ -24,6 +25,8 @@ from harrier.llm.components import components, reshuffled
 
 #: Edits that lines of one class may be apart, link by link, and characters a line needs to be compared by edits.
 EDITS, MIN_LINE = 1, 20
+#: Lines of one segment from which, at one edit, its lines meet by what they have beside it.
+CROWD = 32
 _LETTERS = "enatrish"
 
 
@@ -150,6 +153,32 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return rows.where(~_blank(F.col("line"))).withColumn("lh", F.xxhash64("line"))
 
 
+def _crowded_pairs(lines: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines (lh, line) one edit apart that share a crowded segment: what lies beside it has the edit.
+
+    Lines of one length that agree in all characters but one meet under what is left without it, and give links to
+    the first of them; a longer line without one of its characters meets the shorter line as it is. So no more pairs
+    come up than there are lines, apart from equal hashes.
+    """
+    n = F.length("line")
+    ways = []
+    for d in (0, 1):
+        for i in (0, 1):
+            at, size = _segment(n - d, i, 2)
+            start = at + (d if i else 0)
+            rest = F.substring(F.col("line"), size + 1, n) if i == 0 else F.substring(F.col("line"), F.lit(1), start)
+            ways.append(F.struct(F.lit(d).alias("d"), F.xxhash64(n - d, F.lit(i), F.substring(F.col("line"), start + 1, size)).alias("key"), rest.alias("rest")))
+    rows = lines.select("lh", F.explode(F.array(*ways)).alias("w")).select("lh", "w.*").join(crowd, F.col("key") == F.col("k"), "left_semi")
+    without = F.transform(F.sequence(F.lit(0), F.length("rest") - 1), lambda j: F.struct(j.alias("j"), F.concat(F.substring(F.col("rest"), F.lit(1), j), F.substring(F.col("rest"), j + 2, F.length("rest"))).alias("left")))
+    short = rows.select("lh", "d", "key", F.explode(without).alias("x"))
+    same = short.where("d = 0").select("lh", F.xxhash64("key", "x.j", "x.left").alias("g"))
+    heads = same.groupBy("g").agg(F.min("lh").alias("a"), F.max("lh").alias("z")).where("a < z").select(reshuffled("g").alias("h"), "a")
+    stars = same.join(heads, (F.col("g") == F.col("h")) & (F.col("lh") != F.col("a"))).select("a", F.col("lh").alias("b"))
+    whole = rows.where("d = 0").select(F.col("lh").alias("a"), F.xxhash64("key", "rest").alias("g"))
+    longer = short.where("d = 1").select(F.col("lh").alias("b"), F.xxhash64("key", "x.left").alias("h"))
+    return stars.unionByName(whole.join(longer, F.col("g") == F.col("h")).select("a", "b"))
+
+
 def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Rows (lh, class, n, first_doc, first_dk, first_at): of each line (by hash) that isn't alone in its class, the class, how many lines it has and where it begins."""
     place = F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "dk", "at")
@@ -158,15 +187,25 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     long_ = size >= MIN_LINE
     once = once.select("lh", "n", "first", F.when(long_, index_keys(F.col("line"), size, edits)).alias("own"), F.when(long_, probe_keys(F.col("line"), size, edits)).alias("asked"), F.when(long_, letter_counts(F.col("line"))).alias("letters"), size.alias("size"))
     once = checkpoint(once)
-    index = once.select(F.explode("own").alias("key"), "lh", "letters", "size").alias("i")
+    index = once.select(F.explode("own").alias("key"), "lh", "letters", "size")
     probes = once.select(F.explode("asked").alias("key"), "lh", "letters", "size").alias("p")
+    # segments of many lines, such as what a line with a counter has around it, are looked into further
+    crowd = None
+    if edits == 1:
+        crowd = checkpoint(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select(F.col("key").alias("k")))
+        crowd = None if crowd.isEmpty() else crowd
+    sparse = index if crowd is None else index.join(crowd, F.col("key") == F.col("k"), "left_anti")
     # of two lines of one length the smaller hash is probed for
     ahead = (F.col("p.size") > F.col("i.size")) | (F.col("p.lh") > F.col("i.lh"))
     near = letters_apart(F.col("p.letters"), F.col("i.letters")) <= 2 * edits
-    pairs = checkpoint(index.join(probes, (F.col("i.key") == F.col("p.key")) & (F.col("i.lh") != F.col("p.lh")) & ahead & near).select(F.col("i.lh").alias("a"), F.col("p.lh").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    texts = _occurrences(docs).select("lh", "line").join(wanted, F.col("lh") == F.col("w"), "left_semi").groupBy("lh").agg(F.first("line").alias("line"))
+    pairs = checkpoint(sparse.alias("i").join(probes, (F.col("i.key") == F.col("p.key")) & (F.col("i.lh") != F.col("p.lh")) & ahead & near).select(F.col("i.lh").alias("a"), F.col("p.lh").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w")))
+    if crowd is not None:
+        wanted = wanted.unionByName(probes.join(crowd, F.col("key") == F.col("k"), "left_semi").select(F.col("lh").alias("w")))
+    texts = _occurrences(docs).select("lh", "line").join(wanted.distinct(), F.col("lh") == F.col("w"), "left_semi").groupBy("lh").agg(F.first("line").alias("line"))
     texts = checkpoint(texts)
+    if crowd is not None:
+        pairs = pairs.unionByName(_crowded_pairs(texts, crowd)).distinct()
     pairs = pairs.join(texts.select(F.col("lh").alias("ka"), F.col("line").alias("la")), F.col("a") == F.col("ka")).join(texts.select(reshuffled("lh").alias("kb"), F.col("line").alias("lb")), F.col("b") == F.col("kb"))
     links = pairs.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b")
     found = components(links)

@@ -199,6 +199,38 @@ def test_lines(spark):
     assert left == {1, 4, 5, 6}
 
 
+def test_line_classes_as_brute_force_links_them(spark):
+    """Classes of lines one edit apart, among them lines with a counter, which share their segments by hundreds."""
+    rng = random.Random(11)
+    plain = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(18, 40))).strip() + "z" for _ in range(40)]
+    near = []
+    for line in plain[:25]:
+        p = rng.randrange(len(line))
+        near.append(rng.choice([line[:p] + "q" + line[p:], line[:p] + line[p + 1 :], line[:p] + "Q" + line[p + 1 :]]))
+    counted = [f"catalogue entry {7 * i:05d} of the archive" for i in range(150)] + [f"catalogue entry {i} of the archive" for i in (5, 77, 770, 7700)] + ["catalogue entry 000070 of the archive"]
+    every = sorted({*plain, *near, *counted, "short", "shorx"})
+    rows = [(i, "\n".join(rng.sample(every, 9))) for i in range(60)]
+    used = sorted({x for _, t in rows for x in t.split("\n")})
+
+    def within_one(a, b):
+        if abs(len(a) - len(b)) > 1 or len(a) < line_dedup.MIN_LINE or len(b) < line_dedup.MIN_LINE:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    group = _brute_components([{x} for x in used], lambda a, b: within_one(*(next(iter(v)) for v in (a, b))))
+    of = {x: group[i] for i, x in enumerate(used)}
+    first = {}
+    for i, t in rows:
+        for at, x in enumerate(t.split("\n")):
+            first.setdefault(of[x], (i, at))
+    expect = {i: sum(first[of[x]] != (i, at) for at, x in enumerate(t.split("\n"))) for i, t in rows}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.op5_lines(docs(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    assert got == expect and any(len([x for x in used if of[x] == g]) > 5 for g in {*group})
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 16)).astype(np.float32)
