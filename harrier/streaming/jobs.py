@@ -8,6 +8,8 @@ too low, never wrongly rejected; state that no window can reach any more is drop
 from __future__ import annotations
 
 import pickle
+from bisect import insort
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,32 +42,57 @@ def stream_counts(events: DataFrame, window: str = "5 minutes", late: str = "10
     return got.select(F.col("w.start").alias("start"), "event_type", "count")
 
 
+class _Seen:
+    """The events of a window in order of time, and how often each value occurs among them."""
+
+    def __init__(self):
+        self.rows: deque = deque()
+        self.values: Counter = Counter()
+
+    def add(self, at: int, value: str, window: int, distinct: bool) -> int:
+        """How many events, or distinct values, the window up to `at` then holds. An event that comes late is put in its place."""
+        rows = self.rows
+        if rows and at < rows[-1][0]:
+            insort(rows, (at, value))
+            self.values[value] += 1
+            live = [v for t, v in rows if at - window < t <= at]
+            return len(set(live)) if distinct else len(live)
+        rows.append((at, value))
+        self.values[value] += 1
+        while rows[0][0] <= at - window:
+            _, old = rows.popleft()
+            self.values[old] -= 1
+            if not self.values[old]:
+                del self.values[old]
+        return len(self.values) if distinct else len(rows)
+
+
 class _Address:
-    """What an address's next event is judged by: times in windows, last contacts, and what was kept when."""
+    """What an address's next event is judged by: events in windows, last contacts, and what was kept when."""
 
     def __init__(self):
-        self.times: dict[tuple, list] = {}  # (rule, group) -> [(time, value)]
+        self.seen: dict[tuple, _Seen] = {}
+        self.contacts: dict[tuple, list] = {}
         self.kept: dict[str, int] = {}
 
     def count(self, rule: dict, group: str, at: int, value: str) -> int:
-        seen = [x for x in self.times.get((rule["name"], group), []) if x[0] > at - rule["window"]] + [(at, value)]
-        self.times[rule["name"], group] = seen
-        return len({v for _, v in seen}) if rule["distinct"] else len(seen)
+        return self.seen.setdefault((rule["name"], group), _Seen()).add(at, value, rule["window"], bool(rule["distinct"]))
 
     def contact(self, rule: dict, group: str, at: int) -> bool:
-        seen = self.times.get((rule["name"], group), [])
-        if seen and seen[-1][0] + rule["min_interval"] // 2 > at:
+        seen = self.contacts.get((rule["name"], group), [])
+        if seen and seen[-1] + rule["min_interval"] // 2 > at:
             return False
-        seen = self.times[rule["name"], group] = [*seen, (at, "")][-rule["threshold"] :]
-        if len(seen) < rule["threshold"] or seen[0][0] + rule["window"] <= at:
+        seen = self.contacts[rule["name"], group] = [*seen, at][-rule["threshold"] :]
+        if len(seen) < rule["threshold"] or seen[0] + rule["window"] <= at:
             return False
-        steps = [b[0] - a[0] for a, b in zip(seen, seen[1:], strict=False)]
+        steps = [b - a for a, b in zip(seen, seen[1:], strict=False)]
         mean = sum(steps) / len(steps)
         spread = (sum((s - mean) ** 2 for s in steps) / len(steps)) ** 0.5
         return mean >= rule["min_interval"] and spread / mean <= rule["max_jitter"]
 
     def forget(self, before: int) -> None:
-        self.times = {k: v for k, v in self.times.items() if v and v[-1][0] > before}
+        self.seen = {k: v for k, v in self.seen.items() if v.rows[-1][0] > before}
+        self.contacts = {k: v for k, v in self.contacts.items() if v[-1] > before}
         self.kept = {k: t for k, t in self.kept.items() if t > before}
 
 
@@ -73,7 +100,11 @@ def _judge(plan: list[dict], horizon: int):
     names = ["seq", "timestamp", "severity", "event_count", "trigger_rule", "related_rules"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        address = pickle.loads(state.get[0]) if state.exists else _Address()
+        if state.hasTimedOut:  # silent for longer than anything looks back
+            state.remove()
+            yield pd.DataFrame([], columns=names).assign(ip=key[0])
+            return
+        address, latest = pickle.loads(state.get[0]) if state.exists else (_Address(), 0)
         rows = pd.concat(list(batches)).sort_values(["us", "seq"])
         out, at = [], 0
         for seq, at, met, groups, values in zip(rows["seq"], rows["us"], rows["met"], rows["groups"], rows["vals"], strict=True):
@@ -103,15 +134,21 @@ def _judge(plan: list[dict], horizon: int):
                 order = {r["name"]: i for i, r in enumerate(plan)}
                 top = min(kept, key=lambda x: (-x[0]["rank"], order[x[0]["name"]]))
                 out.append((seq, pd.Timestamp(at, unit="us", tz="UTC"), top[0]["severity"], top[1], top[0]["name"], [r["name"] for r, _ in sorted(kept, key=lambda x: order[x[0]["name"]]) if r is not top[0]]))
-        address.forget(at - horizon)
-        state.update((pickle.dumps(address),))
+        latest = max(latest, at)
+        address.forget(latest - horizon)
+        state.update((pickle.dumps((address, latest)),))
+        state.setTimeoutTimestamp(max((latest + horizon) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=names).assign(ip=key[0])
 
     return run
 
 
 def stream_detect(events: DataFrame, rules: RuleSet, late: str = "10 minutes") -> DataFrame:
-    """Alerts of a stream: conditions, groups and values are columns; windows and cooldowns are state of each address."""
+    """Alerts of a stream: conditions, groups and values are columns; windows and cooldowns are state of each address.
+
+    An address that is silent for longer than any rule looks back loses its state. Rows later than `late` are not seen;
+    those that come late within it are counted in their place, and what was judged before stays.
+    """
     order = rules.order()
     if other := [r.name for r in order if r.kind not in ("signature", "threshold", "beacon", "correlation")]:
         raise ValueError(f"rules of registered kinds have no streaming form: {other}")
@@ -123,23 +160,56 @@ def stream_detect(events: DataFrame, rules: RuleSet, late: str = "10 minutes") -
     rows = events.withWatermark("timestamp", late).select("ip", "seq", "timestamp", F.unix_micros("timestamp").alias("us"), met.alias("met"), groups.alias("groups"), values.alias("vals")).where(F.exists("met", lambda m: m))
     schema = "seq long, timestamp timestamp, severity string, event_count int, trigger_rule string, related_rules array<string>, ip string"
     horizon = max([rules.lookback(), *(p["window"] for p in plan)])
-    return rows.groupBy("ip").applyInPandasWithState(_judge(plan, horizon), schema, "state binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_connections(snapshots: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """New connections of each host against its snapshot before, held as state."""
-    keys = ["proto", "local_ip", "local_port", "remote_ip", "remote_port"]
+    return rows.groupBy("ip").applyInPandasWithState(_judge(plan, horizon), schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _snapshot(host: str, at, rows: list[tuple], before: dict, loopback: bool) -> tuple[list[tuple], dict]:
+    """What a snapshot holds that the one before does not, and what the next one is compared with; rows: (proto, local_ip, local_port, remote_ip, remote_port, state)."""
+    listeners = {r[:3] for r in rows if r[5] == "LISTEN"}
+    ports = {(r[0], r[2]) for r in listeners if r}
+    inside = lambda ip: ip.startswith("127.") or ip == "::1"
+    conns = {}
+    for r in sorted(rows, key=str):
+        if r[5] != "LISTEN" and r[3] not in (None, "0.0.0.0", "::") and (loopback or not (inside(r[1]) and inside(r[3]))):
+            conns.setdefault(r[:5], r)
+    out = []
+    for key in sorted(conns.keys() - before["conns"]):
+        proto, local, port, remote, far, state = conns[key]
+        inbound = state != "SYN_SENT" and (proto, port) in ports
+        ends = (remote, local, far, port) if inbound else (local, remote, port, far)
+        out.append((host, at, "network_connection", *ends, proto, "inbound" if inbound else "outbound", None))
+    if before["primed"]:
+        for proto, local, port in sorted(listeners - before["listeners"]):
+            place = f"[{local}]" if ":" in local else local
+            out.append((host, at, "port_opened", local, None, None, port, proto, None, f"listening on {proto} {place}:{port}"))
+    return out, {"conns": set(conns), "listeners": listeners, "primed": True}
+
+
+def stream_connections(snapshots: DataFrame, late: str = "10 minutes", include_loopback: bool = False) -> DataFrame:
+    """New connections and listeners of each host against its snapshot before, as events.
+
+    A snapshot may come in several pieces: it is held until the watermark has passed its time, and snapshots are
+    compared in order of time. The first one of a host opens no ports.
+    """
+    keys = ["proto", "local_ip", "local_port", "remote_ip", "remote_port", "state"]
+    names = ["host", "timestamp", "event_type", "ip", "dst_ip", "src_port", "port", "protocol", "direction", "message"]
 
     def run(host: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = pickle.loads(state.get[0]) if state.exists else set()
-        rows, out = pd.concat(list(batches)), []
-        for at, part in rows.groupby("snapshot_ts", sort=True):
-            now = set(part[keys].itertuples(index=False, name=None))
-            out += [(host[0], at, *k) for k in sorted(now - before)]
-            before = now
-        state.update((pickle.dumps(before),))
-        yield pd.DataFrame(out, columns=["host", "snapshot_ts", *keys])
-
-    rows = snapshots.where("state <> 'LISTEN'").withWatermark("snapshot_ts", late).select("host", "snapshot_ts", *keys)
-    schema = "host string, snapshot_ts timestamp, proto string, local_ip string, local_port int, remote_ip string, remote_port int"
-    return rows.groupBy("host").applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+        before, held = pickle.loads(state.get[0]) if state.exists else ({"conns": set(), "listeners": set(), "primed": False}, {})
+        if not state.hasTimedOut:
+            for rows in batches:
+                for at, part in rows.groupby("us"):
+                    held.setdefault(int(at), set()).update(part[keys].itertuples(index=False, name=None))
+        passed, out = state.getCurrentWatermarkMs() * 1000, []
+        for at in sorted(t for t in held if t <= passed):
+            made, before = _snapshot(host[0], pd.Timestamp(at, unit="us", tz="UTC"), list(held.pop(at)), before, include_loopback)
+            out += made
+        state.update((pickle.dumps((before, held)),))
+        if held:
+            state.setTimeoutTimestamp(max(min(held) // 1000, state.getCurrentWatermarkMs()) + 1)
+        found = pd.DataFrame(out, columns=names)
+        yield found.astype({"src_port": "Int32", "port": "Int32"})
+
+    rows = snapshots.withWatermark("snapshot_ts", late).select("host", "snapshot_ts", F.unix_micros("snapshot_ts").alias("us"), *keys)
+    schema = "host string, timestamp timestamp, event_type string, ip string, dst_ip string, src_port int, port int, protocol string, direction string, message string"
+    return rows.groupBy("host").applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
