@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, passages, syncmers, toxicity
 from harrier.llm.common import read
 
@@ -18,5 +20,21 @@ QUERIES = {
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(read(spark, sf_dir, "documents")),
 }
 
+#: What SQL can say of two operators' results: what the mix aims at, and the edited texts that are fingerprinted.
+QUERIES |= {
+    "mixing_targets": lambda spark, sf_dir: mixing.op10_mixing(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target")),
+    "syncmer_edits": lambda spark, sf_dir: syncmers.op4_syncmers(read(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256"),
+}
+
 #: DuckDB twins, where SQL can express the operator on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "mixing_targets": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+  f AS (SELECT *, 2.0 * source_size AS top, 2.0 * source_size / w AS fill FROM s),
+  l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(top) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f WINDOW o AS (ORDER BY fill, source NULLS LAST)),
+  t AS (SELECT source, source_size, least(top, coalesce((SELECT arg_min(level, fill) FROM l WHERE fill >= level) * w, top)) AS target FROM l)
+  SELECT d.doc_id, d.size, t.source_size, round(t.target::DOUBLE, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
+    "syncmer_edits": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+  o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS after FROM d)
+  SELECT doc_id, n AS n_chars, sha256(substr(text, 1, n - n // 2) || substr(after, 1, n // 2)) AS edited_sha256 FROM o""",
+}
