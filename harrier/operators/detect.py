@@ -228,8 +228,8 @@ def to_alerts(first: DataFrame, events: DataFrame, rules: RuleSet) -> DataFrame:
 
 def judged(events: DataFrame, rules: RuleSet, history: DataFrame | None = None) -> DataFrame:
     """All firings, the correlations' too, with `kept`. history: stored alerts, exploded to (ip, timestamp, rule)."""
-    # firings are few beside events and are read several times from here on
-    found = cooldown(firings(events, rules).persist(), rules, history).persist()
+    # firings are few beside events and are read twice from here on
+    found = cooldown(firings(events, rules), rules, history).persist()
     links = [r for r in rules.active if r.kind == "correlation"]
     names = [r.name for r in rules.active if r.kind != "correlation"]
     if not links:
