@@ -21,7 +21,9 @@ def usable(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return usable(spark.read.text(path).withColumn("file", F.input_file_name()))
+    """Lines with their file and `line_no`, which sorts like the places of a file's lines: where the part of the file begins that a task reads, and a number that grows within it."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("line_no"))
+    return usable(rows)
 
 
 def stream_lines(spark: SparkSession, path: str, from_start: bool = True) -> DataFrame:

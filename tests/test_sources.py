@@ -56,6 +56,24 @@ def test_windows_firewall(spark):
     assert (b["ip"], b["event_type"], b["metadata"]["pid"], b["metadata"]["tcp_flags"]) == ("192.0.2.9", "firewall_block", "900", "S")
 
 
+def test_windows_firewall_from_files(spark, tmp_path):
+    """Files that several tasks read keep the order of their lines: a header holds for what comes after it."""
+    from harrier.sources.lines import read_lines
+
+    line = "2025-07-04 05:06:{:02d} ALLOW UDP {} {} 123 40123 SEND"
+    for name, first in (("a", "dst-ip src-ip dst-port src-port"), ("b", "src-ip dst-ip src-port dst-port")):
+        other = "src-ip dst-ip src-port dst-port" if name == "a" else "dst-ip src-ip dst-port src-port"
+        rows = [f"#Fields: date time action protocol {first} path", *[line.format(k % 60, "198.51.100.3", "192.0.2.8") for k in range(60)], f"#Fields: date time action protocol {other} path", *[line.format(k % 60, "198.51.100.3", "192.0.2.8") for k in range(60)]]
+        (tmp_path / f"{name}.log").write_text("\n".join(rows) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = network.parse_windows_firewall(read_lines(spark, str(tmp_path))).select("file", "ip").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    count = lambda name, ip: sum(r["file"].endswith(f"{name}.log") and r["ip"] == ip for r in got)
+    assert len(got) == 240 and [count(n, ip) for n in "ab" for ip in ("192.0.2.8", "198.51.100.3")] == [60, 60, 60, 60]
+
+
 def test_dns(spark):
     cases = {
         "dnsmasq": [("Mar  3 04:05:06 pihole-FTL[9]: query[HTTPS] Tide.Harbour.EXAMPLE from 192.0.2.5", "tide.harbour.example", "HTTPS", "192.0.2.5"), ("dnsmasq[44]: query[PTR] 5.2.0.192.in-addr.arpa from 2001:db8::3", "5.2.0.192.in-addr.arpa", "PTR", "2001:db8::3")],
