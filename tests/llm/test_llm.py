@@ -608,3 +608,39 @@ def test_model_sums_to_one():
         t[:, lm.CONTEXT + 7] = x
         total = total + model.probabilities(before, t)[:, 7]
     assert np.allclose(total[inside[:, lm.CONTEXT + 7]], 1, atol=1e-4)
+
+
+def test_mix_as_plain_loops(spark, corpus):
+    """Words taken of each document, from streams laid out by loops; and every stretch of slots holds the sources in proportion."""
+    df = corpus[0]
+    rows = df.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"), mixing.content_hash(10).alias("h")).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {g: (5, 2, 1)[i % 3] for i, g in enumerate(names)}
+    target, open_, left = {}, {*names}, 1.5 * sum(sizes.values())
+    while True:
+        level = left / sum(weight[g] for g in open_)
+        full = {g for g in open_ if 2 * sizes[g] < level * weight[g]}
+        if not full:
+            break
+        for g in full:
+            target[g] = 2.0 * sizes[g]
+            left -= target[g]
+        open_ -= full
+    target |= {g: level * weight[g] for g in open_}
+    expect = []
+    for g in names:
+        need, at = math.floor(target[g] + 0.5), 0
+        for r in sorted((r for r in rows if r["source"] == g), key=lambda r: (r["h"] % mixing.CHUNKS, r["h"], r["size"])):
+            took = sum(max(0, min(need, at + r["size"] + turn * sizes[g]) - (at + turn * sizes[g])) for turn in (0, 1))
+            expect.append((-1 if r["doc_id"] is None else r["doc_id"], r["size"], sizes[g], round(target[g], 6), took))
+            at += r["size"]
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in mixing.op10_mixing(df).collect()]
+    assert sorted(got) == sorted(expect)
+    plan = spark.createDataFrame([("a", 256 * 500), ("b", 256 * 200), ("c", 256 * 100)], "source string, need long")
+    order = [r["source"] for r in mixing.schedule(plan).orderBy("slot").collect()]
+    for n in range(50, 780, 10):
+        assert all(abs(order[:n].count(g) - n * share) <= 6 for g, share in (("a", 5 / 8), ("b", 2 / 8), ("c", 1 / 8)))
+    assert Counter(order) == {"a": 500, "b": 200, "c": 100}
