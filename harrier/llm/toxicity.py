@@ -235,12 +235,17 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 4) -> Model:
     toxic = labels == 1
     if not toxic.any() or toxic.all():
         return Model(None, None, 0.0, constant=float(toxic.mean()) if len(labels) else 0.0)
-    flat, rows = read_units(*split(pa.array(texts, pa.string())))
-    coded = flat.dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    pairs = np.unique(rows * len(words) + codes)
-    rows, codes = (pairs // len(words)).astype(np.int32), (pairs % len(words)).astype(np.int32)
-    del pairs
+    # a few texts at a time, so that only distinct words and which text has which are held of all
+    known: dict[str, int] = {}
+    some: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(texts), 500):
+        flat, of = read_units(*split(pa.array(texts[at : at + 500], pa.string())))
+        coded = flat.dictionary_encode()
+        own = np.fromiter((known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+        pairs = np.unique(of * max(1, len(own)) + coded.indices.to_numpy())
+        some.append(((pairs // max(1, len(own)) + at).astype(np.int32), own[pairs % max(1, len(own))]))
+    words, (rows, codes) = list(known), map(np.concatenate, zip(*some, strict=True))
+    del known, some
     bad = np.bincount(codes[toxic[rows]], minlength=len(words))
     good = np.bincount(codes[~toxic[rows]], minlength=len(words))
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
@@ -263,8 +268,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 4) -> Model:
     usual = [i for i in np.argsort(-good, kind="stable")[:4000] if good[i] and odds[i] < 0.5]
     negative = sorted({*usual, *(i for i in np.flatnonzero((good > 0) & (odds < 1)) if hash_of(words[i]) % 16 == 0)})
     positive = list(sure)
-    del coded, flat
-    model = None
+    model, ill = None, np.flatnonzero(toxic[rows])
     for _ in range(rounds):
         ids = np.array([*positive, *negative])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
@@ -273,11 +277,12 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 4) -> Model:
         model = Model(landmarks, (whiten @ w).astype(np.float32), b)
         margin = model.margins(words)
         worst: Counter = Counter()
-        order = np.lexsort((-margin[codes], rows))
-        place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
-        for i in order[(place < WITNESSES) & toxic[rows[order]]]:
-            if margin[codes[i]] > 0 and odds[codes[i]] > 1:
-                worst[int(codes[i])] += 1
+        of, at = rows[ill], codes[ill]
+        order = np.lexsort((-margin[at], of))
+        place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        for c in at[order[place < WITNESSES]].tolist():
+            if margin[c] > 0 and odds[c] > 1:
+                worst[c] += 1
         # clean texts' worst words come in as negatives
         hard = {int(c) for c in codes[(margin[codes] > -0.5) & ~toxic[rows]] if odds[c] < 1}
         positive, negative = sorted({*positive, *worst}), sorted({*negative, *hard} - {*worst})
