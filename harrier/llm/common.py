@@ -96,9 +96,10 @@ def per_worker(name: str, key, make: Callable):
     return kept[1]
 
 
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all lower-cased texts and each text's bounds among them."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+def split(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased unless told otherwise, and each text's bounds among them."""
+    texts = pc.fill_null(texts, "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, bounds = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
     empty = np.asarray(pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False), bool)
     if empty.any():  # at a text's edges

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, passages, syncmers, toxicity
+from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, passages, periodic, syncmers, toxicity
 from harrier.llm.common import read
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_minhash": lambda spark, sf_dir: minhash.near_duplicates(read(spark, sf_dir, "documents")),
     "op9_passages": lambda spark, sf_dir: passages.op9_passages(read(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(read(spark, sf_dir, "documents")),
+    "op12_periodic": lambda spark, sf_dir: periodic.op12_periodic(read(spark, sf_dir, "documents")),
 }
 
 #: What SQL can say of two operators' results: what the mix aims at, and the edited texts that are fingerprinted.
