@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, passages, periodic, syncmers, toxicity
+from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, passages, periodic, phrases, syncmers, toxicity
 from harrier.llm.common import read
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_minhash": lambda spark, sf_dir: minhash.near_duplicates(read(spark, sf_dir, "documents")),
     "op9_passages": lambda spark, sf_dir: passages.op9_passages(read(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(read(spark, sf_dir, "documents")),
+    "op13_phrases": lambda spark, sf_dir: phrases.op13_phrases(read(spark, sf_dir, "documents")),
     "op12_periodic": lambda spark, sf_dir: periodic.op12_periodic(read(spark, sf_dir, "documents")),
 }
 
@@ -29,6 +30,20 @@ QUERIES |= {
 
 #: DuckDB twins, where SQL can express the operator on whole tables.
 ORACLES: dict[str, str] = {
+    "op13_phrases": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+  p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+  g AS (SELECT lang, size, unnest([array_to_string(w[i : i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase FROM w, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size),
+  f AS (SELECT lang, size, phrase, count(*)::BIGINT AS f FROM g GROUP BY ALL),
+  n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+  q AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size > 1 AND f >= 10),
+  c AS (SELECT q.*, k, array_to_string(w[1 : k], ' ') AS fst, array_to_string(w[k + 1 : size], ' ') AS rst FROM q, (VALUES (1), (2)) s(k) WHERE k < size),
+  s AS (SELECT c.lang, c.size, c.phrase, c.w, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.phrase = fst JOIN f y ON y.lang = c.lang AND y.phrase = rst),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  i AS (SELECT lang, inside, max(a) AS held FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS inside FROM q WHERE size = 3) GROUP BY ALL)
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+  FROM b JOIN n USING (lang) LEFT JOIN i ON i.lang = b.lang AND inside = phrase WHERE held IS NULL OR 100 * held < 50 * a QUALIFY rank <= 2000""",
     "mixing_targets": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
   s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
   f AS (SELECT *, 2.0 * source_size AS top, 2.0 * source_size / w AS fill FROM s),
