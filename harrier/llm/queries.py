@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, passages, periodic, phrases, syncmers, toxicity
+from harrier.llm import ann, bpe, langid, line_dedup, lm, minhash, mixing, ngram_join, passages, periodic, phrases, syncmers, toxicity
 from harrier.llm.common import read
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_minhash": lambda spark, sf_dir: minhash.near_duplicates(read(spark, sf_dir, "documents")),
     "op9_passages": lambda spark, sf_dir: passages.op9_passages(read(spark, sf_dir, "documents")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(read(spark, sf_dir, "documents")),
+    "op11_ngram_join": lambda spark, sf_dir: ngram_join.op11_ngram_join(read(spark, sf_dir, "documents")),
     "op13_phrases": lambda spark, sf_dir: phrases.op13_phrases(read(spark, sf_dir, "documents")),
     "op12_periodic": lambda spark, sf_dir: periodic.op12_periodic(read(spark, sf_dir, "documents")),
 }
@@ -28,8 +29,27 @@ QUERIES |= {
     "syncmer_edits": lambda spark, sf_dir: syncmers.op4_syncmers(read(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256"),
 }
 
+
+
+def _jaccard_sql(size: int, percent: int, kept: str = "") -> str:
+    """DuckDB SQL for documents linked by the likeness of their shingle sets, and the components of the links."""
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i : i + {size - 1}], ' ') FOR i IN range(1, len(w) - {size - 2})]) END AS g FROM d),
+  u AS MATERIALIZED (SELECT list_sort(g) AS g, min(doc_id) AS id, len(g) AS n FROM s GROUP BY ALL),
+  x AS MATERIALIZED (SELECT id, n, unnest(g) AS k FROM u),
+  p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.k = b.k AND a.id < b.id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+    GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+  e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+  c(id, low) AS (SELECT id, id FROM u UNION SELECT e.b, c.low FROM c JOIN e ON e.a = c.id WHERE c.low < e.b),
+  m AS (SELECT id, min(low) AS low FROM c GROUP BY id)
+  SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE m.low END AS component_id{kept}
+  FROM s LEFT JOIN u ON list_sort(s.g) = u.g LEFT JOIN m ON m.id = u.id"""
+
+
 #: DuckDB twins, where SQL can express the operator on whole tables.
 ORACLES: dict[str, str] = {
+    "op8_minhash": _jaccard_sql(3, 85, ", s.doc_id = CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE m.low END AS kept"),
+    "op11_ngram_join": _jaccard_sql(4, 85),
     "op13_phrases": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
   p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
   w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
