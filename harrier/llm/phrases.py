@@ -1,11 +1,13 @@
 """Phrase collocations: counts of all n-grams by Rabin-Karp fingerprints, of which the frequent ones alone become text.
 
-Prefix polynomials over the words' hashes give the fingerprint of every phrase of one to `most` words inside a piece, and of
-the empty phrase before each word, whose count is the language's number of words. A task counts the phrases of its texts by
-fingerprint, comparing the words of equal fingerprints, and sends what it has in buckets: fingerprint, a second one by
-which different phrases of one fingerprint are told apart, a document that holds the phrase, and its count, packed as bytes.
-Each bucket is summed by itself; phrases of `least` occurrences or more are looked up in the document named, which must
-give both fingerprints again, and only those become text. All that follows are joins of that table with itself.
+Prefix polynomials over the words' hashes give the fingerprint of any phrase of one to `most` words inside a piece, and of
+the empty phrase before each word, whose count is the language's number of words. Sizes are counted one after the other: a phrase
+can be frequent only if its parts of a word less are, which a bit table of their fingerprints says (one bit too many
+costs a row, none is missing). A task counts the phrases of its texts by fingerprint, comparing the words of equal
+fingerprints, and sends what it has in buckets: fingerprint, a second one by which different phrases of one fingerprint
+are told apart, a document that holds the phrase, and its count, packed as bytes. Each bucket is summed by itself;
+phrases of `least` occurrences or more are looked up in the document named, which must give both fingerprints
+again, and only those become text. All that follows are joins of that table with itself.
 
 A phrase cut after its first words has the score floor(1000000 * a * a / (l * r)), a, l and r being the counts of the whole
 and of the parts; the cut of the lowest score counts, ties to the shortest first part. Phrases that lie in a longer one with
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from harrier.llm.common import checkpoint, mixed_bits, partitions, parts, split, word_hashes
 
-#: Words of a phrase at most, occurrences of a frequent one, phrases reported of a language, words counted at once, phrases held by a task before it sends them.
-MOST, LEAST, TOP, _SLICE, _HELD = 3, 10, 2000, 1_000_000, 4_000_000
+#: Words of a phrase at most, occurrences of a frequent one, phrases reported of a language, and bits of the table of frequent parts at most (32 MB).
+MOST, LEAST, TOP, MOST_BITS = 3, 10, 2000, 1 << 28
+#: Bytes of text read and words counted at once, and phrases held by a task before it sends them.
+_READ, _SLICE, _HELD = 3_000_000, 500_000, 1_000_000
 #: Parts in which a language's phrases are ranked before the whole.
 _RANKED = 64
 #: Bases of the two polynomials (odd, so that powers have inverses modulo 2^64), and bytes: separators of pieces become line feeds, tabs blanks.
@@ -61,21 +65,35 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
 
 
-def fingerprints(hashes: np.ndarray, piece: np.ndarray, lang: np.ndarray, most: int = MOST, bits: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each size: (size, places where such a phrase starts, fingerprints, second fingerprints of 32 bits).
+class Prints:
+    """Fingerprints of any phrases of a slice, from prefix polynomials over its words' hashes.
 
-    hashes: of the words; lang: a hash of each word's language. Fewer bits than 64 let phrases collide (for tests).
+    lang: a hash of each word's language, which enters as the phrase's size does. Fewer bits than 64 let phrases collide (for tests).
     """
-    n = len(hashes)
-    sums = []
-    for base in _BASES:
-        inverse = pow(base, -1, 1 << 64)
-        sums.append((np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, n)[:n])]), _powers(inverse, n)))
-    for size in range(most + 1):
-        at = np.arange(n) if size < 2 else np.flatnonzero(piece[: n - size + 1] == piece[size - 1 :]) if n >= size else np.empty(0, np.int64)
-        one, two = ((s[at + size] - s[at]) * back[at] for s, back in sums)
-        seed = mixed_bits(lang[at] + np.uint64(size + 1))
-        yield size, at, mixed_bits(one ^ seed) >> np.uint64(64 - bits), mixed_bits(two + seed) >> np.uint64(32)
+
+    def __init__(self, hashes: np.ndarray, lang: np.ndarray, bits: int = 64):
+        n = len(hashes)
+        self.lang, self.drop = lang, np.uint64(64 - bits)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, n)[:n])]) for base in _BASES]
+        self.back = [_powers(pow(base, -1, 1 << 64), n) for base in _BASES]
+
+    def _at(self, which: int, at: np.ndarray, size: int) -> np.ndarray:
+        return (self.sums[which][at + size] - self.sums[which][at]) * self.back[which][at]
+
+    def first(self, at: np.ndarray, size: int) -> np.ndarray:
+        return mixed_bits(self._at(0, at, size) ^ mixed_bits(self.lang[at] + np.uint64(size + 1))) >> self.drop
+
+    def second(self, at: np.ndarray, size: int) -> np.ndarray:
+        """32 bits by which phrases of one fingerprint are told apart."""
+        return mixed_bits(self._at(1, at, size) + mixed_bits(self.lang[at] + np.uint64(size + 1))) >> np.uint64(32)
+
+
+def starts(piece: np.ndarray, size: int) -> np.ndarray:
+    """Where phrases of a size start."""
+    n = len(piece)
+    if size < 2:
+        return np.arange(n)
+    return np.flatnonzero(piece[: n - size + 1] == piece[size - 1 :]) if n >= size else np.empty(0, np.int64)
 
 
 def _grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +105,23 @@ def _grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _counted(hashes: np.ndarray, ids: np.ndarray, piece: np.ndarray, lang: np.ndarray, doc: np.ndarray, most: int, bits: int) -> tuple[np.ndarray, ...]:
-    """(fingerprint, second one, document, count) of each phrase of a slice, whose words are compared where fingerprints are equal."""
-    out = []
-    for size, at, key, check in fingerprints(hashes, piece, lang, most, bits):
-        order = np.argsort(key)
-        new = np.ones(len(order), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
+def _counted(prints: Prints, ids: np.ndarray, doc: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(fingerprint, second one, document, count) of each phrase that starts at the places, whose words are compared where fingerprints are equal."""
+    key, lang = prints.first(at, size), prints.lang
+    order = np.argsort(key)
+    key, here = key[order], at[order]
+    new = np.ones(len(order), bool)
+    new[1:] = key[1:] != key[:-1]
+    again = np.flatnonzero(~new)  # each with the one before it
+    one, two = here[again], here[again - 1]
+    if not reduce(np.logical_and, [ids[one + k] == ids[two + k] for k in range(size)], lang[one] == lang[two]).all():  # a collision: by the words themselves
+        order, first = _grouped([key, lang[here], *(ids[here + k] for k in range(size))])
+        key, here = key[order], here[order]
+    else:
         first = np.flatnonzero(new)
-        head = at[order][first][np.cumsum(new) - 1]
-        here = at[order]
-        same = (lang[here] == lang[head]) & reduce(np.logical_and, [ids[here + k] == ids[head + k] for k in range(size)], np.ones(len(here), bool))
-        if not same.all():  # a collision: by the words themselves
-            order, first = _grouped([key, lang[at], *(ids[at + k] for k in range(size))])
-        out.append((key[order][first], check[order][first], np.minimum.reduceat(doc[at][order], first) if len(first) else doc[:0], np.diff(np.append(first, len(order)))))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    if not len(first):
+        return key, key, doc[:0], np.empty(0, np.int64)
+    return key[first], prints.second(here[first], size), np.minimum.reduceat(doc[here], first), np.diff(np.append(first, len(here)))
 
 
 def _summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -116,41 +136,53 @@ def _summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 _PACKED = "bucket int, keys binary, checks binary, docs binary, counts binary"
 
 
-def _sent(buckets: int, most: int, bits: int):
-    """A row a bucket with what a task has counted; buckets are ranges of mixed fingerprints."""
+def _sent(buckets: int, sizes: list[int], gate, bits: int):
+    """A row a bucket with the phrases of these sizes that a task has counted; buckets are by mixed fingerprints.
+
+    gate: bits of the fingerprints of frequent phrases of a word less; what has a part that is not among them is not frequent.
+    """
 
     def rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, check, doc, count = _summed(held)
+        key, check, doc, count = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = (mixed_bits(key) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.cumsum(np.bincount(bucket, minlength=buckets))
         cut = lambda x, kind: [x[order].astype(kind)[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if a < b]
         full = np.flatnonzero(np.diff(ends, prepend=0))
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(cut(x, k), pa.binary()) for x, k in ((key, "<u8"), (check, "<u4"), (doc, "<u4"), (count, "<u8" if count.max() >> 32 else "<u4")))], ["bucket", "keys", "checks", "docs", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(cut(x, k), pa.binary()) for x, k in ((key, "<u8"), (check, "<u4"), (doc, "<u4"), (count, "<u8" if count.max(initial=0) >> 32 else "<u4")))], ["bucket", "keys", "checks", "docs", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in parts(batches, 5000, 2):
+        held, n = [], 0
+        known = None if gate is None else gate.value
+
+        def may(key: np.ndarray) -> np.ndarray:
+            place = key & np.uint64(8 * len(known) - 1)
+            return known[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+        for batch in parts(batches, 2000, 2, _READ):
             words, piece, bounds = pieces(batch.column(2))
             if not len(words):
                 continue
             coded = words.dictionary_encode()
-            ids, hashes = coded.indices.to_numpy().astype(np.int64), word_hashes(words)
+            ids, hashes = coded.indices.to_numpy(), word_hashes(words)
             of = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             doc, lang = batch.column(0).to_numpy()[of], word_hashes(batch.column(1))[of]
-            at = 0
-            while at < len(ids):  # phrases end with their piece, so a slice may begin with any
-                to = len(ids) if at + _SLICE >= len(ids) else int(np.searchsorted(piece, piece[at + _SLICE]))
-                to = to if to > at else int(np.searchsorted(piece, piece[at], "right"))
-                held.append(_counted(hashes[at:to], ids[at:to], piece[at:to], lang[at:to], doc[at:to], most, bits))
-                size += len(held[-1][0])
-                at = to
-            if size > _HELD:
-                held = [_summed(held)]
-                size = len(held[0][0])
-                if size > _HELD // 2:
-                    yield rows(held)
-                    held, size = [], 0
+            a = 0
+            while a < len(ids):  # phrases end with their piece, so a slice may begin with any
+                b = len(ids) if a + _SLICE >= len(ids) else int(np.searchsorted(piece, piece[a + _SLICE]))
+                b = b if b > a else int(np.searchsorted(piece, piece[a], "right"))
+                prints = Prints(hashes[a:b], lang[a:b], bits)
+                for size in sizes:
+                    at = starts(piece[a:b], size)
+                    if known is not None:
+                        fine = may(prints.first(np.arange(b - a - size + 2), size - 1)) if b - a >= size - 1 else np.zeros(0, bool)
+                        at = at[fine[at] & fine[at + 1]]
+                    held.append(_counted(prints, ids[a:b], doc[a:b], at, size))
+                    n += len(held[-1][0])
+                a = b
+            if n > _HELD:
+                yield rows(held)
+                held, n = [], 0
         if held:
             yield rows(held)
 
@@ -173,30 +205,46 @@ def _frequent(least: int):
 def _spelled(most: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The asked phrases (key, check, f) of each document as text."""
-        for batch in parts(batches, 500, 1):
+        for batch in parts(batches, 200, 1, _READ):
             words, piece, bounds = pieces(batch.column(1))
             hashes = word_hashes(words) if len(words) else np.empty(0, np.uint64)
             langs = word_hashes(batch.column(0))
-            spell = words.to_pylist()
             out: list[tuple] = []
             for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                asked = batch.column(2)[i].values
-                key = asked.field(0).to_numpy().view(np.uint64)
-                check, f = asked.field(1).to_numpy(), asked.field(2).to_numpy()
-                order = np.lexsort((check, key))
-                key, check, f = key[order], check[order], f[order]
-                for size, at, own, own_check in fingerprints(hashes[a:b], piece[a:b], np.full(b - a, langs[i]), most, bits):
-                    _, first = np.unique(np.stack([own, own_check]), axis=1, return_index=True) if bits < 64 else np.unique(own, return_index=True)
-                    lo, hi = np.searchsorted(key, own[first]), np.searchsorted(key, own[first], "right")
-                    for k, p, q in zip(first[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                        for j in range(p, q):
-                            if check[j] == own_check[k]:
-                                out.append((batch.column(0)[i].as_py(), size, " ".join(spell[a + at[k] : a + at[k] + size]), int(f[j])))
+                asked, lang = batch.column(2)[i].values, batch.column(0)[i].as_py()
+                wanted: dict[int, list] = {}
+                for k, c, f in zip(*(asked.field(j).to_pylist() for j in range(3)), strict=True):
+                    wanted.setdefault(k % (1 << 64), []).append((c, f))
+                keys = np.array(sorted(wanted), np.uint64)
+                prints, spell = Prints(hashes[a:b], np.full(b - a, langs[i]), bits), words[a:b]
+                for size in range(most + 1):
+                    at = starts(piece[a:b], size)
+                    own = prints.first(at, size)
+                    hit = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+                    at, own = at[hit], own[hit]
+                    second = prints.second(at, size)
+                    _, first = np.unique(np.stack([own, second]), axis=1, return_index=True) if bits < 64 else np.unique(own, return_index=True)
+                    for k in first.tolist():
+                        for c, f in wanted[int(own[k])]:
+                            if c == second[k]:
+                                out.append((lang, size, " ".join(spell[int(at[k]) : int(at[k]) + size].to_pylist()), f))
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "size", "phrase", "f"])
 
     return run
 
 
+def _gate(found: DataFrame):
+    """A bit for each frequent phrase, in a table of at most MOST_BITS bits whatever the corpus: more phrases only let more through."""
+    n = found.count()
+    bits = min(MOST_BITS, 1 << max(15, (16 * n - 1).bit_length()))
+    place = F.pmod("key", F.lit(bits))
+    rows = found.groupBy(F.expr(f"pmod(key, {bits}L) div 32768").alias("at")).agg(F.bitmap_construct_agg(place % 32768).alias("own")).collect()  # MOST_BITS in all
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[4096 * r["at"] : 4096 * (r["at"] + 1)] = np.frombuffer(r["own"], np.uint8)
+    return found.sparkSession.sparkContext.broadcast(out)
+
+
 def _buckets(spark: SparkSession) -> int:
     """Some for each partition, so that a bucket stays small whatever the input."""
     return max(64, 4 * partitions(spark))
@@ -205,9 +253,14 @@ def _buckets(spark: SparkSession) -> int:
 def frequent_phrases(docs: DataFrame, most: int = MOST, least: int = LEAST, bits: int = 64) -> DataFrame:
     """Rows (lang, size, phrase, f): all phrases of up to `most` words that occur `least` times in a language or more; size 0 is the empty phrase before each word."""
     texts = docs.select(F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 32)).alias("doc"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = texts.mapInArrow(_sent(_buckets(docs.sparkSession), most, bits), _PACKED)
-    found = checkpoint(sent.groupBy("bucket").applyInArrow(_frequent(least), "key long, check long, doc long, f long"))
-    asked = found.groupBy(F.col("doc").alias("at")).agg(F.collect_list(F.struct("key", "check", "f")).alias("asked"))
+    levels, gate = [], None
+    for size in range(1, most + 1):
+        sent = texts.mapInArrow(_sent(_buckets(docs.sparkSession), [0, 1] if size == 1 else [size], gate, bits), _PACKED)
+        levels.append(checkpoint(sent.groupBy("bucket").applyInArrow(_frequent(least), "key long, check long, doc long, f long")))
+        if gate is not None:
+            gate.unpersist()
+        gate = _gate(levels[-1])
+    asked = reduce(DataFrame.unionByName, levels).groupBy(F.col("doc").alias("at")).agg(F.collect_list(F.struct("key", "check", "f")).alias("asked"))
     named = texts.join(asked, F.col("doc") == F.col("at")).select("lang", "text", "asked").mapInArrow(_spelled(most, bits), "lang string, size int, phrase string, f long")
     # rows alike in id, language and text are alike in what they are asked
     return checkpoint(named.groupBy("lang", "size", "phrase").agg(F.max("f").alias("f")))
