@@ -5,10 +5,10 @@ two) and hash. Any order gives the same links; the counts, of all documents, are
 packed, and at most COMMON n-grams are named common, the least count rising with the input until they are.
 
 Two sets of the wanted likeness share an n-gram among the first of each (so many that what is left could not reach it).
-Such prefixes are posted: an n-gram that several sets post is a list. Each set is first compared with the head of its lists
-with which it shares most of them; then all pairs across components that share a short list are, where what they share of
-their prefixes leaves room for the likeness; and sets of long lists of one head in blocks. A pair is decided by the
-sets' segments: a segment holds what a set has in one fragment of the order; each pair's overlap is counted in each
+Such prefixes are posted: an n-gram that several sets post is a list. All pairs that share a short list are compared, where
+what they share of their prefixes leaves room for the likeness, and each set of a long list with the head with which it
+shares most of them; what is left of long lists in several components is compared in blocks, all lists of one head
+together. A pair is decided by the sets' segments: a segment holds what a set has in one fragment of the order; each pair's overlap is counted in each
 fragment by itself and summed over fragments. So no whole set meets another in one row, and a frequent
 n-gram, last in the order, brings nobody together. In blocks a task counts the overlaps of two blocks' sets, a part of
 their n-grams after the other, sums them, and sends on one link for two components.
@@ -34,8 +34,8 @@ from harrier.llm.minhash import _across, set_hash, sets_of
 
 #: Documents from which an n-gram may be called common, and common n-grams at most (9 bytes each in a task).
 FREQUENT, COMMON = 16, 1_000_000
-#: Fragments of the order (the last has the common n-grams), rounds with heads, sets of a short list, and of a block.
-FRAGMENTS, NEAREST, SHORT, BLOCK = 4, 2, 16, 256
+#: Fragments of the order (the last has the common n-grams), sets of a short list and of a block, and wanted keys that are broadcast.
+FRAGMENTS, SHORT, BLOCK, FEW = 4, 16, 256, 500_000
 #: n-grams counted by a task before it sends them.
 _HELD = 4_000_000
 _LATE = 1 << 62
@@ -189,78 +189,69 @@ def _least(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
-class _Join:
-    """The links among sets that share a list, found in rounds."""
-
-    def __init__(self, scratch: Scratch, met: DataFrame, segments: DataFrame, percent: int):
-        self.scratch, self.met, self.segments, self.percent = scratch, met, segments, percent
-
-    def near(self, a: Column, b: Column) -> Column:
-        return F.lit(100) * F.least(a, b) >= self.percent * F.greatest(a, b)
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, least) those that share `least` n-grams: counted in each fragment by itself, summed for each pair."""
-        s = self.segments
-        got = pairs.join(s.select(F.col("node").alias("nb"), "fragment", F.col("items").alias("ib")), F.col("b") == F.col("nb")).select("a", "b", "least", "fragment", "ib")
-        of_a = s.select(reshuffled("node").alias("na"), F.col("fragment").alias("fa"), F.col("items").alias("ia"))
-        got = got.join(of_a, (F.col("a") == F.col("na")) & (F.col("fragment") == F.col("fa"))).select("a", "b", "least", "ia", "ib")
-        counted = got.mapInArrow(_overlaps, "a long, b long, least long, both long")
-        return counted.groupBy("a", "b").agg(F.sum("both").alias("both"), F.first("least").alias("least")).where("both >= least").select("a", "b")
-
-    def still_open(self, left: DataFrame, found: DataFrame | None) -> DataFrame:
-        """The rows of lists whose sets lie in several components."""
-        if found is None:
-            return left.withColumn("component", F.col("node"))
-        named = left.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), F.col("node") == F.col("id"), "left")
-        named = named.select("key", "node", "n", "size", F.coalesce("c", "node").alias("component"))
-        open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return named.join(open_.select(reshuffled("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
-
-    def heads(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each set and the head, of its lists, of another component with which it shares most of them."""
-        head = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "component", "n")).alias("h")).select(reshuffled("key").alias("k"), "h")
-        met = rows.join(head, (F.col("key") == F.col("k")) & (F.col("component") != F.col("h.component")) & self.near(F.col("n"), F.col("h.n")))
-        shared = met.groupBy(F.col("node").alias("b"), F.col("h.node").alias("a")).agg(F.count("*").alias("lists"), F.first(_least(F.col("n"), F.col("h.n"), self.percent)).alias("least"))
-        return shared.groupBy("b").agg(F.max_by(F.struct("a", "least"), F.struct("lists", "a")).alias("x")).select("x.a", "b", "x.least")
-
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Links among all pairs across components that share a list."""
-        # what pairs may share besides short lists: the long ones that either has
-        many = rows.where(F.col("size") > SHORT).groupBy(F.col("node").alias("in_long")).agg(F.count("*").alias("long_lists"))
-        few = rows.where(F.col("size") <= SHORT).join(many, F.col("node") == F.col("in_long"), "left").select("key", "node", "n", "component", F.coalesce("long_lists", F.lit(0)).alias("long_lists"))
-        other = few.select(*[F.col(c).alias(f"o_{c}") for c in few.columns])
-        met = few.join(other, (F.col("key") == F.col("o_key")) & (F.col("component") > F.col("o_component")) & self.near(F.col("n"), F.col("o_n")))
-        pairs = met.groupBy(F.col("o_node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("o_n").alias("o_n"), F.first(F.least("long_lists", "o_long_lists")).alias("more"))
-        pairs = pairs.withColumn("least", _least(F.col("n"), F.col("o_n"), self.percent))
-        # beyond the prefix that ends first in the order, no more can be shared than that set has left
-        rest = lambda n: F.floor((self.percent * n + 99) / 100) - 1
-        pairs = pairs.where(F.col("lists") + F.col("more") + F.greatest(rest(F.col("n")), rest(F.col("o_n"))) >= F.col("least"))
-        return self.confirmed(pairs.select("a", "b", "least")).unionByName(self.blocks(rows.where(F.col("size") > SHORT)))
-
-    def blocks(self, rows: DataFrame) -> DataFrame:
-        """Links among the sets of long lists: lists of one head are a group, whose sets are dealt to blocks that meet in pairs."""
-        head = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(99), "node").alias("o"), "node")).alias("h")).select(reshuffled("key").alias("k"), F.col("h.node").alias("head"))
-        group = rows.join(head, F.col("key") == F.col("k")).select("head", "node", "component").distinct()
-        sizes = group.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(reshuffled("head").alias("g"), "blocks")
-        group = group.join(sizes, F.col("head") == F.col("g")).drop("g")
-        whole = self.segments.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("fragment", "items"))).alias("s"))
-        whole = whole.select(F.col("node").alias("id"), F.aggregate("s", F.lit(b""), lambda had, x: F.concat(had, x["items"])).alias("items"))
-        group = group.join(whole, F.col("node") == F.col("id")).drop("id")
-        group = group.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        group = group.select("head", F.least("own", "to").alias("low"), F.greatest("own", "to").alias("high"), "own", "node", "component", "items")
-        return group.groupBy("head", "low", "high").applyInArrow(_across(self.percent), "a long, b long")
-
-    def run(self) -> DataFrame | None:
-        """Components (node, component), or None without a list."""
-        links, found, left = None, None, self.met
-        for turn in range(NEAREST + 1):
-            left = self.scratch.keep("left", self.still_open(left, found))
-            if left.isEmpty():
-                break
-            new = self.confirmed(self.heads(left, turn)) if turn < NEAREST else self.across(left)
-            links = self.scratch.keep("links", new if links is None else links.unionByName(new))
-            found = components(links)
-        return found
+def _near(a: Column, b: Column, percent: int) -> Column:
+    """Whether two sizes leave room for the likeness."""
+    return F.lit(100) * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b, least): all pairs that share short lists and may be alike by what they share of their prefixes."""
+    # what pairs may share besides short lists: the long ones that either has
+    many = met.where(F.col("size") > SHORT).groupBy(F.col("node").alias("in_long")).agg(F.count("*").alias("long_lists"))
+    few = met.where(F.col("size") <= SHORT).join(many, F.col("node") == F.col("in_long"), "left").select("key", "node", "n", F.coalesce("long_lists", F.lit(0)).alias("long_lists"))
+    other = few.select(*[F.col(c).alias(f"o_{c}") for c in few.columns])
+    both = few.join(other, (F.col("key") == F.col("o_key")) & (F.col("node") > F.col("o_node")) & _near(F.col("n"), F.col("o_n"), percent))
+    pairs = both.groupBy(F.col("o_node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("o_n").alias("o_n"), F.first(F.least("long_lists", "o_long_lists")).alias("more"))
+    pairs = pairs.withColumn("least", _least(F.col("n"), F.col("o_n"), percent))
+    # beyond the prefix that ends first in the order, no more can be shared than that set has left
+    rest = lambda n: F.floor((percent * n + 99) / 100) - 1
+    return pairs.where(F.col("lists") + F.col("more") + F.greatest(rest(F.col("n")), rest(F.col("o_n"))) >= F.col("least")).select("a", "b", "least")
+
+
+def _heads(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each set and the head of its lists with which it shares most of them."""
+    head = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n")).alias("h")).select(reshuffled("key").alias("k"), "h")
+    met = rows.join(head, (F.col("key") == F.col("k")) & (F.col("node") != F.col("h.node")) & _near(F.col("n"), F.col("h.n"), percent))
+    shared = met.groupBy(F.col("node").alias("b"), F.col("h.node").alias("a")).agg(F.count("*").alias("lists"), F.first(_least(F.col("n"), F.col("h.n"), percent)).alias("least"))
+    return shared.groupBy("b").agg(F.max_by(F.struct("a", "least"), F.struct("lists", "a")).alias("x")).select("x.a", "b", "x.least")
+
+
+def _confirmed(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Of pairs (a, b, least) those that share `least` n-grams: counted in each fragment by itself, summed for each pair."""
+    got = pairs.join(segments.select(F.col("node").alias("nb"), "fragment", F.col("items").alias("ib")), F.col("b") == F.col("nb")).select("a", "b", "least", "fragment", "ib")
+    of_a = segments.select(reshuffled("node").alias("na"), F.col("fragment").alias("fa"), F.col("items").alias("ia"))
+    got = got.join(of_a, (F.col("a") == F.col("na")) & (F.col("fragment") == F.col("fa"))).select("a", "b", "least", "ia", "ib")
+    counted = got.mapInArrow(_overlaps, "a long, b long, least long, both long")
+    return counted.groupBy("a", "b").agg(F.sum("both").alias("both"), F.first("least").alias("least")).where("both >= least").select("a", "b")
+
+
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of lists whose sets lie in several components."""
+    named = rows.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), F.col("node") == F.col("id"), "left")
+    named = named.select("key", "node", F.coalesce("c", "node").alias("component"))
+    open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return named.join(open_.select(reshuffled("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
+
+
+def _blocks(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Links across components among the sets of long lists: lists of one head are a group, whose sets are dealt to blocks that meet in pairs."""
+    head = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("h")).select(reshuffled("key").alias("k"), F.col("h.node").alias("head"))
+    group = rows.join(head, F.col("key") == F.col("k")).select("head", "node", "component").distinct()
+    sizes = group.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(reshuffled("head").alias("g"), "blocks")
+    group = group.join(sizes, F.col("head") == F.col("g")).drop("g")
+    whole = segments.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("fragment", "items"))).alias("s"))
+    whole = whole.select(F.col("node").alias("id"), F.aggregate("s", F.lit(b""), lambda had, x: F.concat(had, x["items"])).alias("items"))
+    group = group.join(whole, F.col("node") == F.col("id")).drop("id")
+    group = group.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = group.select("head", F.least("own", "to").alias("low"), F.greatest("own", "to").alias("high"), "own", "node", "component", "items")
+    return group.groupBy("head", "low", "high").applyInArrow(_across(percent), "a long, b long")
+
+
+def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is wanted; the wanted ones (a column of long) are broadcast where they are counted to be few."""
+    wanted = wanted.toDF("wanted")
+    side = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    return rows.join(side, F.col(key) == F.col("wanted"), "left_semi")
 
 
 def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -277,16 +268,23 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     lists = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select(reshuffled("key").alias("k"), "size")
     met = scratch.keep("met", spread.join(lists, F.col("key") == F.col("k")).select("key", "node", "n", "size"))
     firsts = checkpoint(nodes.select("node", "first_doc"))
-    wanted = scratch.keep("wanted", firsts.join(met.select(F.col("node").alias("id")).distinct(), F.col("node") == F.col("id"), "left_semi"))
     scratch.drop("nodes")
-    some = texts.where("text IS NOT NULL").join(wanted.select(F.col("first_doc").alias("at")).distinct(), F.col("doc") == F.col("at"), "left_semi")
-    segments = some.select("text").mapInArrow(_segments(size, order), "node long, fragment int, items binary")
-    segments = segments.join(wanted.select(F.col("node").alias("id")), F.col("node") == F.col("id"), "left_semi")
+    pairs = scratch.keep("pairs", _pairs(met, percent))
+    long_ = scratch.keep("long", met.where(F.col("size") > SHORT).select("key", "node", "n"))
+    scratch.drop("met")
+    # only sets that may have a partner are read again
+    wanted = pairs.select("a").union(pairs.select("b")).union(long_.select("node")).distinct()
+    wanted = scratch.keep("wanted", _only(firsts, "node", wanted))
+    some = _only(texts.where("text IS NOT NULL"), "doc", wanted.select("first_doc").distinct())
+    segments = _only(some.select("text").mapInArrow(_segments(size, order), "node long, fragment int, items binary"), "node", wanted.select("node"))
     segments = scratch.keep("segments", segments.groupBy("node", "fragment").agg(F.first("items").alias("items")))
-    found = _Join(scratch, met, segments, percent).run()
-    named = firsts.withColumn("component", F.col("node"))
-    if found is not None:
-        named = firsts.join(found.select(F.col("node").alias("id"), "component"), F.col("node") == F.col("id"), "left").select("node", "first_doc", F.coalesce("component", "node").alias("component"))
+    # a pair that shares both kinds of lists may be named twice
+    links = scratch.keep("links", _confirmed(pairs.unionByName(_heads(long_, percent)), segments))
+    found = components(links)
+    more = scratch.keep("more", _blocks(_open(long_, found), segments, percent))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+    named = firsts.join(found.select(F.col("node").alias("id"), "component"), F.col("node") == F.col("id"), "left").select("node", "first_doc", F.coalesce("component", "node").alias("component"))
     named = checkpoint(named)
     scratch.close()
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id")).select(reshuffled("component").alias("c"), "component_id")

@@ -147,8 +147,12 @@ def _sent(buckets: int, sizes: list[int], gate, bits: int):
         bucket = (mixed_bits(key) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-        cut = lambda x, kind: [x[order].astype(kind)[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if a < b]
         full = np.flatnonzero(np.diff(ends, prepend=0))
+
+        def cut(x: np.ndarray, kind: str) -> list[bytes]:
+            x = x[order].astype(kind)
+            return [x[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if a < b]
+
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(cut(x, k), pa.binary()) for x, k in ((key, "<u8"), (check, "<u4"), (doc, "<u4"), (count, "<u8" if count.max(initial=0) >> 32 else "<u4")))], ["bucket", "keys", "checks", "docs", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +168,8 @@ def _sent(buckets: int, sizes: list[int], gate, bits: int):
             if not len(words):
                 continue
             coded = words.dictionary_encode()
-            ids, hashes = coded.indices.to_numpy(), word_hashes(words)
+            ids = coded.indices.to_numpy()
+            hashes = word_hashes(coded.dictionary)[ids]
             of = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             doc, lang = batch.column(0).to_numpy()[of], word_hashes(batch.column(1))[of]
             a = 0
