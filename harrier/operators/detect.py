@@ -198,6 +198,51 @@ def correlate(judged: DataFrame, rule: Rule, names: list[str], history: DataFram
     return per.select(*_firing(rule, F.size("names"), pattern=F.array_join("names", ", ")))
 
 
+def _fold(links: list[tuple[str, int, int, int]]):
+    """Correlations of an address in order of time; links: (name, threshold, window, cooldown)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, {}
+        for batch in batches:
+            out = []
+            one, two, us, fired, kept = (batch.column(batch.num_columns - i).to_pylist() for i in (5, 4, 3, 2, 1))
+            for i, at in enumerate(us):
+                if (one[i], two[i]) != key:
+                    key, last = (one[i], two[i]), {}
+                stay = list(kept[i])
+                for name, threshold, window, cooldown in links if fired[i] else ():
+                    seen = {*fired[i], *(n for n, t in last.items() if t > at - window)} - {name}
+                    if len(seen) >= threshold:
+                        free = not cooldown or name not in last or last[name] <= at - cooldown
+                        out.append((i, name, len(seen), ", ".join(sorted(seen)), free))
+                        if free:
+                            stay.append(name)
+                last.update(dict.fromkeys(stay, at))
+            rows, names, counts, texts, free = zip(*out, strict=True) if out else ((),) * 5
+            taken = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(names, pa.string()), pa.array(counts, pa.int32()), pa.array(texts, pa.string()), pa.array(free, pa.bool_())], [*taken.schema.names, "rule", "count", "pattern", "kept"])
+
+    return run
+
+
+def correlate_several(judged: DataFrame, links: list[Rule], rules: RuleSet, history: DataFrame | None = None) -> DataFrame:
+    """Firings of several correlations with `kept`, each seeing what all others have kept before, as well as the rules.
+
+    What a correlation keeps is in the other's window from the next event on, so the order of events decides: an address's
+    firings pass through one task in order of time, which remembers when each name was last kept and nothing else.
+    """
+    per = judged.groupBy("ip", "timestamp", "seq").agg(F.collect_set("rule").alias("fired"), F.collect_set(F.when(F.col("kept"), F.col("rule"))).alias("kept"))
+    if history is not None:
+        old = history.where(F.col("rule").isin([r.name for r in rules.active])).groupBy("ip", "timestamp").agg(F.collect_set("rule").alias("kept"))
+        per = per.unionByName(old.select("ip", "timestamp", F.lit(-1).cast("long").alias("seq"), F.array().cast("array<string>").alias("fired"), "kept"))
+    rows = per.select("seq", "ip", "timestamp", F.xxhash64("ip").alias("__k1"), F.xxhash64(F.lit(1), "ip").alias("__k2"), F.unix_micros("timestamp").alias("__us"), "fired", "kept")
+    rows = rows.repartition("__k1", "__k2").sortWithinPartitions("__k1", "__k2", "__us", "seq")
+    plan = [(r.name, r.threshold, micros(r.window), rules.cooldown(r)) for r in links]
+    found = rows.mapInArrow(_fold(plan), "seq long, ip string, timestamp timestamp, rule string, count int, pattern string, kept boolean")
+    kinds = {"interval_us": "double", "jitter": "double"}
+    return found.select("seq", "ip", "timestamp", "rule", "count", *[F.col(v) if v == "pattern" else F.lit(None).cast(kinds.get(v, "string")).alias(v) for v in _VARS], "kept")
+
+
 def prioritize(kept: DataFrame, rules: RuleSet) -> DataFrame:
     """One row for each event: the firing of the highest severity, ties to the rule named first; the others' names in order."""
     order = rules.order()
@@ -226,16 +271,24 @@ def to_alerts(first: DataFrame, events: DataFrame, rules: RuleSet) -> DataFrame:
     return rows.select(F.sha2(F.concat_ws("/", "ip", "seq", F.col("top.rule")), 256).alias("id"), "seq", "timestamp", "ip", kind.alias("event_type"), severity.alias("severity"), reason.alias("reason"), F.col("top.count").alias("event_count"), F.col("top.rule").alias("trigger_rule"), "related_rules")
 
 
-def judged(events: DataFrame, rules: RuleSet, history: DataFrame | None = None) -> DataFrame:
-    """All firings, the correlations' too, with `kept`. history: stored alerts, exploded to (ip, timestamp, rule)."""
+def judged(events: DataFrame, rules: RuleSet, history: DataFrame | None = None, since: Column | None = None) -> DataFrame:
+    """All firings, the correlations' too, with `kept`. history: stored alerts, exploded to (ip, timestamp, rule).
+
+    since: only firings from then on are judged; events before fill the windows.
+    """
+    fired = firings(events, rules)
+    if since is not None:
+        fired = fired.where(F.col("timestamp") >= since)
+        history = None if history is None else history.where(F.col("timestamp") < since)
     # firings are few beside events and are read twice from here on
-    found = cooldown(firings(events, rules), rules, history).persist()
+    found = cooldown(fired, rules, history).persist()
     links = [r for r in rules.active if r.kind == "correlation"]
     names = [r.name for r in rules.active if r.kind != "correlation"]
     if not links:
         return found
-    extra = reduce(DataFrame.unionByName, [correlate(found, r, names, history) for r in links])
-    return found.unionByName(cooldown(extra, RuleSet(links, rules.default_cooldown), history))
+    if len(links) > 1:
+        return found.unionByName(correlate_several(found, links, rules, history))
+    return found.unionByName(cooldown(correlate(found, links[0], names, history), RuleSet(links, rules.default_cooldown), history))
 
 
 def alert_history(alerts: DataFrame) -> DataFrame:
@@ -247,3 +300,30 @@ def detect(events: DataFrame, rules: RuleSet, history: DataFrame | None = None)
     """Events to alerts; `history` continues from stored alerts (see alert_history)."""
     found = judged(events, rules, history).where("kept")
     return to_alerts(prioritize(found, rules), events, rules)
+
+
+def halo(rules: RuleSet) -> int:
+    """Microseconds of events before a time that alerts from then on depend on: the longest window, and for a beacon's
+    window one more, in which a pause of half of min_interval tells which contacts count."""
+    return max([0, *(micros(r.window) for r in rules.active if r.kind == "threshold"), *(2 * micros(r.window) for r in rules.active if r.kind == "beacon")])
+
+
+def _from(rows: DataFrame, since: Column, us: int) -> DataFrame:
+    """Rows from `us` before a time on; of a table kept by day, no other day is read."""
+    first = _after(since, -us)
+    if "event_date" in rows.columns:
+        rows = rows.where(F.col("event_date") >= F.to_date(first))
+    return rows.where(F.col("timestamp") >= first)
+
+
+def detect_since(events: DataFrame, alerts: DataFrame, rules: RuleSet, since: Column) -> DataFrame:
+    """Alerts from a time on, as a run over all events would give them: of stored events those of the halo are read again,
+    of stored alerts (those before that time) those that cooldowns and correlations look back on.
+
+    Alerts are stored as detect gives them. An address whose contacts with a target come less than half of a beacon's
+    min_interval apart through all of the halo may count them from another one on than the whole run.
+    """
+    stored = alert_history(_from(alerts, since, rules.lookback()))
+    recent = _from(events, since, halo(rules))
+    found = judged(recent, rules, stored, since).where("kept")
+    return to_alerts(prioritize(found, rules), recent.where(F.col("timestamp") >= since), rules)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PATHS = ["/", "/search?q=%27%20OR%201%3D1", "/admin/login", "/a/..%2f..%2fetc%2fpasswd", "/x?u=http://169.254.169.254/", "/p?c=%3Cscript%3E", "/.env", "/ok", "/blog/admin-tips", "/q?cmd=%7C%7Cwhoami"]
+PATHS = ["/", "/stock?shelf=%27%20and%2070%3D70", "/admin/login", "/img/%2e%2e%2f%2e%2e%2fwin.ini", "/x?u=http://169.254.169.254/", "/p?c=%3Cscript%3E", "/.env", "/ok", "/blog/admin-tips", "/q?cmd=%7C%7Cwhoami"]
 AGENTS = ["Mozilla/5.0", "curl/8.0", "sqlmap/1.7", "Mozilla/5.0 (X11)", "Nikto/2.5", "Go-http-client/2.0", "${jndi:ldap://x/a}"]
 
 

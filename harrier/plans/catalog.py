@@ -163,12 +163,12 @@ def _(s, d):
     return detect.signature(ev(s, d), rule("ScannerUserAgent")).select("seq", "pattern", "field")
 
 
-@query("signature_sql_injection", f"WITH {EV} SELECT seq, 'path' AS field FROM ev WHERE path = '/search?q=%27%20OR%201%3D1'")
+@query("signature_sql_injection", f"WITH {EV} SELECT seq, 'path' AS field FROM ev WHERE path = '{adapter.PATHS[1]}'")
 def _(s, d):
     return detect.signature(ev(s, d), rule("SQLInjection")).select("seq", "field")
 
 
-@query("signature_decoded", f"""WITH {EV} SELECT seq, rule FROM (SELECT seq, CASE path WHEN '/a/..%2f..%2fetc%2fpasswd' THEN 'PathTraversal' WHEN '/x?u=http://169.254.169.254/' THEN 'SSRF'
+@query("signature_decoded", f"""WITH {EV} SELECT seq, rule FROM (SELECT seq, CASE path WHEN '{adapter.PATHS[3]}' THEN 'PathTraversal' WHEN '/x?u=http://169.254.169.254/' THEN 'SSRF'
     WHEN '/p?c=%3Cscript%3E' THEN 'XSS' END AS rule FROM ev) WHERE rule IS NOT NULL""")
 def _(s, d):
     e = ev(s, d)
@@ -225,7 +225,7 @@ def _(s, d):
     return ev(s, d).where("metadata IS NOT NULL").select("seq", fn.metadata_text().alias("text"))
 
 
-@query("field_decoded_variants", f"WITH {EV} SELECT seq, CASE path WHEN '/search?q=%27%20OR%201%3D1' THEN '/search?q='' or 1=1' WHEN '/a/..%2f..%2fetc%2fpasswd' THEN '/a/../../etc/passwd' WHEN '/p?c=%3Cscript%3E' THEN '/p?c=<script>' WHEN '/q?cmd=%7C%7Cwhoami' THEN '/q?cmd=||whoami' ELSE lower(path) END AS decoded FROM ev WHERE path IS NOT NULL")
+@query("field_decoded_variants", f"WITH {EV} SELECT seq, lower(url_decode(replace(url_decode(replace(path, '+', ' ')), '+', ' '))) AS decoded FROM ev WHERE path IS NOT NULL")
 def _(s, d):
     return ev(s, d).where("path IS NOT NULL").select("seq", F.element_at(fn.decoded_variants(F.col("path")), -1).alias("decoded"))
 
@@ -410,13 +410,20 @@ def _(s, d):
     return detect.detect(ev(s, d), rules()).select("seq", "ip", "event_type", "severity", "reason", F.col("event_count").cast("long").alias("event_count"), "trigger_rule", F.array_join("related_rules", ", ").alias("related"))
 
 
+def half_january(s, d, some: RuleSet) -> DataFrame:
+    """Alerts of the second half of January from stored events and the first half's alerts."""
+    e, half = ev(s, d), F.lit("2024-01-16 00:00:00").cast("timestamp")
+    old = detect.detect(e.where(F.col("timestamp") < half), some)
+    return detect.detect_since(e, old, some, half)
+
+
+#: Rules that count over windows which cross the middle of January.
+COUNTING = RuleSet([rule(n) for n in ("BruteForce", "RapidFire", "AccessDeniedFlood", "MultiVector")])
+
+
 @query("detect_incremental")
 def _(s, d):
-    """The second half of January with the first half's alerts as history."""
-    e, half = ev(s, d), F.lit("2024-01-16 00:00:00").cast("timestamp")
-    few = RuleSet([rule(n) for n in ("BruteForce", "RapidFire", "AccessDeniedFlood", "MultiVector")])
-    old = detect.alert_history(detect.detect(e.where(F.col("timestamp") < half), few))
-    return detect.detect(e.where(F.col("timestamp") >= half), few, old).select("seq", "ip", "severity", "trigger_rule")
+    return half_january(s, d, COUNTING).select("seq", "ip", "severity", "trigger_rule")
 
 
 @query("rule_catalog")
@@ -453,23 +460,23 @@ def _(s, d):
 @query("parse_netfilter", f"""WITH {EV} SELECT seq, ip, dst_ip, CAST(port AS BIGINT) AS port, event_type, direction, epoch_us(date_trunc('second', "timestamp")) AS us FROM ev WHERE dst_ip IS NOT NULL""")
 def _(s, d):
     block, inward = F.col("event_type") == "firewall_block", F.col("direction") == "inbound"
-    text = F.concat(F.date_format("timestamp", "MMM d HH:mm:ss"), F.when(block, " gw kernel: [UFW BLOCK] ").otherwise(" gw kernel: nft-accept: "), F.when(inward, "IN=eth0 OUT=").otherwise("IN= OUT=eth0"), F.lit(" SRC="), "ip", F.lit(" DST="), "dst_ip", F.lit(" LEN=60 PROTO=TCP SPT=40000 DPT="), F.col("port").cast("string"))
+    text = F.concat(F.date_format("timestamp", "MMM d HH:mm:ss"), F.when(block, " edge7 kernel: lan-drop: ").otherwise(" edge7 kernel: lan-accept: "), F.when(inward, "IN=wan3 OUT=").otherwise("IN= OUT=wan3"), F.lit(" SRC="), "ip", F.lit(" DST="), "dst_ip", F.lit(" LEN=88 PROTO=TCP SPT=51515 DPT="), F.col("port").cast("string"))
     rows = network.parse_netfilter(ev(s, d).where("dst_ip IS NOT NULL").select("seq", text.alias("value")), F.lit("2024-02-01 00:00:00").cast("timestamp"))
     return rows.select("seq", "ip", "dst_ip", F.col("port").cast("long").alias("port"), "event_type", "direction", _us())
 
 
 @query("parse_windows_firewall", f"""WITH {EV} SELECT seq, ip, dst_ip, CAST(port AS BIGINT) AS port, event_type, direction FROM ev WHERE dst_ip IS NOT NULL""")
 def _(s, d):
-    text = F.concat(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_type") == "firewall_block", " DROP TCP ").otherwise(" ALLOW TCP "), "ip", F.lit(" "), "dst_ip", F.lit(" 40000 "), F.col("port").cast("string"), F.lit(" 52 S 1 0 64240 - - - "), F.when(F.col("direction") == "inbound", "RECEIVE 4").otherwise("SEND 4"))
+    text = F.concat(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_type") == "firewall_block", " DROP TCP ").otherwise(" ALLOW TCP "), "ip", F.lit(" "), "dst_ip", F.lit(" 51515 "), F.col("port").cast("string"), F.lit(" 88 A 7 9 1024 - - - "), F.when(F.col("direction") == "inbound", "RECEIVE 31").otherwise("SEND 31"))
     rows = ev(s, d).where("dst_ip IS NOT NULL").select("seq", "ip", F.concat(F.lit("f"), "ip").alias("file"), F.col("seq").alias("line_no"), text.alias("value")).drop("ip")
     return network.parse_windows_firewall(rows).select("seq", "ip", "dst_ip", F.col("port").cast("long").alias("port"), "event_type", "direction")
 
 
 _DNS_LINES = {
     "dnsmasq": lambda: F.concat(F.date_format("timestamp", "MMM d HH:mm:ss"), F.lit(" dnsmasq[12]: query[A] "), F.upper("domain"), F.lit(" from "), "ip"),
-    "bind": lambda: F.concat(F.date_format("timestamp", "dd-MMM-yyyy HH:mm:ss.SSS"), F.lit(" client "), "ip", F.lit("#1053 ("), "domain", F.lit("): view internal: query: "), "domain", F.lit(" IN A + (10.0.0.1)")),
-    "unbound": lambda: F.concat(F.lit("["), F.unix_seconds("timestamp").cast("string"), F.lit("] unbound[1234:0] info: "), "ip", F.lit(" "), "domain", F.lit(". A IN")),
-    "coredns": lambda: F.concat(F.lit("[INFO] "), "ip", F.lit(':41237 - 36502 "A IN '), "domain", F.lit('. udp 40 false 1232" NOERROR')),
+    "bind": lambda: F.concat(F.date_format("timestamp", "dd-MMM-yyyy HH:mm:ss.SSS"), F.lit(" client "), "ip", F.lit("#55001 ("), "domain", F.lit("): view staff: query: "), "domain", F.lit(" IN A + (192.0.2.53)")),
+    "unbound": lambda: F.concat(F.lit("["), F.unix_seconds("timestamp").cast("string"), F.lit("] unbound[77:2] info: "), "ip", F.lit(" "), "domain", F.lit(". A IN")),
+    "coredns": lambda: F.concat(F.lit("[INFO] "), "ip", F.lit(':50111 - 204 "A IN '), "domain", F.lit('. udp 40 false 1232" NOERROR')),
 }
 for _name in _DNS_LINES:
     _time = {"bind": "date_trunc('millisecond', \"timestamp\")", "coredns": "NULL::TIMESTAMP"}.get(_name, "date_trunc('second', \"timestamp\")")

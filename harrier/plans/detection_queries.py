@@ -127,6 +127,24 @@ def alerts_sql(rs: RuleSet) -> str:
     coalesce(string_agg(CASE WHEN p > 1 THEN rule END, ', ' ORDER BY place), '') AS related FROM best GROUP BY seq, ip)"""
 
 
+def several_sql(rs: RuleSet) -> str:
+    """Table expressions up to `j` (ip, seq, and for each correlation its count and whether it was kept): events with firings, one after the other for all addresses at once."""
+    plain, links = [r for r in rs.order() if r.kind != "correlation"], [r for r in rs.order() if r.kind == "correlation"]
+    names = [r.name for r in plain + links]
+    head = alerts_sql(RuleSet(plain, rs.default_cooldown)).split(",\n  stay AS")[0]
+    flag = lambda t: "[" + ", ".join(f"bool_or({t} AND fk.rule = '{n}')" for n in names) + "]"
+    live = lambda i, r: f"len(list_filter(range(1, {len(names) + 1}), lambda x: x <> {i} AND (e.fired[x] OR coalesce(j.last[x] > e.us - {micros(r.window)}, false))))"
+    hits = {f"n{i}": live(len(plain) + 1 + i, r) for i, r in enumerate(links)}
+    keep = {f"k{i}": f"({hits[f'n{i}']} >= {r.threshold} AND NOT coalesce(j.last[{len(plain) + 1 + i}] > e.us - {rs.cooldown(r)}, false))" for i, r in enumerate(links)}
+    last = [f"CASE WHEN e.kept[{i + 1}] THEN e.us ELSE j.last[{i + 1}] END" for i in range(len(plain))]
+    last += [f"CASE WHEN {keep[f'k{i}']} THEN e.us ELSE j.last[{len(plain) + 1 + i}] END" for i in range(len(links))]
+    return head + f""",
+  e AS MATERIALIZED (SELECT fk.ip, fk.seq, fk.us, {flag("true")} AS fired, {flag("kept.k IS NOT NULL")} AS kept, row_number() OVER (PARTITION BY fk.ip ORDER BY fk.us, fk.seq) AS step
+    FROM fk LEFT JOIN kept USING (ip, rule, k) GROUP BY fk.ip, fk.seq, fk.us),
+  j AS (SELECT DISTINCT ip, 0::BIGINT AS step, NULL::BIGINT AS seq, [NULL::BIGINT FOR x IN range({len(names)})] AS last, {", ".join(f"0::BIGINT AS n{i}, false AS k{i}" for i in range(len(links)))} FROM e
+    UNION ALL SELECT e.ip, e.step, e.seq, [{", ".join(last)}], {", ".join(f"{hits[f'n{i}']}, {keep[f'k{i}']}" for i in range(len(links)))} FROM j JOIN e ON e.ip = j.ip AND e.step = j.step + 1)"""
+
+
 def _plain() -> list[Rule]:
     return [r for r in rules().active if r.kind != "correlation"]
 
@@ -174,6 +192,30 @@ def _(s, d):
     return got.select("seq", "ip", "trigger_rule", F.array_join("related_rules", ", ").alias("related"))
 
 
+_HALF = "JOIN (SELECT seq, \"timestamp\" FROM ev) USING (seq) WHERE \"timestamp\" >= TIMESTAMP '2024-01-16 00:00:00'"
+catalog.ORACLES["detect_incremental"] = f"WITH RECURSIVE {EV}, {alerts_sql(catalog.COUNTING)} SELECT seq, ip, severity, trigger_rule FROM alerts {_HALF}"
+
+
+@query("detect_since_all_rules", f"WITH RECURSIVE {EV}, {alerts_sql(rules())} SELECT seq, ip, trigger_rule, event_count, related FROM alerts {_HALF}")
+def _(s, d):
+    """All rules: what the second half of January gives from a halo of stored events and from stored alerts is what the whole gives."""
+    return catalog.half_january(s, d, rules()).select("seq", "ip", "trigger_rule", F.col("event_count").cast("long").alias("event_count"), F.array_join("related_rules", ", ").alias("related"))
+
+
+#: Correlations that see each other: the second counts what the first has kept, and the first the third.
+_SEVERAL = RuleSet([*rules().active, *load_rules({"rules": [
+    {"name": "Escalation", "kind": "correlation", "severity": "critical", "description": "Escalation", "threshold": 5, "window": "6d", "cooldown": "2d"},
+    {"name": "Persistence", "kind": "correlation", "severity": "high", "description": "Persistence", "threshold": 6, "window": "12d", "cooldown": "5d"},
+]}).rules], rules().default_cooldown)
+_NAMES = [r.name for r in _SEVERAL.order() if r.kind == "correlation"]
+
+
+@query("detect_several_correlations", f"WITH RECURSIVE {EV}, {several_sql(_SEVERAL)} " + " UNION ALL ".join(f"SELECT ip, seq, '{n}' AS rule, n{i} AS n, k{i} AS kept FROM j WHERE step > 0 AND n{i} >= {next(r.threshold for r in _SEVERAL.active if r.name == n)}" for i, n in enumerate(_NAMES)))
+def _(s, d):
+    found = detect.judged(ev(s, d), _SEVERAL).where(F.col("rule").isin(_NAMES))
+    return found.select("ip", "seq", "rule", F.col("count").cast("long").alias("n"), "kept")
+
+
 # --- signatures over the real texts of pages and documents ----------------------------------------
 
 
@@ -273,6 +315,14 @@ def _(s, d):
     return access.parse_access_log(ev(s, d).where("path IS NOT NULL").select("seq", line.alias("value")), "traefik").select("seq", "ip", "path", F.col("status_code").cast("long").alias("status"), F.unix_micros("timestamp").alias("us"))
 
 
+@query("parse_short_requests", f"WITH {EV} SELECT seq, path, 'PUT' AS method FROM ev WHERE path IS NOT NULL")
+def _(s, d):
+    """A request without a protocol still has a method and a path."""
+    text = F.concat("ip", F.lit(' - - [07/Mar/2024:09:08:07 +0000] "PUT '), "path", F.lit('" 204 0'))
+    rows = access.parse_access_log(ev(s, d).where("path IS NOT NULL").select("seq", text.alias("value")))
+    return rows.select("seq", "path", F.try_element_at("metadata", F.lit("method")).alias("method"))
+
+
 @query("unescape_paths", f"""WITH {EV} SELECT seq, path || '"\\é<' AS path FROM ev WHERE path IS NOT NULL""")
 def _(s, d):
     coded = F.concat(F.replace("path", F.lit("<"), F.lit("\\x3c")), F.lit('\\"\\\\\\xC3\\xa9\\x3C'))
@@ -300,9 +350,9 @@ def _(s, d):
 def _(s, d):
     """Every file names its columns in an order of its own."""
     rows = ev(s, d).where("dst_ip IS NOT NULL")
-    line = F.concat(F.lit("2024-01-05 00:00:01 ALLOW UDP "), "dst_ip", F.lit(" "), "ip", F.lit(" "), F.col("port").cast("string"), F.lit(" 5353 "), F.when(F.col("direction") == "inbound", "RECEIVE").otherwise("SEND"))
+    line = F.concat(F.lit("2024-01-05 00:00:01 ALLOW UDP "), "dst_ip", F.lit(" "), "ip", F.lit(" "), F.col("port").cast("string"), F.lit(" 5353 "), F.when(F.col("direction") == "inbound", "receive").otherwise("Send"))
     text = rows.select("seq", F.concat(F.lit("f"), (F.col("seq") % 50).cast("string")).alias("file"), (F.col("seq") + 10).alias("line_no"), line.alias("value"))
-    heads = text.select(F.lit(-1).cast("long").alias("seq"), "file", F.lit(1).cast("long").alias("line_no"), F.lit("#Fields: date time action protocol dst-ip src-ip dst-port src-port path").alias("value")).distinct()
+    heads = text.select(F.lit(-1).cast("long").alias("seq"), "file", F.lit(1).cast("long").alias("line_no"), F.lit("#Fields: Date Time Action Protocol DST-IP src-ip dst-port src-port Path").alias("value")).distinct()
     return network.parse_windows_firewall(text.unionByName(heads)).where("seq >= 0").select("seq", "ip", "dst_ip", F.col("port").cast("long").alias("port"), "direction")
 
 
@@ -324,14 +374,14 @@ def _(s, d):
     return lines.keep_only(ev(s, d), ["dns_query", "http_request"], ("domain",)).select("seq")
 
 
-@query("canonical_addresses", f"""WITH {EV} SELECT seq, CASE seq % 5 WHEN 0 THEN '2001:db8::' || lower(to_hex(seq + 1)) WHEN 1 THEN ip WHEN 2 THEN NULL WHEN 3 THEN 'fe80::1:0:0:' || lower(to_hex(seq % 60000 + 1)) ELSE '2001:db8:0:1:1:1:1:' || lower(to_hex(seq % 60000 + 1)) END AS ip FROM ev WHERE seq < 60000""")
+@query("canonical_addresses", f"""WITH {EV} SELECT seq, CASE seq % 5 WHEN 0 THEN '2001:db8::' || lower(to_hex(seq % 60000 + 1)) WHEN 1 THEN ip WHEN 2 THEN NULL WHEN 3 THEN 'fe80::1:0:0:' || lower(to_hex(seq % 60000 + 1)) ELSE '2001:db8:0:1:1:1:1:' || lower(to_hex(seq % 60000 + 1)) END AS ip FROM ev""")
 def _(s, d):
     from harrier.functions.fields import client_ip
 
-    h, k = F.lower(F.hex("seq")), F.col("seq") % 5
+    h, k = F.lower(F.hex(F.col("seq") % 60000)), F.col("seq") % 5
     odd = F.hex(F.col("seq") % 60000 + 1)
-    text = F.when(k == 0, F.concat(F.lit("2001:0DB8:0:0:0::"), F.lpad(F.hex(F.col("seq") + 1), 4, "0"))).when(k == 1, F.concat(F.lit("[::FFFF:"), "ip", F.lit("]:443"))).when(k == 2, F.concat(F.lit("2001:db8:1:"), h)).when(k == 3, F.concat(F.lit("FE80:0:0:0:1:0:0:"), odd, F.lit("%eth0"))).otherwise(F.concat(F.lit("2001:db8:0:1:1:1:1:"), odd))
-    return ev(s, d).where("seq < 60000").select("seq", client_ip(text).alias("ip"))
+    text = F.when(k == 0, F.concat(F.lit("2001:0DB8:0:0:0::"), F.lpad(odd, 4, "0"))).when(k == 1, F.concat(F.lit("[::FFFF:"), "ip", F.lit("]:443"))).when(k == 2, F.concat(F.lit("2001:db8:1:"), h)).when(k == 3, F.concat(F.lit("FE80:0:0:0:1:0:0:"), odd, F.lit("%eth0"))).otherwise(F.concat(F.lit("2001:db8:0:1:1:1:1:"), odd))
+    return ev(s, d).select("seq", client_ip(text).alias("ip"))
 
 
 @query("base_domains", f"""WITH {EV}, n AS (SELECT seq, 'h' || seq || '.' || ['shop.co.uk', 'dept.go.jp', 'site.ne.jp', 'a.b.example.org', 'x.gob.mx', 'corp.com.au', 'in-addr.arpa'][seq % 7 + 1] AS name FROM ev)

@@ -67,7 +67,7 @@ def parse_access_log(lines: DataFrame, preset: str = "combined", fields: dict[st
         rows = rows.withColumn("__p", F.when(F.col("value").rlike(COMBINED), F.split(F.regexp_replace("value", COMBINED + "(?s:.*)$", "\0".join(f"${i}" for i in (1, 2, 3, 4, 5, 7, 8))), "\0")))
         got = lambda i: F.nullif(F.get("__p", F.lit(i)), F.lit(""))
         rows = rows.withColumn("__words", F.split(unescape(got(3)), " ", 3))
-        words, whole = F.col("__words"), F.size("__words") == 3
+        words, whole = F.col("__words"), F.size("__words") >= 2  # the protocol may be missing
         r = {"ip": got(0), "user": got(1), "time": got(2), "method": F.when(whole, words[0]), "path": F.when(whole, words[1]), "status": got(4), "referer": unescape(got(5)), "user_agent": unescape(got(6)), "host": F.lit(None).cast("string")}
         return _to_event(rows, r, source, F.col("__p").isNull()).drop("__p", "__words")
     places = PRESETS[preset] | (fields or {})

@@ -26,11 +26,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return usable(rows)
 
 
-def stream_lines(spark: SparkSession, path: str, from_start: bool = True) -> DataFrame:
-    """New files of a folder as they come; a checkpoint remembers those read. Without from_start, files from before the call are passed over."""
+def stream_lines(spark: SparkSession, path: str, from_start: bool = True, since: datetime | None = None) -> DataFrame:
+    """New files of a folder as they come; a checkpoint remembers those read.
+
+    Without from_start, files last changed before `since` are passed over; the default is the time of the call. A
+    job that is to be restarted gives the time of its first start, else what came in between is passed over.
+    """
     rows = spark.readStream.text(path)
     if not from_start:
-        rows = rows.where(F.col("_metadata.file_modification_time") >= F.lit(datetime.now(timezone.utc)))
+        rows = rows.where(F.col("_metadata.file_modification_time") >= F.lit(since or datetime.now(timezone.utc)))
     return usable(rows)
 
 

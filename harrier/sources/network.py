@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrier.functions.fields import in_cidr, ip_hex
 from harrier.schema import EVENT_DDL
 from harrier.sources.lines import metadata, part, syslog_time, usable
 
+#: Lines of a block where lines are numbered through their file.
+BLOCK = 100_000
+
 
 def _firewall_event(rows: DataFrame, r: dict[str, Column], outcome: Column, source: str) -> DataFrame:
     side = lambda ip, port: F.concat(F.when(ip.contains(":") & port.isNotNull(), F.concat(F.lit("["), ip, F.lit("]"))).otherwise(ip), F.coalesce(F.concat(F.lit(":"), port), F.lit("")))
@@ -58,12 +62,29 @@ def parse_netfilter(lines: DataFrame, now: Column, default_action: str = "block"
 WINDOWS_FIELDS = "date time action protocol src-ip dst-ip src-port dst-port size tcpflags tcpsyn tcpack tcpwin icmptype icmpcode info path pid"
 
 
+def _with_header(lines: DataFrame) -> DataFrame:
+    """Each line with `__names`, what the latest header of its file before it says.
+
+    A file is cut into blocks (the parts that tasks read, or BLOCK lines): a header is carried within its block, and the
+    last one of each block from block to block, a row each. So a file is many tasks.
+    """
+    header = F.when(F.col("value").startswith("#Fields:"), F.lower(F.trim(F.substring("value", 9, 10_000))))
+    numbered = isinstance(lines.schema["line_no"].dataType, T.StructType)
+    block = F.col("line_no.start") if numbered else F.floor(F.col("line_no") / BLOCK)
+    rows = lines.withColumns({"__block": block, "__header": header})
+    own = Window.partitionBy("file", "__block").orderBy("line_no")
+    before = Window.partitionBy("h_file").orderBy("h_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(F.col("file").alias("h_file"), F.col("__block").alias("h_block")).agg(F.max_by("__header", F.when(F.col("__header").isNotNull(), F.col("line_no"))).alias("last"))
+    carried = ends.withColumn("carried", F.last("last", ignorenulls=True).over(before)).drop("last")
+    rows = rows.withColumn("__own", F.last("__header", ignorenulls=True).over(own))
+    rows = rows.join(carried, (F.col("file") == F.col("h_file")) & (F.col("__block") == F.col("h_block")), "left")
+    return rows.withColumn("__names", F.coalesce("__own", "carried", F.lit(WINDOWS_FIELDS))).drop("__block", "__header", "__own", "h_file", "h_block", "carried")
+
+
 def parse_windows_firewall(lines: DataFrame, zone: str = "UTC", source: str = "firewall") -> DataFrame:
-    """Rows (file, line_no, value): columns as the latest #Fields header of the file says; DROP and ALLOW only."""
+    """Rows (file, line_no, value): columns as the latest #Fields header of the file says, in any case; DROP and ALLOW only."""
     clean = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
-    header = F.when(F.col("value").startswith("#Fields:"), F.trim(F.substring("value", 9, 10_000)))
-    order = Window.partitionBy("file").orderBy("line_no")
-    rows = clean.withColumn("__names", F.coalesce(F.last(header, ignorenulls=True).over(order), F.lit(WINDOWS_FIELDS)))
+    rows = _with_header(clean)
     rows = usable(rows).where(~F.col("value").startswith("#"))
     names, values = F.split("__names", r"\s+"), F.split(F.trim("value"), r"\s+")
 
@@ -73,7 +94,8 @@ def parse_windows_firewall(lines: DataFrame, zone: str = "UTC", source: str = "f
         return F.when(~got.isin("-", ""), got)
 
     action = F.when(F.upper(key("action")) == "DROP", "block").when(F.upper(key("action")) == "ALLOW", "allow")
-    direction = F.when(key("path") == "RECEIVE", "inbound").when(key("path") == "SEND", "outbound").when(key("path") == "FORWARD", "forward")
+    way = F.upper(key("path"))
+    direction = F.when(way == "RECEIVE", "inbound").when(way == "SEND", "outbound").when(way == "FORWARD", "forward")
     time = F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", key("date"), key("time")), F.lit("yyyy-MM-dd HH:mm:ss")), zone)
     r = {"time": time, "src": key("src-ip"), "dst": key("dst-ip"), "sport": key("src-port"), "dport": key("dst-port"), "proto": key("protocol"), "direction": direction, "action": action, "more": {"pid": key("pid"), "tcp_flags": key("tcpflags")}}
     outcome = F.when(action.isNull(), "skipped").when(key("src-ip").isNull() | time.isNull(), "parse_error").otherwise("parsed")

@@ -8,7 +8,7 @@ too low, never wrongly rejected; state that no window can reach any more is drop
 from __future__ import annotations
 
 import pickle
-from bisect import insort
+from bisect import bisect_right, insort
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -55,8 +55,8 @@ class _Seen:
         if rows and at < rows[-1][0]:
             insort(rows, (at, value))
             self.values[value] += 1
-            live = [v for t, v in rows if at - window < t <= at]
-            return len(set(live)) if distinct else len(live)
+            first, last = bisect_right(rows, at - window, key=lambda r: r[0]), bisect_right(rows, at, key=lambda r: r[0])
+            return len({rows[i][1] for i in range(first, last)}) if distinct else last - first
         rows.append((at, value))
         self.values[value] += 1
         while rows[0][0] <= at - window:
@@ -121,10 +121,10 @@ def _judge(plan: list[dict], horizon: int):
                         fired[r["name"]] = (r, n)
                 elif r["kind"] == "beacon" and groups[i] is not None and address.contact(r, groups[i], at):
                     fired[r["name"]] = (r, r["threshold"])
+            now = set(fired)  # correlations see rules that fire now, and what all, other correlations too, kept before
             for r in plan:
-                if r["kind"] == "correlation" and fired:
-                    seen = set(fired) | {k for k, t in address.kept.items() if t > at - r["window"] and k not in {p["name"] for p in plan if p["kind"] == "correlation"}}
-                    seen -= {p["name"] for p in plan if p["kind"] == "correlation"}
+                if r["kind"] == "correlation" and now:
+                    seen = (now | {k for k, t in address.kept.items() if t > at - r["window"]}) - {r["name"]}
                     if len(seen) >= r["threshold"]:
                         fired[r["name"]] = (r, len(seen))
             kept = [(r, n) for r, n in fired.values() if not (r["cooldown"] and address.kept.get(r["name"], at - r["cooldown"]) > at - r["cooldown"])]

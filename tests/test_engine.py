@@ -43,14 +43,15 @@ def table(spark, rows):
     return spark.createDataFrame([tuple(r.get(n) for n in NAMES) for r in rows], EVENT_DDL)
 
 
-def replay(rows):
+def replay(rows, rules=RULES):
     """(seq, rule, count, severity, related) of each alert, one event after the other."""
-    order = {r["name"]: i for i, r in enumerate(RULES["rules"])}
+    order = {r["name"]: i for i, r in enumerate(rules["rules"])}
+    links = [r for r in rules["rules"] if r["kind"] == "correlation"]
     seen, contacts, kept, out = defaultdict(list), defaultdict(list), defaultdict(dict), []
     for e in sorted(rows, key=lambda r: (r["timestamp"], r["seq"])):
         now, ip, fired = e["timestamp"], e["ip"], {}
         ago = lambda t: (now - t) // timedelta(microseconds=1)  # noqa: E731,B023
-        for r in RULES["rules"]:
+        for r in rules["rules"]:
             if r.get("when") and e["event_type"] not in r["when"]["event_types"]:
                 continue
             if r["name"] == "Word" and ("zebra" in (e["path"] or "").replace("%7A", "z") or "quagga" in (e["message"] or "").lower()):
@@ -73,17 +74,18 @@ def replay(rows):
                     gaps = [(b - a).total_seconds() for a, b in zip(last, last[1:], strict=False)]
                     if len(last) == r["threshold"] and ago(last[0]) < micros(r["window"]) and fmean(gaps) >= 10 and pstdev(gaps) / fmean(gaps) <= r["max_jitter"]:
                         fired["Steady"] = r["threshold"]
-        if fired:
-            live = {*fired, *(k for k, t in kept[ip].items() if k != "Several" and ago(t) < micros("45s"))}
-            if len(live) >= 3:
-                fired["Several"] = len(live)
-        stay = [n for n in fired if not (c := micros(RULES["rules"][order[n]].get("cooldown", "20s"))) or n not in kept[ip] or ago(kept[ip][n]) >= c]
+        plain = {*fired}
+        for r in links if fired else ():
+            live = (plain | {k for k, t in kept[ip].items() if ago(t) < micros(r["window"])}) - {r["name"]}
+            if len(live) >= r["threshold"]:
+                fired[r["name"]] = len(live)
+        stay = [n for n in fired if not (c := micros(rules["rules"][order[n]].get("cooldown", "20s"))) or n not in kept[ip] or ago(kept[ip][n]) >= c]
         for n in stay:
             kept[ip][n] = now
         if stay:
-            rank = lambda n: (-SEVERITIES.index(RULES["rules"][order[n]]["severity"]), order[n])
+            rank = lambda n: (-SEVERITIES.index(rules["rules"][order[n]]["severity"]), order[n])
             top = min(stay, key=rank)
-            out.append((e["seq"], top, fired[top], RULES["rules"][order[top]]["severity"], tuple(sorted((n for n in stay if n != top), key=order.get))))
+            out.append((e["seq"], top, fired[top], rules["rules"][order[top]]["severity"], tuple(sorted((n for n in stay if n != top), key=order.get))))
     return sorted(out)
 
 
@@ -98,6 +100,43 @@ def test_alerts_as_replayed(spark, seed):
     assert got == replay(rows) and {a[1] for a in got} >= {"Several", "Names", "Pattern"}
 
 
+def correlated(n):
+    """The rules with n correlations more, each of which one of the others' alerts may complete."""
+    more = [{"name": f"Chain{i}", "kind": "correlation", "severity": "high", "description": "Chain", "threshold": 4 + i, "window": f"{60 + 40 * i}s", "cooldown": f"{25 + 10 * i}s"} for i in range(n)]
+    return {**RULES, "rules": RULES["rules"] + more}
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_several_correlations_as_replayed(spark, n):
+    rows, rules = made(20 + n), correlated(n)
+    got = found(detect.detect(table(spark, rows), load_rules(rules)))
+    assert got == replay(rows, rules) and any("Chain0" in (a[1], *a[4]) for a in got)
+
+
+@pytest.mark.parametrize("second", [300, 900, 1500, 2100])
+def test_any_cut_gives_the_whole(spark, second):
+    """All rules, three correlations among them: a halo of events and the alerts stored before a time give what the whole gives after it."""
+    rules, rows = load_rules(correlated(2)), made(30)
+    whole, cut = table(spark, rows), F.lit(T0 + timedelta(seconds=second)).cast("timestamp")
+    every = detect.detect(whole, rules)
+    old, new = every.where(F.col("timestamp") < cut), detect.detect_since(whole, every, rules, cut)
+    assert sorted(found(old) + found(new)) == found(every) and new.count() > 0
+
+
+def test_stored_days_before_the_halo_are_not_read(spark, tmp_path):
+    from harrier.operators import report
+
+    rows = [{"seq": i, "timestamp": T0 + timedelta(hours=i), "ip": "192.0.2.1", "event_type": "http_request", "path": "/zebra"} for i in range(240)]
+    report.write_events(table(spark, rows), str(tmp_path / "events"))
+    stored = spark.read.parquet(str(tmp_path / "events"))
+    rules, cut = load_rules(RULES), F.lit(T0 + timedelta(days=9)).cast("timestamp")
+    got = detect.detect_since(stored, detect.detect(stored, rules), rules, cut)
+    assert got.count() == 24
+    plan = detect._from(stored, cut, detect.halo(rules))._jdf.queryExecution().executedPlan()
+    read = plan.collectLeaves().head().selectedPartitions() if hasattr(plan, "collectLeaves") else None
+    assert "PartitionFilters: [isnotnull(event_date" in plan.toString() and read is not None
+
+
 def test_reasons(spark):
     got = detect.detect(table(spark, made(4)), load_rules(RULES)).where("trigger_rule = 'Many'").collect()
     assert got and all(r["reason"] == f"{r['event_count']} from {r['ip']} in 30s" for r in got)

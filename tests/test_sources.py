@@ -106,3 +106,31 @@ def test_snapshots(spark):
     df = spark.createDataFrame(rows, "host string, snapshot_ts timestamp, proto string, local_ip string, local_port int, remote_ip string, remote_port int, state string, pid int, process string, uid string")
     got = sorted((r["timestamp"].minute, r["event_type"], r["direction"] or "", r["port"]) for r in network.connection_events(df).collect())
     assert got == [(1, "network_connection", "inbound", 443), (1, "network_connection", "outbound", 4444), (3, "port_opened", "", 31337), (4, "network_connection", "outbound", 4444)]
+
+
+def test_headers_over_blocks_of_a_file(spark, monkeypatch):
+    """Against carrying the header line by line, in files cut into many blocks; names and values in any case."""
+    import random
+
+    monkeypatch.setattr(network, "BLOCK", 7)
+    rng, rows, expect = random.Random(3), [], {}
+    layouts = [network.WINDOWS_FIELDS, "Date Time Action SRC-IP Dst-Ip Protocol path", "time date src-ip action dst-ip"]
+    for f in range(3):
+        names = layouts[0].split()
+        for n in range(60):
+            if rng.random() < 0.1 or (f == 2 and n in (20, 21)):
+                k = rng.randrange(3)
+                names = layouts[k].lower().split()
+                rows.append((f"f{f}", n, ("\ufeff" if rng.random() < 0.5 else "") + "#Fields: " + layouts[k]))
+                continue
+            value = {"date": "2024-05-06", "time": "07:08:09", "action": rng.choice(["DROP", "allow"]), "protocol": "UDP", "src-ip": f"192.0.2.{n}", "dst-ip": f"198.51.100.{f}", "path": rng.choice(["receive", "SEND", "Forward"])}
+            rows.append((f"f{f}", n, " ".join(value.get(x, "-") for x in names)))
+            expect[f"f{f}", n] = (f"192.0.2.{n}", f"198.51.100.{f}", {"receive": "inbound", "SEND": "outbound", "Forward": "forward"}[value["path"]] if "path" in names else None)
+    got = network.parse_windows_firewall(spark.createDataFrame(rows, "file string, line_no long, value string")).collect()
+    assert {(r["file"], r["line_no"]): (r["ip"], r["dst_ip"], r["direction"]) for r in got} == expect and {r["outcome"] for r in got} == {"parsed"}
+
+
+def test_requests_of_two_words(spark):
+    lines_ = ['192.0.2.4 - - [07/Mar/2024:09:08:07 +0000] "GET /only" 200 1', '192.0.2.4 - - [07/Mar/2024:09:08:07 +0000] "-" 400 0']
+    got = access.parse_access_log(spark.createDataFrame([(x,) for x in lines_], "value string")).collect()
+    assert [(r["path"], r["metadata"].get("method")) for r in got] == [("/only", "GET"), (None, None)]

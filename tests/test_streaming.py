@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from test_engine import RULES, found, made, table
+from test_engine import RULES, correlated, found, made, replay, table
 
 from harrier.operators import detect
 from harrier.plans.rules import load_rules, register_rule_kind
@@ -40,6 +40,14 @@ def test_several_batches_equal_the_whole(spark, tmp_path):
     assert found(got) == found(detect.detect(every, load_rules(RULES)))
 
 
+def test_several_correlations_on_a_stream(spark, tmp_path):
+    rows, rules = made(23, 120), correlated(2)
+    every = table(spark, rows)
+    parts = [every.where(F.col("seq").between(k, k + 59)) for k in (0, 60)]
+    got = run(jobs.stream_detect(stream(spark, tmp_path, parts, EVENT_DDL), load_rules(rules), "1 hour"), tmp_path, "correlated")
+    assert found(got) == replay(rows, rules)
+
+
 def test_late_rows_count_in_their_place(spark, tmp_path):
     at = lambda seq, second: {"seq": seq, "timestamp": T0 + timedelta(seconds=second), "ip": "192.0.2.1", "event_type": "http_request"}
     some = load_rules({"default_cooldown": "0s", "rules": [{"name": "Many", "kind": "threshold", "severity": "low", "threshold": 4, "window": "30s"}]})
