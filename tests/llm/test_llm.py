@@ -589,8 +589,34 @@ def test_attention_helps(corpus):
 
 
 def test_language_model_in_any_order(spark, corpus):
-    key = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in lm.op1_lm(df).collect())
-    assert key(corpus[0]) == key(corpus[0].orderBy(F.desc("doc_id")).repartition(3))
+    """Scores too, to a millionth, however the rows lie; and workers that have scored before don't matter."""
+    key = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in lm.op1_lm(df).collect())
+    first = key(corpus[0])
+    for other in (corpus[0].orderBy(F.desc("doc_id")).repartition(3), corpus[0].repartition(7, "source"), corpus[0].coalesce(1), corpus[0].repartition(12, "doc_id")):
+        got = key(other)
+        assert [r[:2] for r in got] == [r[:2] for r in first]
+        assert all(abs(x - y) <= 1e-6 * max(1, abs(y)) for a, b in zip(got, first, strict=True) for x, y in zip(a[2:], b[2:], strict=True))
+
+
+def test_words_and_shares_mixed():
+    """Words' probabilities from ids', and their mixture with shares, against plain loops."""
+    rng = np.random.default_rng(5)
+    lens, bounds = rng.integers(1, 5, 12), np.array([0, 4, 4, 12])
+    logs = -rng.random(int(lens.sum()) + 3)
+    words_, ends = lm.by_word(logs, lens, bounds)
+    at, expect, last = 0, [], []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        for n in lens[a:b]:
+            expect.append(logs[at : at + n].sum())
+            at += n
+        last.append(logs[at])
+        at += 1
+    assert np.allclose(words_, expect) and np.allclose(ends, last)
+    shares = np.where(rng.random(12) < 0.5, 0, rng.random(12))
+    assert np.allclose(lm.mixed(words_, shares, 0.3), [math.log10(0.7 * 10**w + 0.3 * s) for w, s in zip(words_, shares, strict=True)])
+    best = lm.mixing_weight(words_, shares)
+    total = lambda w: lm.mixed(words_, shares, w).sum()
+    assert total(best) >= max(total(w) for w in np.linspace(0.01, 0.99, 99)) - 0.01
 
 
 def test_model_sums_to_one():
