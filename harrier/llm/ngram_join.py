@@ -11,7 +11,7 @@ shares most of them; what is left of long lists in several components is compare
 together. A pair is decided by the sets' segments: a segment holds what a set has in one fragment of the order; each pair's overlap is counted in each
 fragment by itself and summed over fragments. So no whole set meets another in one row, and a frequent
 n-gram, last in the order, brings nobody together. In blocks a task counts the overlaps of two blocks' sets, a part of
-their n-grams after the other, sums them, and sends on one link for two components.
+their n-grams after the other, sums them, and sends on as many links as connect the same components.
 
 Words are runs of non-blank characters, A-Z lower-cased; a set has the distinct runs of `size` words, or the whole
 sequence where it is shorter. Texts without a word, null ones too, have an empty set and link with nothing. Equal sets are one node.
@@ -244,7 +244,32 @@ def _blocks(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     group = group.join(whole, F.col("node") == F.col("id")).drop("id")
     group = group.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = group.select("head", F.least("own", "to").alias("low"), F.greatest("own", "to").alias("high"), "own", "node", "component", "items")
-    return group.groupBy("head", "low", "high").applyInArrow(_across(percent), "a long, b long")
+    return group.groupBy("head", "low", "high").applyInArrow(_forest(percent), "a long, b long")
+
+
+def _forest(percent: int):
+    across = _across(percent)
+
+    def run(rows: pa.Table) -> pa.Table:
+        """Of the links between two blocks as many as connect the same components: none that closes a circle."""
+        links = across(rows)
+        of = dict(zip(rows.column("node").to_pylist(), rows.column("component").to_pylist(), strict=True))
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        keep = []
+        for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True):
+            x, y = root(of[a]), root(of[b])
+            keep.append(x != y)
+            up[x] = y
+        return links.filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
