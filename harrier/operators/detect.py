@@ -154,9 +154,15 @@ def beacon(events: DataFrame, rule: Rule) -> DataFrame:
     return fired.select(*_firing(rule, F.lit(n), group=F.col("group"), interval_us=F.col("mean"), jitter=jitter))
 
 
+def spread(events: DataFrame) -> DataFrame:
+    """Events in as many parts as there are cores, where their source gives fewer (one compressed log, one row group); others stay as read."""
+    cores = events.sparkSession.sparkContext.defaultParallelism
+    return events if events.isStreaming or events.rdd.getNumPartitions() >= cores else events.repartition(cores, "seq")
+
+
 def firings(events: DataFrame, rules: RuleSet) -> DataFrame:
     """Firings of all rules but the correlations: a pass for all signatures, one for all thresholds, one for each other rule."""
-    found = []
+    found, events = [], spread(events)
     for kind, made in (("signature", signatures), ("threshold", thresholds)):
         if some := [r for r in rules.active if r.kind == kind]:
             found.append(made(events, some))
@@ -258,13 +264,15 @@ def to_alerts(first: DataFrame, events: DataFrame, rules: RuleSet) -> DataFrame:
     """Alerts with their reasons from prioritised firings and the events they belong to."""
     rows = first.withColumnsRenamed({"ip": "__ip", "timestamp": "__ts", "seq": "__seq"}).join(events, (F.col("__ip") == F.col("ip")) & (F.col("__seq") == F.col("seq")) & (F.col("__ts") == F.col("timestamp")))
     reason, kind, severity = F.lit(None).cast("string"), F.col("event_type"), F.lit(None).cast("string")
+    top = F.col("top")
+    # each value is built where a template names it
+    values = {"rule": top["rule"], "ip": F.col("ip"), "count": top["count"], "pattern": top["pattern"], "rules": top["pattern"], "field": top["field"], "group": top["group"], "interval": duration_column(top["interval_us"]), "jitter": F.concat(F.bround(top["jitter"] * 100).cast("int").cast("string"), F.lit("%"))}
     for r in rules.active:
-        top = F.col("top")
-        percent = F.concat(F.bround(top["jitter"] * 100).cast("int").cast("string"), F.lit("%"))
-        values = {"rule": F.lit(r.name), "description": F.lit(r.description), "ip": F.col("ip"), "count": top["count"], "pattern": top["pattern"], "rules": top["pattern"], "field": top["field"], "group": top["group"], "window": F.lit(duration_text(micros(r.window)) if r.window else ""), "threshold": F.lit(r.threshold), "distinct": F.lit(r.distinct), "interval": duration_column(top["interval_us"]), "jitter": percent}
+        own = {"description": r.description, "window": duration_text(micros(r.window)) if r.window else "", "threshold": r.threshold, "distinct": r.distinct}
         usual = {"signature": "{description}: {pattern} in {field} from {ip}", "correlation": "{description}: {count} rules for {ip} within {window} ({rules})"}.get(r.kind, "{description}: {count} from {ip} within {window}")
+        text = r.reason or usual
         mine = top["rule"] == r.name
-        reason = F.when(mine, render(r.reason or usual, values)).otherwise(reason)
+        reason = F.when(mine, render(text, values | {k: F.lit(v) for k, v in own.items() if "{" + k + "}" in text})).otherwise(reason)
         severity = F.when(mine, F.lit(r.severity)).otherwise(severity)
         if r.alert_type:
             kind = F.when(mine, F.lit(r.alert_type)).otherwise(kind)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field as default
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,13 +177,25 @@ def matches_signature(rule: Rule, variants: Callable[[str], Column] | None = Non
     variants: the decoded variants of a field, where they have been computed before for several rules.
     """
     # the patterns are tried inside a function over the variants, which are computed once and keep the generated code small
-    literal = F.array(*[F.lit(p) for p in rule.contains]) if rule.contains else None
     variants = variants or (lambda name: decoded_variants(field(name)))
+    original = {p.lower(): p for p in reversed([*rule.contains, *rule.paths]) if p != p.lower()}
+
+    def listed(patterns: list[str], test: Callable[[Column], Column]) -> Column:
+        """The first of these texts that passes; the list is one folded constant."""
+        hit = F.get(F.filter(F.split(F.lit("\0".join(p.lower() for p in patterns)), "\0"), test), F.lit(0))
+        return reduce(lambda c, p: F.when(hit == p, F.lit(original[p])).otherwise(c), [p for p in original if p in map(str.lower, patterns)], hit)
 
     def first(v: Column) -> Column:
-        tests = [] if literal is None else [F.get(F.filter(literal, lambda p: v.contains(F.lower(p))), F.lit(0))]
-        tests += [F.when(v.rlike("\\Q" + p.lower() + "\\E([/?#.;]|\\z)"), F.lit(p)) for p in rule.paths]
-        tests += [F.when(v.rlike(java_regex(p)), F.lit(p)) for p in rule.regex]
+        tests = []
+        if rule.contains:
+            tests.append(listed(rule.contains, lambda p: v.contains(p)))
+        if rule.paths:  # a regular expression only where the text is there at all
+            tests.append(listed(rule.paths, lambda p: v.contains(p) & F.rlike(v, F.concat(F.lit("\\Q"), p, F.lit("\\E([/?#.;]|\\z)")))))
+        single = [F.when(v.rlike(java_regex(p)), F.lit(p)) for p in rule.regex]
+        if len(single) > 1:  # all in one first, since most texts meet none
+            tests.append(F.when(v.rlike("|".join(f"(?:{java_regex(p)})" for p in rule.regex)), F.coalesce(*single)))
+        else:
+            tests += single
         return F.coalesce(*tests)
 
     def of(name: str) -> Column:
