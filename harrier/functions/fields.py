@@ -131,6 +131,13 @@ def in_cidr(hexed: Column, cidr: str) -> Column:
     return F.coalesce((F.length(hexed) == n) & hexed.between(low, high), F.lit(False))
 
 
+def network_key(hexed: Column, bits: Column) -> Column:
+    """The first bits of an address (as ip_hex gives it), with their number and the kind of address: equal for all addresses of a network."""
+    whole, rest = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    digit = F.coalesce(F.conv(F.substring(hexed, whole + 1, F.lit(1)), 16, 2), F.lit(""))
+    return F.concat_ws("/", F.length(hexed), bits, F.concat(F.substring(hexed, F.lit(1), whole), F.lit("-"), F.substring(F.lpad(digit, 4, "0"), F.lit(1), rest)))
+
+
 def base_domain(domain: Column) -> Column:
     """The registrable part: two labels, three below a country's usual second level."""
     labels = F.split(domain, r"\.")

@@ -134,6 +134,32 @@ def alerts_with_events(alerts: DataFrame, events: DataFrame, window: str | None
     return a.join(e, met & (F.col("event_time") > a["timestamp"] - span) & (F.col("event_time") <= a["timestamp"])).drop("e_ip", "e_cell", "__cell")
 
 
+def evidence_counts(alerts: DataFrame, events: DataFrame, window: str, span: int = 4) -> DataFrame:
+    """Each alert with `evidence`: how many events its address had in the window up to it, (t - window, t]; 0 where there are none.
+
+    No pairs are made: an event enters at its time and leaves a window later, an alert reads the running sum, in linear time.
+    An address's time is cut into chunks of `span` windows, each with the events of the window before it, so that a busy
+    address is many tasks. Rows without a time have no place: such events are not counted, such alerts get null. Addresses
+    that are null are one address.
+    """
+    w = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {window}"))
+    us, length = F.unix_micros("timestamp"), w * span
+    chunk = (us - F.pmod(us, length)) / length
+    names = alerts.columns
+    a = alerts.select(F.struct(*names).alias("a"), "ip", us.alias("at"), F.lit(2).alias("kind"), F.lit(0).alias("delta"), chunk.cast("long").alias("chunk"))
+    e = events.where("timestamp IS NOT NULL").select("ip", us.alias("us"), chunk.cast("long").alias("chunk"), w.alias("w"))
+    late = F.col("us") + F.col("w") > (F.col("chunk") + 1) * F.col("w") * span
+    e = e.withColumn("chunk", F.explode(F.when(late, F.array("chunk", F.col("chunk") + 1)).otherwise(F.array("chunk"))))
+    # events of one time of an address are one row
+    e = e.groupBy("ip", "chunk", "us", "w").agg(F.count("*").alias("n"))
+    step = lambda at, kind, delta: F.struct(at.alias("at"), F.lit(kind).alias("kind"), delta.cast("long").alias("delta"))
+    e = e.select("ip", "chunk", F.explode(F.array(step(F.col("us"), 1, F.col("n")), step(F.col("us") + F.col("w"), 0, -F.col("n")))).alias("s")).select("ip", "chunk", "s.*")
+    both = a.withColumn("delta", F.col("delta").cast("long")).unionByName(e, allowMissingColumns=True)
+    so_far = Window.partitionBy("ip", "chunk").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("evidence", F.sum("delta").over(so_far)).where("kind = 2")
+    return counted.select("a.*", F.when(F.col("at").isNotNull(), F.col("evidence")).alias("evidence"))
+
+
 def by_age(rows: DataFrame, now: Column, age: str | None) -> DataFrame:
     """Rows not older than `age`; one exactly that old stays."""
     return rows if age is None else rows.where(F.col("timestamp") >= now - F.expr(f"INTERVAL {age}"))

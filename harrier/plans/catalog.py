@@ -377,7 +377,7 @@ def _(s, d):
 
 @query("alert_evidence", f"""WITH {EV}, {_AL} SELECT al.seq, count(*) AS n FROM al JOIN ev ON al.ip = ev.ip AND ev."timestamp" > al."timestamp" - INTERVAL '1 day' AND ev."timestamp" <= al."timestamp" GROUP BY al.seq""")
 def _(s, d):
-    return report.alerts_with_events(al(s, d), ev(s, d), "1 day").groupBy("seq").agg(F.count("*").alias("n"))
+    return report.evidence_counts(al(s, d), ev(s, d), "1 day").select("seq", F.col("evidence").alias("n"))
 
 
 @query("union_sources", f"WITH {EV} SELECT event_type, count(*) AS count FROM ev WHERE event_type <> 'dns_query' GROUP BY 1")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.functions.fields import _NUMBERS, micros
-from harrier.operators import detect, normalize, report
+from harrier.operators import detect, networks, normalize, report
 from harrier.plans import catalog
 from harrier.plans.catalog import EV, al, ev, query, rule, rules
 from harrier.plans.rules import Rule, RuleSet, compile_filter, load_rules, register_rule_kind
@@ -457,3 +457,28 @@ def _(s, d):
 @query("listening_ports", f"""WITH {EV}, {_SOCK} SELECT a.host, epoch_us(a.day) AS us, 'listening on tcp 0.0.0.0:' || a.port AS message FROM n a ANTI JOIN n b ON a.host = b.host AND a.port = b.port AND a.n = b.n + 1 WHERE a.port % 2 = 0 AND a.n > 1""")
 def _(s, d):
     return network.connection_events(_sockets(s, d)).where("event_type = 'port_opened'").select("host", F.unix_micros("timestamp").alias("us"), "message")
+
+
+# --- long lists of networks: each customer names one, of 20 to 32 bits, many of which overlap ---
+
+_NETS = """nets AS (SELECT DISTINCT ((10 * 16777216 + (c_custkey * 37) % 65536)::BIGINT >> (32 - bits)) << (32 - bits) AS low, bits FROM (SELECT c_custkey, 20 + c_custkey % 13 AS bits FROM customer)),
+  a AS (SELECT DISTINCT ip, """ + _number("ip") + """ AS n FROM ev),
+  held AS (SELECT ip, bits, low FROM a JOIN nets ON n >= low AND n < low + (1::BIGINT << (32 - bits)))"""
+
+
+def customer_networks(s: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    place = key * 37 % 65536
+    address = F.concat_ws(".", F.lit("10.0"), F.floor(place / 256).cast("string"), (place % 256).cast("string"))
+    return s.read.parquet(f"{d}/customer.parquet").select(F.concat(address, F.lit("/"), (20 + key % 13).cast("string")).alias("network"))
+
+
+@query("network_of_address", f"WITH {EV}, {_NETS} SELECT ip, max(bits)::BIGINT AS bits, count(*) AS networks FROM held GROUP BY ip")
+def _(s, d):
+    held = networks.address_networks(ev(s, d), customer_networks(s, d))
+    return held.groupBy("ip").agg(F.max("bits").cast("long").alias("bits"), F.count("*").alias("networks"))
+
+
+@query("events_outside_networks", f"WITH {EV}, {_NETS} SELECT seq FROM ev WHERE event_type <> 'failed_login' OR ip NOT IN (SELECT ip FROM held)")
+def _(s, d):
+    return networks.outside(ev(s, d), customer_networks(s, d), when=F.col("event_type") == "failed_login").select("seq")

@@ -1,5 +1,7 @@
 """Limits, lookback, durations, stored tables, retention and reports."""
 
+import ipaddress
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from test_engine import RULES, made, table
 
 from harrier.functions import fields as fn
-from harrier.operators import analysis, detect, normalize, report
+from harrier.operators import analysis, detect, networks, normalize, report
 from harrier.plans.defaults import default_rules
 from harrier.plans.rules import Rule, RuleSet, load_rules, register_rule_kind
 from harrier.sources.lines import keep_only
@@ -107,3 +109,48 @@ def test_answers_of_a_review(spark):
     rows = spark.createDataFrame(list(enumerate(answers)), "id long, answer string").select(F.col("id").cast("string").alias("id"), "answer")
     got = {int(r["id"]): r["status"] for r in analysis.parse_analysis(rows).collect()}
     assert got == {0: "completed", 1: "failed", 2: "failed", 3: "failed"}
+
+
+def test_evidence_equals_pairs(spark):
+    rng = random.Random(5)
+    at = lambda: None if rng.random() < 0.05 else T0 + timedelta(seconds=rng.randrange(900))
+    events = [(rng.choice(["a", "b", "busy", "busy"]), at()) for _ in range(600)]
+    events += [("busy", T0 + timedelta(seconds=300))] * 40
+    alerts = [(i, rng.choice(["a", "b", "busy", "quiet"]), at()) for i in range(120)]
+    e = spark.createDataFrame(events, "ip string, timestamp timestamp")
+    a = spark.createDataFrame(alerts, "seq long, ip string, timestamp timestamp")
+    got = {r["seq"]: r["evidence"] for r in report.evidence_counts(a, e, "45 seconds").collect()}
+    w = timedelta(seconds=45)
+    assert got == {i: None if t is None else sum(x == ip and s is not None and t - w < s <= t for x, s in events) for i, ip, t in alerts}
+    assert report.evidence_counts(a.limit(0), e, "45 seconds").count() == 0
+    assert {r["evidence"] for r in report.evidence_counts(a.where("timestamp IS NOT NULL"), e.limit(0), "45 seconds").collect()} == {0}
+
+
+def test_networks_equal_brute_force(spark):
+    rng = random.Random(6)
+    v4 = lambda: str(ipaddress.ip_address(0x0A000000 + rng.randrange(1 << 16)))
+    v6 = lambda: str(ipaddress.ip_address((0x20010DB8 << 96) + rng.randrange(1 << 20)))
+    nets = [f"{v4()}/{rng.randrange(22, 33)}" for _ in range(150)] + [f"{v6()}/{rng.randrange(112, 129)}" for _ in range(60)] + [v4(), v6(), "10.0.0.0/33", "nonsense", None, "10.0.0.0/", "::ffff:10.0.7.0/120"]
+    ips = [v4() for _ in range(200)] + [v6() for _ in range(80)] + ["no address", None]
+    n = spark.createDataFrame([(x,) for x in nets], "network string")
+    e = spark.createDataFrame(list(enumerate(ips)), "seq long, ip string")
+
+    def known(text):
+        try:
+            net = ipaddress.ip_network(text, strict=False)
+        except ValueError:
+            return None
+        mapped = net.network_address.ipv4_mapped if net.version == 6 else None
+        return ipaddress.ip_network(f"{mapped}/{net.prefixlen - 96}") if mapped else net
+
+    real = {k for k in map(known, filter(None, nets)) if k}
+    held = {ip: max((k.prefixlen for k in real if ipaddress.ip_address(ip) in k), default=None) for ip in ips if ip and ip != "no address"}
+    got = {r["ip"]: r["bits"] for r in networks.narrowest_network(e, n).collect()}
+    assert got == {ip: b for ip, b in held.items() if b is not None} and 20 < len(got) < len(held)
+    inside = {i for i, ip in enumerate(ips) if held.get(ip) is not None}
+    assert {r["seq"] for r in networks.within(e, n).collect()} == inside
+    assert {r["seq"] for r in networks.outside(e, n).collect()} == set(range(len(ips))) - inside
+    assert {r["seq"] for r in networks.outside(e, n, when=F.col("seq") % 2 == 0).collect()} == {i for i in range(len(ips)) if i % 2 or i not in inside}
+    assert networks.within(e, n.limit(0)).count() == 0
+    plan = networks.address_networks(e, n)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
