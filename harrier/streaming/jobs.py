@@ -13,12 +13,12 @@ from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from harrier.functions.fields import field, micros
-from harrier.operators.normalize import assign_ids, fix_timestamps, normalize
+from harrier.operators.normalize import assign_ids, checked, fix_timestamps, normalize
 from harrier.plans.rules import RuleSet, compile_filter, matches_signature, with_signatures
 from harrier.schema import SEVERITIES
 
@@ -30,6 +30,40 @@ def stream_ingest(events: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.format("parquet").partitionBy("event_date").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def stream_outcomes(events: DataFrame, path: str, checkpoint: str, late: str = "10m", trigger: dict | None = None):
+    """Every row of a stream to one table, by outcome: accepted, rejected (with its errors), or late; gives the running query.
+
+    A row is late when its time is more than `late` before the newest accepted time of the batches before its own, as a watermark
+    has it; one exactly that late is accepted, and in the first batch none is late. Late rows are kept, however late, and do not
+    move the mark, nor do rows that got the receive time for want of their own. Rejected rows have no place in time and are never late.
+
+    The table is cut by batch, outcome and day. Beside it, `path`_counts holds a row a batch: its counts and newest time,
+    taken while the batch was written. A batch that is replayed after a failure replaces what its first attempt wrote, and
+    sees the marks of the batches before it only, so nothing is counted twice.
+    """
+    span, counts = micros(late), f"{path}_counts"
+    spec = "newest long, accepted long, rejected long, late long, batch long"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.createDataFrame([], spec)
+        if number:
+            known = spark.read.schema(spec).parquet(counts)
+        mark = known.where(F.col("batch") < number).agg(F.max("newest")).first()[0]  # one row
+        rows = checked(fix_timestamps(assign_ids(batch.withColumn("__sent", F.col("timestamp"))), F.current_timestamp()))
+        behind = F.lit(False) if mark is None else F.coalesce(F.unix_micros("timestamp") < mark - span, F.lit(False))
+        rows = rows.withColumn("outcome", F.when(F.size("errors") > 0, "rejected").when(behind, "late").otherwise("accepted")).withColumn("event_date", F.to_date("timestamp"))
+        seen = Observation()
+        of = lambda name: F.count_if(F.col("outcome") == name).alias(name)
+        rows = rows.observe(seen, F.max(F.when((F.col("outcome") == "accepted") & (F.col("__sent") == F.col("timestamp")), F.unix_micros("timestamp"))).alias("newest"), of("accepted"), of("rejected"), of("late"))
+        rows.drop("__sent").write.mode("overwrite").partitionBy("outcome", "event_date").parquet(f"{path}/batch={number}")
+        got = seen.get
+        one = spark.createDataFrame([(got["newest"], got["accepted"], got["rejected"], got["late"])], spec.removesuffix(", batch long"))
+        one.coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def stream_signatures(events: DataFrame, rules: RuleSet) -> DataFrame:
     """Firings of the signature rules; no state."""
     found = with_signatures(events, [r for r in rules.active if r.kind == "signature"])

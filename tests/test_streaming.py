@@ -121,3 +121,43 @@ def test_followed_files(spark, tmp_path):
     (tmp_path / "logs" / "b.log").write_text("three\n")
     os.utime(tmp_path / "logs" / "b.log", (time.time() + 60, time.time() + 60))
     assert [r["value"] for r in run(new, tmp_path, "newer").collect()] == ["three"]
+
+
+def test_every_row_ends_somewhere(spark, tmp_path):
+    """In time, late, very late and bad rows; a batch whose commit was lost is written again, not twice."""
+    minute = lambda *at: [None if m is None else T0 + timedelta(minutes=m) for m in at]
+    whole, seq, want = [], 0, {}
+
+    def part(times, ends, ips=None):
+        nonlocal seq
+        rows = []
+        for t, end, ip in zip(times, ends, ips or ["10.0.0.1"] * len(times), strict=True):
+            rows.append((seq, ip, t))
+            want[seq] = end
+            seq += 1
+        whole.append(spark.createDataFrame(rows, "seq long, ip string, timestamp timestamp"))
+
+    part(minute(5, 0, 10), ["accepted"] * 3)
+    part(minute(20, None, 1), ["accepted"] * 3)  # the mark is that of the batches before: 10 - 10; a row without a time gets now
+    part(minute(9, 10, -9000, 19, 21, 3), ["late", "accepted", "late", "accepted", "accepted", "rejected"], ["10.0.0.1"] * 5 + ["nobody"])
+    part(minute(12, 10, None), ["accepted", "late", "rejected"], ["10.0.0.2", "10.0.0.2", ""])
+    empty = spark.createDataFrame([], EVENT_DDL)
+    src = stream(spark, tmp_path, [empty.unionByName(p, allowMissingColumns=True) for p in whole], EVENT_DDL)
+    out, cp = str(tmp_path / "all"), tmp_path / "cp-all"
+
+    def go():
+        q = jobs.stream_outcomes(src, out, str(cp))
+        q.awaitTermination(300)
+        assert q.exception() is None
+        got = spark.read.parquet(out)
+        assert sorted((r["seq"], r["outcome"]) for r in got.collect()) == sorted(want.items())
+        assert {tuple(r["errors"]) for r in got.where("outcome = 'rejected'").collect()} == {("ip is not a valid address",), ("ip is required",)}
+        counts = spark.read.parquet(f"{out}_counts").orderBy("batch").collect()
+        assert [(r["accepted"], r["rejected"], r["late"]) for r in counts] == [(3, 0, 0), (3, 0, 0), (3, 1, 2), (1, 1, 1)]
+        return {r["id"] for r in got.collect()}
+
+    first = go()
+    last = max((cp / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert len(first) == seq and go() == first
