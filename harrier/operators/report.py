@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrier.schema import severity_rank
@@ -196,11 +199,77 @@ def evictions(rows: DataFrame, now: Column, age: str | None, capacity: int, kind
     return one(rows, kept, "age").unionByName(one(kept, full, "capacity"))
 
 
-def write_events(events: DataFrame, path: str, parts_of_day: int = 8) -> None:
-    """Events by day, each in `parts_of_day` ranges of address hashes and in order of address and time within files, so that both prune and no day is one task."""
+def _by_day(events: DataFrame, parts_of_day: int):
     day = events.withColumn("event_date", F.to_date("timestamp"))
     salt = F.pmod(F.xxhash64("ip", "seq"), F.lit(parts_of_day))
-    day.repartition("event_date", salt).sortWithinPartitions("event_date", "ip", "timestamp").write.mode("append").partitionBy("event_date").parquet(path)
+    return day.repartition("event_date", salt).sortWithinPartitions("event_date", "ip", "timestamp").write.partitionBy("event_date")
+
+
+def write_events(events: DataFrame, path: str, parts_of_day: int = 8) -> None:
+    """Events by day, each in `parts_of_day` parts dealt by hashes of (ip, seq) and in order of address and time within files: days prune, and no day is one task."""
+    _by_day(events, parts_of_day).mode("append").parquet(path)
 
 
 write_alerts = write_events
+
+
+def capacity_cut(rows: DataFrame, n: int) -> int | None:
+    """The seq up to which rows must go so that the newest n by arrival stay; null if there is room for all, or n is 0.
+
+    Rows of one seq go together, so fewer than n may stay. Nothing is sorted: counts of BLOCKS ranges of seq say which one the
+    cut lies in, and that one is cut again, down to a single seq.
+    """
+    ends = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("seq").alias("n")).first()
+    if n <= 0 or ends["n"] <= n:
+        return None
+    lo, hi, room = ends["lo"], ends["hi"], n
+    while lo < hi:
+        width = (hi - lo) // BLOCKS + 1
+        block = F.floor((F.col("seq") - F.lit(lo)) / F.lit(width))
+        found = rows.where(F.col("seq").between(lo, hi)).groupBy(block.alias("b")).agg(F.count("*").alias("c")).collect()  # BLOCKS rows at most
+        for r in sorted(found, reverse=True):
+            if r["c"] > room:
+                lo, hi = lo + r["b"] * width, min(hi, lo + (r["b"] + 1) * width - 1)
+                break
+            room -= r["c"]
+    return lo
+
+
+def prune_stored(spark: SparkSession, path: str, kind: str, now: Column, age: str | None = None, capacity: int = 0, parts_of_day: int = 8) -> DataFrame:
+    """Retention on a table of write_events: rows older than `age` go, then all but the newest `capacity` by arrival; gives rows
+    (kind, reason, count) of what went, as evictions does.
+
+    Days that go as a whole are deleted, days that the cut goes through are written anew, and no file of another day is touched.
+    A day is written beside the table and put in its old one's place when all of it is there; a job that dies before leaves the
+    old rows, and one that dies between days is finished by calling again. Readers that began before may miss files
+    and must start again. Rows without a time (a folder of their own) have no age, and go for want of room only; a null seq never goes.
+
+    A table that a stream's file sink keeps a log of is refused, since its readers go by that log.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(root, "_spark_metadata")):
+        raise ValueError(f"{path} is kept by a stream's file sink")
+    went = {}
+    for reason in ("age", "capacity"):
+        rows, went[reason] = spark.read.parquet(path), 0
+        if reason == "age":
+            if age is None:
+                continue
+            first = spark.range(1).select((now - F.expr(f"INTERVAL {age}")).alias("t")).first()["t"]
+            gone = F.coalesce(F.col("timestamp") < F.lit(first), F.lit(False))
+            near = rows.where(F.col("event_date") <= F.to_date(F.lit(first)))  # later days are not read
+        else:
+            cut = capacity_cut(rows, capacity)
+            if cut is None:
+                continue
+            gone, near = F.coalesce(F.col("seq") <= F.lit(cut), F.lit(False)), rows
+        days = near.groupBy("event_date").agg(F.count_if(gone).alias("gone"), F.count_if(~gone).alias("stay")).where("gone > 0").collect()  # a row a day
+        if part := [d["event_date"] for d in days if d["stay"]]:
+            same = reduce(or_, [F.col("event_date").eqNullSafe(F.lit(d)) for d in part])
+            _by_day(near.where(same & ~gone), parts_of_day).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        for d in days:
+            if not d["stay"]:
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"event_date={d['event_date'] or '__HIVE_DEFAULT_PARTITION__'}"), True)
+        went[reason] = sum(d["gone"] for d in days)
+    return spark.createDataFrame([(kind, k, v) for k, v in went.items()], "kind string, reason string, count long")

@@ -12,6 +12,7 @@ from harrier.functions import fields as fn
 from harrier.operators import analysis, detect, networks, normalize, report
 from harrier.plans.defaults import default_rules
 from harrier.plans.rules import Rule, RuleSet, load_rules, register_rule_kind
+from harrier.schema import EVENT_DDL
 from harrier.sources.lines import keep_only
 
 T0 = datetime(2025, 3, 1)
@@ -73,6 +74,46 @@ def test_retention(spark):
     assert report.by_capacity(table(spark, []), 5).count() == 0
 
 
+def test_retention_of_stored_tables(spark, tmp_path):
+    """Against a list of rows; days that the cut does not go through keep their files."""
+    base = [{**r, "timestamp": None if r["seq"] % 29 == 0 else T0 + timedelta(hours=(r["seq"] * 7) // 10)} for r in made(11, 200)]
+    now = T0 + timedelta(days=6)
+    for i, (age, capacity) in enumerate([(None, 0), ("100 hours", 0), ("96 hours", 0), (None, 90), ("2 days", 7), ("1 hour", 1), ("400 days", 500)]):
+        path = tmp_path / f"t{i}"
+        report.write_events(table(spark, base), str(path))
+        before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+        hours = {None: None, "100 hours": 100, "96 hours": 96, "2 days": 48, "1 hour": 1, "400 days": 9600}[age]
+        young = [r for r in base if hours is None or r["timestamp"] is None or r["timestamp"] >= now - timedelta(hours=hours)]
+        left = sorted(young, key=lambda r: r["seq"])[-capacity:] if capacity else young
+        for again in (False, True):
+            went = {r["reason"]: r["count"] for r in report.prune_stored(spark, str(path), "event", F.lit(now), age, capacity).collect()}
+            assert went == ({"age": 0, "capacity": 0} if again else {"age": len(base) - len(young), "capacity": len(young) - len(left)})
+            kept = spark.read.schema(EVENT_DDL).parquet(str(path)).collect()
+            assert sorted((r["seq"], r["timestamp"], r["ip"], r["path"]) for r in kept if r["timestamp"]) == sorted((r["seq"], r["timestamp"], r["ip"], r["path"]) for r in left if r["timestamp"])
+            assert sorted(r["seq"] for r in kept) == sorted(r["seq"] for r in left)
+        day = lambda r: "__HIVE_DEFAULT_PARTITION__" if r["timestamp"] is None else str(r["timestamp"].date())
+        lost = {day(r) for r in base} - {day(r) for r in left}
+        touched = {day(r) for r in base if r not in left}
+        after = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+        name = lambda p: p.parent.name.removeprefix("event_date=")
+        assert {p: t for p, t in before.items() if name(p) not in touched} == {p: t for p, t in after.items() if name(p) not in touched}
+        assert not {name(p) for p in after} & lost
+    (path / "_spark_metadata").mkdir()
+    with pytest.raises(ValueError):
+        report.prune_stored(spark, str(path), "event", F.lit(now), "1 day")
+
+
+def test_the_cut_of_a_capacity(spark, monkeypatch):
+    monkeypatch.setattr(report, "BLOCKS", 5)
+    rng = random.Random(12)
+    seqs = [rng.randrange(-50, 1 << 40) for _ in range(60)] + [7, 7, 7, 1 << 62]
+    rows = spark.createDataFrame([(s,) for s in seqs] + [(None,)], "seq long")
+    for n in (1, 5, 59, 62, 63, 64, 100):
+        cut = report.capacity_cut(rows, n)
+        assert cut == (sorted(seqs)[-n - 1] if n < len(seqs) else None)
+    assert report.capacity_cut(rows.limit(0), 3) is None and report.capacity_cut(rows, 0) is None
+
+
 def test_evidence_of_alerts(spark):
     rows = made(7, 150)
     e = table(spark, rows)

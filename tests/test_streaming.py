@@ -10,6 +10,7 @@ from harrier.operators import detect
 from harrier.plans.rules import load_rules, register_rule_kind
 from harrier.schema import EVENT_DDL, SOCKET_DDL
 from harrier.sources import lines, network
+from harrier.sources.follow import FollowReader, follow_lines
 from harrier.streaming import jobs
 
 T0 = datetime(2025, 3, 1)
@@ -161,3 +162,64 @@ def test_every_row_ends_somewhere(spark, tmp_path):
     last.unlink()
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     assert len(first) == seq and go() == first
+
+
+def test_growing_files(spark, tmp_path):
+    """Appended, unfinished, rotated, truncated and replaced files over restarts: each whole line once."""
+    log, name = tmp_path / "logs" / "access.log", "growing"
+    log.parent.mkdir()
+
+    def add(text):
+        with open(log, "ab") as f:
+            f.write(text.encode())
+
+    def got(source):
+        q = source.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        assert q.exception() is None
+        return sorted(r["value"] for r in spark.read.parquet(str(tmp_path / name)).collect())
+
+    follow = lambda **k: follow_lines(spark, str(log), slice_bytes=50, **k)
+    assert got(follow()) == []  # there is no file yet
+    want = [f"line {i} " + "é" * (i % 40) for i in range(120)]
+    add("\n".join(want) + "\n\n" + "x" * 70_000 + "\r\nhalf a l")
+    assert got(follow()) == sorted(want)
+    add("ine\r\nnext\n")
+    want += ["half a line", "next"]
+    assert got(follow()) == sorted(want) == got(follow())
+    add("before the turn\n")
+    log.rename(tmp_path / "logs" / "access.log.1")
+    add("after the turn\n")
+    want += ["before the turn", "after the turn"]
+    assert got(follow()) == sorted(want)
+    with open(tmp_path / "logs" / "access.log.1", "a") as f:
+        f.write("late in the old file\n")
+    want.append("late in the old file")
+    assert got(follow()) == sorted(want)
+    log.write_text("cut\n")  # the same file, shorter
+    want.append("cut")
+    assert got(follow()) == sorted(want)
+    log.write_text("another beginning, and longer than what was there\n")
+    want.append("another beginning, and longer than what was there")
+    assert got(follow()) == sorted(want)
+    name = "from the end"
+    assert got(follow(from_start=False)) == []
+    add("new\n")
+    assert got(follow(from_start=False)) == ["new"]
+
+
+def test_a_batch_of_a_growing_file_replays_under_its_new_name(tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("one\ntwo\n")
+    reader = FollowReader({"path": str(tmp_path / "*.log"), "slice_bytes": "4"})
+    end = reader.latestOffset()
+    log.rename(tmp_path / "a.log.1")
+    log.write_text("three\n")
+    rows = [(v, p) for part in reader.partitions({}, end) for b in reader.read(part) for v, p in zip(b["value"].to_pylist(), b["place"].to_pylist(), strict=True)]
+    assert rows == [("one", 0), ("two", 4)]
+    later = reader.latestOffset()
+    assert [(s.path, s.start) for s in reader.partitions(end, later)] == [(str(log), 0), (str(log), 4)]
+    (tmp_path / "a.log.1").unlink()
+    with pytest.raises(FileNotFoundError):
+        reader.partitions({}, end)
+    assert FollowReader({"path": str(tmp_path / "*.log"), "fail_on_loss": "false"}).partitions({}, end) == []
