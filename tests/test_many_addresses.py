@@ -6,7 +6,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-NAMES = ["field_ip_hex", "normalize_accepted", "normalize_rejected", "ingest_errors", "ingest_report", "access_outcomes", "canonical_addresses", "parse_caddy_failed_login", "parse_combined", "parse_json_access", "parse_json_override", "parse_traefik"]
+NAMES = ["field_ip_hex", "normalize_accepted", "normalize_rejected", "ingest_errors", "ingest_report", "access_outcomes", "canonical_addresses", "parse_caddy_failed_login", "parse_combined", "parse_json_access", "parse_json_override", "parse_traefik", "brute_force_top_ips"]
 
 
 @pytest.fixture(scope="module")
