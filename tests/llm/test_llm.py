@@ -162,6 +162,20 @@ def test_syncmers_as_plain_loops(spark):
     assert Counter((r["doc_id"], r["n_chars"], round(r["near_next"], 9)) for r in syncmers.op4_syncmers(df).collect()) == expect
 
 
+def test_likeness_of_the_fingerprints_written(spark):
+    """near_edited and near_next are those of the fingerprints as they are returned."""
+    rng = random.Random(8)
+    base = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(6)]
+    texts = [*base, base[0][:200] + base[1][200:], "", "  ", "a b", "永" * 40]
+    got = syncmers.op4_syncmers(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy(F.desc("doc_id")).collect()
+    parts = lambda f: {f[i : i + 16] for i in range(0, len(f), 16)}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, r in enumerate(got):
+        own = parts(r["fingerprint"])
+        assert r["near_edited"] == pytest.approx(like(own, parts(r["edited_fingerprint"])))
+        assert r["near_next"] == pytest.approx(like(own, parts(got[(k + 1) % len(got)]["fingerprint"])))
+
+
 def test_syncmers_by_place(spark):
     """An insertion in unbroken text leaves the anchors before and after it, these with a shift; swapped halves show as two stretches."""
     rng = random.Random(4)
