@@ -111,6 +111,20 @@ def test_mixture_inference_as_a_plain_loop():
         assert abs(v - sum(n * math.log(sum(share[k] * float(model[k][b]) for k in range(3))) for b, n in enumerate(c))) < 1e-2
 
 
+def test_bpe_remembers_what_it_meets_again(monkeypatch):
+    """Matches met since the last time the cache was full stay known and go through no second query."""
+    import public_tokenizers as P
+
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
+    codec, asked = bpe.Codec(bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN), []
+    merge = codec.merge
+    monkeypatch.setattr(codec, "merge", lambda pieces: asked.extend(pieces) or merge(pieces))
+    words = [" qxzvkj", " zzyxwq", " vvkqxj", " jjqzkx"]
+    first = codec.encode_all(words)
+    assert codec.encode_all(words) == first and len(asked) == len(words)
+    assert [bytes(x).decode() for x in codec.decode_all([memoryview(x) for x in first])] == words
+
+
 def test_fingerprints(spark, corpus):
     rows = [(i, t or "") for i, t in corpus[1] if i is not None and i != 7]
     got = {r["doc_id"]: r for r in syncmers.op4_syncmers(corpus[0].where("doc_id IS NOT NULL AND doc_id <> 7")).collect()}
