@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -664,6 +665,51 @@ def test_model_sums_to_one():
     assert np.allclose(total[inside[:, lm.CONTEXT + 7]], 1, atol=1e-4)
 
 
+def test_attention_is_looked_up(monkeypatch):
+    """Scoring takes the exponential of a pair of ids once, not once a place that sees another; and the weights are those of training."""
+    rng = np.random.default_rng(4)
+    m = 50
+    bounds = np.array([0, 7, 1207, 1208, 6000])
+    ids = rng.integers(0, m - 1, 6000).astype(np.int32)
+    ids[bounds[1:] - 1] = m - 1
+    model, p, _, _ = lm.train(ids, bounds, m, steps=3)
+    first, text = lm.windows(bounds)
+    fresh, exp, taken = lm.built(p, model.copy), np.exp, []
+    fresh.table = model.table
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: taken.append(np.size(x)) or exp(x, *a, **k))
+    got = fresh.score(ids, bounds)
+    monkeypatch.undo()
+    assert sum(taken) <= (m + 1) ** 2 + lm.EXPERTS * lm.STRIDE * len(first)
+    assert np.allclose(got, model.score(ids, bounds))
+    assert fresh.__getstate__()["_pairs"] is None
+    steep = lm.built({**p, "k": p["k"] * 400}, model.copy)  # some scores pass 20, where they are cut
+    assert (steep.query @ steep.key.T).max() > 20
+    before, _, _ = lm._cut(ids, bounds, first, text, m - 1)
+    for some in (model, steep):
+        assert np.allclose(some.gates(before), some.attended(before)[0], atol=1e-5)
+
+
+def test_earlier_places_as_plain_loops():
+    rng = np.random.default_rng(7)
+    for kind, high in ((np.int32, 5), (np.int64, 2**50)):
+        rows = np.concatenate([rng.integers(0, high, (20, 80)), np.zeros((1, 80), np.int64)]).astype(kind)
+        assert lm._alike(rows).tolist() == [[r[:j].count(r[j]) for j in range(80)] for r in rows.tolist()]
+    assert lm._alike(rows[:0]).shape == (0, 80)
+
+
+def test_words_are_spelled_alone():
+    """Spelled in one go from an Arrow array, slices too, as each word by itself."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        subwords = lm.Subwords(f.read(), public_tokenizers.PATTERN)
+    for some in (["the", "naïve", "don't", "12345", "x" * 300, "日本語", "\u00a0", "🙂🙂"], ["a", "\u2003b", "\u00a0", "\u3000", "c"], ["one"], []):
+        words_ = pa.array(["left out", *some], pa.string())[1:]
+        ids, n = subwords.raw_ids(words_)
+        own = [subwords.encoding.encode_ordinary(" " + w) for w in some]
+        assert ids.tolist() == [x for o in own for x in o] and n.tolist() == [len(o) for o in own]
+
+
 def test_mix_as_plain_loops(spark, corpus):
     """Words taken of each document, from streams laid out by loops; and every stretch of slots holds the sources in proportion."""
     df = corpus[0]
