@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -297,6 +299,34 @@ def test_neighbours_of_clusters_in_id_order(spark):
     assert hits >= 0.95 * 5 * len(range(0, 4096, 50))
 
 
+def test_neighbours_are_looked_for_in_few_cells():
+    """Of rows in clusters a query meets a few cells; cells of any size give shards of bounded size."""
+    rng = np.random.default_rng(6)
+    x = (np.repeat(rng.normal(size=(128, 24)), 64, 0) + 0.15 * rng.normal(size=(8192, 24))).astype(np.float32)
+    raw = pa.array([v.tobytes() for v in x], pa.binary())
+    rows = pa.RecordBatch.from_arrays([raw, pa.array([[i] for i in range(len(x))], pa.list_(pa.int64())), pa.array(range(len(x)), pa.int64())], ["vector", "ids", "place"])
+    fitted = ann._fit({24: 128}, "<f4")(pd.DataFrame({"place": range(len(x)), "vector": raw.to_pylist()}))
+    graphs = {24: ann._graph(fitted["heads"][0], fitted["links"][0], 24)}
+    asked = np.arange(0, len(x), 50)
+    held = lambda *v: types.SimpleNamespace(value=v)
+    seen = pa.Table.from_batches(ann._measure(5, "<f4", held(graphs, {24: x[asked].astype(np.float64)}))(iter([rows]))).to_pandas()
+    cells = seen[seen["score"].isna()]
+    counts = np.zeros(128, np.int64)
+    counts[cells["which"]] = cells["n"]
+    near = seen[seen["score"].notna()]
+    assert counts.sum() == len(x) and len(near) == 5 * len(asked)
+    start, parts, shards = ann._dealt(counts, 0)
+    wanted = int(near["n"].quantile(ann.SURE)) + 1
+    shared = held(graphs, {24: (start, parts)}, {24: wanted})
+    index = pa.Table.from_batches(ann._place("<f4", shared)(iter([rows])))
+    assert index.num_rows == len(x) and np.bincount(index["shard"].to_numpy(), minlength=shards).max() <= 2 * max(ann.LEAST, -(-len(x) // ann.SHARDS))
+    queries = pa.RecordBatch.from_arrays([pa.array(asked), pa.array(asked * 0), raw.take(pa.array(asked))], ["vec_id", "query_row", "vector"])
+    routed = pa.Table.from_batches(ann._route("<f4", shared)(iter([queries])))
+    assert ann.WALKED * wanted < 128 and counts[routed["cells"].combine_chunks().flatten().to_numpy()].sum() < 0.15 * len(x) * len(asked)
+    hot = ann._dealt(np.array([3, 90_000, 0, 5]), 7)
+    assert hot[0].tolist() == [7, 8, 8 + hot[1][1], 8 + hot[1][1]] and hot[1][1] == -(-90_000 // 1407)
+
+
 def test_neighbours_of_repeated_rows(spark):
     """A row that repeats an id, or id and vector, is a candidate of its twin; only the query's own row isn't."""
     rng = np.random.default_rng(5)
