@@ -9,6 +9,7 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,28 @@ def test_ngram_join(spark, size, percent):
     assert max(sizes.values()) > 30
 
 
+def test_every_common_ngram_is_named(spark, monkeypatch):
+    """However many n-grams are common, all come last in the order: else each set would share a long list with another."""
+    monkeypatch.setattr(ngram_join, "COMMON", 50, raising=False)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[i % 4 :], f"x{i} y{i} z{i}"]) for i in range(20)]
+    order = ngram_join.global_order(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4)
+    sets = list(ngram_join.sets_of(pa.array(texts), 4))
+    keys, n = np.unique(np.concatenate(sets), return_counts=True)
+    classes = order.classes_of(keys)
+    assert (n >= 20).sum() > 300 and (classes[n >= 16] == 4).all() and (classes[n == 1] > 0).mean() < 0.05
+
+
+def test_steps():
+    rng = np.random.default_rng(7)
+    lists = [np.unique(rng.integers(0, 1 << 24, n)) for n in (1, 5, 3000)] + [np.array([0]), np.array([0xFFFF, 0xFFFF * 2, (1 << 24) - 1])]
+    lens = np.array([len(x) for x in lists])
+    steps, ends = ngram_join._steps(np.concatenate(lists), np.cumsum(lens) - lens)
+    cuts = [0, *ends[np.cumsum(lens) - 1].tolist()]
+    assert [ngram_join._stepped(steps[a:b].tobytes()).tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [x.tolist() for x in lists]
+    assert not len(ngram_join._stepped(b"")) and not len(ngram_join._steps(np.empty(0, np.int64), np.empty(0, np.int64))[0])
+
+
 def test_ngram_join_without_ids(spark):
     rows = [(None, "a b c d e f g h", None), (None, "a b c d e f g h", None), (9, "q r s t u v w x", None), (None, "q r s t u v w x", None), (None, None, None)]
     got = sorted(map(str, (tuple(r) for r in ngram_join.op11_ngram_join(docs(spark, rows)).collect())))
