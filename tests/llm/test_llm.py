@@ -609,6 +609,49 @@ def test_language_model(corpus):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+def test_attention_is_learned_from_all_texts(spark):
+    """Also where none of them is one of 64 by its hash; copies count as often as they occur, though a task sends them once."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        content = f.read()
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["one", "two", "three", "four", "ten"]) for _ in range(90)) for _ in range(30)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").where(F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(64)) != 0)
+    n = df.count()
+    subwords = lm.Subwords(content, public_tokenizers.PATTERN, [])
+    ids, at = lm._joined(lm.streams(subwords, *lm._known(texts[:5])))
+    model, p, _, _ = lm.train(ids, at, subwords.end + 1, steps=2)
+    table = model.table
+    got = lm._refined(df, df, n, content, public_tokenizers.PATTERN, [], p, table)
+    assert n > 20 and any((got[k] != p[k]).any() for k in p)
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in rows]), pa.array(rows, pa.int64()), pa.array([0] * len(rows), pa.int64())], ["text", "h", "g"])
+    once = pa.Table.from_batches(lm._once(iter([batch([1, 2, 1]), batch([1, 3])]))).to_pylist()
+    assert [r["text"] for r in once] == ["t1", "t2", "t3", None] and once[-1] == {"text": None, "h": 1, "g": 0, "n": 2}
+    rows = lambda kept: pa.table({"text": [t for t, _, _ in kept], "h": [h for _, h, _ in kept], "g": [0] * len(kept), "n": [n for _, _, n in kept]})
+    run = lm._descended(content, public_tokenizers.PATTERN, [], types.SimpleNamespace(value=(p, table)))
+    windows = lambda t: -(-(len(subwords.ids(pa.array(t.split()))[0]) + 1) // lm.STRIDE)
+    moved = run(rows([(texts[0], 5, 1), (None, 5, 2), (texts[1], 9, 1)]))
+    assert moved.column("n")[0].as_py() == 3 * windows(texts[0]) + windows(texts[1])
+
+
+def test_shares_from_counted_ratios():
+    rng = np.random.default_rng(8)
+    a, b = rng.random(4000) * (rng.random(4000) < 0.7), rng.random(4000) + 1e-3
+    steps, n = np.unique(lm.ratio_steps(a, b), return_counts=True)
+    share = 0.5
+    for _ in range(30):
+        share = (share * a / (share * a + (1 - share) * b)).mean()
+    assert abs(lm.share_of(steps, n, 0.5, 30) - share) < 0.005 and abs(lm.mixing_weight(np.log10(b), a) - share) < 1e-6
+    two = lm.Descent({"e": np.ones((4, 2), np.float32), "q": np.eye(2, dtype=np.float32), "k": np.eye(2, dtype=np.float32), "v": rng.random((4, 3)).astype(np.float32), "b": np.zeros(3, np.float32)}, rng.random((4, 4, 3)).astype(np.float32))
+    one = lm.Descent(two.p, two.table)
+    ids, bounds = rng.integers(0, 3, 96).astype(np.int32), np.array([0, 96])
+    cut = lm._cut(ids, bounds, *lm.windows(bounds), 3)
+    one.step(*cut, np.array([2, 1]))
+    two.step(*[x[[0, 0, 1]] for x in cut])
+    assert all(np.allclose(one.p[k], two.p[k], atol=1e-4) for k in one.p)
+
+
 def test_model_score_as_a_plain_loop():
     """Each id once, attending to what its window shows before it, against loops over places."""
     rng = np.random.default_rng(6)
